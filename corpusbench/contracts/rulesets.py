@@ -228,12 +228,13 @@ def poem_outcome() -> list[Rule]:
             "error does not fit status",
         ),
         Rule(
-            "score", ~matched | (finite(C("match_score")) & C("match_score").between(0, 1)),
+            "score",
+            ~matched | optional(C("match_score"), finite(C("match_score")) & C("match_score").between(0, 1)),
             "match_score must be between 0 and 1",
         ),
         Rule(
             "fragment",
-            ~matched | _same(status == "partial", C("content_kind") == "fragment"),
+            ~matched | optional(C("content_kind"), _same(status == "partial", C("content_kind") == "fragment")),
             "partial must mean a fragment",
         ),
     ]

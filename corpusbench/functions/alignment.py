@@ -130,7 +130,10 @@ def character_edit_counts(reference: Column, hypothesis: Column) -> Column:
 
 
 def native_edit_counts(reference: Column, hypothesis: Column) -> Column:
-    """The same counts for two short token arrays with built-in higher-order functions only."""
+    """The same counts for two short token arrays with built-in higher-order functions only.
+
+    Pass plain columns: an expression here would be evaluated again for every cell.
+    """
     cell = "struct<dist:bigint,s:bigint>"
 
     def make(dist: Column, s: Column) -> Column:

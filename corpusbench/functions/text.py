@@ -9,7 +9,6 @@ change; all other texts reach it as NULL.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import cache
 
@@ -77,7 +76,8 @@ def _fold_tables(ascii_only: bool) -> tuple[str, str, str, dict[str, str]]:
     catalog rule (combining marks vanish, the rest separates words).
     """
     source, target, deleted, longer = [], [], [], {}
-    for code in range(0x80, sys.maxunicode + 1):
+    # beyond this plane nothing decomposes to ASCII and nothing combines
+    for code in range(0x80, 0x20000):
         if 0xD800 <= code <= 0xDFFF or 0xAC00 <= code <= 0xD7A3:
             continue
         char = chr(code)
@@ -92,8 +92,10 @@ def _fold_tables(ascii_only: bool) -> tuple[str, str, str, dict[str, str]]:
                 deleted.append(char)
                 continue
             folded = kept.casefold()
-            if folded.isascii() is False and not any(c.isascii() and c.isalnum() for c in folded):
-                continue
+        if not any(c.isascii() and c.isalnum() for c in folded):
+            if not ascii_only:
+                continue  # a separator either way
+            folded = " "
         if len(folded) == 1 and code <= 0xFFFF:
             source.append(char)
             target.append(folded)
@@ -115,12 +117,14 @@ def _regex_class(chars: list[str]) -> str:
 
 def _expanded(text: Column, longer: dict[str, str]) -> Column:
     """Spell out code points that fold to several characters; only texts holding one pay for it."""
-    literals = [F.lit(part) for pair in longer.items() for part in pair]
-    table = F.create_map(*literals)
+    pairs = "\x1e".join(f"{char}\x1f{folded}" for char, folded in longer.items())
+    table = F.str_to_map(F.lit(pairs), F.lit("\x1e"), F.lit("\x1f"))
     spelled = F.array_join(
         F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
     )
-    return F.when(text.rlike(_regex_class(list(longer))), spelled).otherwise(text)
+    # the cheap first test settles most texts
+    holds_one = text.rlike(r"[^\x00-\x7F\xC0-\xFF]") & text.rlike(_regex_class(list(longer)))
+    return F.when(holds_one, spelled).otherwise(text)
 
 
 def _folded(text: Column, ascii_only: bool) -> Column:

@@ -48,7 +48,7 @@ def cap_results(candidates: DataFrame, results_per_query: int) -> DataFrame:
     """The page size of a search: the first results of each query by position."""
     if results_per_query not in RESULTS_PER_QUERY:
         raise ValueError("results_per_query must be between 1 and 50")
-    order = [C("position")]
+    order = [C("position"), C("video_id")]
     return top_k(candidates, ["source_key", "query_ord"], order, results_per_query).drop("rank")
 
 
@@ -272,7 +272,8 @@ def match_songs(
     _unit(minimum_score, "minimum_score", zero=False)
     scored = score_song_candidates(requests, candidates, salts=salts)
     eligible = scored.where(C("low") >= minimum_score)
-    return top_one(eligible, ["source_key"], [C("low").desc(), C("mean").desc(), C("position")])
+    order = [C("low").desc(), C("mean").desc(), C("position"), C("song_id")]
+    return top_one(eligible, ["source_key"], order)
 
 
 def unscorable_requests(requests: DataFrame) -> DataFrame:
