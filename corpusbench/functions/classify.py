@@ -96,5 +96,5 @@ def canonical_fingerprint(*fields: Column) -> Column:
 def _ascii_escape(char: Column) -> Column:
     """JSON escape of one character beyond ASCII, as one or two UTF-16 units."""
     units = F.lower(F.hex(F.encode(char, "UTF-16BE")))
-    escape = F.regexp_replace(units, "([0-9a-f]{4})", r"\\\\u$1")
+    escape = F.regexp_replace(units, "([0-9a-f]{4})", r"\\u$1")
     return F.when(char.rlike(r"[^\x00-\x7F]"), escape).otherwise(char)

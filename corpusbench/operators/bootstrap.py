@@ -12,6 +12,7 @@ size.  Draws come in two modes:
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -76,7 +77,9 @@ def _hash_resample(groups: DataFrame, sums: Sequence[str], replicates: int, seed
 
 def stream_draws(seed: int, groups: int, first: int, last: int) -> np.ndarray:
     """Draws ``first`` to ``last`` (exclusive) of the sequential stream over ``groups`` values."""
-    generator = np.random.RandomState(np.array([seed], dtype=np.uint32))
+    *words, position = random.Random(seed).getstate()[1]
+    generator = np.random.RandomState()
+    generator.set_state(("MT19937", np.array(words, dtype=np.uint32), position))
     shift = 32 - int(groups).bit_length()
     seen, kept = 0, []
     while seen < last:
@@ -90,8 +93,6 @@ def stream_draws(seed: int, groups: int, first: int, last: int) -> np.ndarray:
 def _reference_resample(
     groups: DataFrame, sums: Sequence[str], replicates: int, seed: int
 ) -> DataFrame:
-    if not 0 <= seed < 2**32:
-        raise ValueError("the reference draw stream takes a seed below 2**32")
     group_count = groups.count()
     if group_count * replicates > REFERENCE_DRAW_LIMIT:
         raise ValueError(

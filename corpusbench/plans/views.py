@@ -401,7 +401,7 @@ def run_events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         event.alias("event"),
         C("event_id").alias("seq"),
-        (F.unix_micros("ts") / 1e6).alias("ts"),
+        (F.unix_micros(C("ts").cast("timestamp")) / 1e6).alias("ts"),
         F.lit("d").alias("dataset_id"),
         nothing.alias("dataset"),
         C("user_id").cast("string").alias("preset_id"),

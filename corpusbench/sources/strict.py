@@ -49,21 +49,24 @@ def _issue(condition: Column, rule: str, message: Column) -> Column:
 
 def object_issues(text: Column, fields: Sequence[Field]) -> Column:
     """Array of (rule, message) that keep a JSON text from being an object of these fields."""
-    variant = F.try_parse_json(text)
+    # through a one-element array, so the text is parsed once and not once per check
+    parsed = F.struct(F.try_parse_json(text).alias("variant"), F.json_object_keys(text).alias("keys"))
+    checked = F.transform(F.array(parsed), lambda p: _checks(text, p["variant"], p["keys"], fields))
+    return F.array_compact(F.flatten(checked))
+
+
+def _checks(text: Column, variant: Column, keys: Column, fields: Sequence[Field]) -> Column:
     kind = F.schema_of_variant(variant)
-    readable = kind.startswith("OBJECT<") & text.rlike(r"\}\s*\z")
-    keys = F.json_object_keys(text)
-    repeated = F.size(F.array_distinct(keys)) < F.size(keys)
+    readable = F.coalesce(kind.startswith("OBJECT<") & text.rlike(r"\}\s*\z"), F.lit(False))
+    repeated = F.coalesce(F.size(F.array_distinct(keys)) < F.size(keys), F.lit(False))
     expected = F.array(*[F.lit(f.name) for f in fields])
-    required = F.filter(F.array(*[F.lit(None if f.optional else f.name) for f in fields]), lambda n: n.isNotNull())
+    required = F.array(*[F.lit(f.name) for f in fields if not f.optional]).cast("array<string>")
     missing = F.array_except(required, keys)
     unknown = F.array_except(keys, expected)
-    unread = ~F.coalesce(readable, F.lit(False))
     checks = [
-        _issue(unread & F.coalesce(repeated, F.lit(False)), "duplicate_key", F.lit("duplicate keys")),
+        _issue(~readable & repeated, "duplicate_key", F.lit("duplicate keys")),
         _issue(
-            unread & ~F.coalesce(repeated, F.lit(False)), "json",
-            F.lit("not a JSON object, or one with duplicate keys inside"),
+            ~readable & ~repeated, "json", F.lit("not a JSON object, or one with duplicate keys inside")
         ),
         _issue(F.size(missing) > 0, "missing", F.concat(F.lit("missing fields: "), _names(missing))),
         _issue(F.size(unknown) > 0, "unknown", F.concat(F.lit("unknown fields: "), _names(unknown))),
@@ -73,4 +76,4 @@ def object_issues(text: Column, fields: Sequence[Field]) -> Column:
         allowed = _TYPES[field.kind] + ("|VOID" if field.nullable else "")
         wrong = found.isNotNull() & ~found.rlike(rf"\A(?:{allowed})\z")
         checks.append(_issue(wrong, "type", F.lit(f"{field.name} must be of type {field.kind}")))
-    return F.array_compact(F.array(*checks))
+    return F.array(*checks)
