@@ -40,7 +40,7 @@ SELECT model_key, arg_max(model, seq) AS model,
   coalesce(arg_max(CASE WHEN event = 'sample_started' THEN sample_id ELSE '' END, seq) FILTER (event <> 'task_started'), '') AS active_sample,
   coalesce(arg_max(CASE WHEN event = 'task_started' THEN '' ELSE error_code END, seq) FILTER (event = 'task_started' OR error_code IS NOT NULL), '') AS failure_code,
   coalesce(arg_max(CASE WHEN event = 'task_started' THEN '' ELSE message END, seq) FILTER (event = 'task_started' OR message IS NOT NULL), '') AS failure_message,
-  greatest(0, arg_max(ts, seq) - arg_min(ts, seq) FILTER (event = 'task_started')) AS elapsed_seconds
+  CASE WHEN bool_or(event = 'task_started') THEN greatest(0, arg_max(ts, seq) - arg_min(ts, seq) FILTER (event = 'task_started')) END AS elapsed_seconds
 FROM run_events GROUP BY model_key
 """
 
@@ -89,7 +89,7 @@ def suite_status(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "t5_model_elapsed",
     sql_rounded(
-        "SELECT model_key, greatest(0, arg_max(ts, seq) - arg_min(ts, seq) FILTER (event = 'task_started')) AS elapsed_seconds FROM run_events GROUP BY model_key",
+        "SELECT model_key, CASE WHEN bool_or(event = 'task_started') THEN greatest(0, arg_max(ts, seq) - arg_min(ts, seq) FILTER (event = 'task_started')) END AS elapsed_seconds FROM run_events GROUP BY model_key",
         3, "elapsed_seconds",
     ),
     ("run_events",),

@@ -107,7 +107,9 @@ def model_progress(events: DataFrame) -> DataFrame:
     return folded.withColumns(
         {
             "phase": F.when((C("_phase") == "queued") & began, "preflight").otherwise(C("_phase")),
-            "elapsed_seconds": F.greatest(F.lit(0.0), C("_latest") - C("_started")),
+            "elapsed_seconds": F.when(
+                C("_started").isNotNull(), F.greatest(F.lit(0.0), C("_latest") - C("_started"))
+            ),
         }
     ).drop("_phase", "_phase_seq", "_task_seq", "_started", "_latest")
 
