@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 from corpusbench.functions.text import normalize_text
 
+_BANDED_ROWS = 4096
+_KEPT_BITS = 1 << 26
 COUNTS = T.StructType([T.StructField(name, T.LongType()) for name in ("s", "d", "i", "n")])
 
 
@@ -39,16 +41,49 @@ def align(reference: Sequence[Hashable], hypothesis: Sequence[Hashable]) -> tupl
 
 
 def _trace(ref: Sequence[Hashable], hyp: Sequence[Hashable]) -> tuple[int, int, int]:
-    rows = len(ref)
-    full = (1 << rows) - 1
+    """Counts of the differing middle.
+
+    Long pairs are aligned in a window around the diagonal.  A path of cost c strays at most
+    (c + length difference) / 2 from it, so a window that wide holds every path as good as the one
+    found and the counts are exact; else the window is widened to what that path asks for.
+    """
+    rows, apart = len(ref), abs(len(ref) - len(hyp))
+    half = apart + max(rows, len(hyp)) // 24 + 1
+    while rows > _BANDED_ROWS and 2 * half + 1 < rows:
+        needed, counts = _trace_window(ref, hyp, 2 * half + 1)
+        if counts is not None:
+            return counts
+        half = needed
+    return _trace_window(ref, hyp, rows)[1]
+
+
+def _trace_window(
+    ref: Sequence[Hashable], hyp: Sequence[Hashable], width: int
+) -> tuple[int, tuple[int, int, int] | None]:
+    """(half width needed, counts): a shortest path in a window of ``width`` rows, if wide enough."""
+    rows, last = len(ref), len(hyp)
+    full, half = (1 << width) - 1, (width - 1) // 2
     where: dict[Hashable, int] = {}
     for index, token in enumerate(ref):
         where[token] = where.get(token, 0) | (1 << index)
 
-    def columns(first: int, last: int, plus: int, minus: int) -> Iterator[tuple[int, int, int, int]]:
-        """Per hypothesis token: cells equal to their diagonal neighbour, and the vertical steps."""
-        for token in hyp[first:last]:
-            match = where.get(token, 0)
+    def base(column: int) -> int:
+        """Rows above the window at a column."""
+        return min(max(0, column - half - 1), rows - width)
+
+    def columns(first: int, stop: int, plus: int, minus: int) -> Iterator[tuple[int, int, int, int]]:
+        """Per hypothesis token: matches, cells equal to their diagonal neighbour, vertical steps."""
+        origin, top = base(first), base(first)
+        reach = (1 << (width + stop - first)) - 1
+        near: dict[Hashable, int] = {}
+        for column in range(first + 1, stop + 1):
+            token = hyp[column - 1]
+            if token not in near:
+                near[token] = (where.get(token, 0) >> origin) & reach
+            if base(column) > top:
+                top += 1
+                plus, minus = (plus >> 1) | (1 << (width - 1)), minus >> 1
+            match = (near[token] >> (top - origin)) & full
             equal = ((((match & plus) + plus) ^ plus) | match | minus) & full
             right_up = minus | (full & ~(equal | plus))
             right_down = plus & equal
@@ -58,24 +93,38 @@ def _trace(ref: Sequence[Hashable], hyp: Sequence[Hashable]) -> tuple[int, int,
             plus = right_down | (full & ~(equal | right_up))
             yield match, equal, plus, minus
 
-    size = max(1, isqrt(len(hyp)))
+    # short pairs keep every column; long ones keep some and recompute the rest block by block
+    whole = width == rows
+    size = last if whole and width * last <= _KEPT_BITS else max(1, isqrt(last))
     states = [(full, 0)]
-    plus, minus = full, 0
-    for first in range(0, len(hyp), size):
-        for _, _, plus, minus in columns(first, min(first + size, len(hyp)), plus, minus):
-            pass
-        states.append((plus, minus))
-
-    row, column = rows, len(hyp)
+    needed = 0
+    if not whole or size < last:
+        above = 0  # distance in the row above the window
+        for first in range(0, last, size):
+            stop = min(first + size, last)
+            before_plus, before_minus = states[-1]
+            for column, (_, _, plus, minus) in enumerate(columns(first, stop, *states[-1]), first + 1):
+                if base(column) > base(column - 1):
+                    above += (before_plus & 1) - (before_minus & 1)
+                above += 1
+                before_plus, before_minus = plus, minus
+            states.append((plus, minus))
+        plus, minus = states.pop()
+        distance = above + plus.bit_count() - minus.bit_count()
+        needed = (distance + abs(rows - last)) // 2 + 1
+        if not whole and needed > half:
+            return needed, None
+
+    row, column = rows, last
     s = d = i = 0
-    for block in range((len(hyp) - 1) // size, -1, -1):
+    for block in range(len(states) - 1, -1, -1):
         if row == 0:
             break
         first = block * size
-        kept = list(columns(first, min(first + size, len(hyp)), *states[block]))
+        kept = list(columns(first, min(first + size, last), *states[block]))
         while row and column > first:
             match, equal, plus, _ = kept[column - first - 1]
-            bit = row - 1
+            bit = row - 1 - base(column)
             if match >> bit & 1:
                 row, column = row - 1, column - 1
             elif not equal >> bit & 1:
@@ -84,7 +133,7 @@ def _trace(ref: Sequence[Hashable], hyp: Sequence[Hashable]) -> tuple[int, int,
                 d, row = d + 1, row - 1
             else:
                 i, column = i + 1, column - 1
-    return s, d + row, i + column
+    return needed, (s, d + row, i + column)
 
 
 def _frame(pairs: Iterator[tuple[object, object]]) -> pd.DataFrame:

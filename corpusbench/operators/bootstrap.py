@@ -21,9 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusbench.operators.scoring import (
-    COUNT_COLUMNS, compute_partitions, count_sums, group_counts,
-)
+from corpusbench.operators.scoring import COUNT_COLUMNS, count_sums, group_counts
+from corpusbench.operators.spread import compute_partitions
 
 REFERENCE_DRAW_LIMIT = 50_000_000
 _TOO_FEW = "At least two independent non-silence groups are required"

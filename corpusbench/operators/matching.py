@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusbench.functions.classify import PARTIAL_MARKERS, content_kind
 from corpusbench.functions.text import ascii_tokens, ascii_words, poem_tokens
-from corpusbench.operators.spread import DEFAULT_SALTS, spread_join
+from corpusbench.operators.spread import DEFAULT_SALTS, compute_partitions, spread_join
 
 C = F.col
 
@@ -404,32 +404,39 @@ def open_catalog_pairs(
 ) -> DataFrame:
     """All (source_key, candidate_key) whose title coverage reaches the threshold, with no search.
 
-    A candidate that covers k of a title's n tokens shares at least one of the title's n - k + 1
-    rarest tokens, so only those are used to find pairs: exact, and the most frequent tokens are not
-    joined on.  Each pair is then verified on the full token sets.
+    A candidate that covers k of a title's n tokens shares at least m of the title's n - k + m
+    rarest tokens (m = min(k, 3)), so only those are used to find pairs: exact, and the most
+    frequent tokens are not joined on.  Each pair is then verified on the full token sets.
 
     ``catalog``: source_key, title.  ``candidates``: candidate_key, title.
     """
     _unit(minimum_coverage, "minimum_coverage", zero=False)
     titles = catalog.select("source_key", ascii_tokens(C("title")).alias("expected"))
-    bags = candidates.select("candidate_key", ascii_tokens(C("title")).alias("actual"))
+    # one shuffle of the token sets serves all three uses below; an outer explode keeps Spark from
+    # testing the sets, and so computing them, before that shuffle
+    keyed = candidates.where("candidate_key IS NOT NULL")
+    bags = keyed.select("candidate_key", ascii_tokens(C("title")).alias("actual")).repartition(
+        compute_partitions(candidates.sparkSession), "candidate_key"
+    )
     words = titles.select("source_key", F.size("expected").alias("n"), F.explode("expected").alias("token"))
-    held = bags.select("candidate_key", F.explode("actual").alias("token"))
+    held = bags.select("candidate_key", F.explode_outer("actual").alias("token"))
     # partial counts per task, then one row per token
-    frequency = held.groupBy("token").agg(F.count("*").alias("frequency"))
-    rarity = W.partitionBy("source_key").orderBy(
-        F.coalesce("frequency", F.lit(0)), "token"
-    )
+    frequency = held.groupBy("token").agg(F.count("candidate_key").alias("frequency"))
+    rarity = W.partitionBy("source_key").orderBy(F.coalesce("frequency", F.lit(0)), "token")
     needed = F.ceil(F.lit(minimum_coverage) * C("n") - F.lit(1e-9))
     probes = (
         words.join(frequency, "token", "left")
-        .withColumn("place", F.row_number().over(rarity))
-        .where(C("place") <= C("n") - needed + 1)
-        .select("source_key", "token")
+        .withColumns({"place": F.row_number().over(rarity), "least": F.least(needed, F.lit(3))})
+        .where(C("place") <= C("n") - needed + C("least"))
+        .select("source_key", "token", "least")
+    )
+    met = _meet(held, probes, salts)
+    pairs = met.groupBy("source_key", "candidate_key").agg(
+        F.count("*").alias("met"), F.max("least").alias("least")
     )
-    pairs = _meet(held, probes, salts).distinct()
+    likely = pairs.where("met >= least").select("source_key", "candidate_key")
     verified = (
-        spread_join(pairs, titles, ["source_key"], "candidate_key", salts=salts)
+        spread_join(likely, titles, ["source_key"], "candidate_key", salts=salts)
         .join(bags, "candidate_key")
         .withColumn("shared", overlap(C("expected"), C("actual")))
         .withColumn("expected_tokens", F.size("expected"))
@@ -442,4 +449,4 @@ def _meet(held: DataFrame, probes: DataFrame, salts: int) -> DataFrame:
     """Candidate and title keys that meet on a token; a frequent token is split over the salts."""
     salted = held.withColumn("_salt", F.pmod(F.xxhash64("candidate_key"), F.lit(salts)).cast("int"))
     copies = probes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, ["token", "_salt"]).select("source_key", "candidate_key")
+    return salted.join(copies, ["token", "_salt"]).select("source_key", "candidate_key", "least")

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusbench.functions.alignment import character_edit_counts, word_edit_counts
 from corpusbench.functions.text import normalize_text
+from corpusbench.operators.spread import compute_partitions
 
 COUNT_COLUMNS = tuple(f"{unit}_{kind}" for unit in ("w", "c") for kind in ("s", "d", "i", "n"))
 
@@ -35,12 +36,6 @@ def count_sums(prefix: str = "") -> list[Column]:
     ]
 
 
-def compute_partitions(spark: SparkSession) -> int:
-    """Partitions for work that is heavy per row, where byte-sized splits would be too coarse."""
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle, spark.sparkContext.defaultParallelism)
-
-
 def classify_coverage(references: DataFrame, recognitions: DataFrame) -> DataFrame:
     """Every reference with its recognition and a class: scored, failed or missing.
 

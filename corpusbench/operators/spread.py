@@ -1,16 +1,28 @@
-"""Joins on keys that may hold a large share of all rows."""
+"""Spreading work: hot join keys and inputs that come in too few pieces."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 16
+_FEW = 4
 _SALT = "_salt"
 
 
+def below_broadcast_threshold(df: DataFrame) -> bool:
+    """Whether Spark's size estimate lets it broadcast this side of a join."""
+    setting = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        limit = int(setting.rstrip("bB"))
+    except ValueError:
+        return False  # a unit we do not read: spread to be safe
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) <= limit
+
+
 def spread_join(
     facts: DataFrame,
     keyed: DataFrame,
@@ -23,13 +35,31 @@ def spread_join(
     """Join many rows per key to one row per key without giving a key to a single task.
 
     ``facts`` rows of one key go to ``salts`` partitions by a hash of ``spread_by``; the keyed side
-    is repeated once per salt.  Where the keyed side is small, Spark broadcasts it and nothing moves.
+    is repeated once per salt.  A keyed side below Spark's broadcast threshold needs no salt: Spark
+    broadcasts it and no row of ``facts`` moves.
     """
     if how not in ("inner", "left"):
         raise ValueError("a spread join keeps the many-row side: use inner or left")
-    if salts <= 1:
+    if salts <= 1 or below_broadcast_threshold(keyed):
         return facts.join(keyed, list(on), how)
     salted = facts.withColumn(_SALT, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     repeated = keyed.withColumn(_SALT, copies)
     return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
+
+
+def compute_partitions(spark: SparkSession) -> int:
+    """Partitions for work that is heavy per row, where byte-sized splits would be too coarse."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffle, spark.sparkContext.defaultParallelism)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread an input of fewer pieces than a few per core, such as one small file, over all cores.
+
+    Large inputs already have more pieces than that and are left where they are.
+    """
+    context = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() >= _FEW * context.defaultParallelism:
+        return df
+    return df.repartition(compute_partitions(df.sparkSession))

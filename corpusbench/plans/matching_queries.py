@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusbench.functions.text import ascii_tokens
 from corpusbench.operators import matching as m
 from corpusbench.plans import views as v
-from corpusbench.plans.registry import VIEWS, query, table
+from corpusbench.plans.registry import VIEWS, query, spread_table, table
 
 C = F.col
 
@@ -161,7 +161,7 @@ FROM shared JOIN titles USING (source_key) WHERE shared::DOUBLE / len(e) >= 0.5
 )
 def open_catalog(spark: SparkSession, sf: str) -> DataFrame:
     titles = table(spark, sf, "benchmark").select(C("item_id").alias("source_key"), C("text").alias("title"))
-    bodies = table(spark, sf, "documents").select(C("doc_id").alias("candidate_key"), C("text").alias("title"))
+    bodies = spread_table(spark, sf, "documents", "doc_id", "text").select(C("doc_id").alias("candidate_key"), C("text").alias("title"))
     return m.open_catalog_pairs(titles, bodies)
 
 

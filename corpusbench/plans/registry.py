@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusbench.operators.spread import spread_small
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -40,6 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Some columns of a table for work that is heavy per row."""
+    return spread_small(table(spark, sf_dir, name).select(*columns))
+
+
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     """Round doubles whose last bits depend on the order of summation or interpolation."""
     return df.withColumns({c: F.round(c, digits) for c in columns})

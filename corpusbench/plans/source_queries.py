@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusbench.operators import inference
-from corpusbench.operators.scoring import compute_partitions
+from corpusbench.operators.spread import compute_partitions
 from corpusbench.plans.registry import query, table
 from corpusbench.sources import manifests, payloads
 from corpusbench.sources.strict import Field, object_issues

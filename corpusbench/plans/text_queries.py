@@ -10,17 +10,18 @@ from corpusbench.functions.alignment import character_edit_counts, edit_counts,
 from corpusbench.functions.classify import (
     content_kind, display_duration, failure_code, http_failure, provenance,
 )
-from corpusbench.operators.scoring import classify_coverage, compute_partitions, score_utterances
+from corpusbench.operators.scoring import classify_coverage, score_utterances
+from corpusbench.operators.spread import compute_partitions
 from corpusbench.operators.suite import plan_fingerprint
 from corpusbench.plans import views as v
-from corpusbench.plans.registry import query, table
+from corpusbench.plans.registry import query, spread_table, table
 
 C = F.col
 
 
 @query("f1_normalize_text", f"SELECT doc_id, {v.sql_normalize('text')} AS normalized FROM documents")
 def normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.normalize_text(C("text")).alias("normalized"))
+    return spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", text.normalize_text(C("text")).alias("normalized"))
 
 
 @query(
@@ -32,7 +33,7 @@ FROM (SELECT doc_id, {v.sql_normalize('text')} AS t FROM documents)
 """,
 )
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", text.normalize_text(C("text")).alias("t"))
+    docs = spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", text.normalize_text(C("text")).alias("t"))
     words = docs.select("doc_id", text.split_words(C("t")).alias("w"), text.split_characters(C("t")).alias("c"))
     return words.select(
         "doc_id",
@@ -73,7 +74,7 @@ def source_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f4_normalized_identity", f"SELECT doc_id, {v.sql_identity('text')} AS identity FROM documents")
 def identity(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.normalized_identity(C("text")).alias("identity"))
+    return spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", text.normalized_identity(C("text")).alias("identity"))
 
 
 @query(
@@ -84,7 +85,7 @@ FROM (SELECT doc_id, {v.sql_ascii_tokens('text')} AS t FROM documents)
 """,
 )
 def ascii_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", text.ascii_tokens(C("text")).alias("t"))
+    docs = spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", text.ascii_tokens(C("text")).alias("t"))
     return docs.select(
         "doc_id",
         F.size("t").cast("bigint").alias("distinct_tokens"),
@@ -153,7 +154,7 @@ FROM (SELECT doc_id, {v.sql_poem_tokens('text')} AS t FROM documents)
 """,
 )
 def poem_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", text.poem_tokens(C("text")).alias("t"))
+    docs = spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", text.poem_tokens(C("text")).alias("t"))
     return docs.select(
         "doc_id",
         F.size("t").cast("bigint").alias("distinct_tokens"),
@@ -226,8 +227,7 @@ def utterances(spark: SparkSession, sf: str) -> DataFrame:
 def document_characters(spark: SparkSession, sf: str) -> DataFrame:
     """Character alignment of whole documents, up to the longest one."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    spread = docs.repartition(compute_partitions(spark), "doc_id")
-    pair = spread.select(
+    pair = docs.repartition(compute_partitions(spark), "doc_id").select(
         "doc_id",
         text.normalize_text(C("text")).alias("reference"),
         text.normalize_text(v.heard_by_first(C("text"))).alias("hypothesis"),

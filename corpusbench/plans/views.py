@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusbench.plans.registry import VIEWS, table
+from corpusbench.plans.registry import VIEWS, spread_table, table
 
 C = F.col
 
@@ -279,9 +279,9 @@ VIEWS["catalog"] = "SELECT p_partkey AS source_key, p_name AS title, p_brand AS
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as search results: a video per supplier, titled after another part."""
-    lines = table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount",
-        "l_returnflag", "l_linestatus",
+    lines = spread_table(
+        spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus",
     )
     parts = table(spark, sf, "part")
     own = parts.select(C("p_partkey").alias("l_partkey"), C("p_brand").alias("_brand"))

@@ -7,6 +7,16 @@ from corpusbench.operators.spread import spread_join
 C = F.col
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Large-table plans: nothing is below the broadcast threshold."""
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    yield
+    spark.conf.set(setting, before)
+
+
 def sources(spark, *rows):
     return spark.createDataFrame(list(rows), "source_key string, title string, author string")
 
@@ -125,7 +135,7 @@ def test_parameters_are_checked(spark):
             call()
 
 
-def test_open_catalog_equals_all_pairs(spark):
+def test_open_catalog_equals_all_pairs(spark, no_broadcast):
     import random
 
     rng = random.Random(2)
@@ -144,7 +154,7 @@ def test_open_catalog_equals_all_pairs(spark):
         assert {(r.source_key, r.candidate_key) for r in found.collect()} == expected
 
 
-def test_spread_join_keeps_every_row_of_a_hot_key(spark):
+def test_spread_join_keeps_every_row_of_a_hot_key(spark, no_broadcast):
     facts = spark.range(2000).select(F.when(C("id") < 1500, 1).otherwise(C("id")).alias("key"), "id")
     keyed = spark.createDataFrame([(1, "hot"), (1600, "cold")], "key bigint, name string")
     plain = facts.join(keyed, "key").collect()
@@ -154,7 +164,7 @@ def test_spread_join_keeps_every_row_of_a_hot_key(spark):
         spread_join(facts, keyed, ["key"], "id", how="right")
 
 
-def test_matches_do_not_depend_on_salts_or_partitions(spark):
+def test_matches_do_not_depend_on_salts_or_partitions(spark, no_broadcast):
     poem = sources(spark, *[(f"k{i}", f"verso {i} mar", "Ana Paz") for i in range(20)])
     rows = candidates(spark, *[(f"k{i % 20}", 0, i, f"v{i}", f"verso {i % 7} mar Ana", None) for i in range(400)])
     columns = ["source_key", "video_id", "score"]

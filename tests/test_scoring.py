@@ -55,6 +55,22 @@ def test_alignment_of_random_sequences():
         assert alignment.align(ref, hyp) == table_alignment(ref, hyp)
 
 
+@pytest.mark.parametrize("kept_bits", [0, 1 << 26])
+def test_windowed_alignment_is_exact(monkeypatch, kept_bits):
+    """Windows and block-wise recomputation, forced onto short sequences."""
+    monkeypatch.setattr(alignment, "_BANDED_ROWS", 0)
+    monkeypatch.setattr(alignment, "_KEPT_BITS", kept_bits)
+    rng = random.Random(19)
+    for k in range(2000):
+        letters = rng.choice(["ab", "abcd", "abcdefgh"])
+        ref = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))
+        if k % 3:
+            hyp = "".join(c if rng.random() > 0.2 else rng.choice(["", "z", c + c, "a"]) for c in ref)
+        else:
+            hyp = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))
+        assert alignment.align(ref, hyp) == table_alignment(ref, hyp)
+
+
 def test_three_forms_agree(spark):
     rng = random.Random(3)
     rows = [tuple([rng.choice("abc") for _ in range(rng.randint(0, 7))] for _ in range(2)) for _ in range(300)]
