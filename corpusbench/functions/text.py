@@ -52,12 +52,12 @@ def normalize_text(text: Column) -> Column:
 
 def split_words(normalized: Column) -> Column:
     """Words of an already normalized text; the empty text has none."""
-    return F.filter(F.split(normalized, " "), lambda w: w != "")
+    return F.array_remove(F.split(normalized, " "), "")
 
 
 def split_characters(normalized: Column) -> Column:
     """Characters of an already normalized text, spaces excluded."""
-    return F.filter(F.split(F.replace(normalized, F.lit(" "), F.lit("")), ""), lambda c: c != "")
+    return F.array_remove(F.split(F.replace(normalized, F.lit(" "), F.lit("")), ""), "")
 
 
 def word_tokens(text: Column) -> Column:

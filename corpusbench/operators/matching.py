@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from corpusbench.functions.classify import PARTIAL_MARKERS, content_kind
 from corpusbench.functions.text import ascii_tokens, ascii_words, poem_tokens
-from corpusbench.operators.spread import DEFAULT_SALTS, compute_partitions, spread_join
+from corpusbench.operators.spread import (
+    DEFAULT_SALTS, below_broadcast_threshold, compute_partitions, spread_join,
+)
 
 C = F.col
 
@@ -430,7 +432,8 @@ def open_catalog_pairs(
         .where(C("place") <= C("n") - needed + C("least"))
         .select("source_key", "token", "least")
     )
-    met = _meet(held, probes, salts)
+    # a probe row per title token: some eight times the titles' own size at most
+    met = _meet(held, probes, salts, small=below_broadcast_threshold(catalog, growth=8))
     pairs = met.groupBy("source_key", "candidate_key").agg(
         F.count("*").alias("met"), F.max("least").alias("least")
     )
@@ -445,8 +448,18 @@ def open_catalog_pairs(
     return verified.where(C("title_coverage") >= minimum_coverage).drop("expected", "actual")
 
 
-def _meet(held: DataFrame, probes: DataFrame, salts: int) -> DataFrame:
-    """Candidate and title keys that meet on a token; a frequent token is split over the salts."""
-    salted = held.withColumn("_salt", F.pmod(F.xxhash64("candidate_key"), F.lit(salts)).cast("int"))
-    copies = probes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, ["token", "_salt"]).select("source_key", "candidate_key", "least")
+def _meet(held: DataFrame, probes: DataFrame, salts: int, *, small: bool) -> DataFrame:
+    """Candidate and title keys that meet on a token.
+
+    Few probes are broadcast to the candidates' tokens.  Many are shuffled, each frequent token
+    split over the salts; the hint keeps Spark from broadcasting the exploded tokens, whose number
+    it underestimates.
+    """
+    keys = ["token"]
+    if small:
+        met = held.join(F.broadcast(probes), keys)
+    else:
+        salt = F.pmod(F.xxhash64("candidate_key"), F.lit(salts)).cast("int")
+        copies = probes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = held.withColumn("_salt", salt).join(copies.hint("shuffle_hash"), [*keys, "_salt"])
+    return met.select("source_key", "candidate_key", "least")

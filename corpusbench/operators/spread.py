@@ -12,15 +12,15 @@ _FEW = 4
 _SALT = "_salt"
 
 
-def below_broadcast_threshold(df: DataFrame) -> bool:
-    """Whether Spark's size estimate lets it broadcast this side of a join."""
+def below_broadcast_threshold(df: DataFrame, growth: int = 1) -> bool:
+    """Whether Spark's size estimate, times a growth factor, lets it broadcast this side of a join."""
     setting = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         limit = int(setting.rstrip("bB"))
     except ValueError:
         return False  # a unit we do not read: spread to be safe
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= limit
+    return int(str(estimate)) * growth <= limit
 
 
 def spread_join(
@@ -49,9 +49,12 @@ def spread_join(
 
 
 def compute_partitions(spark: SparkSession) -> int:
-    """Partitions for work that is heavy per row, where byte-sized splits would be too coarse."""
+    """Partitions for work that is heavy per row, where byte-sized splits would be too coarse.
+
+    A few per core, so that a core with a costly row leaves its other partitions to its neighbours.
+    """
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle, spark.sparkContext.defaultParallelism)
+    return max(shuffle, _FEW * spark.sparkContext.defaultParallelism)
 
 
 def spread_small(df: DataFrame) -> DataFrame:

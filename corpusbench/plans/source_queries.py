@@ -210,14 +210,21 @@ def song_details(spark: SparkSession, sf: str) -> DataFrame:
     return details.select("source_key", "title", F.get("genres", F.lit(0)).alias("genre"), "album", "error_code")
 
 
-@query("s13_page_text")
+_ADS = r"""
+SELECT page_id, nullif(regexp_replace(trim(regexp_replace(array_to_string(regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1), chr(10)), '[ \t]+', ' ', 'g'), E' \n'),
+         ' ?\n[ \n]*', chr(10), 'g'), '') AS text
+FROM pages
+"""
+
+
+@query("s13_page_text", _ADS)
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
     """Advertisement blocks of whole pages as containers."""
     pages = table(spark, sf, "pages").repartition(compute_partitions(spark), "page_id")
     return pages.select("page_id", payloads.container_text(C("html"), attribute="class", value="ad").alias("text"))
 
 
-@query("s13_page_text_compat")
+@query("s13_page_text_compat", _ADS)
 def page_text_compat(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").repartition(compute_partitions(spark), "page_id")
     text = payloads.container_text(C("html"), attribute="class", value="ad", void_elements="compat")

@@ -154,6 +154,13 @@ def test_open_catalog_equals_all_pairs(spark, no_broadcast):
         assert {(r.source_key, r.candidate_key) for r in found.collect()} == expected
 
 
+def test_open_catalog_with_a_broadcast_side(spark):
+    catalog = spark.createDataFrame([(1, "uno dos tres"), (2, "")], "source_key int, title string")
+    bodies = spark.createDataFrame([(5, "dos uno"), (6, "tres"), (7, "")], "candidate_key int, title string")
+    found = matching.open_catalog_pairs(catalog, bodies).collect()
+    assert [(r.source_key, r.candidate_key, r.shared, r.expected_tokens) for r in found] == [(1, 5, 2, 3)]
+
+
 def test_spread_join_keeps_every_row_of_a_hot_key(spark, no_broadcast):
     facts = spark.range(2000).select(F.when(C("id") < 1500, 1).otherwise(C("id")).alias("key"), "id")
     keyed = spark.createDataFrame([(1, "hot"), (1600, "cold")], "key bigint, name string")

@@ -207,3 +207,32 @@ def test_failed_load_closes_and_fails_every_row(spark, tmp_path):
     found = inference.transcribe(rows, lambda: Backend(log, "load"), partitions=1).collect()
     assert {r.failure.stage for r in found} == {"load"} and len(found) == 2
     assert open(log).read().split() == ["load", "close"]
+
+
+def test_ledger_reads_the_last_valid_rows(spark, tmp_path):
+    from corpusbench.sources import ledgers
+
+    spec, path = ledgers.suite_ledger(), str(tmp_path / "ledger")
+    write = ledgers.ledger_writer(path, spec.keys)
+
+    def batch(*rows):
+        schema = spec.schema.rsplit(", written", 1)[0]
+        return spark.createDataFrame([(*r, None, 1, 1, 0, None, None) for r in rows], schema)
+
+    write(batch(("d", "a", "running", 1), ("d", "b", "complete", 1)), 0)
+    write(batch(("d", "a", "complete", 1), ("d", "c", "odd", 1)), 1)
+    write(batch(("d", "a", "complete", 1), ("d", "c", "odd", 1)), 1)  # the same batch again
+    valid, broken = ledgers.read_ledger(spark, path, spec)
+    assert sorted((r.preset_id, r.status, r.written) for r in valid.collect()) == [("a", "complete", 1), ("b", "complete", 0)]
+    assert [(r.preset_id, r.rule) for r in broken.collect()] == [("c", "status")]
+    assert spark.read.parquet(path).count() == 4
+    with pytest.raises(Exception, match="without a key"):
+        write(batch(("d", None, "complete", 1)), 2)
+
+
+def test_ledger_schemas_fit_their_rules(spark):
+    from corpusbench.sources import ledgers
+
+    for spec in (ledgers.book_ledger(), ledgers.poem_ledger(), ledgers.lyrics_ledger(), ledgers.media_ledger(), ledgers.suite_ledger()):
+        empty = spark.createDataFrame([], spec.schema)
+        assert ledgers.current_rows(empty, spec).violations.count() == 0
