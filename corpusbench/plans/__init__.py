@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = (  # noqa
+_MODULES = (
     "text_queries", "matching_queries", "scoring_queries", "contract_queries", "ledger_queries",
     "source_queries", "stream_queries",
 )

@@ -128,9 +128,6 @@ def content_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(C("text").cast("binary"), 256).alias("sha256"))
 
 
-_SECONDS = "CAST(l_quantity AS INTEGER)"
-
-
 @query(
     "s10_search_rows",
     """
