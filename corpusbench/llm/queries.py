@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusbench.llm import suffixes, superkmers
+from corpusbench.llm import packing, suffixes, superkmers, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,3 +40,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op2_bpe")
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    definition = tokens.tokenizer_json(public_tokenizers.path("byte_bpe_50k.json"))
+    out = tokens.decode(tokens.encode(table(spark, sf_dir, "documents"), definition), definition)
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    definition = tokens.tokenizer_json(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), definition)
