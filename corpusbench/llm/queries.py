@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusbench.llm import packing, suffixes, superkmers, tokens
+from corpusbench.llm import language, packing, suffixes, superkmers, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,3 +53,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     definition = tokens.tokenizer_json(public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack_documents(table(spark, sf_dir, "documents"), definition)
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language.learn_profiles(docs.where(~language.held_out()))
+    told = language.predict(docs.select("doc_id", "text"), profiles)
+    return told.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")

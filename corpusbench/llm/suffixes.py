@@ -47,7 +47,7 @@ def remove_repeated_bytes(
     )
     parts = docs.select("k1", "t1", "text").mapInArrow(lambda it: _runs(it, shape), windows.RUN_SCHEMA)
     # Settled runs need no partner: they are dealt by their text, not by their minimiser.
-    bucket = F.when(F.col("kind") == windows.KNOWN, F.xxhash64("t1", "start")).otherwise(F.col("h"))
+    bucket = F.when(F.expr("at & 3") == windows.KNOWN, F.xxhash64("t1", "at")).otherwise(F.col("h"))
     dealt = parts.repartition(bucket).sortWithinPartitions("h", "f", "k1")
     found = stage_table(
         dealt.mapInArrow(lambda it: windows.match_runs(it, True), windows.MATCH_SCHEMA), "byte-runs"

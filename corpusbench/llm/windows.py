@@ -20,7 +20,7 @@ POSITIONS = 1 << 20
 _PLACE = np.uint64(POSITIONS * 2 - 1)
 TO_MATCH, KNOWN, TO_MATCH_KNOWN = 0, 1, 2
 
-RUN_SCHEMA = "k1 long, t1 long, h long, f long, start int, n int, kind int"
+RUN_SCHEMA = "k1 long, t1 long, h long, f long, at long"  # at: start, windows and kind in one number
 MATCH_SCHEMA = "k1 long, t1 long, h long, start int, n int, kind int"
 
 
@@ -75,23 +75,22 @@ def run_batch(
     if not columns:
         return None
     text, start, n, h, f = (np.concatenate(c) for c in zip(*columns, strict=True))
-    ids, keys = k1[text], t1[text]
+    ids = k1[text]
     order = np.lexsort((ids, f)) if smaller else np.argsort(f, kind="stable")
-    text, start, n, h, f, ids, keys = (c[order] for c in (text, start, n, h, f, ids, keys))
     new = np.ones(len(f), bool)
-    new[1:] = f[1:] != f[:-1]
+    new[1:] = np.diff(f[order]) != 0
     group = np.cumsum(new) - 1
     if smaller:
-        kind = np.where(ids > ids[new][group], KNOWN, TO_MATCH)
+        kinds = np.where(ids[order] > ids[order][new][group], KNOWN, TO_MATCH)
     else:
         many = np.bincount(group) > 1
-        kind = np.where(new, np.where(many[group], TO_MATCH_KNOWN, TO_MATCH), KNOWN)
+        kinds = np.where(new, np.where(many[group], TO_MATCH_KNOWN, TO_MATCH), KNOWN)
+    kind = np.empty(len(f), np.int64)
+    kind[order] = kinds
+    at = (start << 16) | (n << 2) | kind  # rows stay in the order of their texts, which compresses well
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(ids), pa.array(keys), pa.array(signed(h)), pa.array(signed(f)),
-            pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(kind.astype(np.int32)),
-        ],
-        ["k1", "t1", "h", "f", "start", "n", "kind"],
+        [pa.array(ids), pa.array(t1[text]), pa.array(signed(h)), pa.array(signed(f)), pa.array(at)],
+        ["k1", "t1", "h", "f", "at"],
     )
 
 
@@ -103,7 +102,7 @@ def match_runs(batches: Iterator[pa.RecordBatch], smaller: bool) -> Iterator[pa.
     Between batches only three rows are held: the first of the minimiser, the first of the equal
     runs, and the last one.
     """
-    names = ["k1", "t1", "h", "f", "start", "n", "kind"]
+    names = ["k1", "t1", "h", "f", "at"]
     held: dict[str, np.ndarray] = {}
     told_repeat, told_window = np.zeros(0, bool), np.zeros(0, bool)
 
@@ -120,21 +119,24 @@ def match_runs(batches: Iterator[pa.RecordBatch], smaller: bool) -> Iterator[pa.
             repeat = ids > ids[new_f][f_of]
             window = (several & new_f) | (~new_f & ~repeat)
         else:
-            repeat = (np.bincount(f_of) > 1)[f_of] | (columns["kind"] == TO_MATCH_KNOWN)
+            repeat = (np.bincount(f_of) > 1)[f_of] | ((columns["at"] & 3 == TO_MATCH_KNOWN))
             window = several & new_f
         out = [repeat & ~repeat_done, window & ~window_done]
         tail = np.unique([np.flatnonzero(new_h)[-1], np.flatnonzero(new_f)[-1], size - 1])
         return out, tail, repeat | repeat_done, window | window_done
 
     def rows(columns, kept, kind):
-        arrays = [pa.array(columns[c][kept]) for c in ("k1", "t1", "h", "start", "n")]
+        at = columns["at"][kept]
+        arrays = [columns[c][kept] for c in ("k1", "t1", "h")]
+        numbers = [at >> 16, (at >> 2) & 0x3FFF, np.full(len(at), kind)]
         return pa.RecordBatch.from_arrays(
-            [*arrays, pa.array(np.full(int(kept.sum()), kind, np.int32))], ["k1", "t1", "h", "start", "n", "kind"]
+            [pa.array(x) for x in (*arrays, *(x.astype(np.int32) for x in numbers))],
+            ["k1", "t1", "h", "start", "n", "kind"],
         )
 
     for batch in batches:
         columns = {c: batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in names}
-        passed = columns["kind"] == KNOWN
+        passed = columns["at"] & 3 == KNOWN
         if passed.any():
             yield rows(columns, passed, KNOWN)
             columns = {c: v[~passed] for c, v in columns.items()}
