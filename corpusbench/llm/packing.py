@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -13,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusbench.llm.common import gapless_rank, stage_table, text_blocks, without_nulls
-from corpusbench.llm.tokens import FragmentEncoder, white_space_cuts
+from corpusbench.llm.tokens import FragmentEncoder, pairs_inside, white_space_cuts
 
 WINDOW, END_ID, UNITS = 4096, 2, 256
-_BLOCK = 8 << 20
+_BLOCK = 4 << 20
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -51,10 +52,11 @@ def _pieces(
     batches: Iterator[pa.RecordBatch], definition: str, window: int, end_id: int, with_ids: bool
 ) -> Iterator[pa.RecordBatch]:
     encoder = FragmentEncoder(definition)
+    inside = pairs_inside([t["content"].encode() for t in json.loads(definition)["added_tokens"]])
     for batch in batches:
         names = batch.column(0).to_pylist()
         for first, raw, offsets in text_blocks(without_nulls(batch, "text"), _BLOCK):
-            cuts = white_space_cuts(raw, offsets)
+            cuts = white_space_cuts(raw, offsets, inside)
             ids, before = encoder.encode(raw, cuts)
             bounds = before[np.searchsorted(cuts, offsets)]
             rows = []

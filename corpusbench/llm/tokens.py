@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -14,8 +16,11 @@ from pyspark.sql import functions as F
 
 from corpusbench.llm.common import ranges_of, text_blocks, without_nulls
 
-_BLOCK = 8 << 20
-_SLICE = 20_000
+_BLOCK = 4 << 20
+_SLICE, _KNOWN = 5_000, 500_000
+_CODES = np.arange(256)
+_LETTERS = ((_CODES >= 65) & (_CODES <= 90)) | ((_CODES >= 97) & (_CODES <= 122))
+_PUNCTUATION = (_CODES > 32) & (_CODES < 127) & ~_LETTERS & ~((_CODES >= 48) & (_CODES <= 57)) & (_CODES != 39)
 
 
 def tokenizer_json(path: str | Path) -> str:
@@ -56,10 +61,10 @@ def forced_cuts(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> np.
     """Places where no token can reach across and the pre-tokenizer cuts too, with the texts' own bounds.
 
     Bytes that never stand side by side inside a token can't be merged across.  The pre-tokenizer
-    looks at characters, so of those places only the ones between a character that is no white space
-    and ASCII white space are taken: none of its patterns crosses them, and those behind the cut
-    look only forward.  Characters of three or more bytes, and those of lead byte C2, may be white
-    space and are left alone.
+    looks at characters, so only two kinds of those places are taken: between a character that is no
+    white space and ASCII white space, and between an ASCII letter and ASCII punctuation other than
+    the apostrophe.  None of its patterns crosses them, and those behind the cut look only forward.
+    Characters of three or more bytes, and those of lead byte C2, may be white space and are left alone.
     """
     if len(raw) < 2:
         return np.unique(offsets)
@@ -69,25 +74,58 @@ def forced_cuts(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> np.
     at = np.flatnonzero(space & solid)
     lead = raw[np.maximum(at - 1, 0)]
     certain = (raw[at] < 0x80) | ((lead >= 0xC3) & (lead <= 0xDF))
-    at = at[certain & ~inside[raw[at].astype(np.int64) * 256 + raw[at + 1]]] + 1
-    return np.union1d(at, offsets)
+    at = np.concatenate([at[certain], np.flatnonzero(_LETTERS[left] & _PUNCTUATION[right])])
+    at = at[~inside[raw[at].astype(np.int64) * 256 + raw[at + 1]]] + 1
+    return _places(len(raw), at, offsets)
 
 
-def white_space_cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places before ASCII white space that follows anything else, for vocabularies that drop white space."""
+def white_space_cuts(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The same for vocabularies that drop white space and never join letters to punctuation.
+
+    ``inside`` has the byte pairs of the added tokens, which are found before anything is cut.
+    """
     gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    return np.union1d(np.flatnonzero(gap[1:] & ~gap[:-1]) + 1, offsets)
+    at = np.flatnonzero((gap[1:] & ~gap[:-1]) | (_LETTERS[raw[:-1]] & _PUNCTUATION[raw[1:]]))
+    at = at[~inside[raw[at].astype(np.int64) * 256 + raw[at + 1]]] + 1
+    return _places(len(raw), at, offsets)
+
+
+def _places(size: int, *places: np.ndarray) -> np.ndarray:
+    marked = np.zeros(size + 1, bool)
+    for at in places:
+        marked[at] = True
+    return np.flatnonzero(marked)
 
 
 class FragmentEncoder:
-    """Encodes the distinct fragments of a block once and puts the ids together again."""
+    """Encodes each distinct fragment once, keeps up to ``_KNOWN`` of them, and puts the ids together again."""
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.starts, self.flat = array("q", [0]), array("I")
+
+    def _numbers(self, fragments: list[str]) -> np.ndarray:
+        """The number under which each fragment's ids are kept."""
+        if len(self.known) > _KNOWN:
+            self._forget()
+        known = self.known
+        new = [f for f in fragments if f not in known]
+        for low in range(0, len(new), _SLICE):
+            part = new[low : low + _SLICE]
+            for fragment, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[fragment] = len(known)
+                self.flat.extend(encoded.ids)
+                self.starts.append(len(self.flat))
+        return np.fromiter((known[f] for f in fragments), np.int64, len(fragments))
 
     def encode(self, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the fragments between the cuts, and the number of ids before each cut."""
@@ -96,18 +134,11 @@ class FragmentEncoder:
         texts = pa.Array.from_buffers(
             pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)]
         ).dictionary_encode()
-        own, lengths = [], []
-        for low in range(0, len(texts.dictionary), _SLICE):
-            part = texts.dictionary.slice(low, _SLICE).to_pylist()
-            for encoded in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
-                ids = encoded.ids
-                lengths.append(len(ids))
-                own.extend(ids)
-        flat, lengths = np.array(own, np.uint32), np.array(lengths, np.int64)
-        starts = np.cumsum(lengths) - lengths
-        which = texts.indices.to_numpy()
-        counts = lengths[which]
-        return flat[ranges_of(starts[which], counts)], np.concatenate([[0], np.cumsum(counts)])
+        which = self._numbers(texts.dictionary.to_pylist())[texts.indices.to_numpy()]
+        starts = np.array(self.starts, np.int64)
+        counts = starts[which + 1] - starts[which]
+        ids = np.array(self.flat, np.uint32)[ranges_of(starts[which], counts)]
+        return ids, np.concatenate([[0], np.cumsum(counts)])
 
 
 def encode(

@@ -39,6 +39,9 @@ def test_encode_and_decode(spark, definition):
     assert sorted(found, key=brute.sort_key) == sorted(expected, key=brute.sort_key)
 
 
+_KEPT = {}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab ' \n\té 　.1s<|"), max_size=30), min_size=1, max_size=4))
 def test_fragments_encode_as_whole_texts(texts):
@@ -47,17 +50,13 @@ def test_fragments_encode_as_whole_texts(texts):
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
     cuts = tokens.forced_cuts(raw, offsets, _inside(definition))
-    encoder = tokens.FragmentEncoder.__new__(tokens.FragmentEncoder)
-    encoder.tokenizer = library
+    encoder = _KEPT.setdefault("encoder", tokens.FragmentEncoder(definition))
     ids, before = encoder.encode(raw, cuts)
     bounds = before[np.searchsorted(cuts, offsets)]
     for text, low, high in zip(texts, bounds[:-1], bounds[1:], strict=True):
         assert ids[low:high].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
-_KEPT = {}
-
-
 def _inside(definition):
     if "inside" not in _KEPT:
         _KEPT["inside"] = tokens.pairs_inside(tokens.token_bytes(json.loads(definition)))
