@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusbench.llm import language, packing, suffixes, superkmers, tokens
+from corpusbench.llm import hyperminhash, language, packing, quality, suffixes, superkmers, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,3 +61,56 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = language.learn_profiles(docs.where(~language.held_out()))
     told = language.predict(docs.select("doc_id", "text"), profiles)
     return told.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+_QUALITY_SQL = r"""
+WITH base AS (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT row_id, w, i FROM (
+    SELECT row_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+    FROM (SELECT row_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM base)
+  )
+), windows AS (
+  SELECT row_id, i, w AS a, lead(w) OVER p AS b, lead(w, 2) OVER p AS c FROM words
+  WINDOW p AS (PARTITION BY row_id ORDER BY i)
+), repeated AS (
+  SELECT row_id, i FROM windows WHERE c IS NOT NULL
+  QUALIFY count(*) OVER (PARTITION BY row_id, a, b, c) > 1
+), covered AS (
+  SELECT row_id, count(DISTINCT i + k) AS n_repeat_words
+  FROM repeated CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) GROUP BY row_id
+), lines AS (
+  SELECT row_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM base)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row_id
+), measured AS (
+  SELECT doc_id,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM base LEFT JOIN covered USING (row_id) LEFT JOIN lines USING (row_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
+    OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+FROM measured
+"""
+
+
+@query("op9_quality_rules", _QUALITY_SQL)
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return entries.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality.passes(quality.POLICIES["base"])).alias("base_failed"),
+        quality.passes(quality.POLICIES[quality.CURRENT]).alias("kept"),
+    )
+
+
+@query("op10_minhash_near_dedup")
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpusbench.llm.common import ranges_of, text_blocks, without_nulls
 
 _BLOCK = 4 << 20
-_SLICE, _KNOWN = 5_000, 500_000
+_SLICE, _KNOWN = 5_000, 1_000_000
 _CODES = np.arange(256)
 _LETTERS = ((_CODES >= 65) & (_CODES <= 90)) | ((_CODES >= 97) & (_CODES <= 122))
 _PUNCTUATION = (_CODES > 32) & (_CODES < 127) & ~_LETTERS & ~((_CODES >= 48) & (_CODES <= 57)) & (_CODES != 39)
@@ -125,7 +125,7 @@ class FragmentEncoder:
                 known[fragment] = len(known)
                 self.flat.extend(encoded.ids)
                 self.starts.append(len(self.flat))
-        return np.fromiter((known[f] for f in fragments), np.int64, len(fragments))
+        return np.array([*map(known.__getitem__, fragments)], np.int64)
 
     def encode(self, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the fragments between the cuts, and the number of ids before each cut."""
