@@ -15,8 +15,9 @@ from corpusbench.llm.common import (
 )
 
 WORDS, PERCENT = 5, 85
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 64, 10
 REGISTERS = BANDS * ROWS
+COMPARED = 192  # registers an estimate is made from
 MANTISSA = 20
 BLOCK = 512
 _MARGIN = 6.0  # standard deviations below the threshold at which an estimate still goes to verification
@@ -34,8 +35,9 @@ def near_duplicates(
 
     1. Equal sets are linked to the smallest id that has them; only that one goes on.
     2. A shingle's hash picks a register; the register keeps the least remaining hash as its count of
-       leading zeros and 20 bits behind them.  Bands of six registers collide for similar sets: at a
-       similarity of 0.85 all 32 bands miss three times in ten million.
+       leading zeros and 20 bits behind them.  Empty registers borrow from others, so that two
+       registers are equal as often as their sets are similar whatever the sets' sizes.  Bands of ten
+       registers collide for similar sets: at a similarity of 0.85 all 64 bands miss once in a million.
     3. Documents of one band value are tied to the smallest of them (a star, not all pairs); what is
        tied together is compared inside its group, in pairs of blocks of at most 512 documents where
        the group is larger.  An estimate from the registers, corrected for chance collisions, comes
@@ -47,7 +49,7 @@ def near_duplicates(
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed_docs = docs.mapInArrow(
-        lambda it: _sign(it, words), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
+        lambda it: _sign(it, words, percent), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
     )
     signs = stage_table(signed_docs, "shingle-signs")
     able = signs.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -124,38 +126,67 @@ def shingle_sets(
     return value, np.searchsorted(owner, np.arange(len(counts) + 1))
 
 
-def registers_of(value: np.ndarray, before: np.ndarray) -> np.ndarray:
+def registers_of(value: np.ndarray, before: np.ndarray, registers: int) -> np.ndarray:
     """A row of registers for each set: 0 if empty, else leading zeros + 1 and the bits behind the first one."""
     rows = len(before) - 1
     owner = np.repeat(np.arange(rows), np.diff(before))
-    picked = (mix(value ^ np.uint64(0x5BF0_3635_16A1_D2C9)) % np.uint64(REGISTERS)).astype(np.int64)
+    picked = (mix(value ^ np.uint64(0x5BF0_3635_16A1_D2C9)) % np.uint64(registers)).astype(np.int64)
     rest = mix(value + np.uint64(0x9E37_79B9_7F4A_7C15))
-    least = np.full(rows * REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    filled = np.zeros(rows * REGISTERS, bool)
-    at = owner * REGISTERS + picked
+    least = np.full(rows * registers, np.iinfo(np.uint64).max, np.uint64)
+    filled = np.zeros(rows * registers, bool)
+    at = owner * registers + picked
     np.minimum.at(least, at, rest)
     filled[at] = True
+    least = least[filled]
     _, exponent = np.frexp((least >> np.uint64(11)).astype(np.float64))
     zeros = (53 - exponent).astype(np.uint64)
     behind = (least << np.minimum(zeros + np.uint64(1), np.uint64(63))) >> np.uint64(64 - MANTISSA)
-    code = ((zeros + np.uint64(1)) << np.uint64(MANTISSA)) | behind
-    return np.where(filled, code, 0).astype(np.uint32).reshape(rows, REGISTERS)
+    code = np.zeros(rows * registers, np.uint32)
+    code[filled] = ((zeros + np.uint64(1)) << np.uint64(MANTISSA)) | behind
+    return code.reshape(rows, registers)
 
 
-def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
-    """Similarities estimated from equal registers, less the matches that chance alone would give."""
+def densified(registers: np.ndarray) -> np.ndarray:
+    """Registers of sets that are not empty, with every empty one filled from another one.
+
+    An empty register looks at others in an order of its own, the same for all sets, and takes the
+    first that is filled; after 256 looks, the next filled one to its right.
+    """
+    rows, count = registers.shape
+    out = registers.copy()
+    row, place = np.nonzero(registers == 0)
+    for look in range(256):
+        if not len(row):
+            return out
+        order = mix(np.arange(count, dtype=np.uint64) + np.uint64((look + 1) * 1_000_003))
+        donor = (order % np.uint64(count)).astype(np.int64)[place]
+        found = registers[row, donor]
+        out[row, place] = found
+        row, place = row[found == 0], place[found == 0]
+    for r in np.unique(row):
+        own = np.flatnonzero(registers[r])
+        gaps = place[row == r]
+        out[r, gaps] = registers[r, own[np.searchsorted(own, gaps) % len(own)]]
+    return out
+
+
+def estimate(
+    left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities from equal registers, less the matches that chance alone would give, and how many registers tell."""
     equal = np.zeros((len(left), len(right)), np.int32)
     either = np.zeros_like(equal)
-    for k in range(REGISTERS):
+    for k in range(left.shape[1]):
         a, b = left[:, k, None], right[None, :, k]
         either += (a | b) != 0
         equal += (a == b) & (a != 0)
     n, m = n_left[:, None].astype(float), n_right[None, :].astype(float)
     by_chance = 0.68 * 2.0**-MANTISSA * n * m / (n + m) ** 2
-    return (equal - either * by_chance) / np.maximum(either, 1)
+    told = np.maximum(either, 1)
+    return (equal - either * by_chance) / told, told
 
 
-def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in batches:
         ids = batch.column(0)
@@ -167,16 +198,20 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             for salt in (0x1234_5678_9ABC_DEF1, 0x0FED_CBA9_8765_4321):
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(value ^ np.uint64(salt)))])
                 marks.append(sums[before[1:]] - sums[before[:-1]])
-            bands = registers_of(value, before).reshape(rows, BANDS, ROWS).astype(np.uint64)
-            key = np.zeros((rows, BANDS), np.uint64)
+            # A set of up to percent / (100 - percent) shingles can only equal another: it needs no band.
+            able = np.flatnonzero(n * (100 - percent) > percent)
+            part = ranges_of(before[able], n[able])
+            bounds = np.concatenate([[0], np.cumsum(n[able])])
+            bands = densified(registers_of(value[part], bounds, REGISTERS)).reshape(len(able), BANDS, ROWS)
+            bands = bands.astype(np.uint64)
+            key = np.zeros((len(able), BANDS), np.uint64)
             for k in range(ROWS):
                 key = mix(key * np.uint64(31) + bands[:, :, k] + np.uint64(1))
             key = mix(key + np.arange(BANDS, dtype=np.uint64))
-            # A set of up to percent / (100 - percent) shingles can only equal another: it needs no band.
-            used = (bands != 0).any(axis=2) & (n > 0)[:, None]
+            sizes = np.zeros(rows, np.int32)
+            sizes[able] = BANDS
             lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(used.sum(axis=1))]).astype(np.int32)),
-                pa.array(signed(key[used])),
+                pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(signed(key.ravel()))
             )
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(first, rows), pa.array(n.astype(np.int64)), *(pa.array(signed(m)) for m in marks), lists],
@@ -192,7 +227,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         for first, raw, offsets in text_blocks(without_nulls(batch, "text")):
             rows = len(offsets) - 1
             value, before = shingle_sets(raw, offsets, words, powers)
-            registers = registers_of(value, before)
+            registers = registers_of(value, before, COMPARED)
             data = value.tobytes()
             sets = [data[8 * a : 8 * b] for a, b in zip(before[:-1], before[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -250,11 +285,8 @@ def links_of(rows: list[tuple], across: bool, percent: int) -> tuple[np.ndarray,
     sets = [np.frombuffer(r[2], np.uint64) for r in rows]
     sizes = np.array([len(s) for s in sets])
     share = percent / 100
-    bound = share - _MARGIN * (share * (1 - share) / REGISTERS) ** 0.5
-    # Few registers are filled by a small set: its estimate is too coarse to refuse a pair.
-    likely = estimate(registers, registers, sizes, sizes) >= bound
-    small = sizes < REGISTERS
-    likely |= small[:, None] & small[None, :]
+    similar, told = estimate(registers, registers, sizes, sizes)
+    likely = similar >= share - _MARGIN * (share * (1 - share) / told) ** 0.5
     likely &= (blocks[:, None] != blocks[None, :]) if across else True
     likely &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
     np.fill_diagonal(likely, False)

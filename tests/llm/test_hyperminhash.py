@@ -68,10 +68,25 @@ def test_estimate():
         half = (5000 - len(common)) // 2
         sets = [np.concatenate([common, union[len(common) :][:half]]), np.concatenate([common, union[len(common) :][half:]])]
         before = np.cumsum([0, len(sets[0]), len(sets[1])])
-        registers = hyperminhash.registers_of(np.concatenate(sets), before)
+        registers = hyperminhash.registers_of(np.concatenate(sets), before, 192)
         sizes = np.array([len(s) for s in sets])
-        found = hyperminhash.estimate(registers[:1], registers[1:], sizes[:1], sizes[1:])[0, 0]
-        assert abs(found - share) < 4 * (share * (1 - share) / hyperminhash.REGISTERS) ** 0.5 + 1e-6
+        found = hyperminhash.estimate(registers[:1], registers[1:], sizes[:1], sizes[1:])[0][0, 0]
+        assert abs(found - share) < 4 * (share * (1 - share) / 192) ** 0.5 + 1e-6
+
+
+def test_densified_registers_agree_as_often_as_the_sets_do():
+    r = np.random.default_rng(3)
+    for n in (8, 60, 3000):
+        agree = []
+        for _ in range(60):
+            union = r.integers(0, 1 << 63, n).astype(np.uint64)
+            sets = [union[: int(n * 0.9)], union[int(n * 0.1) :]]
+            before = np.cumsum([0, len(sets[0]), len(sets[1])])
+            a, b = hyperminhash.densified(hyperminhash.registers_of(np.concatenate(sets), before, 640))
+            assert (a > 0).all() and (b > 0).all()
+            share = len(set(sets[0].tolist()) & set(sets[1].tolist())) / n
+            agree.append((a == b).mean() - share)
+        assert abs(np.mean(agree)) < 0.06
 
 
 def test_components(spark):
