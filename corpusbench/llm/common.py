@@ -38,6 +38,16 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few numbers as a table, planned as a local relation: no task runs Python for it."""
+    fields = [field.split() for field in schema.split(",")]
+    cells = ", ".join(
+        "(" + ", ".join(f"CAST({'NULL' if v is None else repr(str(v))} AS {t})" for v, (_, t) in zip(row, fields, strict=True)) + ")"
+        for row in rows
+    )
+    return spark.sql(f"SELECT * FROM VALUES {cells} AS t({', '.join(name for name, _ in fields)})")
+
+
 def without_nulls(batch: pa.RecordBatch, name: str) -> pa.Array:
     column = batch.column(batch.schema.get_field_index(name))
     return column.fill_null("") if column.null_count else column

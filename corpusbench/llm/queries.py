@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusbench.llm import hyperminhash, language, packing, quality, suffixes, superkmers, tokens
+from corpusbench.llm import hyperminhash, language, packing, quality, sharding, suffixes, superkmers, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,3 +114,39 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash_near_dedup")
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_sharding")
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.kd_shards(table(spark, sf_dir, "documents"), shards=8)
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+_SITES_SQL = "VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')"
+_PATTERNS_SQL = "|".join(rule.text.strip("^") for rule in urls.PATTERNS)
+
+
+@query("op3_url_filters", rf"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, row_number() OVER () AS row_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM rest
+), sites AS (SELECT * FROM ({_SITES_SQL}) AS t(site, prefix, verdict)
+), fits AS (
+  SELECT row_id, arg_max(site || prefix, length(site || prefix)) AS rule, arg_max(verdict, length(site || prefix)) AS verdict
+  FROM parts JOIN sites ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, prefix)
+  GROUP BY row_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict,
+  CASE WHEN regexp_matches(lower(host || path), '(^|[^a-z0-9])({_PATTERNS_SQL})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END
+) AS verdict
+FROM parts LEFT JOIN fits USING (row_id)
+""")
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
