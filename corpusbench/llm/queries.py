@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusbench.llm import hyperminhash, language, packing, quality, sharding, suffixes, superkmers, tokens, urls
+from corpusbench.llm import hyperminhash, language, packing, quality, sharding, suffixes, superkmers, tokens, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,3 +150,8 @@ FROM parts LEFT JOIN fits USING (row_id)
 """)
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op8_embedding_near_dedup")
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
