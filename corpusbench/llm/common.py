@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 BLOCK_BYTES = 4 << 20
+GAPS = " \t\n\u000b\u000c\r"  # white space between words
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: larger than any id
 _BASE = 0x9E3779B97F4A7C15
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from pathlib import Path
@@ -14,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusbench.llm.common import ranges_of, text_blocks, without_nulls
+from corpusbench.llm.common import GAPS, ranges_of, text_blocks, without_nulls
 
 _BLOCK = 4 << 20
-_SLICE, _KNOWN = 5_000, 1_000_000
+_SLICE, _KNOWN = 2_000, 1_000_000
+_WORD = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+"  # letters that lower-casing and composing keep single
 _CODES = np.arange(256)
 _LETTERS = ((_CODES >= 65) & (_CODES <= 90)) | ((_CODES >= 97) & (_CODES <= 122))
 _PUNCTUATION = (_CODES > 32) & (_CODES < 127) & ~_LETTERS & ~((_CODES >= 48) & (_CODES <= 57)) & (_CODES != 39)
@@ -98,7 +100,12 @@ def _places(size: int, *places: np.ndarray) -> np.ndarray:
 
 
 class FragmentEncoder:
-    """Encodes each distinct fragment once, keeps up to ``_KNOWN`` of them, and puts the ids together again."""
+    """Encodes each distinct fragment once, keeps up to ``_KNOWN`` of them, and puts the ids together again.
+
+    Fragments that are one plain word are encoded many at a time, as one text.  Each is a pre-token of
+    its own there, so its ids end where its bytes do or, in a vocabulary that marks word ends, at the
+    next mark.  Where the marks don't add up, and for all other fragments, each is encoded alone.
+    """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -107,6 +114,15 @@ class FragmentEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        model = json.loads(definition)["model"]
+        mark = model.get("end_of_word_suffix")
+        self.plain = re.compile(f"{'' if mark else ' '}{_WORD}").fullmatch
+        size = self.tokenizer.get_vocab_size()
+        self.marks, self.sizes = np.zeros(size, bool), np.zeros(size, np.int64)
+        for token, number in model["vocab"].items():
+            self.marks[number] = bool(mark) and token.endswith(mark)
+            self.sizes[number] = len(token)  # one symbol stands for one byte
+        self.marked = bool(mark)
         self._forget()
 
     def _forget(self) -> None:
@@ -119,14 +135,41 @@ class FragmentEncoder:
             self._forget()
         known = self.known
         new = [f for f in fragments if f not in known]
-        for low in range(0, len(new), _SLICE):
-            part = new[low : low + _SLICE]
-            for fragment, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+        words, others = [], []
+        for f in new:
+            (words if self.plain(f.lstrip(GAPS) if self.marked else f) else others).append(f)
+        for low in range(0, len(words), _SLICE):
+            part = words[low : low + _SLICE]
+            (encoded,) = self.tokenizer.encode_batch_fast([self._text(part)], add_special_tokens=False)
+            ids = np.array(encoded.ids, np.int64)
+            ends = self._ends(part, ids)
+            if ends is None:
+                others += part
+                continue
+            known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
+            self.starts.extend((len(self.flat) + ends).tolist())
+            self.flat.extend(ids.tolist())
+        for low in range(0, len(others), _SLICE):
+            part = others[low : low + _SLICE]
+            for fragment, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[fragment] = len(known)
                 self.flat.extend(encoded.ids)
                 self.starts.append(len(self.flat))
         return np.array([*map(known.__getitem__, fragments)], np.int64)
 
+    def _text(self, words: list[str]) -> str:
+        return " ".join([w.lstrip(GAPS) for w in words]) if self.marked else "".join(words)
+
+    def _ends(self, words: list[str], ids: np.ndarray) -> np.ndarray | None:
+        """The number of ids up to the end of each word, or nothing if the ids don't add up."""
+        if self.marked:
+            ends = np.flatnonzero(self.marks[ids]) + 1
+            return ends if len(ends) == len(words) and ends[-1] == len(ids) else None
+        wanted = np.cumsum([len(w.encode()) for w in words])
+        reached = np.cumsum(self.sizes[ids])
+        at = np.minimum(np.searchsorted(reached, wanted), len(ids) - 1)
+        return at + 1 if (reached[at] == wanted).all() and at[-1] == len(ids) - 1 else None
+
     def encode(self, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the fragments between the cuts, and the number of ids before each cut."""
         if len(cuts) < 2:
