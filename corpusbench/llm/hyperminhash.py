@@ -90,7 +90,8 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
             F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
         )
     )
-    sets = docs.join(blocked, "doc_id").mapInArrow(
+    # Members grow with the documents: they are never broadcast, whatever their size here.
+    sets = docs.join(blocked.hint("merge"), "doc_id").mapInArrow(
         lambda it: _sets(it, words),
         "doc_id long, component long, blocks int, block int, shingles binary, registers binary",
     )
