@@ -2,14 +2,63 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusbench.llm import hyperminhash, language, packing, quality, superkmers, tokens
 from corpusbench.llm.common import stage_table
 
-STAGES = []
+NEAR = 80  # percent of shared five-word shingles at which documents are near-duplicates
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the current policy of the quality ledger."""
+    entries = quality.ledger(docs)
+    return entries.where(quality.passes(quality.POLICIES[quality.CURRENT])).select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; profiles are learned from the labelled ones among all that came in."""
+    profiles = language.learn_profiles(docs)
+    told = language.predict(docs, profiles)
+    return told.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest id."""
+    judged = hyperminhash.near_duplicates(docs, percent=NEAR)
+    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words that repeated windows cover; texts that lose nothing keep their layout."""
+    cleaned = superkmers.repeated_words(docs, keep=docs.columns)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
+    kept = cleaned.withColumn("text", text).where("n_removed < n_words OR n_words = 0")
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of the documents in training sequences."""
+    definition = tokens.tokenizer_json(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, definition)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("packing", pack),
+]
+# Language profiles, near-duplicate components, and token ids are not SQL: tests hold run() against plain code.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to documents in their order."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents in their order; what a stage keeps is written for the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +18,21 @@ from corpusbench.llm.common import (
 
 WINDOW, GRAM = 35, 8
 _BUCKET_BYTES = 8 << 20
+_CLEANED = {
+    "doc_id": "long", "text": "string", "n_words": "long", "n_removed": "long", "kept_text": "string",
+    "kept_sha256": "string",
+}
 
 
 def repeated_words(
-    documents: DataFrame, window: int = WINDOW, gram: int = GRAM, *, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, window: int = WINDOW, gram: int = GRAM, *, keep: Sequence[str] = (),
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Each document with the words no repeated window covers: doc_id, text, n_words, n_removed, kept_text, kept_sha256.
 
     A window is ``window`` consecutive words of one document; it is repeated if its words also start
-    anywhere else, the same document included.  Windows are judged on the input.
+    anywhere else, the same document included.  Windows are judged on the input.  Columns named in
+    ``keep`` come along, but for those whose names the result uses itself.
 
     1. Runs of windows that share a minimiser are reduced to (minimiser, content hash, place); runs
        equal inside a task are settled there, the rest meet sorted by minimiser.
@@ -43,9 +49,10 @@ def repeated_words(
     docs = documents.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k1"), text_key(text_col).alias("t1"),
+        F.struct(*(F.col(c) for c in keep), F.lit(0).alias("_none")).alias("payload"),
     )
     found = stage_table(_matches(docs, shape), "word-runs")
-    texts = docs.select("k1", "t1", "doc_id", "text")
+    texts = docs.select("k1", "t1", "doc_id", "text", "payload")
     wanted = found.where(F.col("kind") == windows.TO_MATCH).groupBy("k1", "t1").agg(
         F.collect_list(F.struct("start", "n", "h")).alias("spans")
     )
@@ -57,10 +64,12 @@ def repeated_words(
     )
     known = found.where(F.col("kind") == windows.KNOWN).select("k1", "t1", "start", "n")
     spans = known.union(counted).groupBy("k1", "t1").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return texts.join(spans, ["k1", "t1"], "left").mapInArrow(
+    payload = docs.schema["payload"].dataType.simpleString()
+    cleaned = texts.join(spans, ["k1", "t1"], "left").mapInArrow(
         lambda it: _remove(it, window),
-        "doc_id long, text string, n_words long, n_removed long, kept_text string, kept_sha256 string",
+        f"{', '.join(f'{c} {kind}' for c, kind in _CLEANED.items())}, payload {payload}",
     )
+    return cleaned.select(*_CLEANED, *(f"payload.{c}" for c in keep if c not in _CLEANED))
 
 
 def _matches(docs: DataFrame, shape: windows.Shape) -> DataFrame:
@@ -180,7 +189,7 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         texts = without_nulls(batch, "text")
         original = batch.column(batch.schema.get_field_index("text"))
         ids = batch.column(batch.schema.get_field_index("doc_id"))
-        spans = batch.column(batch.schema.get_field_index("spans"))
+        spans, payload = (batch.column(batch.schema.get_field_index(c)) for c in ("spans", "payload"))
         for first, raw, offsets in text_blocks(texts):
             rows = len(offsets) - 1
             starts, ends, bounds = word_bounds(raw, offsets)
@@ -210,7 +219,7 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                     ids.slice(first, rows), original.slice(first, rows), pa.array(total),
                     pa.array(total - np.bincount(owner[kept], minlength=rows)),
                     pa.array([p.decode() for p in pieces]),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in pieces]),
+                    pa.array([hashlib.sha256(p).hexdigest() for p in pieces]), payload.slice(first, rows),
                 ],
-                ["doc_id", "text", "n_words", "n_removed", "kept_text", "kept_sha256"],
+                [*_CLEANED, "payload"],
             )

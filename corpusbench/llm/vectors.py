@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from corpusbench.llm.common import components, local_components, small_table, stage_table
 
 THRESHOLD = 0.95
-SAMPLE, CELL, MAX_CELLS, BLOCK = 20_000, 200, 1024, 2048
-DEVIATIONS = 4.0
+SAMPLE, CELL, MAX_CELLS, BLOCK = 20_000, 400, 1024, 2048
+DEVIATIONS = 3.0
 
 
 def near_vectors(
@@ -29,7 +29,7 @@ def near_vectors(
        the cell of its nearest centroid.
     3. A vector is compared with its own cell and with every cell whose border a partner may lie
        across.  A partner at the threshold in a random direction passes a border farther away than
-       ``deviations`` standard deviations three times in a hundred thousand at 4; tests measure the recall.
+       ``deviations`` standard deviations about once in a thousand at 3; tests measure the recall.
     4. A cell's vectors are dealt to blocks of about BLOCK; others stream past each block.  A block
        reports numbers of links and a forest of them, never all pairs.
 
