@@ -300,34 +300,45 @@ def _types(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _refine(symbols: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sort suffixes by their first ``depth`` symbols: by six symbols, then ties by six more, and so on."""
-    step = 6
-    padded = np.concatenate([symbols.astype(np.uint64), np.zeros(depth + step, np.uint64)])
-    order = places.copy()
-    group = np.zeros(len(order), np.int64)
+    """Sort suffixes by their first ``depth`` symbols: by seven symbols, then ties by seven more, and so on.
+
+    Ties of one group stand side by side, so a stable sort by key and then by group settles them.  The
+    common prefixes are read off the same keys: whole steps while a tie lasts, then the symbols of
+    the step that broke it.
+    """
+    step = 7
+    padded = np.concatenate([symbols.astype(np.uint64), np.zeros(depth + 2 * step, np.uint64)])
+    keys = padded[: len(symbols) + depth + step].copy()  # seven symbols of nine bits from each place on
+    for j in range(1, step):
+        keys = (keys << np.uint64(9)) | padded[j : len(keys) + j]
+    order = np.array(places)
+    common = np.zeros(len(order), np.int32)
+    group = np.zeros(len(order), np.int32)
     tied = np.arange(len(order))
     for done in range(0, depth, step):
-        at = order[tied] + done
-        key = np.zeros(len(at), np.uint64)
-        for j in range(step):
-            key = (key << np.uint64(9)) | padded[at + j]
-        by = np.lexsort((key, group[tied]))
-        order[tied], key = order[tied][by], key[by]
-        same = np.zeros(len(tied), bool)
-        same[1:] = (key[1:] == key[:-1]) & (group[tied][1:] == group[tied][:-1])
-        group[tied] = np.maximum.accumulate(np.where(same, -1, tied))
+        key = keys[order[tied] + done]
+        by = np.argsort(key, kind="stable")
+        if done:
+            by = by[np.argsort(group[by], kind="stable")]
+            group = group[by]
+        order[tied], key = order[tied[by]], key[by]
+        inside = np.zeros(len(tied), bool)
+        inside[1:] = (group[1:] == group[:-1]) if done else True
+        change = np.ones(len(tied), np.uint64)
+        change[1:] = key[1:] ^ key[:-1]
+        same = inside & (change == 0)
+        # The highest differing bit tells how many whole symbols of this step agree.
+        broke = np.flatnonzero(inside & ~same)
+        _, bits = np.frexp((change[broke] >> np.uint64(10)).astype(np.float64))
+        bits = np.where(change[broke] >> np.uint64(10), bits + 10, np.frexp((change[broke] & np.uint64(1023)).astype(float))[1])
+        common[tied[broke]] = done + step - (bits + 8) // 9
         stay = same.copy()
         stay[:-1] |= same[1:]
+        group = (np.cumsum(~same, dtype=np.int32))[stay]
+        common[tied[same]] = done + step
         tied = tied[stay]
         if not len(tied):
             break
-    common = np.zeros(len(order), np.int32)
-    alike = np.arange(1, len(order))
-    for j in range(depth):
-        alike = alike[padded[order[alike] + j] == padded[order[alike - 1] + j]]
-        common[alike] += 1
-        if not len(alike):
-            break
     return order, common
 
 
