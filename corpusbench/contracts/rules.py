@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusbench.functions.text import has_text
+
 
 class Rule(NamedTuple):
     """``holds`` must be true; NULL counts as a violation."""
@@ -59,7 +61,7 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def non_blank(column: Column) -> Column:
-    return column.isNotNull() & column.rlike(r"\S")
+    return column.isNotNull() & has_text(column)
 
 
 def optional(column: Column, holds: Column) -> Column:

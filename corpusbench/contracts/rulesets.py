@@ -12,7 +12,7 @@ from corpusbench.contracts.rules import (
     Rule, finite, non_blank, optional, positive_finite, whole_text,
 )
 from corpusbench.functions import urls
-from corpusbench.functions.text import stable_book_id
+from corpusbench.functions.text import has_text, stable_book_id
 
 C = F.col
 
@@ -41,7 +41,7 @@ def audio_sample() -> list[Rule]:
     return [
         Rule("sample_id", non_blank(C("sample_id")), "sample_id must not be empty"),
         Rule("audio_path", non_blank(path), "audio_path must not be empty"),
-        Rule("separator", ~path.contains("\\"), "audio_path must use '/' separators"),
+        Rule("separator", ~path.contains("\\"), "parts of audio_path are separated by '/'"),
         Rule("relative", ~path.startswith("/"), "audio_path must be relative"),
         Rule("below_root", ~bad_part, "audio_path must stay below the dataset root"),
         Rule("reference_text", C("reference_text").isNotNull(), "reference_text must be a string"),
@@ -85,7 +85,7 @@ def audiobook_hit() -> list[Rule]:
         ),
         Rule(
             "authority", ~urls.has_credentials(url) & (urls.port(url) == ""),
-            "url must not contain credentials or a port",
+            "a url has neither user nor port",
         ),
         Rule("url_id", urls.book_video_id(url) == C("video_id"), "url id must match video_id"),
         Rule("duration", positive_finite(C("duration_seconds")), "duration must be positive"),
@@ -126,7 +126,7 @@ def poem_video() -> list[Rule]:
 def lyrics_request() -> list[Rule]:
     return [
         Rule("request_id", whole_text(C("request_id"), REQUEST_ID), "request_id has the wrong form"),
-        Rule("query", non_blank(C("query")), "query must not be empty"),
+        Rule("query", non_blank(C("query")), "a query needs some text"),
         *[
             Rule(name, optional(C(name), non_blank(C(name))), f"{name} must not be empty")
             for name in ("expected_title", "expected_artist")
@@ -159,14 +159,14 @@ def video_match(video: Column) -> list[Rule]:
         Rule(
             "video_confidence",
             optional(confidence, finite(confidence) & confidence.between(0, 1)),
-            "confidence must be between 0 and 1",
+            "confidence is a share from 0 to 1",
         ),
     ]
 
 
 def song_record(song: Column, lyrics_host: str = urls.LYRICS_HOST) -> list[Rule]:
     """Rules of a nullable song struct."""
-    genres_ok = F.forall(song["genres"], lambda g: F.coalesce(g.rlike(r"\S"), F.lit(False)))
+    genres_ok = F.forall(song["genres"], lambda g: F.coalesce(has_text(g), F.lit(False)))
     return [
         *[
             Rule(f"song_{name}", optional(song, non_blank(song[name])), f"{name} must not be empty")
@@ -230,7 +230,7 @@ def poem_outcome() -> list[Rule]:
         Rule(
             "score",
             ~matched | optional(C("match_score"), finite(C("match_score")) & C("match_score").between(0, 1)),
-            "match_score must be between 0 and 1",
+            "match_score is a share from 0 to 1",
         ),
         Rule(
             "fragment",

@@ -64,15 +64,18 @@ def http_failure(status: Column) -> Column:
     )
 
 
-def failure_code(error_type: Column, message: Column) -> Column:
-    """Code of a failure from its exception family and message."""
+def failure_code(families: Column, message: Column) -> Column:
+    """Code of a failure from the names of its class and all its bases, and its message."""
+
+    def one_of(*names: str) -> Column:
+        return F.arrays_overlap(families, F.array(*map(F.lit, names)))
+
+    memory = one_of("RuntimeError") & F.contains(F.lower(message), F.lit("out of memory"))
     return (
-        F.when(error_type.isin(*MISSING_DEPENDENCY_ERRORS), "dependency_missing")
-        .when(error_type.isin(*INVALID_ARGUMENT_ERRORS), "invalid_argument")
-        .when(
-            (error_type == "RuntimeError") & F.lower(message).contains("out of memory"), "cuda_oom"
-        )
-        .when(error_type == "RuntimeError", "invalid_state")
+        F.when(one_of(*MISSING_DEPENDENCY_ERRORS), "dependency_missing")
+        .when(one_of(*INVALID_ARGUMENT_ERRORS), "invalid_argument")
+        .when(memory, "cuda_oom")
+        .when(one_of("RuntimeError"), "invalid_state")
         .otherwise("backend_error")
     )
 

@@ -39,6 +39,16 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _SPACE, " "))
 
 
+def strip_text(text: Column) -> Column:
+    """The text without white space at its ends; NULL when nothing is left."""
+    return F.nullif(F.regexp_replace(text, rf"\A{_SPACE}|{_SPACE}\z", ""), F.lit(""))
+
+
+def has_text(text: Column) -> Column:
+    """Whether a text holds anything but white space; NULL for NULL."""
+    return F.length(F.regexp_replace(text, _SPACE, "")) > 0
+
+
 def composed(text: Column) -> Column:
     """NFC.  Texts below U+0300 are composed already and skip the UDF's work."""
     risky = text.rlike(r"[^\x{0}-\x{2FF}]")

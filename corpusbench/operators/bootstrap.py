@@ -1,22 +1,14 @@
 """Grouped bootstrap: resample whole groups, recompute corpus rates from summed counts.
 
 Rows are summed to one row per group first, so the cost is replicates x groups whatever the corpus
-size.  Draws come in two modes:
-
-* ``hash`` (default): a slot of a replicate draws the group whose number is an MD5 of
-  (seed, replicate, slot) modulo the number of groups.  Any task can compute any draw.
-* ``reference``: the sequential draw stream of Python's ``random.Random(seed).randrange``, for
-  results that must equal earlier reports.  Each task replays the stream up to its replicates, so
-  the number of draws is bounded; beyond the bound use ``hash``.
+size.  A slot of a replicate draws the group whose number is an MD5 of (seed, replicate, slot) modulo
+the number of groups, so any task can compute any draw.
 """
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,16 +16,15 @@ from pyspark.sql import functions as F
 from corpusbench.operators.scoring import COUNT_COLUMNS, count_sums, group_counts
 from corpusbench.operators.spread import compute_partitions
 
-REFERENCE_DRAW_LIMIT = 50_000_000
-_TOO_FEW = "At least two independent non-silence groups are required"
-_DISABLED = "Bootstrap was disabled"
+_TOO_FEW = "fewer than two groups with speech"
+_DISABLED = "no replicates were asked for"
 
 
 def _check(replicates: int, confidence: float) -> None:
     if replicates < 0:
-        raise ValueError("replicates cannot be negative")
+        raise ValueError("the number of replicates is 0 or more")
     if not 0 < confidence < 1:
-        raise ValueError("confidence must be between 0 and 1")
+        raise ValueError("confidence lies between 0 and 1")
 
 
 def number_groups(groups: DataFrame) -> DataFrame:
@@ -74,55 +65,11 @@ def _hash_resample(groups: DataFrame, sums: Sequence[str], replicates: int, seed
     return draws.join(drawn, "drawn")
 
 
-def stream_draws(seed: int, groups: int, first: int, last: int) -> np.ndarray:
-    """Draws ``first`` to ``last`` (exclusive) of the sequential stream over ``groups`` values."""
-    *words, position = random.Random(seed).getstate()[1]
-    generator = np.random.RandomState()
-    generator.set_state(("MT19937", np.array(words, dtype=np.uint32), position))
-    shift = 32 - int(groups).bit_length()
-    seen, kept = 0, []
-    while seen < last:
-        values = generator.randint(0, 2**32, size=1 << 20, dtype=np.uint32) >> shift
-        values = values[values < groups]
-        kept.append(values[max(0, first - seen) : max(0, last - seen)])
-        seen += len(values)
-    return np.concatenate(kept).astype(np.int64) if kept else np.empty(0, dtype=np.int64)
-
-
-def _reference_resample(
-    groups: DataFrame, sums: Sequence[str], replicates: int, seed: int
-) -> DataFrame:
-    group_count = groups.count()
-    if group_count * replicates > REFERENCE_DRAW_LIMIT:
-        raise ValueError(
-            f"{replicates} replicates of {group_count} groups exceed {REFERENCE_DRAW_LIMIT} "
-            "sequential draws; use mode='hash'"
-        )
-    spark = groups.sparkSession
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            low, high = int(batch["id"].min()), int(batch["id"].max()) + 1
-            values = stream_draws(seed, group_count, low * group_count, high * group_count)
-            yield pd.DataFrame(
-                {"replicate": np.repeat(np.arange(low, high), group_count), "drawn": values}
-            )
-
-    draws = spark.range(replicates).mapInPandas(replay, "replicate bigint, drawn bigint")
-    # sorted numbering; the draw limit bounds the number of groups
-    number = (F.row_number().over(W.orderBy("group_id")) - 1).cast("bigint").alias("drawn")
-    drawn = groups.select(number, *sums)
-    return draws.join(F.broadcast(drawn), "drawn").withColumn("group_count", F.lit(group_count))
-
-
 def resample(
-    groups: DataFrame, sums: Sequence[str], *, replicates: int, seed: int, mode: str = "hash"
+    groups: DataFrame, sums: Sequence[str], *, replicates: int, seed: int
 ) -> DataFrame:
     """Summed counts per replicate, with the number of groups."""
-    methods = {"hash": _hash_resample, "reference": _reference_resample}
-    if mode not in methods:
-        raise ValueError(f"unknown draw mode: {mode}")
-    drawn = methods[mode](groups, sums, replicates, seed)
+    drawn = _hash_resample(groups, sums, replicates, seed)
     return drawn.groupBy("replicate").agg(
         F.max("group_count").alias("group_count"), *[F.sum(c).alias(c) for c in sums]
     )
@@ -161,7 +108,6 @@ def bootstrap_intervals(
     replicates: int = 2000,
     seed: int = 42,
     confidence: float = 0.95,
-    mode: str = "hash",
 ) -> DataFrame:
     """One row: percentile intervals of the corpus rates, or a reason why there are none."""
     _check(replicates, confidence)
@@ -169,7 +115,7 @@ def bootstrap_intervals(
         return _disabled(scored, seed, confidence)
     tail = (1 - confidence) / 2
     sums = resample(
-        group_counts(scored), COUNT_COLUMNS, replicates=replicates, seed=seed, mode=mode
+        group_counts(scored), COUNT_COLUMNS, replicates=replicates, seed=seed
     )
     rates = sums.select("group_count", _rate("w").alias("wer"), _rate("c").alias("cer"))
     enough = F.col("group_count") >= 2
@@ -208,7 +154,6 @@ def paired_difference(
     replicates: int = 2000,
     seed: int = 42,
     confidence: float = 0.95,
-    mode: str = "hash",
 ) -> DataFrame:
     """Interval of rate(a) - rate(b) over the samples both models scored, same draws for both."""
     _check(replicates, confidence)
@@ -228,7 +173,7 @@ def paired_difference(
         .agg(F.count("*").alias("samples"), *count_sums("a_"), *count_sums("b_"))
     )
     names = [p + c for p in ("a_", "b_") for c in COUNT_COLUMNS]
-    sums = resample(groups, names, replicates=replicates, seed=seed, mode=mode)
+    sums = resample(groups, names, replicates=replicates, seed=seed)
     tail = (1 - confidence) / 2
     differences = sums.select(
         "group_count",

@@ -101,10 +101,10 @@ def interruption_problem(
     interrupted = state == "interrupted"
     return F.when(
         interrupted != interruption_type.isNotNull(),
-        "interrupted checkpoints require interruption details",
+        "an interrupted checkpoint must say what interrupted it",
     ).when(
         ~interrupted & interruption_message.isNotNull(),
-        "other checkpoints cannot have an interruption message",
+        "only an interrupted checkpoint may have an interruption message",
     )
 
 
@@ -194,7 +194,7 @@ def select_media_work(tasks: DataFrame, records: DataFrame, files: DataFrame, *,
             C("status").alias("prior_status"),
             C("attempt").alias("prior_attempt"),
             "retryable",
-            (C("_has_text").isNotNull() & C("_found_sha").eqNullSafe(C("sha256")) & C("sha256").isNotNull()).alias("_intact"),
+            (C("_has_text").isNotNull() & F.lower("_found_sha").eqNullSafe(F.lower("sha256")) & C("sha256").isNotNull()).alias("_intact"),
         )
     )
     keep = ((C("prior_status") == "complete") & C("_intact")) | (
@@ -286,7 +286,7 @@ def media_records(selected: DataFrame, fetched: DataFrame, files: DataFrame) ->
         F.when(ok, C("_bytes")).alias("bytes"),
         F.when(ok, C("duration_seconds")).alias("duration_seconds"),
         F.when(absent, "missing_output").otherwise(C("error_code")).alias("error_code"),
-        F.when(absent, "downloader did not create normalized audio")
+        F.when(absent, "the download left no normalized audio")
         .otherwise(C("error_message"))
         .alias("error_message"),
         F.when(absent, True).otherwise(C("error_retryable")).alias("retryable"),
@@ -299,10 +299,10 @@ def preflight_errors(samples: DataFrame, files: DataFrame, *, verify_hashes: boo
     ``samples``: sample_id, audio_path, sha256.  ``files``: path, sha256.
     """
     found = files.select(C("path").alias("audio_path"), C("sha256").alias("_found"), F.lit(True).alias("_there"))
-    error = F.when(C("_there").isNull(), "audio file does not exist")
+    error = F.when(C("_there").isNull(), "there is no such audio file")
     if verify_hashes:
-        error = error.when(C("sha256").isNull(), "sha256 is required").when(
-            C("sha256") != C("_found"), "sha256 mismatch"
+        error = error.when(C("sha256").isNull(), "a sha256 is needed to verify the file").when(
+            F.lower("sha256") != F.lower("_found"), "the file has another sha256"
         )
     return (
         samples.join(found, "audio_path", "left")

@@ -49,7 +49,7 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
 def cap_results(candidates: DataFrame, results_per_query: int) -> DataFrame:
     """The page size of a search: the first results of each query by position."""
     if results_per_query not in RESULTS_PER_QUERY:
-        raise ValueError("results_per_query must be between 1 and 50")
+        raise ValueError("a page of results holds 1 to 50 of them")
     order = [C("position"), C("video_id")]
     return top_k(candidates, ["source_key", "query_ord"], order, results_per_query).drop("rank")
 

@@ -37,28 +37,32 @@ def count_sums(prefix: str = "") -> list[Column]:
 
 
 def classify_coverage(references: DataFrame, recognitions: DataFrame) -> DataFrame:
-    """Every reference with its recognition and a class: scored, failed or missing.
+    """Every reference id once, with its recognition and a class: scored, failed, missing or duplicate.
 
-    Sample ids must be unique on both sides; check with ``contracts.rules.duplicates`` first.
+    An id that comes more than once on either side is a duplicate and is not scored, however alike
+    its rows are: nothing tells which of them is meant.
     """
-    recognized = recognitions.select(
-        "sample_id", F.col("text").alias("hypothesis"), F.col("status").alias("recognition_status")
+    fields = [c for c in references.columns if c != "sample_id"]
+    asked = references.groupBy("sample_id").agg(
+        F.min(F.struct(*fields)).alias("asked"), F.count("*").alias("_asked")
+    )
+    heard = recognitions.groupBy("sample_id").agg(
+        F.min(F.struct("text", "status")).alias("heard"), F.count("*").alias("_heard")
     )
     coverage = (
-        F.when(F.col("recognition_status").isNull(), "missing")
-        .when(F.col("recognition_status") == "failed", "failed")
+        F.when((F.col("_asked") > 1) | (F.col("_heard") > 1), "duplicate")
+        .when(F.col("heard.status").isNull(), "missing")
+        .when(F.col("heard.status") == "failed", "failed")
         .otherwise("scored")
     )
-    return (
-        references.withColumnRenamed("text", "reference")
-        .join(recognized, "sample_id", "left")
-        .withColumn("coverage", coverage)
-        .drop("recognition_status")
+    renamed = [F.col(f"asked.{c}").alias("reference" if c == "text" else c) for c in fields]
+    return asked.join(heard, "sample_id", "left").select(
+        "sample_id", *renamed, F.col("heard.text").alias("hypothesis"), coverage.alias("coverage")
     )
 
 
 def unexpected_recognitions(references: DataFrame, recognitions: DataFrame) -> DataFrame:
-    """Recognitions nobody asked for."""
+    """Recognitions nobody asked for, each as often as it came."""
     return recognitions.join(references.select("sample_id"), "sample_id", "left_anti")
 
 
@@ -116,7 +120,7 @@ def mean_file_rates(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def coverage_details(classified: DataFrame, unexpected: DataFrame) -> DataFrame:
-    """(coverage, sample_id) of every sample that is missing, failed or unexpected.
+    """(coverage, sample_id) of every sample that is missing, failed, a duplicate or unexpected.
 
     A table instead of id lists, so a class may be as large as the corpus.
     """
@@ -135,10 +139,10 @@ def coverage_summary(classified: DataFrame, unexpected: DataFrame) -> DataFrame:
         F.count_if(F.col("coverage") != "unexpected").alias("expected"),
         *[
             F.count_if(F.col("coverage") == c).alias(c)
-            for c in ("scored", "missing", "failed", "unexpected")
+            for c in ("scored", "missing", "failed", "duplicate", "unexpected")
         ],
     )
-    unscored = F.col("missing") + F.col("failed")
+    unscored = F.col("missing") + F.col("failed") + F.col("duplicate")
     return summary.withColumns(
         {
             "unscored": unscored,
@@ -157,11 +161,18 @@ class Evaluation(NamedTuple):
     coverage_details: DataFrame
 
 
-def evaluate(references: DataFrame, recognitions: DataFrame) -> Evaluation:
-    """The whole report as lazy tables over one scored table."""
+def evaluate(references: DataFrame, recognitions: DataFrame, *, scored_path: str | None = None) -> Evaluation:
+    """The whole report as tables over one scored table.
+
+    The tables are lazy, so each action aligns anew; with ``scored_path``, a folder all executors
+    share, the scored rows are written there once and every table is derived from them.
+    """
     classified = classify_coverage(references, recognitions)
     unexpected = unexpected_recognitions(references, recognitions)
     scored = score_utterances(classified, keep_texts=True)
+    if scored_path is not None:
+        scored.write.mode("errorifexists").parquet(scored_path)
+        scored = scored.sparkSession.read.schema(scored.schema).parquet(scored_path)
     return Evaluation(
         utterances=scored,
         speech=corpus_score(scored),

@@ -488,7 +488,7 @@ def document_files(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "p20_file_preflight",
     """
-SELECT s.sample_id, CASE WHEN f.path IS NULL THEN 'audio file does not exist' WHEN s.sha256 IS NULL THEN 'sha256 is required' ELSE 'sha256 mismatch' END AS error
+SELECT s.sample_id, CASE WHEN f.path IS NULL THEN 'there is no such audio file' WHEN s.sha256 IS NULL THEN 'a sha256 is needed to verify the file' ELSE 'the file has another sha256' END AS error
 FROM file_samples s LEFT JOIN files f ON f.path = s.audio_path WHERE f.path IS NULL OR s.sha256 IS NULL OR s.sha256 <> f.sha256
 """,
     ("files", "file_samples"),
@@ -497,7 +497,7 @@ def file_preflight(spark: SparkSession, sf: str) -> DataFrame:
     number = C("conv_id") * 8 + C("turn")
     labels = table(spark, sf, "labels").select(C("doc_id").alias("n"), "quality")
     content = table(spark, sf, "documents").select(C("doc_id").alias("n"), C("text").cast("binary").alias("content"))
-    declared = F.when(C("quality") == 1, F.sha2("content", 256)).when(C("quality") == 0, F.md5("content"))
+    declared = F.when(C("quality") == 1, F.upper(F.sha2("content", 256))).when(C("quality") == 0, F.md5("content"))
     samples = (
         table(spark, sf, "conversations").select(number.alias("n")).join(labels, "n", "left").join(content, "n", "left")
         .select(C("n").cast("string").alias("sample_id"), C("n").cast("string").alias("audio_path"), declared.alias("sha256"))

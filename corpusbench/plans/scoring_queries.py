@@ -36,6 +36,46 @@ def coverage_classes(spark: SparkSession, sf: str) -> DataFrame:
     return _classified(spark, sf).select("sample_id", "group_id", "coverage", "hypothesis")
 
 
+_HEARD_TWICE = "status = 'failed' OR contains(text, 'que')"
+_REPEATED = {
+    "heard_twice": f"SELECT * FROM recs UNION ALL SELECT * FROM recs WHERE {_HEARD_TWICE}",
+    "asked_twice": "SELECT * FROM refs UNION ALL SELECT * FROM refs WHERE text = ''",
+    "told": """
+SELECT sample_id, CASE WHEN asked > 1 OR heard > 1 THEN 'duplicate' WHEN heard IS NULL THEN 'missing' ELSE 'scored' END AS coverage
+FROM (SELECT sample_id, count(*) AS asked FROM asked_twice GROUP BY 1)
+LEFT JOIN (SELECT sample_id, count(*) AS heard FROM heard_twice GROUP BY 1) USING (sample_id)
+""",
+}
+VIEWS.update(_REPEATED)
+
+
+def _repeated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """References whose silence controls come twice, and recognitions of which some came twice."""
+    asked, heard = v.references(spark, sf), v.recognitions(spark, sf)
+    return asked.union(asked.where("text = ''")), heard.union(heard.where(_HEARD_TWICE))
+
+
+@query("j1_duplicate_ids", "SELECT sample_id, coverage FROM told", ("refs", "recs", *_REPEATED))
+def duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.classify_coverage(*_repeated(spark, sf)).select("sample_id", "coverage")
+
+
+@query(
+    "a3_coverage_with_duplicates",
+    """
+SELECT *, missing + failed + duplicate AS unscored, scored::DOUBLE / nullif(expected, 0) AS rate, expected > 0 AND missing + failed + duplicate = 0 AS complete
+FROM (SELECT count(*) AS expected, count(*) FILTER (coverage = 'scored') AS scored, count(*) FILTER (coverage = 'missing') AS missing,
+             0 AS failed, count(*) FILTER (coverage = 'duplicate') AS duplicate,
+             (SELECT count(*) FROM heard_twice WHERE sample_id NOT IN (SELECT sample_id FROM refs)) AS unexpected FROM told)
+""",
+    ("refs", "recs", *_REPEATED),
+)
+def coverage_with_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """All failed recognitions came twice, so none is left that only failed."""
+    asked, heard = _repeated(spark, sf)
+    return scoring.coverage_summary(scoring.classify_coverage(asked, heard), scoring.unexpected_recognitions(asked, heard))
+
+
 @query(
     "j2_unexpected_recognitions",
     "SELECT sample_id, text FROM recs WHERE sample_id NOT IN (SELECT sample_id FROM refs)",
@@ -93,7 +133,7 @@ def group_score_texts(spark: SparkSession, sf: str) -> DataFrame:
     """
 SELECT *, missing + failed AS unscored, scored::DOUBLE / nullif(expected, 0) AS rate, expected > 0 AND missing + failed = 0 AS complete
 FROM (SELECT count(*) AS expected, count(*) FILTER (coverage = 'scored') AS scored, count(*) FILTER (coverage = 'missing') AS missing,
-             count(*) FILTER (coverage = 'failed') AS failed,
+             count(*) FILTER (coverage = 'failed') AS failed, 0 AS duplicate,
              (SELECT count(*) FROM recs WHERE sample_id NOT IN (SELECT sample_id FROM refs)) AS unexpected FROM classified)
 """,
     _PAIR,
@@ -156,12 +196,6 @@ def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(b.bootstrap_intervals(v.line_scores(spark, sf)), 9, *_BOUNDS)
 
 
-@query("a5_bootstrap_reference_stream")
-def bootstrap_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with the sequential draw stream of earlier reports."""
-    return b.bootstrap_intervals(v.line_scores(spark, sf), mode="reference")
-
-
 VIEWS["text_groups"] = f"""
 SELECT *, row_number() OVER (ORDER BY substr(md5(group_id), 1, 3), group_id) - 1 AS slot, count(*) OVER () AS gc
 FROM (SELECT group_id, {_WORD_SUMS} FROM scored WHERE NOT is_silence GROUP BY group_id)

@@ -7,9 +7,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusbench.functions.classify import failure_code
 from corpusbench.operators import inference
 from corpusbench.operators.spread import compute_partitions
-from corpusbench.plans.registry import query, table
+from corpusbench.plans.registry import query, spread_table, table
 from corpusbench.sources import manifests, payloads
 from corpusbench.sources.strict import Field, object_issues
 
@@ -34,6 +35,8 @@ def _quoted(text: object) -> object:
 SELECT doc_id, rule FROM (
   SELECT doc_id, 'missing' AS rule FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
   UNION ALL SELECT doc_id, 'type' FROM labels WHERE quality = 0
+  UNION ALL SELECT doc_id, 'type' FROM labels JOIN documents USING (doc_id) WHERE quality = 1 AND source IN ('src1', 'src2')
+  UNION ALL SELECT doc_id, 'json' FROM documents WHERE source IN ('src3', 'src4') AND lang <> 'fr'
   UNION ALL SELECT doc_id, 'unknown' FROM documents WHERE lang = 'de'
   UNION ALL SELECT doc_id, 'duplicate_key' FROM documents WHERE lang = 'fr')
 WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr') OR rule IN ('duplicate_key', 'missing')
@@ -41,15 +44,18 @@ WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr') OR rule IN
 )
 def strict_json(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as JSON rows: labels may be missing or of the wrong type, German rows have a field
-    nobody knows and French ones repeat a key (so nothing more than their fields can be checked)."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    nobody knows and French ones repeat a key (so nothing more than their fields can be checked).
+    Two sources write 1.0 and numbers beyond 64 bits, two go on after the object."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
     joined = docs.join(table(spark, sf, "labels"), "doc_id", "left")
-    label = F.when(C("quality") == 0, F.lit("true")).otherwise(C("quality").cast("string"))
+    written = F.when(C("source") == "src1", "1.0").when(C("source") == "src2", "1" * 24).otherwise("1")
+    label = F.when(C("quality") == 0, F.lit("true")).when(C("quality") == 1, written)
     lang = C("lang")
     text = _object(
         "doc_id", C("doc_id").cast("string"), "label", label, "lang", _quoted(lang),
         "extra", F.when(lang == "de", F.lit("[1,{}]")), "lang", F.when(lang == "fr", F.lit('"x"')),
     )
+    text = F.when(C("source") == "src3", F.concat(text, F.lit(' {"z":2}'))).when(C("source") == "src4", F.concat(text, F.lit("}"))).otherwise(text)
     fields = (Field("doc_id", "int"), Field("label", "int"), Field("lang"))
     found = joined.select("doc_id", F.explode(object_issues(text, fields)).alias("e"))
     return found.select("doc_id", "e.rule")
@@ -217,17 +223,26 @@ FROM pages
 @query("s13_page_text", _ADS)
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
     """Advertisement blocks of whole pages as containers."""
-    pages = table(spark, sf, "pages").repartition(compute_partitions(spark), "page_id")
+    pages = spread_table(spark, sf, "pages", "page_id", "html")
     return pages.select("page_id", payloads.container_text(C("html"), attribute="class", value="ad").alias("text"))
 
 
 @query("s13_page_text_compat", _ADS)
 def page_text_compat(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages").repartition(compute_partitions(spark), "page_id")
+    pages = spread_table(spark, sf, "pages", "page_id", "html")
     text = payloads.container_text(C("html"), attribute="class", value="ad", void_elements="compat")
     return pages.select("page_id", text.alias("text"))
 
 
+@query("s13_page_text_case", _ADS)
+def page_text_case(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pages, with the tags and attribute names of every second German one in capitals."""
+    shouted = F.replace(F.replace(C("html"), F.lit('<div class="ad">'), F.lit('<DIV CLASS="&#97;d">')), F.lit("</div>"), F.lit("</DIV>"))
+    html = F.when(C("html").contains('lang="de"'), shouted).otherwise(C("html"))
+    pages = spread_table(spark, sf, "pages", "page_id", "html")
+    return pages.select("page_id", payloads.container_text(html, attribute="class", value="ad").alias("text"))
+
+
 @query(
     "s9_run_artifact",
     """
@@ -275,6 +290,48 @@ def batch_transcription(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+class _CudaOutOfMemory(RuntimeError):
+    retryable = True
+
+
+class _Failing(_Echo):
+    """Refuses Spanish rows before it starts, runs out of memory on long ones, and can't be closed."""
+
+    def preflight(self, sample: dict[str, Any]) -> None:
+        if sample["lang"] == "es":
+            raise ValueError("not in Spanish")
+
+    def transcribe(self, sample: dict[str, Any]) -> dict[str, Any]:
+        if len(sample["text"]) > 5000:
+            raise _CudaOutOfMemory("CUDA out of memory")
+        return {"text": sample["text"], "metadata": {"model": "echo"}, "gpu_peak_allocated_bytes": len(sample["text"])}
+
+    def close(self) -> None:
+        raise OSError("still busy")
+
+
+@query(
+    "x6_failure_stages",
+    """
+SELECT CAST(doc_id AS VARCHAR) AS sample_id, CASE WHEN lang = 'es' OR length(text) > 5000 THEN 'failed' ELSE 'ok' END AS status,
+       CASE WHEN lang = 'es' THEN 'preflight' WHEN length(text) > 5000 THEN 'transcribe' END AS stage,
+       CASE WHEN lang = 'es' THEN 'invalid_argument' WHEN length(text) > 5000 THEN 'cuda_oom' END AS code,
+       CASE WHEN lang = 'es' THEN false WHEN length(text) > 5000 THEN true END AS retryable,
+       CASE WHEN lang <> 'es' AND length(text) <= 5000 THEN length(text)::BIGINT END AS gpu_peak
+FROM documents UNION ALL SELECT NULL, 'failed', 'close', 'backend_error', false, NULL
+""",
+)
+def failure_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """Stage and code of every row's failure; backends that can't be closed are told once."""
+    docs = table(spark, sf, "documents").select(C("doc_id").cast("string").alias("sample_id"), "text", "lang")
+    results = inference.transcribe(docs, _Failing, warmup_runs=0, partitions=compute_partitions(spark))
+    code = F.when(C("failure").isNotNull(), failure_code(C("failure.families"), C("failure.message")))
+    return results.select(
+        "sample_id", "status", "failure.stage", code.alias("code"), "failure.retryable",
+        C("measurement.gpu_peak_allocated_bytes").alias("gpu_peak"),
+    ).distinct()
+
+
 def _provider() -> Any:
     def search(text: str) -> list[dict[str, Any]]:
         if text.startswith("L"):

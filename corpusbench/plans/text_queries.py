@@ -280,7 +280,9 @@ FROM events
 )
 def failure_codes(spark: SparkSession, sf: str) -> DataFrame:
     message = F.when(C("event_type") == "error", "CUDA Out of Memory").otherwise("bad state")
-    return table(spark, sf, "events").select("event_id", failure_code(F.expr(_ERROR), message).alias("code"))
+    named = F.expr(_ERROR)
+    bases = F.when(named == "RuntimeError", F.array(F.lit("OutOfMemoryError"), named)).otherwise(F.array(named))
+    return table(spark, sf, "events").select("event_id", failure_code(bases, message).alias("code"))
 
 
 @query(

@@ -1,12 +1,8 @@
-"""Session settings and the shared checkpoint folder."""
+"""Session settings."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-CHECKPOINT_SETTING = "spark.checkpoint.dir"
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", *, memory: str = "8g", name: str = "corpusbench") -> SparkSession:
@@ -23,13 +19,3 @@ def local_session(cores: int | str = "*", *, memory: str = "8g", name: str = "co
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder the cluster names; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get(CHECKPOINT_SETTING, None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="corpusbench-checkpoint-"))
-    return df.checkpoint(eager=True)

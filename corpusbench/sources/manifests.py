@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusbench.contracts import rulesets
 from corpusbench.contracts.rules import Rule, broken_rules, duplicates
-from corpusbench.functions.text import sample_id_from_path
+from corpusbench.functions.text import sample_id_from_path, strip_text
 from corpusbench.sources.strict import Field, object_issues, sql_schema
 
 C = F.col
@@ -181,7 +182,7 @@ def join_references(audio: DataFrame, texts: DataFrame) -> DataFrame:
     def stem(column: Column) -> Column:
         return F.regexp_replace(column, r"(?<=[^/])\.[^./]*$", "")
 
-    sidecar = texts.select(stem(C("relative_path")).alias("_stem"), F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("_text"))
+    sidecar = texts.select(stem(C("relative_path")).alias("_stem"), F.coalesce(strip_text(C("text")), F.lit("")).alias("_text"))
     joined = audio.withColumn("_stem", stem(C("relative_path"))).join(sidecar, "_stem", "left")
     return joined.select(
         sample_id_from_path(C("relative_path")).alias("sample_id"),
@@ -193,13 +194,21 @@ def join_references(audio: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def below(path: Column, root: str) -> Column:
+    """``path`` relative to ``root``; scheme and authority don't count, a path elsewhere is refused."""
+    place = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    start = re.sub(place, "", root).rstrip("/") + "/"
+    plain = F.regexp_replace(path, place, "")
+    elsewhere = F.raise_error(F.concat(F.lit("not below the root: "), path)).cast("string")
+    return F.when(plain.startswith(start), F.substr(plain, F.lit(len(start) + 1))).otherwise(elsewhere)
+
+
 def discover_samples(spark: SparkSession, root: str) -> DataFrame:
     """Samples found below an audio folder, sorted by path.  Check ids with ``duplicates``."""
     base = root.rstrip("/")
 
     def relative(path: Column) -> Column:
-        plain = F.regexp_replace(path, r"^[a-z0-9]+:(//)?(?=/)", "")
-        return F.substr(plain, F.lit(len(base) + 2))
+        return below(path, base)
 
     files = file_fingerprints(spark, base, AUDIO_SUFFIXES)
     audio = files.select(relative(C("path")).alias("relative_path"), "sha256")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusbench.functions.classify import display_duration
+from corpusbench.functions.text import has_text, strip_text
 
 C = F.col
 
@@ -38,14 +39,10 @@ EVENT_MARKER = "stt_event="
 SONG_ID = r"\A[1-9][0-9]*\z"
 
 
-def _stripped(text: Column) -> Column:
-    return F.nullif(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
-
-
 def renderer_text(value: Column) -> Column:
     """``simpleText`` unless blank, else the joined runs; NULL when both are blank."""
     runs = F.array_join(F.transform(value["runs"], lambda r: F.coalesce(r["text"], F.lit(""))), "")
-    return F.coalesce(_stripped(value["simpleText"]), _stripped(runs))
+    return F.coalesce(strip_text(value["simpleText"]), strip_text(runs))
 
 
 def search_candidates(rows: DataFrame, video_id_pattern: str = r"[A-Za-z0-9_-]{11}") -> DataFrame:
@@ -79,9 +76,9 @@ def song_candidates(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
         result = hit["result"]
         good = (
             F.trim(result["id"]).rlike(SONG_ID)
-            & result["title"].rlike(r"\S")
-            & result["url"].rlike(r"\S")
-            & result["primary_artist"]["name"].rlike(r"\S")
+            & has_text(result["title"])
+            & has_text(result["url"])
+            & has_text(result["primary_artist"]["name"])
         )
         return ~F.coalesce(good, F.lit(False))
 
@@ -93,9 +90,9 @@ def song_candidates(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
         "source_key",
         "position",
         F.trim(result["id"]).alias("song_id"),
-        _stripped(result["title"]).alias("title"),
-        _stripped(result["primary_artist"]["name"]).alias("artist"),
-        _stripped(result["url"]).alias("url"),
+        strip_text(result["title"]).alias("title"),
+        strip_text(result["primary_artist"]["name"]).alias("artist"),
+        strip_text(result["url"]).alias("url"),
     )
     failures = judged.where("_invalid").select(
         "source_key",
@@ -113,28 +110,28 @@ def song_details(payloads: DataFrame) -> DataFrame:
     returned = F.trim(song["id"])
     usable = (
         returned.rlike(SONG_ID)
-        & song["title"].rlike(r"\S")
-        & song["url"].rlike(r"\S")
-        & song["primary_artist"]["name"].rlike(r"\S")
+        & has_text(song["title"])
+        & has_text(song["url"])
+        & has_text(song["primary_artist"]["name"])
     )
     code = (
         F.when(song.isNull(), "invalid_response")
         .when(returned.rlike(SONG_ID) & (returned != C("requested_id")), "identity_mismatch")
         .when(~F.coalesce(usable, F.lit(False)), "invalid_response")
     )
-    tag = _stripped(song["primary_tag"]["name"])
+    tag = strip_text(song["primary_tag"]["name"])
     none = F.array().cast("array<string>")
     return payloads.select(
         "source_key",
         "requested_id",
         returned.alias("returned_id"),
-        _stripped(song["title"]).alias("title"),
-        _stripped(song["primary_artist"]["name"]).alias("artist"),
-        _stripped(song["url"]).alias("url"),
+        strip_text(song["title"]).alias("title"),
+        strip_text(song["primary_artist"]["name"]).alias("artist"),
+        strip_text(song["url"]).alias("url"),
         F.when(tag.isNotNull(), F.array(tag)).otherwise(none).alias("genres"),
-        _stripped(song["label"]).alias("label"),
-        _stripped(song["album"]["name"]).alias("album"),
-        _stripped(song["release_date_for_display"]).alias("release_date"),
+        strip_text(song["label"]).alias("label"),
+        strip_text(song["album"]["name"]).alias("album"),
+        strip_text(song["release_date_for_display"]).alias("release_date"),
         code.alias("error_code"),
     )
 
@@ -149,40 +146,63 @@ _BLOCKS = ("div", "p", "li")
 _SKIPPED = ("script", "style")
 
 
-class _ContainerText(HTMLParser):
-    """Collects the text inside elements that carry a marker attribute."""
+class _Events(HTMLParser):
+    """A page as a list of (kind, tag or text, attributes)."""
 
-    def __init__(self, attribute: str, value: str, compat: bool) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self._marker, self._compat = (attribute, value), compat
-        self._path: list[str] = []  # open elements from the container inwards
-        self._pieces: list[str] = []
+        self.found: list[tuple[str, str, list]] = []
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if not self._path:
-            self._path = [tag] if self._marker in attrs else []
-            return
-        if self._compat or tag not in _VOID:
-            self._path.append(tag)
-        if tag == "br" or (tag in _BLOCKS and self._pieces):
-            self._pieces.append("\n")
+    def handle_data(self, data: str) -> None:
+        self.found.append(("text", data, []))
 
     def handle_endtag(self, tag: str) -> None:
-        if self._compat:
-            # whatever is open innermost ends, even if it is an unclosed void element
-            del self._path[-1:]
-        elif tag in self._path:
-            del self._path[len(self._path) - 1 - self._path[::-1].index(tag) :]
-        if tag in _BLOCKS or not self._path:
-            self._pieces.append("\n")
+        self.found.append(("end", tag, []))
 
-    def handle_data(self, data: str) -> None:
-        if self._path and not any(tag in _SKIPPED for tag in self._path):
-            self._pieces.append(data)
-
-    def result(self) -> str | None:
-        lines = (" ".join(line.split()) for line in "".join(self._pieces).splitlines())
-        return "\n".join(line for line in lines if line) or None
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.found.append(("start", tag, attrs))
+
+
+def _nested(events: list, marker: tuple[str, str], compat: bool) -> Iterator[tuple[str, str]]:
+    """Events inside marked elements: visible text as it is, and a break wherever a line ends."""
+    open_tags: list[str] = []  # from the marked element inwards
+    for kind, name, attributes in events:
+        if kind == "text":
+            if open_tags and not set(open_tags) & set(_SKIPPED):
+                yield "text", name
+        elif kind == "start" and not open_tags:
+            open_tags += [name] if marker in attributes else []
+        elif kind == "start":
+            if name in ("br", *_BLOCKS):
+                yield "break", name
+            if compat or name not in _VOID:
+                open_tags.append(name)
+        else:
+            if name in _BLOCKS:
+                yield "break", name
+            innermost = len(open_tags) - 1
+            # in compat mode whatever is open innermost ends, even an unclosed void element
+            while not compat and innermost >= 0 and open_tags[innermost] != name:
+                innermost -= 1
+            if innermost >= 0:
+                del open_tags[innermost:]
+            if not open_tags:
+                yield "break", name
+
+
+def _lines(pieces: Iterator[tuple[str, str]]) -> Iterator[str]:
+    """Lines of text with single spaces; empty ones are left out."""
+    line = ""
+    for kind, text in pieces:
+        # the mark keeps a line break at the text's end from being swallowed
+        first, *others = ["", "|"] if kind == "break" else (text + "|").splitlines()
+        parts = [first, *others]
+        parts[-1] = parts[-1][:-1]
+        line += parts[0]
+        for part in parts[1:]:
+            yield " ".join(line.split())
+            line = part
+    yield " ".join(line.split())
 
 
 def container_text(
@@ -199,18 +219,19 @@ def container_text(
     compat = void_elements == "compat"
 
     def extract(page: str) -> str | None:
-        parser = _ContainerText(attribute, value, compat)
+        parser = _Events()
         parser.feed(page)
         parser.close()
-        return parser.result()
+        return "\n".join(filter(None, _lines(_nested(parser.found, (attribute, value), compat)))) or None
 
     @F.pandas_udf(T.StringType())
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
             yield pages.map(extract, na_action="ignore")
 
-    # pages without the marker value never reach Python
-    return texts(F.when(html.contains(value) & html.contains(attribute), html))
+    # Pages without the attribute never reach Python.  Its name stands in the page as it is, in any
+    # case; the value may be written in other ways and is left to the parser.
+    return texts(F.when(F.lower(html).contains(attribute.lower()), html))
 
 
 # --- events ---------------------------------------------------------------------------------------

@@ -47,6 +47,19 @@ def _issue(condition: Column, rule: str, message: Column) -> Column:
     return F.when(condition, F.struct(F.lit(rule).alias("rule"), message.alias("message")))
 
 
+def _alone(text: Column) -> Column:
+    """Whether nothing follows the first JSON value: a mark put behind it must be the second of a list."""
+    mark = F.sha2(text, 256)
+    listed = F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))
+    return F.coalesce(F.try_variant_get(F.try_parse_json(listed), "$[1]", "string") == mark, F.lit(False))
+
+
+def _whole_number(text: Column, name: str) -> Column:
+    """Whether a field is written as a whole number that fits 64 bits: 1.0 is no such number."""
+    literal = F.get_json_object(text, f"$.{name}")
+    return F.coalesce(literal.rlike(r"\A-?\d+\z") & literal.try_cast("bigint").isNotNull(), F.lit(False))
+
+
 def object_issues(text: Column, fields: Sequence[Field]) -> Column:
     """Array of (rule, message) that keep a JSON text from being an object of these fields."""
     # through a one-element array, so the text is parsed once and not once per check
@@ -57,7 +70,7 @@ def object_issues(text: Column, fields: Sequence[Field]) -> Column:
 
 def _checks(text: Column, variant: Column, keys: Column, fields: Sequence[Field]) -> Column:
     kind = F.schema_of_variant(variant)
-    readable = F.coalesce(kind.startswith("OBJECT<") & text.rlike(r"\}\s*\z"), F.lit(False))
+    readable = F.coalesce(kind.startswith("OBJECT<") & _alone(text), F.lit(False))
     repeated = F.coalesce(F.size(F.array_distinct(keys)) < F.size(keys), F.lit(False))
     expected = F.array(*[F.lit(f.name) for f in fields])
     required = F.array(*[F.lit(f.name) for f in fields if not f.optional]).cast("array<string>")
@@ -75,5 +88,7 @@ def _checks(text: Column, variant: Column, keys: Column, fields: Sequence[Field]
         found = F.schema_of_variant(F.try_variant_get(variant, f"$.{field.name}", "variant"))
         allowed = _TYPES[field.kind] + ("|VOID" if field.nullable else "")
         wrong = found.isNotNull() & ~found.rlike(rf"\A(?:{allowed})\z")
+        if field.kind == "int":
+            wrong = wrong | (found.isNotNull() & (found != "VOID") & ~_whole_number(text, field.name))
         checks.append(_issue(wrong, "type", F.lit(f"{field.name} must be of type {field.kind}")))
     return F.array(*checks)

@@ -193,38 +193,10 @@ def percentile(values, p):
     return ordered[low] * (1 - (position - low)) + ordered[high] * (position - low)
 
 
-def test_reference_stream_equals_python_random():
-    for seed, groups in ((42, 12), (7, 1000), (0, 2)):
-        rng = random.Random(seed)
-        expected = [rng.randrange(groups) for _ in range(5000)]
-        assert bootstrap.stream_draws(seed, groups, 0, 5000).tolist() == expected
-        assert bootstrap.stream_draws(seed, groups, 1234, 1300).tolist() == expected[1234:1300]
-
-
-def test_reference_intervals_equal_the_sequential_definition(spark):
-    frame, rows = counted(spark)
-    sums = {}
-    for row in rows:
-        total = sums.setdefault(row[1], [0, 0])
-        total[0] += row[2] + row[3] + row[4]
-        total[1] += row[5]
-    names = sorted(sums)
-    rng = random.Random(42)
-    draws = []
-    for _ in range(200):
-        drawn = [sums[names[rng.randrange(len(names))]] for _ in names]
-        draws.append(sum(e for e, _ in drawn) / sum(n for _, n in drawn))
-    found = bootstrap.bootstrap_intervals(frame, replicates=200, mode="reference").first()
-    assert found.wer_lower == pytest.approx(percentile(draws, 0.025))
-    assert found.wer_upper == pytest.approx(percentile(draws, 0.975))
-    assert (found.group_count, found.valid_wer_replicates) == (12, 200)
-
-
-@pytest.mark.parametrize("mode", ["hash", "reference"])
-def test_intervals_do_not_depend_on_row_order(spark, mode):
+def test_intervals_do_not_depend_on_row_order(spark):
     frame, _ = counted(spark)
-    first = bootstrap.bootstrap_intervals(frame.repartition(5), replicates=60, mode=mode).first()
-    second = bootstrap.bootstrap_intervals(frame.orderBy(F.rand(3)).coalesce(1), replicates=60, mode=mode).first()
+    first = bootstrap.bootstrap_intervals(frame.repartition(5), replicates=60).first()
+    second = bootstrap.bootstrap_intervals(frame.orderBy(F.rand(3)).coalesce(1), replicates=60).first()
     assert first == second
 
 
@@ -235,23 +207,22 @@ def test_group_numbers_are_dense(spark):
     assert {r.group_count for r in numbered.collect()} == {500}
 
 
-@pytest.mark.parametrize("mode", ["hash", "reference"])
-def test_too_few_groups_have_a_reason(spark, mode):
+def test_too_few_groups_have_a_reason(spark):
     frame, _ = counted(spark, groups=1)
-    found = bootstrap.bootstrap_intervals(frame, replicates=10, mode=mode).first()
+    found = bootstrap.bootstrap_intervals(frame, replicates=10).first()
     assert found.wer_lower is None and found.valid_wer_replicates == 0
-    assert found.reason == "At least two independent non-silence groups are required"
+    assert found.reason == "fewer than two groups with speech"
 
 
 def test_disabled_bootstrap(spark):
     frame, _ = counted(spark)
     found = bootstrap.bootstrap_intervals(frame, replicates=0).first()
-    assert (found.reason, found.wer_lower, found.group_count) == ("Bootstrap was disabled", None, 12)
+    assert (found.reason, found.wer_lower, found.group_count) == ("no replicates were asked for", None, 12)
 
 
 def test_bootstrap_parameters(spark):
     frame, _ = counted(spark)
-    for bad in ({"replicates": -1}, {"confidence": 1.0}, {"mode": "other"}):
+    for bad in ({"replicates": -1}, {"confidence": 1.0}):
         with pytest.raises(ValueError):
             bootstrap.bootstrap_intervals(frame, **bad)
 
@@ -265,3 +236,29 @@ def test_paired_difference_of_equal_models_is_zero(spark):
 def test_percentile_interpolates(spark):
     frame = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (10.0,)], "v double")
     assert frame.agg(bootstrap.percentile(C("v"), 0.025)).first()[0] == pytest.approx(1.075)
+
+
+def test_duplicate_ids_are_told_and_not_scored(spark):
+    references = spark.createDataFrame(
+        [("a", "g", "uno dos"), ("b", "g", "tres"), ("b", "h", "tres"), ("c", "g", "x"), (None, "g", "y"), (None, "g", "z")],
+        "sample_id string, group_id string, text string",
+    )
+    recognitions = spark.createDataFrame(
+        [("a", "uno", "ok", None), ("a", "uno", "ok", None), ("b", "tres", "ok", None), ("c", "x", "ok", None)],
+        "sample_id string, text string, status string, error string",
+    )
+    report = scoring.evaluate(references, recognitions)
+    coverage = report.coverage.first()
+    assert (coverage.expected, coverage.scored, coverage.duplicate, coverage.complete) == (4, 1, 3, False)
+    assert [(r.sample_id, r.w_n) for r in report.utterances.collect()] == [("c", 1)]
+    details = {(r.coverage, r.sample_id) for r in report.coverage_details.collect()}
+    assert details == {("duplicate", "a"), ("duplicate", "b"), ("duplicate", None)}
+
+
+def test_written_scores_give_the_same_report(spark, tmp_path):
+    references = spark.createDataFrame([("a", "g", "uno dos"), ("b", "g", "tres")], "sample_id string, group_id string, text string")
+    recognitions = spark.createDataFrame([("a", "uno", "ok"), ("b", "tres", "ok")], "sample_id string, text string, status string")
+    kept = scoring.evaluate(references, recognitions, scored_path=str(tmp_path / "scored"))
+    assert kept.speech.collect() == scoring.evaluate(references, recognitions).speech.collect()
+    with pytest.raises(Exception, match="EXISTS"):
+        scoring.evaluate(references, recognitions, scored_path=str(tmp_path / "scored"))

@@ -4,9 +4,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusbench.functions.text import derive_source_id, stable_book_id
+from corpusbench.functions.text import derive_source_id, has_text, stable_book_id, strip_text
 from corpusbench.operators import inference, reports
 from corpusbench.sources import manifests, payloads
+from corpusbench.sources.strict import Field, object_issues
 
 C = F.col
 
@@ -236,3 +237,45 @@ def test_ledger_schemas_fit_their_rules(spark):
     for spec in (ledgers.book_ledger(), ledgers.poem_ledger(), ledgers.lyrics_ledger(), ledgers.media_ledger(), ledgers.suite_ledger()):
         empty = spark.createDataFrame([], spec.schema)
         assert ledgers.current_rows(empty, spec).violations.count() == 0
+
+
+def test_only_one_json_object_and_whole_numbers(spark):
+    fields = (Field("a", "int"), Field("z", "string", optional=True))
+    cases = {
+        '{"a":1}': [], ' {"a":1} \n': [], '{"a":1} {"z":2}': ["json"], '{"a":1}}': ["json"], '{"a":1} junk}': ["json"],
+        '{"a":1.0}': ["type"], '{"a":123456789012345678901234}': ["type"], '{"a":-9223372036854775808}': [], '{"a":1e2}': ["type"],
+        '{"a":1,"z":"\\"]}"}': [], '[{"a":1}]': ["json"], "": ["json"],
+    }
+    frame = spark.createDataFrame([(t,) for t in cases], "t string")
+    found = {r.t: [i.rule for i in r.issues] for r in frame.select("t", object_issues(C("t"), fields).alias("issues")).collect()}
+    assert {t: f[:1] for t, f in found.items()} == cases
+
+
+@pytest.mark.parametrize(
+    "path, root, expected",
+    [
+        ("hdfs://nn/root/a.wav", "/root", "a.wav"), ("s3a://bucket/x/y/a.wav", "s3a://bucket/x/", "y/a.wav"),
+        ("file:/data/a b.wav", "/data", "a b.wav"), ("file:///data/a.wav", "file:/data", "a.wav"), ("/database/a", "/data", None),
+    ],
+)
+def test_paths_below_a_root(spark, path, root, expected):
+    frame = spark.createDataFrame([(path,)], "p string").select(manifests.below(C("p"), root))
+    if expected is None:
+        with pytest.raises(Exception, match="not below the root"):
+            frame.collect()
+    else:
+        assert frame.first()[0] == expected
+
+
+def test_white_space_of_every_kind_is_blank(spark):
+    frame = spark.createDataFrame([("\u00a0\u3000\u2003",), ("\u00a0x\u0085",), (None,)], "t string")
+    assert [tuple(r) for r in frame.select(has_text(C("t")), strip_text(C("t"))).collect()] == [(False, None), (True, "x"), (None, None)]
+
+
+def test_marked_pages_in_any_case(spark):
+    def read(html):
+        return spark.createDataFrame([(html,)], "html string").select(payloads.container_text(C("html"))).first()[0]
+
+    assert read('<DIV DATA-Lyrics-Container="true">Uno<BR>dos<p>tres</DIV>') == "Uno\ndos\ntres"
+    assert read('<div data-lyrics-container="&#116;rue">uno\n dos  tres</div>') == "uno\ndos tres"
+    assert read("<div>true data-lyrics-container</div>") is None
