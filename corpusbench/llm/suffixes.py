@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from corpusbench.llm import windows
 from corpusbench.llm.common import (
-    NO_ID, Powers, prefix_sums, ranges_of, stage_table, text_blocks, text_bytes, text_key, without_nulls,
+    NO_ID, Powers, mix, prefix_sums, ranges_of, signed, span_hash, stage_table, text_blocks, text_bytes, text_key,
+    without_nulls,
 )
 
 WINDOW, GRAM = 50, 24
@@ -34,7 +35,8 @@ def remove_repeated_bytes(
 
     Texts are sharded by content: all suffixes whose first ``window`` bytes are equal have the same
     minimiser and so meet in one shard.  Runs of suffixes equal to a run of a smaller id are settled
-    by their hash; only runs whose minimiser has different contexts go on as strings.  Each shard
+    by their hash; only runs whose minimiser has different contexts go on as strings, and those of a
+    minimiser with very many contexts as single windows, sharded by their own content.  Each shard
     then sorts its suffixes by induction and reads groups of equal strings from the common prefixes.
 
     Null and empty texts have no bytes; a null id counts as larger than every id; rows that repeat an
@@ -53,9 +55,7 @@ def remove_repeated_bytes(
         dealt.mapInArrow(lambda it: windows.match_runs(it, True), windows.MATCH_SCHEMA), "byte-runs"
     )
     texts = docs.select("k1", "t1", "doc_id", "text")
-    wanted = found.where(F.col("kind") == windows.TO_MATCH).groupBy("k1", "t1").agg(
-        F.collect_list(F.struct("start", "n", "h")).alias("spans")
-    )
+    wanted = windows.wanted_spans(found)
     packed = texts.join(wanted, ["k1", "t1"]).mapInArrow(
         lambda it: _pack(it, window), "h long, k1 long, t1 long, start int, bytes binary"
     )
@@ -84,18 +84,34 @@ def _runs(batches: Iterator[pa.RecordBatch], shape: windows.Shape) -> Iterator[p
 
 
 def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Cut the wanted runs out of their texts; a row without bytes is a window already known to be a repeat."""
+    powers = Powers()
     for batch in batches:
         spans = batch.column(batch.schema.get_field_index("spans"))
         k1, t1 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("k1", "t1"))
         for first, raw, offsets in text_blocks(without_nulls(batch, "text"), _BLOCK):
             part = spans.slice(first, len(offsets) - 1)
             text = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
-            start, n, h = (part.flatten().field(i).to_numpy() for i in range(3))
-            data = raw[ranges_of(offsets[text] + start, n + window - 1)]
-            places = np.concatenate([[0], np.cumsum(n + window - 1)]).astype(np.int32)
+            start, n, h, crowded = (part.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            known = np.zeros(0, np.int64)
+            if crowded.any():
+                sums = prefix_sums(raw.astype(np.uint64) + np.uint64(1), powers)
+                at = ranges_of(offsets[text[crowded]] + start[crowded], n[crowded])
+                own = np.repeat(text[crowded], n[crowded])
+                value = span_hash(sums, at, at + window, powers)
+                travels, repeated = windows.settle_windows(value, k1[first + own], True)
+                text = np.concatenate([text[~crowded], own[travels], own[repeated]])
+                start = np.concatenate([start[~crowded], (at - offsets[own])[travels], (at - offsets[own])[repeated]])
+                n = np.concatenate([n[~crowded], np.ones(len(text) - int((~crowded).sum()), n.dtype)])
+                h = np.concatenate([h[~crowded], signed(value[travels]), signed(mix(value[repeated] + at[repeated].astype(np.uint64)))])  # settled: dealt anywhere
+                known = np.arange(len(text) - int(repeated.sum()), len(text))
+            sizes = n.astype(np.int64) + window - 1
+            sizes[known] = 0
+            data = raw[ranges_of(offsets[text] + start, sizes)]
+            places = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             strings = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(places), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(k1[first + text]), pa.array(t1[first + text]), pa.array(start), strings],
+                [pa.array(h), pa.array(k1[first + text]), pa.array(t1[first + text]), pa.array(start.astype(np.int32)), strings],
                 ["h", "k1", "t1", "start", "bytes"],
             )
 
@@ -146,6 +162,9 @@ def _earlier(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     heads, at = hits[first], text[first]
     n = np.diff(np.concatenate([np.flatnonzero(first), [len(hits)]]))
     place = start[at] + heads - (offsets[at] + at)
+    told = np.flatnonzero(np.diff(offsets) == 0)  # rows without bytes
+    at, place = np.concatenate([at, told]), np.concatenate([place, start[told]])
+    n = np.concatenate([n, np.ones(len(told), n.dtype)])
     return pa.RecordBatch.from_arrays(
         [pa.array(k1[at]), pa.array(t1[at]), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))],
         ["k1", "t1", "start", "n"],

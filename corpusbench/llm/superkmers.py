@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusbench.llm import windows
 from corpusbench.llm.common import (
-    NO_ID, Powers, prefix_sums, ranges_of, span_hash, stage_table, text_blocks, text_bytes, text_key,
+    NO_ID, Powers, mix, prefix_sums, ranges_of, signed, span_hash, stage_table, text_blocks, text_bytes, text_key,
     without_nulls, word_bounds, word_hashes,
 )
 
@@ -37,7 +37,9 @@ def repeated_words(
     1. Runs of windows that share a minimiser are reduced to (minimiser, content hash, place); runs
        equal inside a task are settled there, the rest meet sorted by minimiser.
     2. Runs equal to another one are repeated as a whole.  Where a minimiser has different runs, one
-       of each is cut from its text and travels as one packed string to the minimiser's bucket.
+       of each is cut from its text and travels as one packed string to the minimiser's bucket.  A
+       minimiser with very many different runs has its windows travel one by one to buckets of their
+       own, after those that repeat inside a task are settled there.
     3. The bucket counts the windows of its strings by sorting them, and equal hashes are compared
        word by word.
     4. The covered words of each document come together and are removed.
@@ -53,9 +55,7 @@ def repeated_words(
     )
     found = stage_table(_matches(docs, shape), "word-runs")
     texts = docs.select("k1", "t1", "doc_id", "text", "payload")
-    wanted = found.where(F.col("kind") == windows.TO_MATCH).groupBy("k1", "t1").agg(
-        F.collect_list(F.struct("start", "n", "h")).alias("spans")
-    )
+    wanted = windows.wanted_spans(found)
     packed = texts.join(wanted, ["k1", "t1"]).mapInArrow(
         lambda it: _pack(it, window), "h long, k1 long, t1 long, start int, words binary"
     )
@@ -95,7 +95,11 @@ def _runs(batches: Iterator[pa.RecordBatch], shape: windows.Shape) -> Iterator[p
 
 
 def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Cut the wanted runs out of their texts, as the words' bytes from the first to the last word."""
+    """Cut the wanted runs out of their texts, as the words' bytes from the first to the last word.
+
+    A row without words is a window already known to be repeated.
+    """
+    powers = Powers()
     for batch in batches:
         spans = batch.column(batch.schema.get_field_index("spans"))
         k1, t1 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("k1", "t1"))
@@ -103,14 +107,27 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
             starts, ends, bounds = word_bounds(raw, offsets)
             part = spans.slice(first, len(offsets) - 1)
             text = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
-            start, n, h = (part.flatten().field(i).to_numpy() for i in range(3))
+            start, n, h, crowded = (part.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            known = np.zeros(0, np.int64)
+            if crowded.any():
+                sums = prefix_sums(word_hashes(raw, starts, ends, powers), powers)
+                at = ranges_of(bounds[text[crowded]] + start[crowded], n[crowded])
+                own = np.repeat(text[crowded], n[crowded])
+                value = span_hash(sums, at, at + window, powers)
+                travels, repeated = windows.settle_windows(value, k1[first + own], False)
+                text = np.concatenate([text[~crowded], own[travels], own[repeated]])
+                start = np.concatenate([start[~crowded], (at - bounds[own])[travels], (at - bounds[own])[repeated]])
+                n = np.concatenate([n[~crowded], np.ones(len(text) - int((~crowded).sum()), n.dtype)])
+                h = np.concatenate([h[~crowded], signed(value[travels]), signed(mix(value[repeated] + at[repeated].astype(np.uint64)))])  # settled: dealt anywhere
+                known = np.arange(len(text) - int(repeated.sum()), len(text))
             word = bounds[text] + start
             low, high = starts[word], ends[word + n + window - 2]
+            high[known] = low[known]
             data = raw[ranges_of(low, high - low)]
             places = np.concatenate([[0], np.cumsum(high - low)]).astype(np.int32)
             words = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(places), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(k1[first + text]), pa.array(t1[first + text]), pa.array(start), words],
+                [pa.array(h), pa.array(k1[first + text]), pa.array(t1[first + text]), pa.array(start.astype(np.int32)), words],
                 ["h", "k1", "t1", "start", "words"],
             )
 
@@ -149,7 +166,7 @@ def _repeats(batch: pa.RecordBatch, window: int, powers: Powers) -> pa.RecordBat
     hashes = word_hashes(raw, starts, ends, powers)
     words = _word_ids(raw, starts, ends)
     sums = prefix_sums(hashes, powers)
-    counts = np.diff(bounds) - window + 1
+    counts = np.maximum(np.diff(bounds) - window + 1, 0)
     at = ranges_of(bounds[:-1], counts)
     text = np.repeat(np.arange(len(counts)), counts)
     value = span_hash(sums, at, at + window, powers)
@@ -170,6 +187,9 @@ def _repeats(batch: pa.RecordBatch, window: int, powers: Powers) -> pa.RecordBat
     n = np.diff(np.concatenate([np.flatnonzero(first), [len(hits)]]))
     owner = text[heads]
     place = start[owner] + at[heads] - bounds[owner]
+    told = np.flatnonzero(np.diff(bounds) == 0)  # rows without words
+    owner, place = np.concatenate([owner, told]), np.concatenate([place, start[told]])
+    n = np.concatenate([n, np.ones(len(told), n.dtype)])
     return pa.RecordBatch.from_arrays(
         [pa.array(k1[owner]), pa.array(t1[owner]), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))],
         ["k1", "t1", "start", "n"],

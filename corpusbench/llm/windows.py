@@ -13,12 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusbench.llm.common import Powers, mix, signed, sliding_min, span_hash
 
 POSITIONS = 1 << 20
 _PLACE = np.uint64(POSITIONS * 2 - 1)
 TO_MATCH, KNOWN, TO_MATCH_KNOWN = 0, 1, 2
+CROWD = 1000  # runs of one minimiser beyond which its windows go their own ways
 
 RUN_SCHEMA = "k1 long, t1 long, h long, f long, at long"  # at: start, windows and kind in one number
 MATCH_SCHEMA = "k1 long, t1 long, h long, start int, n int, kind int"
@@ -94,6 +97,34 @@ def run_batch(
     )
 
 
+def wanted_spans(found: DataFrame) -> DataFrame:
+    """Runs to compare, listed by text: (start, n, h, crowded).
+
+    A minimiser with more than CROWD different runs, such as that of a passage which very many texts
+    open with words of their own, is crowded: its runs are taken apart into single windows, which
+    meet by their own content instead of in one place.
+    """
+    runs_left = found.where(F.col("kind") == TO_MATCH).select("k1", "t1", "start", "n", "h")
+    crowds = runs_left.groupBy("h").agg(F.count(F.lit(1)).alias("_runs")).where(F.col("_runs") > CROWD)
+    marked = runs_left.join(crowds, "h", "left")
+    span = F.struct("start", "n", "h", F.col("_runs").isNotNull().alias("crowded"))
+    return marked.groupBy("k1", "t1").agg(F.collect_list(span).alias("spans"))
+
+
+def settle_windows(value: np.ndarray, ids: np.ndarray, smaller: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For windows of one batch, by content hash: which must travel, and which are known to be repeats."""
+    order = np.lexsort((ids, value)) if smaller else np.argsort(value, kind="stable")
+    new = np.ones(len(value), bool)
+    new[1:] = value[order][1:] != value[order][:-1]
+    group = np.cumsum(new) - 1
+    travels, known = np.zeros(len(value), bool), np.zeros(len(value), bool)
+    travels[order] = new
+    known[order] = ids[order] > ids[order][new][group] if smaller else (np.bincount(group) > 1)[group]
+    if smaller:  # rows of the smallest id all wait for what other batches have
+        travels = ~known
+    return travels, known
+
+
 def match_runs(batches: Iterator[pa.RecordBatch], smaller: bool) -> Iterator[pa.RecordBatch]:
     """Settle runs sorted by (h, f, k1): KNOWN rows are repeats, TO_MATCH rows need their windows compared.
 

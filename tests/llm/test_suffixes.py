@@ -8,8 +8,9 @@ from tests.llm import brute
 from tests.llm.fixtures import awkward_rows, documents
 
 
-@pytest.mark.parametrize("window, gram", [(50, 24), (7, 4)])
-def test_repeated_bytes(spark, window, gram):
+@pytest.mark.parametrize("window, gram, crowd", [(50, 24, 1000), (7, 4, 1000), (50, 24, 1), (7, 4, 3)])
+def test_repeated_bytes(spark, monkeypatch, window, gram, crowd):
+    monkeypatch.setattr(windows, "CROWD", crowd)
     rows = awkward_rows()
     got = suffixes.remove_repeated_bytes(documents(spark, rows).repartition(5), window, gram)
     found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()]

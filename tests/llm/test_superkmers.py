@@ -5,8 +5,9 @@ from tests.llm import brute
 from tests.llm.fixtures import awkward_rows, documents
 
 
-@pytest.mark.parametrize("window, gram", [(35, 8), (6, 3)])
-def test_repeated_words(spark, window, gram):
+@pytest.mark.parametrize("window, gram, crowd", [(35, 8, 1000), (6, 3, 1000), (35, 8, 1), (6, 3, 3)])
+def test_repeated_words(spark, monkeypatch, window, gram, crowd):
+    monkeypatch.setattr(windows, "CROWD", crowd)
     rows = awkward_rows()
     got = superkmers.repeated_words(documents(spark, rows).repartition(5), window, gram)
     found = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()]
