@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusbench.functions.classify import PARTIAL_MARKERS, content_kind
 from corpusbench.functions.text import ascii_tokens, ascii_words, poem_tokens
 from corpusbench.operators.spread import (
-    DEFAULT_SALTS, below_broadcast_threshold, compute_partitions, spread_join,
+    DEFAULT_SALTS, compute_partitions, spread_join,
 )
 
 C = F.col
@@ -406,9 +406,9 @@ def open_catalog_pairs(
 ) -> DataFrame:
     """All (source_key, candidate_key) whose title coverage reaches the threshold, with no search.
 
-    A candidate that covers k of a title's n tokens shares at least m of the title's n - k + m
-    rarest tokens (m = min(k, 3)), so only those are used to find pairs: exact, and the most
-    frequent tokens are not joined on.  Each pair is then verified on the full token sets.
+    A candidate that covers k of a title's n tokens has at least one of the title's n - k + 1 rarest
+    ones, so only those are used to find pairs: exact, and a title's frequent tokens are joined on
+    only where it has no others.  Each pair is then verified on the full token sets.
 
     ``catalog``: source_key, title.  ``candidates``: candidate_key, title.
     """
@@ -428,16 +428,11 @@ def open_catalog_pairs(
     needed = F.ceil(F.lit(minimum_coverage) * C("n") - F.lit(1e-9))
     probes = (
         words.join(frequency, "token", "left")
-        .withColumns({"place": F.row_number().over(rarity), "least": F.least(needed, F.lit(3))})
-        .where(C("place") <= C("n") - needed + C("least"))
-        .select("source_key", "token", "least")
+        .withColumn("place", F.row_number().over(rarity))
+        .where(C("place") <= C("n") - needed + 1)
+        .select("source_key", "token")
     )
-    # a probe row per title token: some eight times the titles' own size at most
-    met = _meet(held, probes, salts, small=below_broadcast_threshold(catalog, growth=8))
-    pairs = met.groupBy("source_key", "candidate_key").agg(
-        F.count("*").alias("met"), F.max("least").alias("least")
-    )
-    likely = pairs.where("met >= least").select("source_key", "candidate_key")
+    likely = _meet(held, probes, salts).distinct()
     verified = (
         spread_join(likely, titles, ["source_key"], "candidate_key", salts=salts)
         .join(bags, "candidate_key")
@@ -448,18 +443,12 @@ def open_catalog_pairs(
     return verified.where(C("title_coverage") >= minimum_coverage).drop("expected", "actual")
 
 
-def _meet(held: DataFrame, probes: DataFrame, salts: int, *, small: bool) -> DataFrame:
-    """Candidate and title keys that meet on a token.
+def _meet(held: DataFrame, probes: DataFrame, salts: int) -> DataFrame:
+    """Keys of candidates and titles that meet on a token, each frequent token split over the salts.
 
-    Few probes are broadcast to the candidates' tokens.  Many are shuffled, each frequent token
-    split over the salts; the hint keeps Spark from broadcasting the exploded tokens, whose number
-    it underestimates.
+    Whether the probes are broadcast instead is left to Spark, which knows their size at run time.
     """
-    keys = ["token"]
-    if small:
-        met = held.join(F.broadcast(probes), keys)
-    else:
-        salt = F.pmod(F.xxhash64("candidate_key"), F.lit(salts)).cast("int")
-        copies = probes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = held.withColumn("_salt", salt).join(copies.hint("shuffle_hash"), [*keys, "_salt"])
-    return met.select("source_key", "candidate_key", "least")
+    salt = F.pmod(F.xxhash64("candidate_key"), F.lit(salts)).cast("int")
+    copies = probes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = held.withColumn("_salt", salt).join(copies, ["token", "_salt"])
+    return met.select("source_key", "candidate_key")

@@ -94,15 +94,25 @@ def collapse_repeated_details(samples: DataFrame) -> DataFrame:
 
 
 def positions(
-    df: DataFrame, run_keys: Sequence[str], ord_column: str = "ord", *, bucket_width: int = 100_000
+    df: DataFrame, run_keys: Sequence[str], ord_column: str = "ord", *, bucket_rows: int = 100_000
 ) -> DataFrame:
     """1-based ``position`` and ``total`` of every row of a run.
 
     Rows are ranked inside buckets of the order column and shifted by the sizes of the buckets
-    before, so a long run is ranked by many tasks.
+    before, so a long run is ranked by many tasks.  A run's range of values is cut into as many
+    buckets as its rows fill, however sparse the values are.
     """
     keys = list(run_keys)
-    bucketed = df.withColumn("_bucket", F.floor(C(ord_column) / bucket_width))
+    spans = df.groupBy(*keys).agg(
+        F.min(ord_column).cast("double").alias("_low"), F.max(ord_column).cast("double").alias("_high"),
+        F.ceil(F.count("*") / bucket_rows).alias("_buckets"),
+    )
+    share = (C(ord_column).cast("double") - C("_low")) / F.greatest(C("_high") - C("_low"), F.lit(1.0))
+    bucketed = (
+        df.join(spans, keys)
+        .withColumn("_bucket", F.least(F.floor(share * C("_buckets")), C("_buckets") - 1))
+        .drop("_low", "_high", "_buckets")
+    )
     sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
     run = W.partitionBy(*keys)
     before = run.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

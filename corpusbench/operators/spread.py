@@ -12,17 +12,6 @@ _FEW = 4
 _SALT = "_salt"
 
 
-def below_broadcast_threshold(df: DataFrame, growth: int = 1) -> bool:
-    """Whether Spark's size estimate, times a growth factor, lets it broadcast this side of a join."""
-    setting = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        limit = int(setting.rstrip("bB"))
-    except ValueError:
-        return False  # a unit we do not read: spread to be safe
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) * growth <= limit
-
-
 def spread_join(
     facts: DataFrame,
     keyed: DataFrame,
@@ -35,12 +24,12 @@ def spread_join(
     """Join many rows per key to one row per key without giving a key to a single task.
 
     ``facts`` rows of one key go to ``salts`` partitions by a hash of ``spread_by``; the keyed side
-    is repeated once per salt.  A keyed side below Spark's broadcast threshold needs no salt: Spark
-    broadcasts it and no row of ``facts`` moves.
+    is repeated once per salt.  Whether that side is broadcast instead is left to Spark, which knows
+    its size when it is shuffled.
     """
     if how not in ("inner", "left"):
         raise ValueError("a spread join keeps the many-row side: use inner or left")
-    if salts <= 1 or below_broadcast_threshold(keyed):
+    if salts <= 1:
         return facts.join(keyed, list(on), how)
     salted = facts.withColumn(_SALT, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

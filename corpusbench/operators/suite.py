@@ -156,29 +156,30 @@ def resume_problems(manifest: DataFrame, results: DataFrame, failures: DataFrame
     status; ``failures`` and ``active``: run keys, sample_id.
     """
     keys = list(run_keys)
-
-    def problem(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, "sample_id", F.lit(name).alias("problem"))
-
-    planned = manifest.select(*keys, "ord", C("sample_id").alias("_planned"))
-    placed = results.join(planned, [*keys, "ord"], "left")
-    moved = placed.where(~C("sample_id").eqNullSafe(C("_planned")))
-    # dense from zero: as many rows as the last position says
-    sizes = results.groupBy(*keys).agg(
-        F.count("*").alias("stored"), (F.max("ord") + 1).alias("expected"), F.max("sample_id").alias("sample_id")
+    at = [*keys, "ord"]
+    ends = results.groupBy(*keys).agg(
+        F.count("*").alias("_stored"), (F.max("ord") + 1).alias("_next"), F.max("sample_id").alias("_last")
     )
-    gaps = sizes.where("stored <> expected")
-    upcoming = (
-        active.join(sizes.select(*keys, "expected"), keys, "left")
-        .withColumn("ord", F.coalesce("expected", F.lit(0)))
-        .join(planned, [*keys, "ord"], "left")
+    upcoming = active.join(ends.select(*keys, "_next"), keys, "left").select(
+        *keys, F.coalesce("_next", F.lit(0)).alias("ord"), C("sample_id").alias("_active")
     )
-    wrong_active = upcoming.where(~C("sample_id").eqNullSafe(C("_planned")))
-    unlisted = results.where("status = 'failed'").join(failures, [*keys, "sample_id"], "left_anti")
-    return (
-        problem(moved, "not_a_prefix")
-        .unionByName(problem(gaps, "gap"))
-        .unionByName(problem(wrong_active, "wrong_active_sample"))
-        .unionByName(problem(unlisted, "failure_not_listed"))
+    listed = failures.select(*keys, "sample_id").distinct().withColumn("_listed", F.lit(True))
+    stored = results.select(*at, "sample_id", "status", F.lit(True).alias("_there")).join(listed, [*keys, "sample_id"], "left")
+    planned = manifest.select(*at, C("sample_id").alias("_planned"))
+    # one row for each position that is stored or comes next, with everything that is said of it
+    met = stored.join(upcoming, at, "full").join(planned, at, "left")
+
+    def problem(broken: Column, sample: str, name: str) -> Column:
+        return F.when(broken, F.struct(C(sample).alias("sample_id"), F.lit(name).alias("problem")))
+
+    found = F.array_compact(
+        F.array(
+            problem(C("_there") & ~C("sample_id").eqNullSafe(C("_planned")), "sample_id", "not_a_prefix"),
+            problem(C("_active").isNotNull() & ~C("_active").eqNullSafe(C("_planned")), "_active", "wrong_active_sample"),
+            problem((C("status") == "failed") & C("_listed").isNull(), "sample_id", "failure_not_listed"),
+        )
     )
-
+    told = met.select(*keys, F.inline(found))
+    # dense from zero: as many rows as the last position says
+    gaps = ends.where("_stored <> _next").select(*keys, C("_last").alias("sample_id"), F.lit("gap").alias("problem"))
+    return told.unionByName(gaps)

@@ -478,7 +478,7 @@ def collapsed(spark: SparkSession, sf: str) -> DataFrame:
 )
 def positions(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select("user_id", "event_id")
-    return reports.positions(events, ["user_id"], "event_id", bucket_width=1000)
+    return reports.positions(events, ["user_id"], "event_id", bucket_rows=1000)
 
 
 @query(

@@ -172,7 +172,7 @@ def test_preview_and_positions(spark):
     errors = spark.range(8).select(F.lit("g").alias("group"), "id")
     shown = reports.error_preview(errors, ["group"], ["id"]).collect()
     assert [(r.id, r.additional) for r in shown] == [(i, 3) for i in range(5)]
-    placed = reports.positions(errors, ["group"], "id", bucket_width=3).orderBy("id").collect()
+    placed = reports.positions(errors, ["group"], "id", bucket_rows=3).orderBy("id").collect()
     assert [(r.position, r.total) for r in placed] == [(i + 1, 8) for i in range(8)]
 
 
@@ -205,3 +205,12 @@ def test_short_audio_policy(spark):
     rejected = ledger.short_audio_failures(rows).where("failure IS NOT NULL")
     assert sorted(r.sample_id for r in rejected.collect()) == ["a", "b"]
     assert ledger.short_audio_failures(rows, policy="allow").where("failure IS NOT NULL").count() == 0
+
+
+def test_positions_of_sparse_values_use_few_buckets(spark):
+    rows = [("big", k * 10**12 + k % 7) for k in range(900)] + [("small", -5), ("small", 10**15), ("one", 3)]
+    frame = spark.createDataFrame(rows, "run string, ord long")
+    found = {(r.run, r.ord): (r.position, r.total) for r in reports.positions(frame, ["run"], bucket_rows=100).collect()}
+    for run in ("big", "small", "one"):
+        own = sorted(o for r, o in rows if r == run)
+        assert [found[(run, o)] for o in own] == [(k + 1, len(own)) for k in range(len(own))]

@@ -178,3 +178,23 @@ def test_matches_do_not_depend_on_salts_or_partitions(spark, no_broadcast):
     first = matching.match_poems(poem, rows.coalesce(1), salts=1).select(columns).collect()
     second = matching.match_poems(poem.repartition(3), rows.repartition(9), salts=7).select(columns).collect()
     assert sorted(first) == sorted(second)
+
+
+def test_open_catalog_joins_on_rare_tokens_only(spark):
+    """Short titles full of stop words: joined rows stay far below all pairs, and no pair is lost."""
+    titles = [(f"t{k}", f"la casa de el rio{k} azul{k}") for k in range(60)]
+    offers = [(f"c{k}", f"la casa de el monte{k}") for k in range(60)] + [(f"d{k}", f"rio{k} azul{k} la") for k in range(60)]
+    catalog = spark.createDataFrame(titles, "source_key string, title string")
+    candidates = spark.createDataFrame(offers, "candidate_key string, title string")
+    found = {(r.source_key, r.candidate_key) for r in matching.open_catalog_pairs(catalog, candidates, minimum_coverage=0.5).collect()}
+    bags = {k: set(t.split()) for k, t in titles + offers}
+    truth = {(a, b) for a, _ in titles for b, _ in offers if len(bags[a] & bags[b]) >= 0.5 * len(bags[a])}
+    assert found == truth
+    strict = matching.open_catalog_pairs(catalog, candidates, minimum_coverage=0.8)
+    assert strict.count() == 0
+
+
+def test_probes_are_the_rarest_tokens(spark):
+    held = spark.createDataFrame([(f"c{k}", "de") for k in range(500)] + [("c0", "rio")], "candidate_key string, token string")
+    probes = spark.createDataFrame([("t", "rio")], "source_key string, token string")
+    assert matching._meet(held, probes, 4).count() == 1
