@@ -33,11 +33,10 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words that repeated windows cover; texts that lose nothing keep their layout."""
+    """All documents, without the words that repeated windows cover; texts that lose nothing keep their layout."""
     cleaned = superkmers.repeated_words(docs, keep=docs.columns)
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    kept = cleaned.withColumn("text", text).where("n_removed < n_words OR n_words = 0")
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return cleaned.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

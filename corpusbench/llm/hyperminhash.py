@@ -15,8 +15,7 @@ from corpusbench.llm.common import (
 )
 
 WORDS, PERCENT = 5, 85
-BANDS, ROWS = 64, 10
-REGISTERS = BANDS * ROWS
+REGISTERS = 640
 COMPARED = 192  # registers an estimate is made from
 MANTISSA = 20
 BLOCK = 512
@@ -36,8 +35,9 @@ def near_duplicates(
     1. Equal sets are linked to the smallest id that has them; only that one goes on.
     2. A shingle's hash picks a register; the register keeps the least remaining hash as its count of
        leading zeros and 20 bits behind them.  Empty registers borrow from others, so that two
-       registers are equal as often as their sets are similar whatever the sets' sizes.  Bands of ten
-       registers collide for similar sets: at a similarity of 0.85 all 64 bands miss once in a million.
+       registers are equal as often as their sets are similar whatever the sets' sizes.  Bands of
+       registers collide for similar sets: at a similarity of 0.85 all 64 bands of ten miss once in a
+       million, at 0.8 all 80 bands of eight.
     3. Documents of one band value are tied to the smallest of them (a star, not all pairs); what is
        tied together is compared inside its group, in pairs of blocks of at most 512 documents where
        the group is larger.  An estimate from the registers, corrected for chance collisions, comes
@@ -107,6 +107,11 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
 # ---------------------------------------------------------------- sets and registers
 
 
+def band_rows(percent: int) -> int:
+    """Registers in a band: fewer for lower thresholds, so that no threshold loses what is just above it."""
+    return 10 if percent >= 85 else 8 if percent >= 78 else 5
+
+
 def shingle_sets(
     raw: np.ndarray, offsets: np.ndarray, words: int, powers: Powers
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +193,8 @@ def estimate(
 
 
 def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
+    powers, in_band = Powers(), band_rows(percent)
+    in_all = REGISTERS // in_band
     for batch in batches:
         ids = batch.column(0)
         for first, raw, offsets in text_blocks(without_nulls(batch, "text")):
@@ -203,14 +209,14 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterat
             able = np.flatnonzero(n * (100 - percent) > percent)
             part = ranges_of(before[able], n[able])
             bounds = np.concatenate([[0], np.cumsum(n[able])])
-            bands = densified(registers_of(value[part], bounds, REGISTERS)).reshape(len(able), BANDS, ROWS)
+            bands = densified(registers_of(value[part], bounds, REGISTERS)).reshape(len(able), in_all, in_band)
             bands = bands.astype(np.uint64)
-            key = np.zeros((len(able), BANDS), np.uint64)
-            for k in range(ROWS):
+            key = np.zeros((len(able), in_all), np.uint64)
+            for k in range(in_band):
                 key = mix(key * np.uint64(31) + bands[:, :, k] + np.uint64(1))
-            key = mix(key + np.arange(BANDS, dtype=np.uint64))
+            key = mix(key + np.arange(in_all, dtype=np.uint64))
             sizes = np.zeros(rows, np.int32)
-            sizes[able] = BANDS
+            sizes[able] = in_all
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(signed(key.ravel()))
             )
