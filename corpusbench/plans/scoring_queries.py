@@ -104,10 +104,22 @@ def corpus_score_texts(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.corpus_score(_scored(spark, sf)).select(*scoring.COUNT_COLUMNS[:4], "wer")
 
 
-@query("a1_corpus_score_characters")
+@query(
+    "a1_corpus_score_characters",
+    f"""
+SELECT *, (w_s + w_d + w_i)::DOUBLE / nullif(w_n, 0) AS wer, c_distance::DOUBLE / nullif(c_n, 0) AS cer
+FROM (SELECT {_WORD_SUMS}, CAST(sum(c_distance) AS BIGINT) AS c_distance, CAST(sum(c_n) AS BIGINT) AS c_n
+      FROM scored JOIN (
+        SELECT sample_id, {v.sql_character_distance("r", "h")} AS c_distance, length(replace(r, ' ', '')) AS c_n
+        FROM (SELECT sample_id, {v.sql_normalize("reference")} AS r, {v.sql_normalize("hypothesis")} AS h FROM classified)
+      ) USING (sample_id) WHERE NOT is_silence)
+""",
+    v.SCORED,
+)
 def corpus_score_characters(spark: SparkSession, sf: str) -> DataFrame:
-    """From raw texts to word and character error rates; the characters have no cheap SQL."""
-    return scoring.corpus_score(_scored(spark, sf))
+    """From raw texts to word and character error rates; SQL tells the characters' edits only in all."""
+    score = scoring.corpus_score(_scored(spark, sf))
+    return score.select("w_s", "w_d", "w_i", "w_n", (C("c_s") + C("c_d") + C("c_i")).alias("c_distance"), "c_n", "wer", "cer")
 
 
 @query(

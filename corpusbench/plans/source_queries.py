@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusbench.functions.classify import failure_code
 from corpusbench.operators import inference
 from corpusbench.operators.spread import compute_partitions
 from corpusbench.plans.registry import query, spread_table, table
-from corpusbench.sources import manifests, payloads
+from corpusbench.session import fresh_folder
+from corpusbench.sources import ledgers, manifests, payloads
 from corpusbench.sources.strict import Field, object_issues
 
 C = F.col
@@ -243,6 +244,68 @@ def page_text_case(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", payloads.container_text(html, attribute="class", value="ad").alias("text"))
 
 
+@query(
+    "s5_file_fingerprints",
+    "SELECT item_id, sha256(text || chr(10)) AS sha256, strlen(text)::BIGINT + 1 AS bytes FROM benchmark",
+)
+def file_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items written as files, one folder each, and read back as hashes."""
+    root = fresh_folder(spark, "items")
+    table(spark, sf, "benchmark").repartition("item_id").write.partitionBy("item_id").text(root)
+    item = F.regexp_extract("path", r"item_id=(\d+)/", 1).cast("bigint")
+    return manifests.file_fingerprints(spark, root, ["txt"]).select(item.alias("item_id"), "sha256", "bytes")
+
+
+@query(
+    "s6_frozen_manifest",
+    """
+SELECT CAST(doc_id AS VARCHAR) AS sample_id, lang AS group_id, sha256(text) AS sha256 FROM documents
+""",
+)
+def frozen_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest written once and read back; a second writing is refused."""
+    content = C("text").cast("binary")
+    samples = table(spark, sf, "documents").select(
+        C("doc_id").cast("string").alias("sample_id"), C("lang").alias("group_id"), F.sha2(content, 256).alias("sha256")
+    )
+    target = fresh_folder(spark, "manifest")
+    manifests.write_manifest(samples, target)
+    return spark.read.schema(samples.schema).parquet(target)
+
+
+@query(
+    "s7_stored_ledger",
+    """
+SELECT CAST(l.doc_id AS VARCHAR) AS dataset_id, d.lang AS preset_id, CASE WHEN l.toxic = 1 THEN 'failed' ELSE 'complete' END AS status,
+       2 AS attempt, 1 AS written
+FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1
+UNION ALL SELECT CAST(l.doc_id AS VARCHAR), d.lang, 'pending', 1, 0 FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 0
+""",
+)
+def stored_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches through the ledger's sink, the second of them twice, and the current rows read back."""
+    spec = ledgers.suite_ledger()
+    joined = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+
+    def rows(status: Column, attempt: int) -> DataFrame:
+        none, zero = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+        return joined.select(
+            C("doc_id").cast("string").alias("dataset_id"), C("lang").alias("preset_id"), status.alias("status"),
+            F.lit(attempt).alias("attempt"), none.alias("output_dir"),
+            *(zero.alias(c) for c in ("expected_samples", "succeeded_samples", "failed_samples")),
+            none.alias("error_type"), none.alias("error_message"), "quality",
+        )
+
+    first = rows(F.lit("pending"), 1).drop("quality")
+    second = rows(F.when(C("toxic") == 1, "failed").otherwise("complete"), 2).where("quality = 1").drop("quality")
+    target = fresh_folder(spark, "ledger")
+    write = ledgers.ledger_writer(target, spec.keys)
+    for batch, number in ((first, 0), (second, 1), (second, 1)):
+        write(batch, number)
+    valid = ledgers.read_ledger(spark, target, spec).valid
+    return valid.select("dataset_id", "preset_id", "status", "attempt", "written")
+
+
 @query(
     "s9_run_artifact",
     """

@@ -218,22 +218,50 @@ def native_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return words.select("title", native_edit_counts(C("r"), C("h")).alias("e")).select("title", "e.*")
 
 
-@query("f14_utterance_score")
+def _characters(s: Column, d: Column, i: Column, n: Column) -> list[Column]:
+    """What SQL can tell of a character alignment; its share of substitutions is held against brute force."""
+    return [(s + d + i).alias("c_distance"), (d - i).alias("c_balance"), n.alias("c_n")]
+
+
+@query(
+    "f14_utterance_score",
+    f"""
+SELECT sample_id, normalized_reference, normalized_hypothesis, w_s, w_d, w_i, w_n, is_silence,
+       {v.sql_character_distance("normalized_reference", "normalized_hypothesis")}::BIGINT AS c_distance,
+       (length(replace(normalized_reference, ' ', '')) - length(replace(normalized_hypothesis, ' ', '')))::BIGINT AS c_balance,
+       length(replace(normalized_reference, ' ', ''))::BIGINT AS c_n
+FROM scored JOIN (SELECT sample_id, {v.sql_normalize("reference")} AS normalized_reference,
+                         {v.sql_normalize("hypothesis")} AS normalized_hypothesis FROM classified) USING (sample_id)
+""",
+    v.SCORED,
+)
 def utterances(spark: SparkSession, sf: str) -> DataFrame:
-    return score_utterances(_classified(spark, sf), keep_texts=True)
+    scored = score_utterances(_classified(spark, sf), keep_texts=True)
+    return scored.select(
+        "sample_id", "normalized_reference", "normalized_hypothesis", "w_s", "w_d", "w_i", "w_n", "is_silence",
+        *_characters(*(C(f"c_{k}") for k in "sdin")),
+    )
 
 
-@query("f14_document_characters")
+@query(
+    "f14_document_characters",
+    f"""
+SELECT doc_id, {v.sql_character_distance("r", "h")}::BIGINT AS c_distance,
+       (length(replace(r, ' ', '')) - length(replace(h, ' ', '')))::BIGINT AS c_balance, length(replace(r, ' ', ''))::BIGINT AS c_n
+FROM (SELECT doc_id, {v.sql_normalize("text")} AS r, {v.sql_normalize(v.sql_heard_text("first", "text"))} AS h FROM documents)
+""",
+)
 def document_characters(spark: SparkSession, sf: str) -> DataFrame:
     """Character alignment of whole documents, up to the longest one."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    pair = docs.repartition(compute_partitions(spark), "doc_id").select(
+    docs = spread_table(spark, sf, "documents", "doc_id", "text")
+    pair = docs.select(
         "doc_id",
         text.normalize_text(C("text")).alias("reference"),
         text.normalize_text(v.heard_by_first(C("text"))).alias("hypothesis"),
     )
     counts = character_edit_counts(C("reference"), C("hypothesis"))
-    return pair.select("doc_id", counts.alias("e")).select("doc_id", "e.*")
+    told = pair.select("doc_id", counts.alias("e"))
+    return told.select("doc_id", *_characters(*(C(f"e.{k}") for k in "sdin")))
 
 
 @query(

@@ -20,6 +20,16 @@ def sql_normalize(text: str) -> str:
     return rf"trim(regexp_replace(lower(nfc_normalize({text})), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
+def sql_character_distance(reference: str, hypothesis: str) -> str:
+    """Distance of two normalized texts without their spaces.
+
+    DuckDB counts bytes, so the letters beyond ASCII that the tables have become capitals, which a
+    normalized text has none of.
+    """
+    plain = [f"translate(replace({t}, ' ', ''), 'éèêçñóíüöäß', 'ABCDEFGHIJK')" for t in (reference, hypothesis)]
+    return f"levenshtein({plain[0]}, {plain[1]})"
+
+
 def sql_identity(text: str) -> str:
     return rf"trim(regexp_replace(lower(replace(strip_accents({text}), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -89,14 +99,18 @@ _SQL_CHANNELS = {
 }
 
 
-def _sql_heard(channel: str) -> str:
+def sql_heard_text(channel: str, text: str) -> str:
     cases = _SQL_CHANNELS[channel]
     return (
-        "array_to_string(flatten(list_transform(string_split(c.text, ' '), "
+        f"array_to_string(flatten(list_transform(string_split({text}, ' '), "
         f"lambda w: CASE {cases} ELSE [w] END)), ' ')"
     )
 
 
+def _sql_heard(channel: str) -> str:
+    return sql_heard_text(channel, "c.text")
+
+
 def references(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as references, grouped by conversation; system turns are silence controls."""
     return table(spark, sf, "conversations").select(
