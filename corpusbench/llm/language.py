@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 from corpusbench.llm.common import ranges_of, text_blocks, without_nulls
 
 PROFILE, LONGEST, UNKNOWN = 400, 3, "und"
-_BLOCK = 2 << 20
+_BLOCK = 256 << 10
 _BITS = 21  # of a code point; three fit one number
 
 
@@ -53,7 +53,7 @@ def predict(
     for r in rows:
         places[np.searchsorted(grams, r.gram), number[r.lang]] = r.place
     kept = documents.select([c for c in documents.columns if c not in ("lang_pred", "score")])
-    answer = F.pandas_udf(_answers(languages, grams, places, size), "lang_pred string, score double")
+    answer = F.arrow_udf(_answers(languages, grams, places, size), "lang_pred string, score double")
     told = kept.withColumn("_answer", answer(F.col(text_col)))
     return told.select(*kept.columns, "_answer.lang_pred", "_answer.score")
 
@@ -70,15 +70,13 @@ class Letters:
     """Lower-cased letters of texts as numbers, with one 0 before, between and after words."""
 
     def __init__(self):
-        letters = np.zeros(0x110000, bool)
-        letters[[k for k in range(0x110000) if chr(k).isalpha()]] = True
-        self.table = np.where(letters, np.arange(0x110000), 0).astype(np.int64)
+        self.table = np.fromiter((k if chr(k).isalpha() else 0 for k in range(0x110000)), np.int32, 0x110000)
 
     def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All n-grams of the texts and the number of n-grams before each text."""
         lowered = ["\n" + t.lower() + "\n" for t in texts]
         sizes = np.array([len(t) for t in lowered], np.int64)
-        codes = self.table[np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        codes = self.table[np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
         text = np.repeat(np.arange(len(texts)), sizes)
         kept = np.ones(len(codes), bool)
         kept[1:] = (codes[1:] != 0) | (codes[:-1] != 0) | (text[1:] != text[:-1])
@@ -128,8 +126,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _answers(languages: list[str], known: np.ndarray, places: np.ndarray, size: int):
-    import pandas as pd
-
     def distances(grams: np.ndarray) -> np.ndarray:
         own, counts = _counts(np.sort(grams))
         if len(own) > size:
@@ -142,13 +138,12 @@ def _answers(languages: list[str], known: np.ndarray, places: np.ndarray, size:
         away = np.where(there < size, np.abs(there - np.arange(len(ranked))[:, None]), size)
         return away.sum(axis=0) / (size * len(ranked))
 
-    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def answer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         letters = Letters()
-        for texts in batches:
+        for column in batches:
             names, scores = [], []
-            column = pa.array(texts, pa.string()).fill_null("")
-            for first, _, offsets in text_blocks(column, _BLOCK):
-                grams, before = letters.grams(column.slice(first, len(offsets) - 1).to_pylist())
+            for first, _, offsets in text_blocks(column.fill_null(""), _BLOCK):
+                grams, before = letters.grams(column.slice(first, len(offsets) - 1).fill_null("").to_pylist())
                 for low, high in zip(before[:-1], before[1:], strict=True):
                     if low == high or not languages or not (grams[low:high] < 1 << _BITS).any():
                         names.append(UNKNOWN)
@@ -158,7 +153,7 @@ def _answers(languages: list[str], known: np.ndarray, places: np.ndarray, size:
                     best = int(np.argmin(away))
                     names.append(languages[best])
                     scores.append(float(1 - away[best]))
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    answer.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    answer.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return answer
