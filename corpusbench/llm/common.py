@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from corpusbench.session import fresh_folder
+
 BLOCK_BYTES = 4 << 20
 GAPS = " \t\n\u000b\u000c\r"  # white space between words
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: larger than any id
@@ -21,20 +21,10 @@ _BASE = 0x9E3779B97F4A7C15
 # ---------------------------------------------------------------- staged tables
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="corpusbench-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once below the shared folder and read it back: lost executors recompute only from there."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -192,7 +182,8 @@ def gapless_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     bucket, offset, place = f"{name}_bucket", f"{name}_offset", f"{name}_place"
     hashed = F.pmod(F.xxhash64(*order), F.greatest(F.lit(1), F.ceil(F.col("_n") / rows)))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    dealt = df.join(sizes, list(keys)).withColumn(bucket, hashed).drop("_n")
+    # Without this a plan may leave all rows of a key where the join has put them.
+    dealt = df.join(sizes, list(keys)).withColumn(bucket, hashed).drop("_n").repartition(*keys, bucket)
     counts = dealt.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(offset))
