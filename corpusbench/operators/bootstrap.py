@@ -80,6 +80,46 @@ def percentile(values: Column, probability: float) -> Column:
     return F.percentile(values, F.lit(probability))
 
 
+_CUTS = 1024
+
+
+def grouped_percentiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """One row per key with the exact percentile under each name, for groups of any size.
+
+    A first pass counts the values of each group in 1024 parts of its range; a second one reads only
+    the parts that hold a wanted rank, and those as distinct values with their counts.  NULL values
+    do not count.
+    """
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    spans = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    share = (F.col("_v") - F.col("_low")) / F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1.0)
+    parted = rows.join(spans, keys).withColumn("_part", F.floor(share * (_CUTS - 1)))
+    in_part = parted.groupBy(*keys, "_part").agg(F.count("*").alias("_count"), F.max("_n").alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    started = in_part.withColumn("_first", F.coalesce(F.sum("_count").over(before), F.lit(0)))
+    places = F.array(*(F.lit(p) for p in probabilities.values()))
+    position = (F.col("_n") - 1) * F.col("_p")
+    ranks = started.withColumn("_p", F.explode(places)).withColumn(
+        "_rank", F.explode(F.array(F.floor(position), F.ceil(position)))
+    )
+    wanted = ranks.where("_rank >= _first AND _rank < _first + _count").select(*keys, "_part", "_first", "_n", "_p", "_rank")
+    held = wanted.select(*keys, "_part").distinct()
+    values = parted.join(held, [*keys, "_part"]).groupBy(*keys, "_part", "_v").agg(F.count("*").alias("_times"))
+    up_to = W.partitionBy(*keys, "_part").orderBy("_v")
+    ranked = values.withColumn("_end", F.sum("_times").over(up_to))
+    met = wanted.join(ranked, [*keys, "_part"]).where(
+        (F.col("_rank") - F.col("_first") < F.col("_end")) & (F.col("_rank") - F.col("_first") >= F.col("_end") - F.col("_times"))
+    )
+    weight = position - F.floor(position)
+    ends = met.groupBy(*keys, "_p").agg(
+        F.min("_v").alias("_below"), F.max("_v").alias("_above"), F.max(weight).alias("_weight")
+    )
+    between = F.col("_below") + (F.col("_above") - F.col("_below")) * F.col("_weight")
+    named = [F.max(F.when(F.col("_p") == F.lit(p), between)).alias(name) for name, p in probabilities.items()]
+    return ends.groupBy(*keys).agg(*named)
+
+
 def _rate(unit: str, prefix: str = "") -> Column:
     s, d, i, n = (F.col(f"{prefix}{unit}_{k}") for k in ("s", "d", "i", "n"))
     return F.try_divide((s + d + i).cast("double"), n.cast("double"))

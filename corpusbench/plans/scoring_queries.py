@@ -237,9 +237,8 @@ FROM lineitem GROUP BY l_returnflag
 """, 6, "lower", "upper"),
 )
 def percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").groupBy("l_returnflag")
-    price = C("l_extendedprice")
-    bounds = lines.agg(b.percentile(price, 0.025).alias("lower"), b.percentile(price, 0.975).alias("upper"))
+    lines = table(spark, sf, "lineitem")
+    bounds = b.grouped_percentiles(lines, ["l_returnflag"], "l_extendedprice", {"lower": 0.025, "upper": 0.975})
     return rounded(bounds, 6, "lower", "upper")
 
 

@@ -262,3 +262,17 @@ def test_written_scores_give_the_same_report(spark, tmp_path):
     assert kept.speech.collect() == scoring.evaluate(references, recognitions).speech.collect()
     with pytest.raises(Exception, match="EXISTS"):
         scoring.evaluate(references, recognitions, scored_path=str(tmp_path / "scored"))
+
+
+def test_grouped_percentiles(spark):
+    rng = random.Random(5)
+    rows = [("a", rng.choice([1.0, 2.5, 2.5, 1e9])) for _ in range(500)] + [("b", rng.gauss(0, 1)) for _ in range(301)]
+    rows += [("c", 7.0), ("d", None), ("e", -3.0), ("e", 5.0)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    wanted = {"low": 0.025, "half": 0.5, "high": 0.975, "all": 1.0}
+    found = {r.k: r for r in bootstrap.grouped_percentiles(frame, ["k"], "v", wanted).collect()}
+    assert set(found) == {"a", "b", "c", "e"}
+    for key in found:
+        own = [v for k, v in rows if k == key]
+        for name, p in wanted.items():
+            assert found[key][name] == pytest.approx(percentile(own, p))
