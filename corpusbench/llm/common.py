@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from corpusbench.session import fresh_folder
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 GAPS = " \t\n\u000b\u000c\r"  # white space between words
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: larger than any id
 _BASE = 0x9E3779B97F4A7C15

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusbench.llm.common import Powers, mix, signed, sliding_min, span_hash
+from corpusbench.operators.spread import spread_join
 
 POSITIONS = 1 << 20
 _PLACE = np.uint64(POSITIONS * 2 - 1)
@@ -106,7 +107,7 @@ def wanted_spans(found: DataFrame) -> DataFrame:
     """
     runs_left = found.where(F.col("kind") == TO_MATCH).select("k1", "t1", "start", "n", "h")
     crowds = runs_left.groupBy("h").agg(F.count(F.lit(1)).alias("_runs")).where(F.col("_runs") > CROWD)
-    marked = runs_left.join(crowds, "h", "left")
+    marked = spread_join(runs_left, crowds, ["h"], "t1", how="left")
     span = F.struct("start", "n", "h", F.col("_runs").isNotNull().alias("crowded"))
     return marked.groupBy("k1", "t1").agg(F.collect_list(span).alias("spans"))
 
