@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusbench.operators.scoring import COUNT_COLUMNS, count_sums, group_counts
 from corpusbench.operators.spread import compute_partitions
+from corpusbench.session import written_once
 
 _TOO_FEW = "fewer than two groups with speech"
 _DISABLED = "no replicates were asked for"
@@ -68,8 +69,12 @@ def _hash_resample(groups: DataFrame, sums: Sequence[str], replicates: int, seed
 def resample(
     groups: DataFrame, sums: Sequence[str], *, replicates: int, seed: int
 ) -> DataFrame:
-    """Summed counts per replicate, with the number of groups."""
-    drawn = _hash_resample(groups, sums, replicates, seed)
+    """Summed counts per replicate, with the number of groups.
+
+    Groups are numbered, drawn and summed up, each from the same rows: they are written to the shared
+    folder first, so that the alignment behind them runs once.
+    """
+    drawn = _hash_resample(written_once(groups, "bootstrap-groups"), sums, replicates, seed)
     return drawn.groupBy("replicate").agg(
         F.max("group_count").alias("group_count"), *[F.sum(c).alias(c) for c in sums]
     )

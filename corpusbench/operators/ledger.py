@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusbench.operators.spread import spread_join
+
 C = F.col
 
 # Failures after which a batch must not go on, now and in old ledgers.
@@ -229,7 +231,7 @@ def stop_at_first_blocking(results: DataFrame, run_keys: Sequence[str], ord_colu
         .groupBy(*run_keys)
         .agg(F.min(ord_column).alias("_stop"))
     )
-    joined = results.join(first, list(run_keys), "left")
+    joined = spread_join(results, first, run_keys, ord_column, how="left")
     saved = C("_stop").isNull() | (C(ord_column) <= C("_stop"))
     return joined.withColumn("saved", saved).drop("_stop")
 

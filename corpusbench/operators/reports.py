@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusbench.operators.matching import top_k, top_one
+from corpusbench.operators.spread import spread_join
 
 C = F.col
 
@@ -90,7 +91,7 @@ def collapse_repeated_details(samples: DataFrame) -> DataFrame:
     newest = keyed.where("status = 'failed'").groupBy(*keys).agg(F.max("seq").alias("_newest"))
     shown = (C("status") != "failed") | (C("seq") == C("_newest"))
     message = F.when(shown, _filled(C("message")))
-    return keyed.join(newest, keys, "left").withColumn("shown_message", message).drop("_kind", "_newest")
+    return spread_join(keyed, newest, keys, "seq", how="left").withColumn("shown_message", message).drop("_kind", "_newest")
 
 
 def positions(
@@ -109,7 +110,7 @@ def positions(
     )
     share = (C(ord_column).cast("double") - C("_low")) / F.greatest(C("_high") - C("_low"), F.lit(1.0))
     bucketed = (
-        df.join(spans, keys)
+        spread_join(df, spans, keys, ord_column)
         .withColumn("_bucket", F.least(F.floor(share * C("_buckets")), C("_buckets") - 1))
         .drop("_low", "_high", "_buckets")
     )

@@ -214,3 +214,12 @@ def test_positions_of_sparse_values_use_few_buckets(spark):
     for run in ("big", "small", "one"):
         own = sorted(o for r, o in rows if r == run)
         assert [found[(run, o)] for o in own] == [(k + 1, len(own)) for k in range(len(own))]
+
+
+def test_one_run_with_most_rows(spark, no_broadcast):
+    rows = [("big", k, k == 900) for k in range(2000)] + [(f"r{k}", 0, False) for k in range(200)]
+    frame = spark.createDataFrame(rows, "run string, ord long, blocking boolean")
+    saved = ledger.stop_at_first_blocking(frame, ["run"]).where("saved")
+    assert saved.count() == 901 + 200
+    placed = reports.positions(frame, ["run"], bucket_rows=100)
+    assert placed.agg(F.max("position"), F.max("total")).first()[:] == (2000, 2000)

@@ -7,16 +7,6 @@ from corpusbench.operators.spread import spread_join
 C = F.col
 
 
-@pytest.fixture
-def no_broadcast(spark):
-    """Large-table plans: nothing is below the broadcast threshold."""
-    setting = "spark.sql.autoBroadcastJoinThreshold"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "-1")
-    yield
-    spark.conf.set(setting, before)
-
-
 def sources(spark, *rows):
     return spark.createDataFrame(list(rows), "source_key string, title string, author string")
 

@@ -276,3 +276,12 @@ def test_grouped_percentiles(spark):
         own = [v for k, v in rows if k == key]
         for name, p in wanted.items():
             assert found[key][name] == pytest.approx(percentile(own, p))
+
+
+def test_bootstrap_aligns_once(spark):
+    references = spark.createDataFrame([(f"s{k}", f"g{k % 4}", "uno dos tres") for k in range(20)], "sample_id string, group_id string, text string")
+    recognitions = spark.createDataFrame([(f"s{k}", "uno dos", "ok") for k in range(20)], "sample_id string, text string, status string")
+    scored = scoring.score_utterances(scoring.classify_coverage(references, recognitions))
+    for table in (bootstrap.bootstrap_intervals(scored, replicates=20), bootstrap.paired_difference(scored, scored, replicates=20)):
+        assert "Python" not in table._jdf.queryExecution().optimizedPlan().toString()
+        assert table.first().group_count == 4
