@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from corpusbench.operators.spread import spread_join
 from corpusbench.session import fresh_folder
 
 BLOCK_BYTES = 1 << 20
@@ -183,7 +184,8 @@ def gapless_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     hashed = F.pmod(F.xxhash64(*order), F.greatest(F.lit(1), F.ceil(F.col("_n") / rows)))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # Without this a plan may leave all rows of a key where the join has put them.
-    dealt = df.join(sizes, list(keys)).withColumn(bucket, hashed).drop("_n").repartition(*keys, bucket)
+    sized = spread_join(df, sizes, keys, order[0]).withColumn(bucket, hashed).drop("_n")
+    dealt = sized.repartition(*keys, bucket)
     counts = dealt.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(offset))

@@ -13,6 +13,7 @@ from corpusbench.llm.common import (
     Powers, components, local_components, mix, prefix_sums, ranges_of, signed, span_hash, stage_table, text_blocks,
     without_nulls, word_bounds, word_hashes,
 )
+from corpusbench.operators.spread import spread_join
 
 WORDS, PERCENT = 5, 85
 REGISTERS = 640
@@ -83,7 +84,7 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
     """Links between the members (id, component) of each group, as stars: columns a and b."""
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     blocked = (
-        members.join(sizes, "component")
+        spread_join(members, sizes, ["component"], "id")
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .select(
             F.col("id").alias("doc_id"), "component", "blocks",
