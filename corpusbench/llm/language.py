@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from corpusbench.llm.common import ranges_of, text_blocks, without_nulls
+from corpusbench.llm.common import text_blocks, without_nulls
 
 PROFILE, LONGEST, UNKNOWN = 400, 3, "und"
 _BLOCK = 256 << 10

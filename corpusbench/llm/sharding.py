@@ -116,7 +116,7 @@ def _split(nodes: list[_Node], placed: DataFrame) -> tuple[list[_Node], DataFram
         node = open_nodes[r.node]
         node.axis = max(range(len(_AXES)), key=lambda k: (r[f"high{k}"] - r[f"low{k}"], -k))
         aim = node.size * (node.shards // 2) / node.shards
-        state[r.node] = (node.axis, "place", r[f"low{node.axis}"], r[f"high{node.axis}"], None, None, aim)
+        state[r.node] = (node.axis, "place", r[f"low{node.axis}"], r[f"high{node.axis}"], None, aim)
     while state:
         state = _narrower(spark, placed, state, open_nodes)
     cuts = small_table(
@@ -142,7 +142,7 @@ def _split(nodes: list[_Node], placed: DataFrame) -> tuple[list[_Node], DataFram
     return [n for n in out if n.shards == 1 or n.rows], moved
 
 
-_LAST = (1 << 63) - 1
+_FIRST, _LAST = -(1 << 63), (1 << 63) - 1
 
 
 def _narrower(spark, placed: DataFrame, state: dict, open_nodes: dict) -> dict:
@@ -150,7 +150,7 @@ def _narrower(spark, placed: DataFrame, state: dict, open_nodes: dict) -> dict:
 
     The key of a row is (place, tie, id): first the place is narrowed to one value, then the tie.
     """
-    rows = [(n, axis, stage == "tie", int(low), int(high), place) for n, (axis, stage, low, high, place, _, _) in state.items()]
+    rows = [(n, axis, stage == "tie", int(low), int(high), place) for n, (axis, stage, low, high, place, _) in state.items()]
     steps = small_table(spark, rows, "node int, axis int, by_tie boolean, low long, high long, place long")
     at = F.element_at("point", F.col("axis") + 1)
     inside = placed.join(F.broadcast(steps), "node")  # one row for each box
@@ -165,32 +165,30 @@ def _narrower(spark, placed: DataFrame, state: dict, open_nodes: dict) -> dict:
         .groupBy("node", bucket.alias("bucket"))
         .agg(
             F.sum("size").alias("size"), F.min("value").alias("low"), F.max("value").alias("high"),
-            F.count(F.lit(1)).alias("n"), F.max(F.coalesce("doc_id", F.lit(_LAST))).alias("last"),
+            F.count(F.lit(1)).alias("n"),
         )
     )
     order = W.partitionBy("node").orderBy("bucket")
-    aims = small_table(spark, [(n, float(s[6])) for n, s in state.items()], "node int, aim double")
+    aims = small_table(spark, [(n, float(s[5])) for n, s in state.items()], "node int, aim double")
     running = sums.withColumn("after", F.sum("size").over(order)).join(F.broadcast(aims), "node")
     # The first bucket that reaches the aim, or the last one.
-    reach = running.withColumn("misses", (F.col("after") < F.col("aim")).cast("int"))
-    picked = (
-        reach.withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("misses", F.when(F.col("misses") == 0, F.col("bucket")).otherwise(-F.col("bucket")))))
-        .where("k = 1")
-        .collect()
-    )
+    misses = (F.col("after") < F.col("aim")).cast("int")
+    nearest = F.when(misses == 0, F.col("bucket")).otherwise(-F.col("bucket"))
+    first = F.row_number().over(W.partitionBy("node").orderBy(misses, nearest))
     out = {}
-    for r in picked:
-        axis, stage, _, _, place, _, aim = state[r.node]
-        before = r.after - r.size
+    for r in running.withColumn("k", first).where("k = 1").collect():
+        axis, stage, _, _, place, aim = state[r.node]
+        aim -= r.after - r.size
         if r.low < r.high:
-            out[r.node] = (axis, stage, r.low, r.high, place, None, aim - before)
+            out[r.node] = (axis, stage, r.low, r.high, place, aim)
         elif stage == "place" and r.n > 1:
-            out[r.node] = (axis, "tie", -(1 << 63), _LAST, r.low, None, aim - before)
+            out[r.node] = (axis, "tie", _FIRST, _LAST, r.low, aim)
         else:
-            # One key: it goes to the side that it leaves nearer to its share.
-            node = open_nodes[r.node]
-            key = (r.low, _LAST, _LAST) if stage == "place" else (place, r.low, _LAST)
-            if r.size - (aim - before) > aim - before:
-                key = (key[0], -(1 << 63), -(1 << 63)) if stage == "place" else (place, r.low - 1 if r.low > -(1 << 63) else r.low, _LAST)
-            node.cut = key
+            # One key is left: it goes to the side that it leaves nearer to its share.
+            key = (r.low, _FIRST) if stage == "place" else (place, r.low)
+            open_nodes[r.node].cut = (*key, _FIRST) if r.size > 2 * aim else (*_last_of(key, stage), _LAST)
     return out
+
+
+def _last_of(key: tuple[int, int], stage: str) -> tuple[int, int]:
+    return (key[0], _LAST) if stage == "place" else key

@@ -103,7 +103,8 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
                 text = np.concatenate([text[~crowded], own[travels], own[repeated]])
                 start = np.concatenate([start[~crowded], (at - offsets[own])[travels], (at - offsets[own])[repeated]])
                 n = np.concatenate([n[~crowded], np.ones(len(text) - int((~crowded).sum()), n.dtype)])
-                h = np.concatenate([h[~crowded], signed(value[travels]), signed(mix(value[repeated] + at[repeated].astype(np.uint64)))])  # settled: dealt anywhere
+                anywhere = signed(mix(value[repeated] + at[repeated].astype(np.uint64)))  # settled, needs no bucket
+                h = np.concatenate([h[~crowded], signed(value[travels]), anywhere])
                 known = np.arange(len(text) - int(repeated.sum()), len(text))
             sizes = n.astype(np.int64) + window - 1
             sizes[known] = 0
