@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusbench.llm import hyperminhash, language, packing, quality, superkmers, tokens
-from corpusbench.llm.common import stage_table
+from corpusbench.llm.common import stage_table, text_key
 
 NEAR = 80  # percent of shared five-word shingles at which documents are near-duplicates
 
@@ -26,10 +26,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
-    judged = hyperminhash.near_duplicates(docs, percent=NEAR)
-    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates: that of the smallest id, a null id being larger than every id.
+
+    Rows are judged one by one: repeated rows and copies without an id are near-duplicates like any
+    other, and rows that share an id but not their text are different documents.  Of rows of one id
+    in a group that of the least text hash stays; of rows equal in id and text any one.
+    """
+    # Numbers are written down, for a plan that runs again may deal its rows in another order.
+    row, text = "_near_row", "_near_text"
+    numbered = stage_table(docs.withColumns({row: F.monotonically_increasing_id(), text: text_key()}), "near-rows")
+    judged = hyperminhash.near_duplicates(numbered, percent=NEAR, id_col=row)
+    groups = judged.select(F.col("doc_id").alias(row), "component_id").join(numbered.select(row, "doc_id", text), row)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", text, row))[row]
+    stays = groups.groupBy("component_id").agg(first.alias(row)).select(row)
+    return numbered.join(stays, row, "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,44 @@ def test_stages_against_plain_code(spark, tmp_path):
     assert zlib.crc32(b"") == 0 and docs.count() == len(tokens)
 
 
+def test_one_row_of_each_group_stays_whole(spark, tmp_path):
+    """Repeated rows, copies without an id, and ids that come twice, from the first stage to the last."""
+    import random
+
+    r = random.Random(5)
+    twice, lost, shared = text(r, 120), text(r, 130), [text(r, 140), text(r, 150)]
+    rows = awkward_rows(7) + [(5000, twice)] * 3 + [(None, twice), (None, lost), (None, lost)]
+    rows += [(5001, shared[0]), (5001, shared[1]), (5002, shared[1] + " more")]
+    folder = str(tmp_path)
+    documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, folder)
+    came = [(d.doc_id, d.text) for d in docs.collect()]
+    docs = corpus_pipeline.minhash_near_dedup(spark, docs, folder)
+    left = Counter((d.doc_id, d.text) for d in docs.collect())
+
+    labels = [g[2] for g in near_groups([(k, t) for k, (_, t) in enumerate(came)], corpus_pipeline.NEAR)]
+    groups = {}
+    for label, row in zip(labels, came, strict=True):
+        groups.setdefault(label, set()).add(row)
+    assert sum(left.values()) == len(groups) < len(came)
+    for members in groups.values():
+        (stays,) = [row for row in members if row in left]
+        assert left[stays] == 1
+        assert stays[0] == min((d for d, _ in members), key=lambda d: (d is None, d))
+    assert {(5000, twice), (None, lost), (5001, shared[0]), (5001, shared[1])} <= set(left)
+
+    cleaned = Counter((d.doc_id, d.text) for d in corpus_pipeline.substring_dedup(spark, docs, folder).collect())
+    assert {(5000, twice), (None, lost), (5001, shared[0]), (5001, shared[1])} <= set(cleaned)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for (d, t), n in cleaned.items():
+        want[d] += n * (len(library.encode(t, add_special_tokens=False).ids) + 1)
+    found = corpus_pipeline.run(spark, folder)
+    assert {r.doc_id: r.n for r in found.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == dict(want)
+
+
 def plain_rest(rows, doc_id):
     lists = [brute.words_of(t) for _, t in rows]
     w = superkmers.WINDOW
