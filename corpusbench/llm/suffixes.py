@@ -21,6 +21,7 @@ WINDOW, GRAM = 50, 24
 _BLOCK = 1 << 20
 _SHARD_BYTES = 4 << 20
 _QUEUE_BYTES = 96 << 20
+_NO_TWIN = -1
 _END, _GAP, _SHIFT = 0, 1, 2  # symbols: end of the shard, end of a string, byte + 2
 
 
@@ -36,7 +37,9 @@ def remove_repeated_bytes(
     Texts are sharded by content: all suffixes whose first ``window`` bytes are equal have the same
     minimiser and so meet in one shard.  Runs of suffixes equal to a run of a smaller id are settled
     by their hash; only runs whose minimiser has different contexts go on as strings, and those of a
-    minimiser with very many contexts as single windows, sharded by their own content.  Each shard
+    minimiser with very many contexts as single windows, sharded by their own content.  Of equal runs or
+    windows of one text only the first goes on; the others stay with their text and take over its
+    verdict there, so a long run of one byte is a few rows of its shard.  Each shard
     then sorts its suffixes by induction and reads groups of equal strings from the common prefixes.
 
     Null and empty texts have no bytes; a null id counts as larger than every id; rows that repeat an
@@ -48,8 +51,9 @@ def remove_repeated_bytes(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k1"), text_key(text_col).alias("t1"),
     )
     parts = docs.select("k1", "t1", "text").mapInArrow(lambda it: _runs(it, shape), windows.RUN_SCHEMA)
-    # Settled runs need no partner: they are dealt by their text, not by their minimiser.
-    bucket = F.when(F.expr("at & 3") == windows.KNOWN, F.xxhash64("t1", "at")).otherwise(F.col("h"))
+    # Settled runs and twins need no partner: they are dealt by their text, not by their minimiser.
+    alone = F.expr("at & 3").isin(windows.KNOWN, windows.TWIN)
+    bucket = F.when(alone, F.xxhash64("t1", "at")).otherwise(F.col("h"))
     dealt = parts.repartition(bucket).sortWithinPartitions("h", "f", "k1")
     found = stage_table(
         dealt.mapInArrow(lambda it: windows.match_runs(it, True), windows.MATCH_SCHEMA), "byte-runs"
@@ -57,13 +61,14 @@ def remove_repeated_bytes(
     texts = docs.select("k1", "t1", "doc_id", "text")
     wanted = windows.wanted_spans(found)
     packed = texts.join(wanted, ["k1", "t1"]).mapInArrow(
-        lambda it: _pack(it, window), "h long, k1 long, t1 long, start int, bytes binary"
+        lambda it: _pack(it, window), "h long, k1 long, t1 long, start int, bytes binary, twin long"
     )
     shards = packed.repartition("h").sortWithinPartitions("h").mapInArrow(
-        lambda it: _shards(it, window), "k1 long, t1 long, start int, n int"
+        lambda it: _shards(it, window), "k1 long, t1 long, start int, n int, twin long"
     )
-    known = found.where(F.col("kind") == windows.KNOWN).select("k1", "t1", "start", "n")
-    spans = known.union(shards).groupBy("k1", "t1").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    twin = F.when(F.col("kind") == windows.TWIN, F.col("h")).otherwise(_NO_TWIN)
+    known = found.where(F.col("kind") != windows.TO_MATCH).select("k1", "t1", "start", "n", twin.alias("twin"))
+    spans = known.union(shards).groupBy("k1", "t1").agg(F.collect_list(F.struct("start", "n", "twin")).alias("spans"))
     return texts.join(spans, ["k1", "t1"], "left").mapInArrow(
         lambda it: _remove(it, window),
         "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string",
@@ -84,7 +89,7 @@ def _runs(batches: Iterator[pa.RecordBatch], shape: windows.Shape) -> Iterator[p
 
 
 def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Cut the wanted runs out of their texts; a row without bytes is a window already known to be a repeat."""
+    """Cut the wanted runs out of their texts; a row without bytes is a window known to be a repeat, or a twin."""
     powers = Powers()
     for batch in batches:
         spans = batch.column(batch.schema.get_field_index("spans"))
@@ -93,27 +98,33 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
             part = spans.slice(first, len(offsets) - 1)
             text = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
             start, n, h, crowded = (part.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            known = np.zeros(0, np.int64)
+            untold = len(text)
+            twin = np.full(len(text), _NO_TWIN)
             if crowded.any():
                 sums = prefix_sums(raw.astype(np.uint64) + np.uint64(1), powers)
                 at = ranges_of(offsets[text[crowded]] + start[crowded], n[crowded])
                 own = np.repeat(text[crowded], n[crowded])
                 value = span_hash(sums, at, at + window, powers)
-                travels, repeated = windows.settle_windows(value, k1[first + own], True)
-                text = np.concatenate([text[~crowded], own[travels], own[repeated]])
-                start = np.concatenate([start[~crowded], (at - offsets[own])[travels], (at - offsets[own])[repeated]])
-                n = np.concatenate([n[~crowded], np.ones(len(text) - int((~crowded).sum()), n.dtype)])
-                anywhere = signed(mix(value[repeated] + at[repeated].astype(np.uint64)))  # settled, needs no bucket
+                travels, repeated, model = windows.settle_windows(value, k1[first + own], True, own)
+                place = at - offsets[own]
+                order = np.concatenate([np.flatnonzero(travels), np.flatnonzero(~travels)])
+                told = order[int(travels.sum()) :]
+                mark = np.where(repeated[told], _NO_TWIN, windows.twin_mark(place[model[told]], 1))
+                text = np.concatenate([text[~crowded], own[order]])
+                start = np.concatenate([start[~crowded], place[order]])
+                n = np.concatenate([n[~crowded], np.ones(len(order), n.dtype)])
+                anywhere = signed(mix(value[told] + at[told].astype(np.uint64)))  # settled, needs no bucket
                 h = np.concatenate([h[~crowded], signed(value[travels]), anywhere])
-                known = np.arange(len(text) - int(repeated.sum()), len(text))
+                untold = len(text) - len(told)
+                twin = np.concatenate([np.full(untold, _NO_TWIN), mark])
             sizes = n.astype(np.int64) + window - 1
-            sizes[known] = 0
+            sizes[untold:] = 0
             data = raw[ranges_of(offsets[text] + start, sizes)]
             places = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             strings = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(places), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(k1[first + text]), pa.array(t1[first + text]), pa.array(start.astype(np.int32)), strings],
-                ["h", "k1", "t1", "start", "bytes"],
+                [pa.array(h), pa.array(k1[first + text]), pa.array(t1[first + text]), pa.array(start.astype(np.int32)), strings, pa.array(twin)],
+                ["h", "k1", "t1", "start", "bytes", "twin"],
             )
 
 
@@ -166,9 +177,10 @@ def _earlier(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     told = np.flatnonzero(np.diff(offsets) == 0)  # rows without bytes
     at, place = np.concatenate([at, told]), np.concatenate([place, start[told]])
     n = np.concatenate([n, np.ones(len(told), n.dtype)])
+    twin = batch.column(5).to_numpy()[at]
     return pa.RecordBatch.from_arrays(
-        [pa.array(k1[at]), pa.array(t1[at]), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))],
-        ["k1", "t1", "start", "n"],
+        [pa.array(k1[at]), pa.array(t1[at]), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twin)],
+        ["k1", "t1", "start", "n", "twin"],
     )
 
 
@@ -374,8 +386,13 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             rows = len(offsets) - 1
             part = spans.slice(first, rows)
             text = np.repeat(np.arange(rows), part.value_lengths().fill_null(0).to_numpy())
-            start, n = (part.flatten().field(i).to_numpy() for i in range(2))
-            low = offsets[text] + start
+            start, n, twin = (part.flatten().field(i).to_numpy() for i in range(3))
+            low, own = offsets[text] + start, twin == _NO_TWIN
+            if not own.all():
+                size = len(raw) + 1
+                hit = np.cumsum(np.bincount(low[own], minlength=size) - np.bincount((low + n)[own], minlength=size)) > 0
+                more = windows.spread_twins(hit, start[~own], n[~own], twin[~own], offsets[text][~own])
+                low, n = np.concatenate([low[own], more]), np.concatenate([n[own], np.ones(len(more), n.dtype)])
             change = np.bincount(low, minlength=len(raw) + 1) - np.bincount(
                 low + n + window - 1, minlength=len(raw) + 1
             )

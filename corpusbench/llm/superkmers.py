@@ -114,7 +114,7 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
                 at = ranges_of(bounds[text[crowded]] + start[crowded], n[crowded])
                 own = np.repeat(text[crowded], n[crowded])
                 value = span_hash(sums, at, at + window, powers)
-                travels, repeated = windows.settle_windows(value, k1[first + own], False)
+                travels, repeated, _ = windows.settle_windows(value, k1[first + own], False)
                 text = np.concatenate([text[~crowded], own[travels], own[repeated]])
                 start = np.concatenate([start[~crowded], (at - bounds[own])[travels], (at - bounds[own])[repeated]])
                 n = np.concatenate([n[~crowded], np.ones(len(text) - int((~crowded).sum()), n.dtype)])

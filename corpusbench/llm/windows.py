@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusbench.llm.common import Powers, mix, signed, sliding_min, span_hash
+from corpusbench.llm.common import Powers, mix, ranges_of, signed, sliding_min, span_hash
 from corpusbench.operators.spread import spread_join
 
 POSITIONS = 1 << 20
 _PLACE = np.uint64(POSITIONS * 2 - 1)
-TO_MATCH, KNOWN, TO_MATCH_KNOWN = 0, 1, 2
+TO_MATCH, KNOWN, TO_MATCH_KNOWN, TWIN = 0, 1, 2, 3
 CROWD = 1000  # runs of one minimiser beyond which its windows go their own ways
+_MOST = 0x3FFF  # windows that fit a row's number
 
 RUN_SCHEMA = "k1 long, t1 long, h long, f long, at long"  # at: start, windows and kind in one number
 MATCH_SCHEMA = "k1 long, t1 long, h long, start int, n int, kind int"
@@ -74,7 +75,8 @@ def run_batch(
     """The runs of one batch of texts, with repeats inside the batch settled before anything is shuffled.
 
     Of equal runs one goes on to be matched; the others are known to be repeats.  With ``smaller``
-    the one is of the smallest id, and only runs of larger ids are repeats.
+    only runs of larger ids are repeats.  Of the equal runs of one text of the smallest id the first
+    goes on, the others are its twins, whose f is a ``twin_mark``; neighbours are told as one row.
     """
     if not columns:
         return None
@@ -85,19 +87,59 @@ def run_batch(
     new[1:] = np.diff(f[order]) != 0
     group = np.cumsum(new) - 1
     if smaller:
-        kinds = np.where(ids[order] > ids[order][new][group], KNOWN, TO_MATCH)
+        lead = new.copy()  # the first of each text: equal runs of one id are still in the order of their texts
+        lead[1:] |= np.diff(text[order]) != 0
+        kinds = np.where(ids[order] > ids[order][new][group], KNOWN, np.where(lead, TO_MATCH, TWIN))
     else:
         many = np.bincount(group) > 1
         kinds = np.where(new, np.where(many[group], TO_MATCH_KNOWN, TO_MATCH), KNOWN)
     kind = np.empty(len(f), np.int64)
     kind[order] = kinds
+    f, h = signed(f), signed(h)
+    if smaller:
+        model = np.empty(len(f), np.int64)
+        model[order] = start[order][np.maximum.accumulate(np.where(lead, np.arange(len(f)), 0))]
+        f = np.where(kind == TWIN, twin_mark(model, n), f)
+        text, start, n, h, f, kind = _neighbours(text, start, n, h, f, kind)
     at = (start << 16) | (n << 2) | kind  # rows stay in the order of their texts, which compresses well
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids), pa.array(t1[text]), pa.array(signed(h)), pa.array(signed(f)), pa.array(at)],
+        [pa.array(k1[text]), pa.array(t1[text]), pa.array(h), pa.array(f), pa.array(at)],
         ["k1", "t1", "h", "f", "at"],
     )
 
 
+def twin_mark(start: np.ndarray, period: np.ndarray) -> np.ndarray:
+    """Where in the same text a twin's verdict stands: ``period`` windows from ``start``, over and over."""
+    return (start << 16) | period
+
+
+def _neighbours(text, start, n, h, f, kind) -> tuple[np.ndarray, ...]:
+    """Repeats, and twins of one model, that stand side by side in a text as one row each."""
+    follows = np.zeros(len(text), bool)
+    follows[1:] = (text[1:] == text[:-1]) & (start[1:] == start[:-1] + n[:-1]) & (kind[1:] == kind[:-1])
+    follows[1:] &= (kind[1:] == KNOWN) | ((kind[1:] == TWIN) & (f[1:] == f[:-1]))
+    first = np.flatnonzero(~follows)
+    row = np.cumsum(~follows) - 1
+    # No row gets more windows than its number holds: a row is cut where it would, between whole runs.
+    cap = _MOST // n.max() if len(n) else 1
+    heads = ~follows | ((np.arange(len(text)) - first[row]) % cap == 0)
+    at = np.flatnonzero(heads)
+    return text[at], start[at], np.add.reduceat(n, at), h[at], f[at], kind[at]
+
+
+def spread_twins(hit: np.ndarray, start: np.ndarray, n: np.ndarray, mark: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Windows that are repeats because the one they equal is; ``hit`` says so of each place, ``base`` is a text's first.
+
+    Twins of runs come from windows that may be twins of single windows themselves: two rounds.
+    """
+    to = ranges_of(base + start, n)
+    step = to - np.repeat(base + start, n)
+    source = np.repeat(base + (mark >> 16), n) + step % np.repeat(mark & 0xFFFF, n)
+    for _ in range(2):
+        hit[to] |= hit[source]
+    return to[hit[to]]
+
+
 def wanted_spans(found: DataFrame) -> DataFrame:
     """Runs to compare, listed by text: (start, n, h, crowded).
 
@@ -112,23 +154,36 @@ def wanted_spans(found: DataFrame) -> DataFrame:
     return marked.groupBy("k1", "t1").agg(F.collect_list(span).alias("spans"))
 
 
-def settle_windows(value: np.ndarray, ids: np.ndarray, smaller: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For windows of one batch, by content hash: which must travel, and which are known to be repeats."""
+def settle_windows(
+    value: np.ndarray, ids: np.ndarray, smaller: bool, text: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For windows of one batch, by content hash: which must travel, which are known to be repeats, and models.
+
+    With ``smaller`` the windows that neither travel nor are known equal an earlier one of their
+    ``text``, their model, which travels.  A model is the index of a window.
+    """
     order = np.lexsort((ids, value)) if smaller else np.argsort(value, kind="stable")
     new = np.ones(len(value), bool)
     new[1:] = value[order][1:] != value[order][:-1]
     group = np.cumsum(new) - 1
     travels, known = np.zeros(len(value), bool), np.zeros(len(value), bool)
+    model = np.arange(len(value))
     travels[order] = new
     known[order] = ids[order] > ids[order][new][group] if smaller else (np.bincount(group) > 1)[group]
-    if smaller:  # rows of the smallest id all wait for what other batches have
-        travels = ~known
-    return travels, known
+    if smaller:  # texts of the smallest id all wait for what other batches have
+        lead = new.copy()
+        lead[1:] |= np.diff(text[order]) != 0
+        model[order] = order[np.maximum.accumulate(np.where(lead, np.arange(len(value)), 0))]
+        travels[order] = lead
+        travels &= ~known
+    return travels, known, model
 
 
 def match_runs(batches: Iterator[pa.RecordBatch], smaller: bool) -> Iterator[pa.RecordBatch]:
     """Settle runs sorted by (h, f, k1): KNOWN rows are repeats, TO_MATCH rows need their windows compared.
 
+    TWIN rows pass with their mark as h.
+
     A run equal to another one is a repeat as a whole (with ``smaller``: to one of a smaller id).
     One of each set of equal runs is compared by its windows if its minimiser has other runs too.
     Between batches only three rows are held: the first of the minimiser, the first of the equal
@@ -168,10 +223,15 @@ def match_runs(batches: Iterator[pa.RecordBatch], smaller: bool) -> Iterator[pa.
 
     for batch in batches:
         columns = {c: batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in names}
-        passed = columns["at"] & 3 == KNOWN
+        kinds = columns["at"] & 3
+        twins = kinds == TWIN
+        if twins.any():
+            yield rows(columns | {"h": columns["f"]}, twins, TWIN)
+        passed = kinds == KNOWN
         if passed.any():
             yield rows(columns, passed, KNOWN)
-            columns = {c: v[~passed] for c, v in columns.items()}
+        if (twins | passed).any():
+            columns = {c: v[~(twins | passed)] for c, v in columns.items()}
         if not len(columns["h"]):
             continue
         if held:

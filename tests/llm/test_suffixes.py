@@ -1,11 +1,14 @@
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusbench.llm import suffixes, windows
 from tests.llm import brute
-from tests.llm.fixtures import awkward_rows, documents
+from tests.llm.fixtures import awkward_rows, documents, text
 
 
 @pytest.mark.parametrize("window, gram, crowd", [(50, 24, 1000), (7, 4, 1000), (50, 24, 1), (7, 4, 3)])
@@ -28,6 +31,47 @@ def test_pieces_of_long_texts(spark, monkeypatch):
     assert sorted(found, key=brute.sort_key) == sorted(brute.repeated_bytes(rows, 30), key=brute.sort_key)
 
 
+def short_periods():
+    r = random.Random(8)
+    label = text(r, 12)
+    log = "\n".join(f"{label} {r.random()}" for _ in range(150))
+    rows = [(k + 20, f"{text(r, 20)} {unit * (700 // len(unit))} {text(r, 20)}") for k, unit in enumerate(["-", "-", "=-", " ", "abc", "0", "-"])]
+    rows += [(50, "-" * 17_000), (10, "=" + "=-" * 40), (51, f"{text(r, 30)} {log}"), (52, log + text(r, 5)), (9, f"x {label} 0.5")]
+    return [*rows, (None, "0" * 900), (None, "-" * 300), (24, "abc" * 60), (9, "abc" * 40 + label)]
+
+
+@pytest.mark.parametrize("window, gram, crowd", [(50, 24, 1000), (50, 24, 1), (7, 4, 3)])
+def test_short_periods(spark, monkeypatch, window, gram, crowd):
+    monkeypatch.setattr(windows, "CROWD", crowd)
+    rows = short_periods()
+    for parts in (1, 5):
+        got = suffixes.remove_repeated_bytes(documents(spark, rows).repartition(parts), window, gram)
+        found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()]
+        assert sorted(found, key=brute.sort_key) == sorted(brute.repeated_bytes(rows, window), key=brute.sort_key)
+
+
+def test_rows_of_a_long_run_of_one_byte():
+    """Rows that leave the text for a shard do not grow with the run, alone or among many contexts."""
+    shape = windows.Shape(50, 24)
+    body = "start of it " * 3 + "-" * 40_000 + " and the end of it" * 3
+    log = "".join(f"{'label of the line ' * 4}{k * 7919 % 100_003}" for k in range(2_000))
+    for whole, most in ((body, 300), ("-" * 40_000, 0)):
+        batch = pa.RecordBatch.from_pydict({"k1": [1], "t1": [7], "text": [whole]})
+        sent = pa.Table.from_batches(suffixes._runs(iter([batch]), shape))
+        assert len(sent) < 500
+        found = pa.Table.from_batches(windows.match_runs(iter(sent.sort_by([("h", "ascending"), ("f", "ascending")]).to_batches()), True))
+        assert sum(k == windows.TO_MATCH for k in found["kind"].to_pylist()) <= most
+    starts = len(log) - 49
+    spans = [[{"start": 0, "n": starts, "h": 5, "crowded": True}]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1]), pa.array([7]), pa.array([log]), pa.array(spans, pa.list_(pa.struct({"start": pa.int32(), "n": pa.int32(), "h": pa.int64(), "crowded": pa.bool_()})))],
+        ["k1", "t1", "text", "spans"],
+    )
+    (packed,) = suffixes._pack(iter([batch]), 50)
+    shards = [h for h, raw in zip(packed["h"].to_pylist(), packed["bytes"].to_pylist(), strict=True) if raw]
+    assert packed.num_rows == starts and len(set(shards)) == len(shards) < starts
+
+
 def test_empty_table(spark):
     assert suffixes.remove_repeated_bytes(documents(spark, [])).count() == 0
 
