@@ -206,8 +206,8 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterat
             for salt in (0x1234_5678_9ABC_DEF1, 0x0FED_CBA9_8765_4321):
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(value ^ np.uint64(salt)))])
                 marks.append(sums[before[1:]] - sums[before[:-1]])
-            # A set of up to percent / (100 - percent) shingles can only equal another: it needs no band.
-            able = np.flatnonzero(n * (100 - percent) > percent)
+            # A set of fewer than percent / (100 - percent) shingles can only equal another: it needs no band.
+            able = np.flatnonzero(n * (100 - percent) >= np.maximum(percent, 1))
             part = ranges_of(before[able], n[able])
             bounds = np.concatenate([[0], np.cumsum(n[able])])
             bands = densified(registers_of(value[part], bounds, REGISTERS)).reshape(len(able), in_all, in_band)

@@ -56,6 +56,18 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert sum(not r[3] for r in got) > 40
 
 
+def test_smallest_sets_at_the_threshold(spark):
+    """Four shingles inside five are exactly 80 percent."""
+    r = random.Random(6)
+    rows = []
+    for k in range(0, 60, 2):
+        body = text(r, 9)
+        rows += [(k, " ".join(body.split()[:8])), (k + 1, body)]
+    got = [tuple(row) for row in hyperminhash.near_duplicates(documents(spark, rows), percent=80).collect()]
+    assert sorted(got) == sorted(expected(rows, 80))
+    assert sum(not row[3] for row in got) == 30
+
+
 def test_empty_table(spark):
     assert hyperminhash.near_duplicates(documents(spark, [])).count() == 0
 
