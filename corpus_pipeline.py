@@ -19,10 +19,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; profiles are learned from the labelled ones among all that came in."""
+    """Documents that share any n-gram with a known language; profiles are learned from the labelled ones that came in.
+
+    Texts without letters go, and texts in a script no profile has; a foreign language in a known
+    script shares n-grams with its profiles and stays.
+    """
     profiles = language.learn_profiles(docs)
     told = language.predict(docs, profiles)
-    return told.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    return told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0)).select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,6 +107,15 @@ def test_one_row_of_each_group_stays_whole(spark, tmp_path):
     assert {r.doc_id: r.n for r in found.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == dict(want)
 
 
+def test_language_stage_rejects_scripts_without_a_profile(spark):
+    rows = [row for row in corpus() if grams_of(row[1] or "")]
+    foreign = [(9000, "съешь ещё этих мягких французских булок " * 12), (9001, "色は匂へど散りぬるを " * 30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    cells = [(d, t, "en", "s", len(t)) for d, t in rows] + [(d, t, None, "s", len(t)) for d, t in foreign]
+    told = corpus_pipeline.language_id(spark, spark.createDataFrame(cells, schema), "")
+    assert Counter(r.doc_id for r in told.collect()) == Counter(d for d, _ in rows)
+
+
 def plain_rest(rows, doc_id):
     lists = [brute.words_of(t) for _, t in rows]
     w = superkmers.WINDOW
