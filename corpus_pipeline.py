@@ -12,10 +12,20 @@ from corpusbench.llm.common import stage_table, text_key
 NEAR = 80  # percent of shared five-word shingles at which documents are near-duplicates
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns as one, so that no operator takes them for its own."""
+    others = (F.col(c) for c in docs.columns if c not in ("doc_id", "text"))
+    return docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_none")).alias("_others"))
+
+
+def _unpacked(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*(c if c in ("doc_id", "text") else F.col("_others")[c].alias(c) for c in columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the current policy of the quality ledger."""
-    entries = quality.ledger(docs)
-    return entries.where(quality.passes(quality.POLICIES[quality.CURRENT])).select(*docs.columns)
+    entries = quality.ledger(_packed(docs))
+    return _unpacked(entries.where(quality.passes(quality.POLICIES[quality.CURRENT])), docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +35,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     script shares n-grams with its profiles and stays.
     """
     profiles = language.learn_profiles(docs)
-    told = language.predict(docs, profiles)
-    return told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0)).select(*docs.columns)
+    told = language.predict(_packed(docs), profiles)
+    return _unpacked(told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0)), docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +58,10 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words that repeated windows cover; texts that lose nothing keep their layout."""
-    cleaned = superkmers.repeated_words(docs, keep=docs.columns)
+    cleaned = superkmers.repeated_words(_packed(docs), keep=["_others"])
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    return cleaned.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return _unpacked(cleaned.withColumn("text", text), docs.columns).withColumn("n_chars", n_chars)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,6 +116,20 @@ def test_language_stage_rejects_scripts_without_a_profile(spark):
     assert Counter(r.doc_id for r in told.collect()) == Counter(d for d, _ in rows)
 
 
+def test_columns_named_like_an_operators_own_stay(spark):
+    own = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "failures", "lang_pred", "score"]
+    own += ["n_removed", "kept_text", "kept_sha256", "k1", "t1", "payload", "component_id", "kept", "spans"]
+    rows = [row for row in corpus() if row[0] >= 2000 and row[0] < 3010]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in own)
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t), *(f"{c} of {d}" for c in own)) for d, t in rows], schema)
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == columns
+    found = docs.collect()
+    assert len(found) > 40 and all(r[c] == f"{c} of {r.doc_id}" for r in found for c in own)
+
+
 def plain_rest(rows, doc_id):
     lists = [brute.words_of(t) for _, t in rows]
     w = superkmers.WINDOW
