@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusbench.llm import hyperminhash, language, negatives, packing, quality, sharding, suffixes, superkmers, tokens, urls, vectors
+from corpusbench.llm import conversations, hyperminhash, language, negatives, packing, quality, sharding, suffixes, superkmers, tokens, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -182,3 +182,30 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     relabelled = table(spark, sf_dir, "embeddings").withColumn("label", moved)
     return negatives.hard_negatives(relabelled, F.col("vec_id") % 100 == 0)
+
+
+def _damaged(spoken: DataFrame) -> DataFrame:
+    """Drop, empty, cut or repeat turns, or turn their role to user, by a checksum of conversation and turn."""
+    name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    text, role = (F.coalesce(F.col(c), F.lit(" ")) for c in ("text", "role"))
+    kind = F.col("kind")
+    copies = F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return spoken.withColumn("kind", F.crc32(name) % 20).where(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(copies).alias("copy"),
+    )
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spoken = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    mended = conversations.repair(_damaged(spoken))
+    every = spoken.select("conv_id").distinct().withColumn("key", conversations.conversation_key(F.col("conv_id")))
+    told = every.join(mended.conversations, "key", "left").join(conversations.digests(mended.turns), "key", "left")
+    zero = F.lit(0).cast("long")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return told.select(
+        "conv_id", *(F.coalesce(c, zero).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
