@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusbench.llm import conversations, hyperminhash, language, negatives, packing, quality, sharding, suffixes, superkmers, tokens, urls, vectors
+from corpusbench.llm import conversations, hyperminhash, language, mixing, negatives, packing, quality, sharding, suffixes, superkmers, tokens, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -209,3 +209,87 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", *(F.coalesce(c, zero).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
     )
+
+
+_MIX_SQL = rf"""
+WITH named AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS sum,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents
+), grouped AS (
+  SELECT doc_id, source, sum, size, count(*) AS n FROM named GROUP BY ALL
+), sizes AS (
+  SELECT source, sum(size * n)::BIGINT AS source_size, sum(n)::BIGINT AS documents,
+    (row_number() OVER (ORDER BY source NULLS LAST) - 1)::BIGINT AS rank
+  FROM grouped GROUP BY source
+), weighed AS (
+  SELECT *, [5, 2, 1][(rank % 3 + 1)::INT] AS weight, 200 * source_size AS top FROM sizes
+), shares AS (
+  SELECT *, 150 * sum(source_size) OVER () - coalesce(sum(top) OVER w, 0) AS rest,
+    sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open_weight,
+    row_number() OVER (ORDER BY top / weight, rank) AS place
+  FROM weighed WINDOW w AS (ORDER BY top / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT place, rest, open_weight FROM shares WHERE NOT top * open_weight < weight * rest ORDER BY place LIMIT 1
+), sources AS (
+  SELECT s.source, s.rank, s.source_size,
+    CASE WHEN s.place >= l.place THEN (s.weight * l.rest)::DOUBLE / (100 * l.open_weight)::DOUBLE
+      ELSE s.source_size::DOUBLE * 2 END AS target,
+    greatest(1, ceil((s.source_size + s.documents) / {mixing.SHARD_WORDS}))::BIGINT AS shards
+  FROM shares s, level l
+), bundles AS (
+  SELECT *, greatest(1, least({mixing._COPIES}, {mixing.SHARD_WORDS} // greatest(size, 1))) AS per FROM grouped
+), dealt AS (
+  SELECT doc_id, source, sum, size, per, n, unnest(range(0, ceil(n / per)::BIGINT)) AS bundle FROM bundles
+), pieces AS (
+  SELECT d.doc_id, d.source, d.size, least(per, n - bundle * per) AS copies, s.rank, s.source_size, s.target, s.shards,
+    md5(concat_ws('|', '{mixing.SEED}', coalesce(d.doc_id::VARCHAR, ''), d.sum, bundle)) AS deal
+  FROM dealt d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source
+), placed AS (
+  SELECT *, ('0x' || substr(deal, 1, 15))::BIGINT % shards AS shard FROM pieces
+), cells AS (
+  SELECT rank, shard, sum(size * copies)::BIGINT AS words,
+    coalesce(max(target) * sum(size * copies)::BIGINT / nullif(max(source_size), 0), 0) AS claim
+  FROM placed GROUP BY rank, shard
+), seats AS (
+  SELECT (150 * sum(source_size) + 50 * {mixing.BLOCK})::BIGINT // (100 * {mixing.BLOCK}) AS seats FROM sources
+), bids AS (
+  SELECT rank, shard, claim / (2 * k + 1) AS bid
+  FROM (SELECT rank, shard, claim, unnest(range(0, (claim / {mixing.BLOCK})::BIGINT + 100)) AS k FROM cells)
+), won AS (
+  SELECT rank, shard, count(*) AS quota FROM (
+    SELECT *, row_number() OVER (ORDER BY bid DESC, rank, shard) AS place FROM bids
+  ), seats WHERE place <= seats GROUP BY rank, shard
+), known AS (
+  SELECT rank, shard, words, words // {mixing.BLOCK} AS full_blocks,
+    least(coalesce(quota, 0) * {mixing.BLOCK}, 2 * words) AS wanted,
+    ('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', rank, shard)), 1, 15))::BIGINT AS turn
+  FROM cells LEFT JOIN won USING (rank, shard)
+), laid AS (
+  SELECT *, coalesce(sum(size * copies) OVER (PARTITION BY rank, shard ORDER BY deal
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM placed
+), copied AS (
+  SELECT doc_id, source, size, source_size, target, rank, shard, row_number() OVER () AS row_id, low, low + size AS high
+  FROM (SELECT *, start + unnest(range(0, copies::BIGINT)) * size AS low FROM laid)
+), blocks AS (
+  SELECT row_id, low, high, wanted % words - {mixing.BLOCK} * CASE WHEN j < full_blocks
+      THEN (j * {mixing._PRIME} + turn % full_blocks) % full_blocks ELSE full_blocks END AS open_words, j
+  FROM (
+    SELECT *, unnest(range(low // {mixing.BLOCK}, (high - 1) // {mixing.BLOCK} + 1)) AS j
+    FROM copied JOIN known USING (rank, shard) WHERE size > 0
+  )
+), extra AS (
+  SELECT row_id, sum(greatest(0, least(high, j * {mixing.BLOCK} + greatest(0, least({mixing.BLOCK}, open_words)))
+    - greatest(low, j * {mixing.BLOCK}))) AS words FROM blocks GROUP BY row_id
+)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN size = 0 THEN 0 ELSE wanted // k.words * size + coalesce(extra.words, 0) END)::BIGINT AS taken
+FROM copied JOIN known k USING (rank, shard) LEFT JOIN extra USING (row_id)
+"""
+
+
+@query("op11_mixing", _MIX_SQL)
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
