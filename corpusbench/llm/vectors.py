@@ -9,33 +9,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusbench.llm.common import components, local_components, small_table, stage_table
+from corpusbench.llm.common import components, local_components, mix, stage_table
 
 THRESHOLD = 0.95
 SAMPLE, CELL, MAX_CELLS, BLOCK = 20_000, 400, 1024, 2048
-DEVIATIONS = 3.0
+_SENT = "cell int, block int, side int, length int, ids binary, m binary, v binary"
 
 
 def near_vectors(
-    embeddings: DataFrame, threshold: float = THRESHOLD, *, deviations: float = DEVIATIONS,
-    id_col: str = "vec_id", vector_col: str = "embedding",
+    embeddings: DataFrame, threshold: float = THRESHOLD, *, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Vectors whose cosine is at least ``threshold`` in double precision are linked.
+    Vectors whose cosine is at least ``threshold`` in double precision are linked; none is missed.
 
     1. Equal vectors are one, with their number.
     2. Centroids are fitted to a sample of at most SAMPLE vectors by hash of the id; every vector gets
        the cell of its nearest centroid.
-    3. A vector is compared with its own cell and with every cell whose border a partner may lie
-       across.  A partner at the threshold in a random direction passes a border farther away than
-       ``deviations`` standard deviations about once in a thousand at 3; tests measure the recall.
-    4. A cell's vectors are dealt to blocks of about BLOCK; others stream past each block.  A block
-       reports numbers of links and a forest of them, never all pairs.
+    3. A vector is compared with its own cell and with every cell that can hold a partner.  A partner
+       lies within the threshold's angle of it and is nearer to the other centroid: both can be only if
+       the vector's distance from the border between the cells is at most that angle.  Of two cells one
+       is sent to the other, so each pair meets once and counts for both.
+    4. A cell's vectors are dealt to blocks of about BLOCK; others stream past each block, packed by the
+       task that sends them.  A block reports numbers of links and a forest of them, never all pairs.
 
     A vector that is null, zero, or holds null or non-finite components links with nothing, as does one
     with a null id (its component is null).  Rows that repeat an id are vectors of their own in one
-    component; an empty table gives an empty one.  Vectors of different lengths are never linked.
+    component; an empty table gives an empty one.  Vectors of different lengths are never linked.  Other
+    columns are not looked at, whatever their names.
     """
     vectors = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -47,22 +48,12 @@ def near_vectors(
     distinct = stage_table(
         able.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("m")), "distinct-vectors"
     )
-    centroids = fit(distinct)
-    placed = stage_table(
-        distinct.mapInArrow(
-            lambda it: _place(it, centroids, threshold, deviations), f"{_schema(distinct)}, home int, cells array<int>"
-        ),
-        "placed-vectors",
-    )
+    cells = _Cells(fit(distinct), threshold)
+    placed = stage_table(distinct.mapInArrow(cells.place, f"{_schema(distinct)}, home int"), "placed-vectors")
     sizes = placed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()  # at most a few thousand cells
-    blocks = small_table(able.sparkSession, [(r.home, -(-r.n // BLOCK)) for r in sizes] or [(0, 1)], "cell int, blocks int")
-    dealt = (
-        placed.withColumn("cell", F.explode("cells")).join(F.broadcast(blocks), "cell")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("inside", (F.col("cell") == F.col("home")) & (F.col("block") == F.pmod(F.xxhash64("id"), F.col("blocks"))))
-        .select("cell", "block", F.when(F.col("inside"), 0).otherwise(1).alias("side"), "id", "m", "v")
-    )
-    keyed = dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "side")
+    cells.blocks = {r.home: -(-r.n // BLOCK) for r in sizes}
+    sent = placed.mapInArrow(cells.send, _SENT)
+    keyed = sent.repartition("cell", "block").sortWithinPartitions("cell", "block", "side")
     found = stage_table(keyed.mapInArrow(lambda it: _compare(it, threshold), "a long, b long, n long"), "vector-links")
 
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
@@ -122,39 +113,81 @@ def spherical_means(x: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
     return means
 
 
-def _place(
-    batches: Iterator[pa.RecordBatch], centroids: dict[int, np.ndarray], threshold: float, deviations: float
-) -> Iterator[pa.RecordBatch]:
-    """Each vector's own cell, and all cells it must be compared with."""
-    first = dict(zip(sorted(centroids), np.cumsum([0, *(len(centroids[n]) for n in sorted(centroids))]), strict=False))
-    spread = {n: np.linalg.norm(c[:, None] - c[None], axis=2) for n, c in centroids.items()}
-    reach = (1 - threshold * threshold) ** 0.5
-    for batch in batches:
-        for low in range(0, batch.num_rows, 2000):
-            part = batch.slice(low, 2000)
-            vectors = part.column(part.schema.get_field_index("v"))
-            lengths = vectors.value_lengths().to_numpy()
-            home, cells = np.full(len(part), -1, np.int32), [None] * len(part)
-            for length in np.unique(lengths):
-                rows = np.flatnonzero(lengths == length)
-                if length not in centroids:  # a length the sample lacks is a cell of its own
+def _takes(own: np.ndarray | int, other: np.ndarray | int) -> np.ndarray | bool:
+    """Whether ``own`` is sent to ``other``: so for exactly one of two, and about equally often for each."""
+    return np.where((own + other) % 2 == 0, own < other, own > other)
+
+
+class _Cells:
+    """Centroids of each vector length, their numbers, and which cells can hold a partner of a vector."""
+
+    def __init__(self, centroids: dict[int, np.ndarray], threshold: float):
+        self.centroids, self.blocks = centroids, {}
+        self.first = dict(zip(sorted(centroids), np.cumsum([0, *(len(centroids[n]) for n in sorted(centroids))]), strict=False))
+        self.apart = {n: np.linalg.norm(c[:, None] - c[None], axis=2) for n, c in centroids.items()}
+        self.reach = (1 - threshold * threshold) ** 0.5  # the sine of the widest angle of a link
+
+    def place(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Add each vector's cell; a length that the sample lacks is a cell of its own."""
+        for batch in batches:
+            vectors = batch.column(batch.schema.get_field_index("v"))
+            home = np.zeros(len(batch), np.int32)
+            for rows, length in _by_length(vectors):
+                if length not in self.centroids:
                     home[rows] = -1 - length
-                    for r in rows:
-                        cells[r] = [-1 - length]
                     continue
-                x = unit(_matrix(vectors.take(pa.array(rows)), length))
-                near = x @ centroids[length].T
-                best = near.argmax(axis=1)
-                away = near[np.arange(len(rows)), best][:, None] - near
-                limit = reach * min(1.0, deviations / max(length - 1, 1) ** 0.5) * spread[length][best]
-                inside = away <= limit + 1e-9
-                home[rows] = first[length] + best
-                for r, row in zip(rows, inside, strict=True):
-                    cells[r] = (first[length] + np.flatnonzero(row)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(home), pa.array(cells, pa.list_(pa.int32()))],
-                [*part.schema.names, "home", "cells"],
-            )
+                near = unit(_matrix(vectors.take(pa.array(rows)), length)) @ self.centroids[length].T
+                home[rows] = self.first[length] + near.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home)], [*batch.schema.names, "home"])
+
+    def send(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors packed for every block that they belong to or must be compared with."""
+        for batch in batches:
+            for low in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(low, BLOCK)
+                columns = {name: part.column(i) for i, name in enumerate(part.schema.names)}
+                ids, m, home = (columns[c].to_numpy() for c in ("id", "m", "home"))
+                kind = np.float32 if pa.types.is_float32(columns["v"].type.value_type) else np.float64
+                out: list[tuple] = []
+                for rows, length in _by_length(columns["v"]):
+                    x = _matrix(columns["v"].take(pa.array(rows)), length)
+                    packed = x.astype(kind)
+
+                    def pack(cell: int, block: int, side: int, own: np.ndarray) -> None:
+                        if len(own):
+                            data = (a.tobytes() for a in (ids[rows[own]], m[rows[own]], packed[own]))  # noqa: B023
+                            out.append((cell, block, side, length * (1 if kind is np.float32 else -1), *data))  # noqa: B023
+
+                    number = (mix(ids[rows].astype(np.uint64)) % np.array([self.blocks[h] for h in home[rows]], np.uint64)).astype(int)
+                    for cell in np.unique(home[rows]).tolist():
+                        own = np.flatnonzero(home[rows] == cell)
+                        for block in range(self.blocks[cell]):
+                            pack(cell, block, 0, own[number[own] == block])
+                            pack(cell, block, 1, own[_takes(number[own], block)])
+                    if length in self.centroids:
+                        inside = self.across(unit(x), home[rows], length)
+                        for k in np.flatnonzero(inside.any(axis=0)).tolist():
+                            cell = int(self.first[length] + k)
+                            for block in range(self.blocks.get(cell, 0)):
+                                pack(cell, block, 1, np.flatnonzero(inside[:, k]))
+                if out:
+                    kinds = [pa.int32()] * 4 + [pa.binary()] * 3
+                    names = [field.split()[0] for field in _SENT.split(", ")]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def across(self, x: np.ndarray, home: np.ndarray, length: int) -> np.ndarray:
+        """By vector and cell: whether the cell, not the vector's own, takes it and can hold a partner."""
+        best = home - self.first[length]
+        near = x @ self.centroids[length].T
+        away = near[np.arange(len(x)), best][:, None] - near
+        inside = away <= self.reach * self.apart[length][best] + 1e-9
+        return inside & _takes(best[:, None], np.arange(near.shape[1])[None])
+
+
+def _by_length(vectors: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
+    lengths = vectors.value_lengths().to_numpy()
+    for length in np.unique(lengths).tolist():
+        yield np.flatnonzero(lengths == length), length
 
 
 def _matrix(vectors: pa.Array, length: int) -> np.ndarray:
@@ -171,18 +204,16 @@ class _Links:
         self.rows: list[tuple[np.ndarray, np.ndarray | None, np.ndarray]] = []
 
     def add(self, left, right, threshold: float, same: bool) -> None:
-        ids, _, x = left
+        ids, own_m, x = left
         other_ids, other_m, y = right
-        if x.shape[1] != y.shape[1]:
-            return
         close = x @ y.T >= threshold
         if same:
             np.fill_diagonal(close, False)
-        counts = close @ other_m
-        hit = counts > 0
-        if not hit.any():
+        if not close.any():
             return
-        self.rows.append((ids[hit], None, counts[hit]))
+        for names, counts in [(ids, close @ other_m)] + ([] if same else [(other_ids, own_m @ close)]):
+            hit = counts > 0
+            self.rows.append((names[hit], None, counts[hit]))
         a, b = np.nonzero(close)
         b = b if same else b + len(ids)
         nodes = ids if same else np.concatenate([ids, other_ids])
@@ -202,41 +233,36 @@ class _Links:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows come by (cell, block), those of the block first; the others stream past it."""
+    """Packed vectors come by (cell, block), those of the block first; the others stream past it."""
     links, now, block, waiting = _Links(), None, None, []
 
-    def joined(parts):
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    def gathered():
+        whole = tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
+        links.add(whole, whole, threshold, True)
+        return whole
 
     for batch in batches:
-        cell, number, side, ids, m = (batch.column(i).to_numpy() for i in range(5))
-        vectors = batch.column(5)
-        lengths = vectors.value_lengths().to_numpy()
-        cuts = np.flatnonzero(np.any([np.diff(c, prepend=c[0] - 1) != 0 for c in (cell, number, side, lengths)], axis=0))
-        for low, high in zip(cuts, [*cuts[1:], len(ids)], strict=True):
-            if (cell[low], number[low]) != now:
+        cell, number, side, length = (batch.column(i).to_pylist() for i in range(4))
+        for k in range(len(batch)):
+            ids, m, v = (batch.column(i)[k].as_buffer() for i in (4, 5, 6))
+            x = np.frombuffer(v, np.float32 if length[k] > 0 else np.float64).astype(float).reshape(-1, abs(length[k]))
+            part = np.frombuffer(ids, np.int64), np.frombuffer(m, np.int64), unit(x)
+            if (cell[k], number[k]) != now:
                 if waiting:
-                    whole = joined(waiting)
-                    links.add(whole, whole, threshold, True)
-                now, block, waiting = (cell[low], number[low]), None, []
-            for at in range(low, high, BLOCK):
-                end = min(at + BLOCK, high)
-                x = unit(_matrix(vectors.slice(at, end - at), int(lengths[low])))
-                part = (ids[at:end], m[at:end], x)
-                if side[low] == 0:
-                    waiting.append(part)
-                    continue
-                if waiting:
-                    block, waiting = joined(waiting), []
-                    links.add(block, block, threshold, True)
-                if block is not None:
-                    links.add(part, block, threshold, False)
+                    gathered()
+                now, block, waiting = (cell[k], number[k]), None, []
+            if side[k] == 0:
+                waiting.append(part)
+                continue
+            if waiting:
+                block, waiting = gathered(), []
+            if block is not None:
+                links.add(part, block, threshold, False)
         out = links.take()
         if out is not None:
             yield out
     if waiting:
-        whole = joined(waiting)
-        links.add(whole, whole, threshold, True)
+        gathered()
     out = links.take()
     if out is not None:
         yield out

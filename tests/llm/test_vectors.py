@@ -53,23 +53,55 @@ def test_links_and_components(spark, monkeypatch, block):
     monkeypatch.setattr(vectors, "CELL", 40)
     rows = made(1)
     frame = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], SCHEMA)
-    # At this many deviations every border within reach is crossed: nothing may be missed.
-    found = [tuple(r) for r in vectors.near_vectors(frame, deviations=99.0).collect()]
+    found = [tuple(r) for r in vectors.near_vectors(frame).collect()]
     assert sorted(found, key=brute.sort_key) == sorted(expected(rows), key=brute.sort_key)
 
 
-GIVEN = Path("/root/testdata/check_h/embeddings.parquet")
+def linked(x, block=4096):
+    """Links of each unit vector, by all pairs in blocks."""
+    return np.concatenate([(x[k : k + block] @ x.T >= 0.95).sum(axis=1) - 1 for k in range(0, len(x), block)])
 
 
-@pytest.mark.skipif(not GIVEN.exists(), reason="needs the given vectors")
-def test_recall_on_the_given_vectors(spark):
-    frame = spark.read.parquet(str(GIVEN)).limit(6000)
-    rows = [(r.vec_id, r.embedding) for r in frame.collect()]
-    x = vectors.unit(np.array([v for _, v in rows], float))
-    truth = {rows[k][0]: int(n) - 1 for k, n in enumerate((x @ x.T >= 0.95).sum(axis=1))}
+@pytest.mark.parametrize(("rank", "size"), [(4, 64), (6, 64), (8, 256), (16, 768)])
+def test_vectors_of_low_rank_lose_no_link(spark, monkeypatch, rank, size):
+    monkeypatch.setattr(vectors, "CELL", 40)
+    r = np.random.default_rng(rank)
+    n = 5200
+    x = r.normal(size=(n, rank))
+    x[::20] = x[1::20] + 0.25 * r.normal(size=x[::20].shape)
+    x = (x @ r.normal(size=(rank, size))).astype(np.float32)
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    assert len(vectors.fit(frame.selectExpr("vec_id AS id", "embedding AS v"))[size]) >= 128
+    found = {row.vec_id: row.n_links for row in vectors.near_vectors(frame).collect()}
+    truth = linked(vectors.unit(x.astype(float)))
+    assert truth.sum() > 100
+    assert [found[k] for k in range(n)] == truth.tolist()
+
+
+def given():
+    """The largest of the given tables that are there."""
+    folders = [Path("/root/testdata") / d / "embeddings.parquet" for d in ("check_h", "sf0.1", "sf0.01")]
+    return next((str(d) for d in folders if d.exists()), None)
+
+
+def test_given_vectors_lose_no_link(spark):
+    """The whole table with the query's own cells; made vectors where there is none."""
+    if given() is None:
+        frame = spark.createDataFrame(made(2, 3000)[:3000], "vec_id long, embedding array<float>")
+    else:
+        frame = spark.read.parquet(given()).select("vec_id", "embedding")
+    rows = frame.collect()
+    truth = linked(vectors.unit(np.array([r.embedding for r in rows], float)))
     found = {r.vec_id: r.n_links for r in vectors.near_vectors(frame).collect()}
-    assert sum(found.values()) >= 0.999 * sum(truth.values()) > 0
-    assert all(found[k] <= truth[k] for k in truth)
+    assert [found[r.vec_id] for r in rows] == truth.tolist()
+
+
+def test_many_repeated_rows(spark):
+    v = [0.5, 0.25, 1.0]
+    rows = [(7, v)] * 1500 + [(k, v) for k in range(100, 1600)] + [(None, v)] * 500
+    found = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {(r.n_links, r.component_id) for r in found if r.vec_id is not None} == {(2999, 7)}
+    assert sum(r.vec_id is None and r.n_links == 0 for r in found) == 500
 
 
 def test_empty_table(spark):
