@@ -14,7 +14,7 @@ from corpusbench.operators.spread import spread_join
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 32  # words
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 20
 SEED = 42
 _COPIES = 1024  # equal rows that travel as one
 _GRID = 32
