@@ -136,8 +136,20 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Po
     return mix((sums[ends] - sums[starts]) * down[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    return span_hash(prefix_sums(raw.astype(np.uint64) + np.uint64(1), powers), starts, ends, powers)
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes, as the sum of a mix of every byte with its place in the word.
+
+    Sums of powers would not do here: for any odd base there are two words of a thousand letters, two
+    letters in the order of Thue and Morse and the same with the letters swapped, whose sums are equal.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    at = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)  # place in the word
+    letters = raw[at + np.repeat(starts, lengths)].astype(np.uint64)
+    sums = np.add.reduceat(mix((at.astype(np.uint64) << np.uint64(8)) + letters + np.uint64(_BASE)), first)
+    return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

@@ -119,7 +119,7 @@ def shingle_sets(
     """Distinct shingle hashes of each text, sorted, and the number of them before each text."""
     lowered = raw + np.where((raw >= 65) & (raw <= 90), np.uint8(32), np.uint8(0))
     starts, ends, bounds = word_bounds(lowered, offsets)
-    sums = prefix_sums(word_hashes(lowered, starts, ends, powers), powers)
+    sums = prefix_sums(word_hashes(lowered, starts, ends), powers)
     counts = np.diff(bounds)
     shingles = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
     at = ranges_of(bounds[:-1], shingles)

@@ -43,7 +43,8 @@ def remove_repeated_bytes(
     then sorts its suffixes by induction and reads groups of equal strings from the common prefixes.
 
     Null and empty texts have no bytes; a null id counts as larger than every id; rows that repeat an
-    id remove nothing from each other; an empty table gives an empty one.
+    id remove nothing from each other, and of rows equal in id and text one is sorted for all; an empty
+    table gives an empty one.  Of other columns none is looked at, whatever its name.
     """
     shape = windows.Shape(window, gram)
     docs = documents.select(
@@ -54,13 +55,13 @@ def remove_repeated_bytes(
     # Settled runs and twins need no partner: they are dealt by their text, not by their minimiser.
     alone = F.expr("at & 3").isin(windows.KNOWN, windows.TWIN)
     bucket = F.when(alone, F.xxhash64("t1", "at")).otherwise(F.col("h"))
-    dealt = parts.repartition(bucket).sortWithinPartitions("h", "f", "k1")
+    dealt = parts.repartition(bucket).sortWithinPartitions(*windows.RUN_ORDER)
     found = stage_table(
         dealt.mapInArrow(lambda it: windows.match_runs(it, True), windows.MATCH_SCHEMA), "byte-runs"
     )
     texts = docs.select("k1", "t1", "doc_id", "text")
     wanted = windows.wanted_spans(found)
-    packed = texts.join(wanted, ["k1", "t1"]).mapInArrow(
+    packed = texts.join(wanted, ["k1", "t1"]).sortWithinPartitions("k1", "t1").mapInArrow(
         lambda it: _pack(it, window), "h long, k1 long, t1 long, start int, bytes binary, twin long"
     )
     shards = packed.repartition("h").sortWithinPartitions("h").mapInArrow(
@@ -77,21 +78,22 @@ def remove_repeated_bytes(
 
 def _runs(batches: Iterator[pa.RecordBatch], shape: windows.Shape) -> Iterator[pa.RecordBatch]:
     powers = Powers()
-    for batch in batches:
+    for whole in batches:
+        batch, copied = windows.distinct_rows(whole)
         k1, t1 = (batch.column(i).to_numpy() for i in (0, 1))
         found = []
         for first, raw, offsets in text_blocks(without_nulls(batch, "text"), _BLOCK):
             sums = prefix_sums(raw.astype(np.uint64) + np.uint64(1), powers)
             found.extend((first + t, *rest) for t, *rest in windows.runs(sums, offsets, shape, powers))
-        out = windows.run_batch(found, k1, t1, True)
+        out = windows.run_batch(found, k1, t1, True, copied)
         if out is not None:
             yield out
 
 
 def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Cut the wanted runs out of their texts; a row without bytes is a window known to be a repeat, or a twin."""
-    powers = Powers()
-    for batch in batches:
+    powers, first_of_key = Powers(), windows.FirstOfKey()
+    for batch in map(first_of_key.of, batches):
         spans = batch.column(batch.schema.get_field_index("spans"))
         k1, t1 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("k1", "t1"))
         for first, raw, offsets in text_blocks(without_nulls(batch, "text"), _BLOCK):

@@ -45,7 +45,8 @@ def repeated_words(
     4. The covered words of each document come together and are removed.
 
     Null and empty texts have no words and keep nothing; null ids stay null; repeated rows repeat each
-    other's windows; an empty table gives an empty one.  Texts of any length are cut into pieces.
+    other's windows, and only one row of each (id, text) is cut into runs and strings; an empty table
+    gives an empty one.  Texts of any length are cut into pieces.
     """
     shape = windows.Shape(window, gram)
     docs = documents.select(
@@ -56,7 +57,7 @@ def repeated_words(
     found = stage_table(_matches(docs, shape), "word-runs")
     texts = docs.select("k1", "t1", "doc_id", "text", "payload")
     wanted = windows.wanted_spans(found)
-    packed = texts.join(wanted, ["k1", "t1"]).mapInArrow(
+    packed = texts.join(wanted, ["k1", "t1"]).sortWithinPartitions("k1", "t1").mapInArrow(
         lambda it: _pack(it, window), "h long, k1 long, t1 long, start int, words binary"
     )
     counted = packed.repartition("h").sortWithinPartitions("h").mapInArrow(
@@ -76,20 +77,21 @@ def _matches(docs: DataFrame, shape: windows.Shape) -> DataFrame:
     parts = docs.select("k1", "t1", "text").mapInArrow(lambda it: _runs(it, shape), windows.RUN_SCHEMA)
     # Settled runs need no partner: they are dealt by their text, not by their minimiser.
     bucket = F.when(F.expr("at & 3") == windows.KNOWN, F.xxhash64("t1", "at")).otherwise(F.col("h"))
-    dealt = parts.repartition(bucket).sortWithinPartitions("h", "f", "k1")
+    dealt = parts.repartition(bucket).sortWithinPartitions(*windows.RUN_ORDER)
     return dealt.mapInArrow(lambda it: windows.match_runs(it, False), windows.MATCH_SCHEMA)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], shape: windows.Shape) -> Iterator[pa.RecordBatch]:
     powers = Powers()
-    for batch in batches:
+    for whole in batches:
+        batch, copied = windows.distinct_rows(whole)
         k1, t1 = (batch.column(i).to_numpy() for i in (0, 1))
         found = []
         for first, raw, offsets in text_blocks(without_nulls(batch, "text")):
             starts, ends, bounds = word_bounds(raw, offsets)
-            sums = prefix_sums(word_hashes(raw, starts, ends, powers), powers)
+            sums = prefix_sums(word_hashes(raw, starts, ends), powers)
             found.extend((first + t, *rest) for t, *rest in windows.runs(sums, bounds, shape, powers))
-        out = windows.run_batch(found, k1, t1, False)
+        out = windows.run_batch(found, k1, t1, False, copied)
         if out is not None:
             yield out
 
@@ -99,8 +101,8 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
 
     A row without words is a window already known to be repeated.
     """
-    powers = Powers()
-    for batch in batches:
+    powers, first_of_key = Powers(), windows.FirstOfKey()
+    for batch in map(first_of_key.of, batches):
         spans = batch.column(batch.schema.get_field_index("spans"))
         k1, t1 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("k1", "t1"))
         for first, raw, offsets in text_blocks(without_nulls(batch, "text")):
@@ -110,7 +112,7 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
             start, n, h, crowded = (part.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
             known = np.zeros(0, np.int64)
             if crowded.any():
-                sums = prefix_sums(word_hashes(raw, starts, ends, powers), powers)
+                sums = prefix_sums(word_hashes(raw, starts, ends), powers)
                 at = ranges_of(bounds[text[crowded]] + start[crowded], n[crowded])
                 own = np.repeat(text[crowded], n[crowded])
                 value = span_hash(sums, at, at + window, powers)
@@ -164,7 +166,7 @@ def _repeats(batch: pa.RecordBatch, window: int, powers: Powers) -> pa.RecordBat
     h, k1, t1, start = (batch.column(i).to_numpy() for i in range(4))
     raw, offsets = text_bytes(batch.column(4).cast(pa.large_binary()).view(pa.large_string()))
     starts, ends, bounds = word_bounds(raw, offsets)
-    hashes = word_hashes(raw, starts, ends, powers)
+    hashes = word_hashes(raw, starts, ends)
     words = _word_ids(raw, starts, ends)
     sums = prefix_sums(hashes, powers)
     counts = np.maximum(np.diff(bounds) - window + 1, 0)

@@ -25,6 +25,7 @@ TO_MATCH, KNOWN, TO_MATCH_KNOWN, TWIN = 0, 1, 2, 3
 CROWD = 1000  # runs of one minimiser beyond which its windows go their own ways
 _MOST = 0x3FFF  # windows that fit a row's number
 
+RUN_ORDER = ("h", "f", "k1", "t1", "at")
 RUN_SCHEMA = "k1 long, t1 long, h long, f long, at long"  # at: start, windows and kind in one number
 MATCH_SCHEMA = "k1 long, t1 long, h long, start int, n int, kind int"
 
@@ -69,13 +70,44 @@ def runs(sums: np.ndarray, bounds: np.ndarray, shape: Shape, powers: Powers) ->
         yield text, starts - bounds[text], counts, mix(least[begins] & ~_PLACE), content
 
 
+def distinct_rows(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The first row of each (k1, t1) of a batch, and whether there are more of it: equal rows have equal runs."""
+    k1, t1 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("k1", "t1"))
+    order = np.lexsort((t1, k1))
+    new = np.ones(len(order), bool)
+    new[1:] = (k1[order][1:] != k1[order][:-1]) | (t1[order][1:] != t1[order][:-1])
+    if new.all():
+        return batch, np.zeros(len(order), bool)
+    many = np.bincount(np.cumsum(new) - 1) > 1
+    first = order[new]  # the sort is stable
+    places = np.argsort(first)
+    return batch.take(pa.array(first[places])), many[places]
+
+
+class FirstOfKey:
+    """Rows that come sorted by (k1, t1): the first of each key, over all batches of a task."""
+
+    def __init__(self):
+        self.last = None
+
+    def of(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        k1, t1 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("k1", "t1"))
+        new = np.ones(len(k1), bool)
+        new[1:] = (k1[1:] != k1[:-1]) | (t1[1:] != t1[:-1])
+        if len(k1):
+            new[0] = (k1[0], t1[0]) != self.last
+            self.last = k1[-1], t1[-1]
+        return batch if new.all() else batch.filter(pa.array(new))
+
+
 def run_batch(
-    columns: list[tuple[np.ndarray, ...]], k1: np.ndarray, t1: np.ndarray, smaller: bool
+    columns: list[tuple[np.ndarray, ...]], k1: np.ndarray, t1: np.ndarray, smaller: bool, copied: np.ndarray
 ) -> pa.RecordBatch | None:
     """The runs of one batch of texts, with repeats inside the batch settled before anything is shuffled.
 
-    Of equal runs one goes on to be matched; the others are known to be repeats.  With ``smaller``
-    only runs of larger ids are repeats.  Of the equal runs of one text of the smallest id the first
+    Of equal runs one goes on to be matched; the others are known to be repeats, as are those of texts that
+    are ``copied`` in the batch, of which only one is here.  With ``smaller`` only runs of larger ids are
+    repeats.  Of the equal runs of one text of the smallest id the first
     goes on, the others are its twins, whose f is a ``twin_mark``; neighbours are told as one row.
     """
     if not columns:
@@ -92,7 +124,7 @@ def run_batch(
         kinds = np.where(ids[order] > ids[order][new][group], KNOWN, np.where(lead, TO_MATCH, TWIN))
     else:
         many = np.bincount(group) > 1
-        kinds = np.where(new, np.where(many[group], TO_MATCH_KNOWN, TO_MATCH), KNOWN)
+        kinds = np.where(new, np.where(many[group] | copied[text[order]], TO_MATCH_KNOWN, TO_MATCH), KNOWN)
     kind = np.empty(len(f), np.int64)
     kind[order] = kinds
     f, h = signed(f), signed(h)
@@ -180,9 +212,10 @@ def settle_windows(
 
 
 def match_runs(batches: Iterator[pa.RecordBatch], smaller: bool) -> Iterator[pa.RecordBatch]:
-    """Settle runs sorted by (h, f, k1): KNOWN rows are repeats, TO_MATCH rows need their windows compared.
+    """Settle runs sorted by RUN_ORDER: KNOWN rows are repeats, TO_MATCH rows need their windows compared.
 
-    TWIN rows pass with their mark as h.
+    TWIN rows pass with their mark as h.  Equal rows, which rows that repeat id and text give, are one; a
+    run that came more than once that way is a repeat unless only ``smaller`` ids count.
 
     A run equal to another one is a repeat as a whole (with ``smaller``: to one of a smaller id).
     One of each set of equal runs is compared by its windows if its minimiser has other runs too.
@@ -192,6 +225,15 @@ def match_runs(batches: Iterator[pa.RecordBatch], smaller: bool) -> Iterator[pa.
     names = ["k1", "t1", "h", "f", "at"]
     held: dict[str, np.ndarray] = {}
     told_repeat, told_window = np.zeros(0, bool), np.zeros(0, bool)
+    settled_last: list = []
+
+    def again(columns: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+        """Whether a row is the one before it, once more."""
+        same = np.zeros(len(at), bool)
+        same[1:] = at[1:] == at[:-1]
+        for c in ("h", "f", "k1", "t1"):
+            same[1:] &= columns[c][1:] == columns[c][:-1]
+        return same
 
     def settle(columns: dict[str, np.ndarray], repeat_done, window_done):
         h, f, ids = columns["h"], columns["f"], columns["k1"]
@@ -224,18 +266,28 @@ def match_runs(batches: Iterator[pa.RecordBatch], smaller: bool) -> Iterator[pa.
     for batch in batches:
         columns = {c: batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in names}
         kinds = columns["at"] & 3
-        twins = kinds == TWIN
-        if twins.any():
-            yield rows(columns | {"h": columns["f"]}, twins, TWIN)
-        passed = kinds == KNOWN
-        if passed.any():
-            yield rows(columns, passed, KNOWN)
-        if (twins | passed).any():
-            columns = {c: v[~(twins | passed)] for c, v in columns.items()}
+        alone = (kinds == TWIN) | (kinds == KNOWN)
+        if alone.any():
+            settled = {c: v[alone] for c, v in columns.items()}
+            fresh_rows = ~again(settled, settled["at"])
+            ends = [[settled[c][k] for c in names] for k in (0, -1)]
+            fresh_rows[0] = ends[0] != settled_last
+            settled_last = ends[1]
+            for kind, columns_of in ((TWIN, settled | {"h": settled["f"]}), (KNOWN, settled)):
+                told = fresh_rows & (settled["at"] & 3 == kind)
+                if told.any():
+                    yield rows(columns_of, told, kind)
+            columns = {c: v[~alone] for c, v in columns.items()}
         if not len(columns["h"]):
             continue
         if held:
             columns = {c: np.concatenate([held[c], v]) for c, v in columns.items()}
+        same = again(columns, columns["at"] >> 2)
+        if same.any():
+            copies = np.bincount(np.cumsum(~same) - 1) > 1
+            columns = {c: v[~same] for c, v in columns.items()}
+            if not smaller:
+                columns["at"] = np.where(copies, columns["at"] | TO_MATCH_KNOWN, columns["at"])
         fresh = len(columns["h"]) - len(told_repeat)
         repeat_done = np.concatenate([told_repeat, np.zeros(fresh, bool)])
         window_done = np.concatenate([told_window, np.zeros(fresh, bool)])

@@ -43,3 +43,9 @@ def documents(spark, rows):
         full,
         "doc_id long, text string, lang string, source string, n_chars long, k1 string, start int, spans array<int>",
     )
+
+
+def swapped_words(letters=1024):
+    """Two different words, whose sums of letters times powers of an odd number are equal modulo 2**64."""
+    bits = [bin(k).count("1") % 2 for k in range(letters)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

@@ -6,7 +6,7 @@ import pytest
 from corpusbench.llm import hyperminhash
 from corpusbench.llm.common import Powers, components, local_components
 from tests.llm import brute
-from tests.llm.fixtures import awkward_rows, documents, text, word
+from tests.llm.fixtures import awkward_rows, documents, swapped_words, text, word
 
 
 def shingles(text, words=5):
@@ -115,3 +115,10 @@ def test_components(spark):
     local = local_components(1100, left, right)
     assert all(local[x] == c for x, c in label.items())
     assert len(Powers().to(3)[0]) == 3
+
+
+def test_words_made_to_collide(spark):
+    one, other = swapped_words()
+    rows = [(1, f"a b c {one} {one} d e"), (2, f"a b c {other} {other} d e")]
+    found = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(documents(spark, rows)).collect()}
+    assert found == {1: 1, 2: 2}

@@ -95,3 +95,12 @@ def test_order_and_common_prefixes(texts, depth, memory):
                 break
             shared += 1
         assert min(shared, depth) == min(int(common[i]), depth)
+
+
+def test_many_repeated_rows(spark):
+    r = random.Random(6)
+    whole, part = text(r, 700), text(r, 40)
+    rows = [(None, whole)] * 2000 + [(400, whole)] * 300 + [(5, f"{text(r, 50)} {whole[500:900]} {part}"), (500, part), (None, text(r, 60))]
+    got = suffixes.remove_repeated_bytes(documents(spark, rows).repartition(6)).collect()
+    found = {(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got}
+    assert len(got) == len(rows) and found == set(brute.repeated_bytes(list(set(rows)), 50))

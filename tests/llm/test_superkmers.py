@@ -1,8 +1,10 @@
+import random
+
 import pytest
 
 from corpusbench.llm import superkmers, windows
 from tests.llm import brute
-from tests.llm.fixtures import awkward_rows, documents
+from tests.llm.fixtures import awkward_rows, documents, swapped_words, text
 
 
 @pytest.mark.parametrize("window, gram, crowd", [(35, 8, 1000), (6, 3, 1000), (35, 8, 1), (6, 3, 3)])
@@ -25,3 +27,21 @@ def test_pieces_of_long_texts(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert superkmers.repeated_words(documents(spark, [])).count() == 0
+
+
+def test_many_repeated_rows(spark):
+    r = random.Random(6)
+    whole, part = text(r, 700), text(r, 90)
+    rows = [(None, whole)] * 2000 + [(4, whole)] * 300 + [(5, f"{text(r, 50)} {' '.join(whole.split()[100:160])} {part}")]
+    rows += [(6, f"{part} {text(r, 20)}"), (None, text(r, 60)), (None, text(r, 60)), (7, "few words")] + [(8, "few words")] * 40
+    got = superkmers.repeated_words(documents(spark, rows).repartition(6)).collect()
+    found = [(x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got]
+    assert sorted(found, key=brute.sort_key) == sorted(brute.repeated_words(rows, 35), key=brute.sort_key)
+
+
+def test_words_made_to_collide(spark):
+    one, other = swapped_words()
+    tail = text(random.Random(3), 34)
+    rows = [(1, f"{one} {tail}"), (2, f"{other} {tail}"), (3, f"{one} {tail} x")]
+    found = {x.doc_id: x.n_removed for x in superkmers.repeated_words(documents(spark, rows)).collect()}
+    assert found == {1: 35, 2: 0, 3: 35}
