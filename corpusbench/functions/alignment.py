@@ -3,10 +3,11 @@
 Several alignments can reach the minimum distance.  Walking back from the ends, equal tokens always
 pair; otherwise a substitution is preferred to a deletion and a deletion to an insertion.
 
-``edit_counts`` is the form to use: an Arrow UDF that keeps one row of the distance table as bits of
-two whole numbers, so a long text costs (length x length / word size) steps instead of one step per
-cell, and walks the bits back in blocks, so memory grows with length^1.5.  ``native_edit_counts`` is
-a UDF-free form for short token lists and for cross-checks.
+``edit_counts`` is the form to use: an Arrow UDF over whole batches.  A column of the distance table is
+kept as bits of whole numbers, as far as a band around the diagonal goes; many pairs share one number
+(``align_many``), and a long pair has its own and is walked back in blocks, so that memory grows with
+length^1.5 (``align``).  Pairs too long for one task are cut into tiles (``operators/long_pairs.py``).  ``native_edit_counts`` is a UDF-free form
+for short token lists and for cross-checks.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Hashable, Iterator, Sequence
 from math import isqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,34 +23,31 @@ from pyspark.sql import types as T
 
 from corpusbench.functions.text import normalize_text
 
-_BANDED_ROWS = 4096
+_BANDED_ROWS = 128  # a table of fewer rows is no larger than its band
 _KEPT_BITS = 1 << 26
+_BATCH_BYTES = 1 << 26  # what a batch of lanes may keep of its columns
+_LANES = 1 << 17  # bits of all lanes beyond which more of them save nothing
+_FEWEST = 4  # pairs that are worth a batch
 COUNTS = T.StructType([T.StructField(name, T.LongType()) for name in ("s", "d", "i", "n")])
 
 
 def align(reference: Sequence[Hashable], hypothesis: Sequence[Hashable]) -> tuple[int, int, int, int]:
     """(substitutions, deletions, insertions, reference length) of one pair."""
-    total, m, n = len(reference), len(reference), len(hypothesis)
-    start = 0
-    while start < m and start < n and reference[start] == hypothesis[start]:
-        start += 1
-    while m > start and n > start and reference[m - 1] == hypothesis[n - 1]:
-        m, n = m - 1, n - 1
-    ref, hyp = reference[start:m], hypothesis[start:n]
+    ref, hyp = _differing(reference, hypothesis)
     if not ref or not hyp:
-        return 0, len(ref), len(hyp), total
-    return (*_trace(ref, hyp), total)
+        return 0, len(ref), len(hyp), len(reference)
+    return (*_trace(ref, hyp), len(reference))
 
 
 def _trace(ref: Sequence[Hashable], hyp: Sequence[Hashable]) -> tuple[int, int, int]:
     """Counts of the differing middle.
 
-    Long pairs are aligned in a window around the diagonal.  A path of cost c strays at most
+    Pairs are aligned in a window around the diagonal.  A path of cost c strays at most
     (c + length difference) / 2 from it, so a window that wide holds every path as good as the one
     found and the counts are exact; else the window is widened to what that path asks for.
     """
     rows, apart = len(ref), abs(len(ref) - len(hyp))
-    half = apart + max(rows, len(hyp)) // 24 + 1
+    half = apart + max(rows, len(hyp)) // 10 + 16
     while rows > _BANDED_ROWS and 2 * half + 1 < rows:
         needed, counts = _trace_window(ref, hyp, 2 * half + 1)
         if counts is not None:
@@ -62,58 +61,56 @@ def _trace_window(
 ) -> tuple[int, tuple[int, int, int] | None]:
     """(half width needed, counts): a shortest path in a window of ``width`` rows, if wide enough."""
     rows, last = len(ref), len(hyp)
-    full, half = (1 << width) - 1, (width - 1) // 2
+    full, half, lowest = (1 << width) - 1, (width - 1) // 2, rows - width
     where: dict[Hashable, int] = {}
     for index, token in enumerate(ref):
         where[token] = where.get(token, 0) | (1 << index)
 
     def base(column: int) -> int:
         """Rows above the window at a column."""
-        return min(max(0, column - half - 1), rows - width)
+        return min(max(0, column - half - 1), lowest)
 
     def columns(first: int, stop: int, plus: int, minus: int) -> Iterator[tuple[int, int, int, int]]:
         """Per hypothesis token: matches, cells equal to their diagonal neighbour, vertical steps."""
-        origin, top = base(first), base(first)
-        reach = (1 << (width + stop - first)) - 1
+        origin = top = base(first)
+        reach, new = (1 << (width + stop - first)) - 1, 1 << (width - 1)
         near: dict[Hashable, int] = {}
-        for column in range(first + 1, stop + 1):
-            token = hyp[column - 1]
+        for column in range(first, stop):
+            token = hyp[column]
             if token not in near:
                 near[token] = (where.get(token, 0) >> origin) & reach
-            if base(column) > top:
+            if top < column - half and top < lowest:
                 top += 1
-                plus, minus = (plus >> 1) | (1 << (width - 1)), minus >> 1
+                plus, minus = (plus >> 1) | new, minus >> 1
             match = (near[token] >> (top - origin)) & full
             equal = ((((match & plus) + plus) ^ plus) | match | minus) & full
-            right_up = minus | (full & ~(equal | plus))
-            right_down = plus & equal
-            right_up = ((right_up << 1) | 1) & full
-            right_down = (right_down << 1) & full
+            right_up = (((minus | (full & ~(equal | plus))) << 1) | 1) & full
             minus = right_up & equal
-            plus = right_down | (full & ~(equal | right_up))
+            plus = (((plus & equal) << 1) & full) | (full & ~(equal | right_up))
             yield match, equal, plus, minus
 
-    # short pairs keep every column; long ones keep some and recompute the rest block by block
-    whole = width == rows
-    size = last if whole and width * last <= _KEPT_BITS else max(1, isqrt(last))
-    states = [(full, 0)]
-    needed = 0
-    if not whole or size < last:
-        above = 0  # distance in the row above the window
-        for first in range(0, last, size):
-            stop = min(first + size, last)
-            before_plus, before_minus = states[-1]
-            for column, (_, _, plus, minus) in enumerate(columns(first, stop, *states[-1]), first + 1):
-                if base(column) > base(column - 1):
-                    above += (before_plus & 1) - (before_minus & 1)
-                above += 1
-                before_plus, before_minus = plus, minus
-            states.append((plus, minus))
-        plus, minus = states.pop()
-        distance = above + plus.bit_count() - minus.bit_count()
-        needed = (distance + abs(rows - last)) // 2 + 1
-        if not whole and needed > half:
-            return needed, None
+    # Tables of moderate size keep every column; larger ones keep some, and the rest is computed again block by block.
+    whole, every = width == rows, width * last <= _KEPT_BITS
+    size = max(64, isqrt(last))
+    states, kept = [(full, 0)], []
+    above = 0  # distance in the row above the window
+    plus, minus = full, 0
+    for first in range(0, last, size):
+        below = base(first)
+        for column, step in enumerate(columns(first, min(first + size, last), plus, minus), first + 1):
+            if column - half - 1 > below and below < lowest:
+                below += 1
+                above += (plus & 1) - (minus & 1)
+            above += 1
+            plus, minus = step[2], step[3]
+            if every:
+                kept.append(step)
+        states.append((plus, minus))
+    states.pop()
+    distance = above + plus.bit_count() - minus.bit_count()
+    needed = (distance + abs(rows - last)) // 2 + 1
+    if not whole and needed > half:
+        return needed, None
 
     row, column = rows, last
     s = d = i = 0
@@ -121,9 +118,11 @@ def _trace_window(
         if row == 0:
             break
         first = block * size
-        kept = list(columns(first, min(first + size, last), *states[block]))
+        start = 0 if every else first
+        if not every:
+            kept = list(columns(first, min(first + size, last), *states[block]))
         while row and column > first:
-            match, equal, plus, _ = kept[column - first - 1]
+            match, equal, plus, _ = kept[column - start - 1]
             bit = row - 1 - base(column)
             if match >> bit & 1:
                 row, column = row - 1, column - 1
@@ -136,9 +135,136 @@ def _trace_window(
     return needed, (s, d + row, i + column)
 
 
+# ---------------------------------------------------------------- many pairs side by side
+
+
+def align_many(pairs: Sequence[tuple[Sequence[Hashable], Sequence[Hashable]]]) -> list[tuple[int, int, int, int]]:
+    """``align`` of every pair.
+
+    What differs of each pair is aligned in a band around the diagonal, first as wide as a share of its
+    length asks for; the cost of the path found tells whether the band holds every path as good, and
+    if not, how wide it must be.  Bands of one width lie side by side in one whole number.
+    """
+    results: list[tuple[int, int, int, int] | None] = [None] * len(pairs)
+    waiting: dict[int, list[tuple[int, Sequence[Hashable], Sequence[Hashable]]]] = {}
+
+    def queue(k: int, ref: Sequence[Hashable], hyp: Sequence[Hashable], half: int) -> None:
+        waiting.setdefault(_stride(half), []).append((k, ref, hyp))
+
+    for k, (reference, hypothesis) in enumerate(pairs):
+        ref, hyp = _differing(reference, hypothesis)
+        if not ref or not hyp:
+            results[k] = 0, len(ref), len(hyp), len(reference)
+        else:
+            queue(k, ref, hyp, abs(len(ref) - len(hyp)) + min(len(ref), max(len(ref), len(hyp)) // 10 + 16))
+    while waiting:
+        stride = min(waiting)
+        own = sorted(waiting.pop(stride), key=lambda x: -len(x[2]))
+        while own:
+            many = max(1, min(_LANES // stride, 4 * _BATCH_BYTES // (stride * len(own[0][2]))))
+            part, own = own[:many], own[many:]
+            if len(part) < _FEWEST:
+                for k, ref, hyp in part:
+                    results[k] = (*_trace(ref, hyp), len(pairs[k][0]))
+                continue
+            for (k, ref, hyp), found in zip(part, _side_by_side([(ref, hyp) for _, ref, hyp in part], stride), strict=True):
+                if isinstance(found, int):
+                    queue(k, ref, hyp, found)
+                else:
+                    results[k] = (*found, len(pairs[k][0]))
+    return results
+
+
+def _stride(half: int) -> int:
+    """Bits of a lane whose band reaches ``half`` rows either way: few sizes, whole bytes."""
+    size = 64
+    while size // 2 - 1 < half:
+        size += size // 2 if size & (size - 1) == 0 else size // 3
+    return size
+
+
+def _differing(ref: Sequence[Hashable], hyp: Sequence[Hashable]) -> tuple[Sequence[Hashable], Sequence[Hashable]]:
+    """Both sides without the tokens in which their beginnings, and then their ends, agree."""
+    m, n, start = len(ref), len(hyp), 0
+    while start < m and start < n and ref[start] == hyp[start]:
+        start += 1
+    while m > start and n > start and ref[m - 1] == hyp[n - 1]:
+        m, n = m - 1, n - 1
+    return ref[start:m], hyp[start:n]
+
+
+def _side_by_side(pairs: list[tuple[Sequence[Hashable], Sequence[Hashable]]], stride: int) -> list[tuple[int, int, int] | int]:
+    """Counts of each pair, or the half width that its band should have; pairs come by falling length of the second side.
+
+    A pair's lane is ``stride`` bits of a number: the rows of its band and, on top, a bit that takes what
+    an addition carries over.  Row t of the band at column j is row j - half + t of the table.  Rows above
+    the table's first are as if the reference had begun earlier with tokens of its own, which only costs more.
+    """
+    half, size = stride // 2 - 1, stride // 8
+    codes: dict[Hashable, int] = {}
+    coded = [[[codes.setdefault(t, len(codes)) for t in side] for side in pair] for pair in pairs]
+    kind = np.uint8 if len(codes) < 254 else np.int32
+    none, other = np.array([-1, -2]).astype(kind)
+    last = len(pairs[0][1])
+    ref = np.full((len(pairs), last + stride + 1), none, kind)
+    hyp = np.full((last, len(pairs), 1), other, kind)
+    for k, (r, h) in enumerate(coded):
+        shown = min(len(r), ref.shape[1] - half)
+        ref[k, half : half + shown] = r[:shown]
+        hyp[: len(h), k, 0] = h
+    lengths = np.array([len(h) for _, h in pairs])
+    longer = np.searchsorted(-lengths, -np.arange(last + 2), side="right").tolist()  # pairs with at least so many columns
+    lanes, equals, pluses = 0, [b""], [b""]
+    for j in range(1, last + 1):
+        active = longer[j]
+        if not lanes or active < lanes - lanes // 8:
+            lanes = active
+            unit = int.from_bytes(([1] + [0] * (size - 1)) * lanes, "little")  # the lowest bit of every lane
+            full, top = unit * ((1 << (stride - 1)) - 1), unit << (stride - 2)
+            if j == 1:
+                minus = unit * ((2 << half) - 1)  # rows up to the table's row 0
+                plus = full ^ minus
+            plus, minus = plus & full, minus & full
+            same = np.empty((lanes, stride), bool)
+        plus, minus = ((plus >> 1) & full) | top, (minus >> 1) & full
+        np.equal(ref[:lanes, j - 1 : j - 1 + stride], hyp[j - 1, :lanes], out=same)
+        match = int.from_bytes(np.packbits(same, bitorder="little").tobytes(), "little") & full
+        equal = (((match & plus) + plus) ^ plus | match | minus) & full
+        right_up = ((minus | (full ^ (equal | plus))) << 1) & full | unit
+        minus = right_up & equal
+        plus = ((plus & equal) << 1) & full | (full ^ (equal | right_up))
+        equals.append(equal.to_bytes(size * lanes, "little"))
+        pluses.append(plus.to_bytes(size * lanes, "little"))
+    return [_walk_back(r, h, equals, pluses, k * size, half) for k, (r, h) in enumerate(coded)]
+
+
+def _walk_back(
+    ref: list[int], hyp: list[int], equals: list[bytes], pluses: list[bytes], first: int, half: int
+) -> tuple[int, int, int] | int:
+    row, column = len(ref), len(hyp)
+    place, most = row - column + half, 2 * half
+    s = d = i = 0
+    while row and column:
+        if ref[row - 1] == hyp[column - 1]:
+            row, column = row - 1, column - 1
+            continue
+        at, bit = first + (place >> 3), place & 7
+        if not equals[column][at] >> bit & 1:
+            s, row, column = s + 1, row - 1, column - 1
+        elif pluses[column][at] >> bit & 1:
+            d, row, place = d + 1, row - 1, place - 1
+        else:
+            i, column, place = i + 1, column - 1, place + 1
+        if not 0 <= place <= most:  # the way leaves the band
+            return 2 * half + 1
+    needed = (s + d + row + i + column + abs(len(ref) - len(hyp))) // 2 + 1
+    return needed if needed > half else (s, d + row, i + column)
+
+
 def _frame(pairs: Iterator[tuple[object, object]]) -> pd.DataFrame:
-    none = (None, None, None, None)
-    rows = [none if a is None or b is None else align(a, b) for a, b in pairs]
+    told = [(a, b) for a, b in pairs]
+    known = iter(align_many([(a, b) for a, b in told if a is not None and b is not None]))
+    rows = [(None,) * 4 if a is None or b is None else next(known) for a, b in told]
     return pd.DataFrame(rows, columns=["s", "d", "i", "n"]).astype("Int64")
 
 
