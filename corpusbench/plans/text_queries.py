@@ -10,6 +10,7 @@ from corpusbench.functions.alignment import character_edit_counts, edit_counts,
 from corpusbench.functions.classify import (
     content_kind, display_duration, failure_code, http_failure, provenance,
 )
+from corpusbench.operators.long_pairs import align_long
 from corpusbench.operators.scoring import classify_coverage, score_utterances
 from corpusbench.operators.spread import compute_partitions
 from corpusbench.operators.suite import plan_fingerprint
@@ -243,27 +244,39 @@ def utterances(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "f14_document_characters",
-    f"""
+_DOCUMENT_CHARACTERS = f"""
 SELECT doc_id, {v.sql_character_distance("r", "h")}::BIGINT AS c_distance,
        (length(replace(r, ' ', '')) - length(replace(h, ' ', '')))::BIGINT AS c_balance, length(replace(r, ' ', ''))::BIGINT AS c_n
 FROM (SELECT doc_id, {v.sql_normalize("text")} AS r, {v.sql_normalize(v.sql_heard_text("first", "text"))} AS h FROM documents)
-""",
-)
-def document_characters(spark: SparkSession, sf: str) -> DataFrame:
-    """Character alignment of whole documents, up to the longest one."""
-    docs = spread_table(spark, sf, "documents", "doc_id", "text")
-    pair = docs.select(
+"""
+
+
+def _document_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return spread_table(spark, sf, "documents", "doc_id", "text").select(
         "doc_id",
         text.normalize_text(C("text")).alias("reference"),
         text.normalize_text(v.heard_by_first(C("text"))).alias("hypothesis"),
     )
+
+
+@query("f14_document_characters", _DOCUMENT_CHARACTERS)
+def document_characters(spark: SparkSession, sf: str) -> DataFrame:
+    """Character alignment of whole documents, up to the longest one."""
     counts = character_edit_counts(C("reference"), C("hypothesis"))
-    told = pair.select("doc_id", counts.alias("e"))
+    told = _document_pairs(spark, sf).select("doc_id", counts.alias("e"))
     return told.select("doc_id", *_characters(*(C(f"e.{k}") for k in "sdin")))
 
 
+@query("f14_tiled_characters", _DOCUMENT_CHARACTERS)
+def tiled_characters(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from tiles of the distance tables, so that the longest document is spread over tasks."""
+    pairs = _document_pairs(spark, sf).select(
+        C("doc_id").cast("string").alias("name"), *(F.replace(c, F.lit(" ")).alias(c) for c in ("reference", "hypothesis"))
+    )
+    told = align_long(pairs, key="name", reference="reference", hypothesis="hypothesis", tile=8192)
+    return told.select(C("name").cast("long").alias("doc_id"), *_characters(*(C(k) for k in "sdin")))
+
+
 @query(
     "f15_plan_fingerprint",
     """
