@@ -1,22 +1,31 @@
 """Grouped bootstrap: resample whole groups, recompute corpus rates from summed counts.
 
-Rows are summed to one row per group first, so the cost is replicates x groups whatever the corpus
-size.  A slot of a replicate draws the group whose number is an MD5 of (seed, replicate, slot) modulo
-the number of groups, so any task can compute any draw.
+Rows are summed to one row per group first, so the cost is replicates x groups whatever the corpus size.
+Groups are numbered and held by buckets of consecutive numbers.  A replicate's draws are made twice:
+once to count how many fall into each bucket, and then, beside the bucket's groups, which of them.  Every
+draw is a hash of the seed, the replicate and its own number, so any task can make it; between the tasks
+only counts by (replicate, bucket) and sums by replicate are exchanged, never the draws.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusbench.operators.scoring import COUNT_COLUMNS, count_sums, group_counts
-from corpusbench.operators.spread import compute_partitions
 from corpusbench.session import written_once
 
+BUCKET_GROUPS = 4096
+_REPLICATES = 256  # that meet a bucket in one task
+_CHUNK = 1 << 16  # draws of a replicate that one row stands for, at least
+_AT_ONCE = 1 << 18
+_TASK_DRAWS = 1 << 24
+_BITS = (1 << 32) - 1
 _TOO_FEW = "fewer than two groups with speech"
 _DISABLED = "no replicates were asked for"
 
@@ -50,33 +59,111 @@ def number_groups(groups: DataFrame) -> DataFrame:
     )
 
 
-def _hash_draw(seed: int) -> Column:
-    key = F.concat_ws("|", F.lit(str(seed)), F.col("replicate"), F.col("slot"))
-    digits = F.substring(F.md5(key.cast("binary")), 1, 15)
-    return F.conv(digits, 16, 10).cast("bigint") % F.col("group_count")
-
-
-def _hash_resample(groups: DataFrame, sums: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    numbered = number_groups(groups)
-    spread = numbered.repartition(compute_partitions(groups.sparkSession), "slot")
-    draws = spread.select(
-        "slot", "group_count", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
-    ).select("replicate", "group_count", _hash_draw(seed).alias("drawn"))
-    drawn = numbered.select(F.col("slot").alias("drawn"), *sums)
-    return draws.join(drawn, "drawn")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """32 well-mixed bits of whole numbers."""
+    x = x & np.uint64(_BITS)
+    for shift, factor in ((16, 0x21F0AAAD), (15, 0x735A2D97)):
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(_BITS)
+    return x ^ (x >> np.uint64(15))
+
+
+def _streams(seed: int, *parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two starting points for the draws of a replicate, or of one bucket of it."""
+    u = np.uint64(seed & _BITS)
+    for part in parts:
+        u = _mixed(u * np.uint64(3) + part.astype(np.uint64) + np.uint64(1))
+    return u, _mixed(u + np.uint64(0x9E3779B9))
+
+
+def _drawn(u: np.ndarray, w: np.ndarray, number: np.ndarray, many: int) -> np.ndarray:
+    """A number below ``many`` for each draw: from two mixes of the draw's number, for one alone would never repeat a value."""
+    x, y = _mixed(u + number), _mixed(w + number)
+    return (((x ^ y) << np.uint64(30)) + (_mixed(x + y) >> np.uint64(2))) % np.uint64(many)
+
+
+def _fallen(batches: Iterator[pa.RecordBatch], many: int, chunk: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """How many of a replicate's draws, a chunk of them at a time, fall into each bucket."""
+    buckets = -(-many // BUCKET_GROUPS)
+    for batch in batches:
+        for replicate, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            u, w = _streams(seed, np.array([replicate]))
+            counts, end = np.zeros(buckets, np.int64), min(first + chunk, many)
+            for low in range(first, end, _AT_ONCE):
+                slots = np.arange(low, min(low + _AT_ONCE, end), dtype=np.uint64)
+                counts += np.bincount((_drawn(u, w, slots, many) // np.uint64(BUCKET_GROUPS)).astype(np.int64), minlength=buckets)
+            hit = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(hit), replicate)), pa.array(hit), pa.array(counts[hit])], ["replicate", "bucket", "draws"]
+            )
+
+
+def _summed(batches: Iterator[pa.RecordBatch], seed: int, sums: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Sums of the groups that are drawn inside a bucket; a bucket's groups come before its replicates."""
+    now, parts, held = None, [], None
+    for batch in batches:
+        block, bucket, draws, replicate = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "bucket", "draws", "replicate"))
+        values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in sums], axis=1)
+        edges = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0) | (np.diff(draws >= 0, prepend=False)))
+        for low, high in zip([0, *edges[edges > 0]], [*edges[edges > 0], len(block)], strict=True):
+            if (block[low], bucket[low]) != now:
+                now, parts, held = (block[low], bucket[low]), [], None
+            if draws[low] < 0:
+                parts.append(values[low:high])
+                continue
+            if held is None:
+                held, parts = np.concatenate(parts), []
+            while low < high:  # some replicates at a time
+                stop = max(low + 1, int(np.searchsorted(np.cumsum(draws[low:high]), _AT_ONCE, side="right")) + low)
+                n = draws[low:stop]
+                u, w = (np.repeat(x, n) for x in _streams(seed, replicate[low:stop], bucket[low:stop]))
+                begin = np.cumsum(n) - n
+                number = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(begin, n)
+                chosen = held[_drawn(u, w, number.astype(np.uint64), len(held)).astype(np.int64)]
+                total = np.add.reduceat(chosen, begin, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(replicate[low:stop]), *(pa.array(c) for c in total.T)], ["replicate", *sums])
+                low = stop
 
 
 def resample(
     groups: DataFrame, sums: Sequence[str], *, replicates: int, seed: int
 ) -> DataFrame:
-    """Summed counts per replicate, with the number of groups.
+    """Summed counts per replicate, with the number of groups: as many draws as there are groups, with replacement.
 
-    Groups are numbered, drawn and summed up, each from the same rows: they are written to the shared
-    folder first, so that the alignment behind them runs once.
+    Groups are numbered and written to the shared folder, so that the alignment behind them runs once.
     """
-    drawn = _hash_resample(written_once(groups, "bootstrap-groups"), sums, replicates, seed)
-    return drawn.groupBy("replicate").agg(
-        F.max("group_count").alias("group_count"), *[F.sum(c).alias(c) for c in sums]
+    spark = groups.sparkSession
+    bucket = F.floor(F.col("slot") / BUCKET_GROUPS).alias("bucket")
+    numbered = number_groups(written_once(groups, "bootstrap-groups")).select(
+        bucket, "slot", *(F.col(c).cast("bigint").alias(c) for c in sums)
+    )
+    held = written_once(numbered, "bootstrap-numbered")
+    many = held.count()
+    chunk = max(_CHUNK, 64 * -(-many // BUCKET_GROUPS))  # enough draws for several in each bucket
+    chunks = -(-many // chunk)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-replicates * many // _TASK_DRAWS))
+    rows = spark.range(0, replicates * chunks, 1, tasks).select(
+        F.floor(F.col("id") / max(chunks, 1)).alias("replicate"), (F.col("id") % max(chunks, 1) * chunk).alias("first")
+    )
+    fallen = rows.mapInArrow(lambda batches: _fallen(batches, many, chunk, seed), "replicate bigint, bucket bigint, draws bigint")
+    counts = fallen.groupBy("replicate", "bucket").agg(F.sum("draws").alias("draws"))
+    none = F.lit(None).cast("bigint")
+    order = ["block", "bucket", "draws", "replicate", "slot", *sums]
+    drawing = counts.select(
+        F.floor(F.col("replicate") / _REPLICATES).alias("block"), "bucket", "draws", "replicate", none.alias("slot"),
+        *(F.lit(0).cast("bigint").alias(c) for c in sums),
+    )
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.lit((replicates - 1) // _REPLICATES).cast("bigint"))
+    offered = held.select(
+        F.explode(blocks).alias("block"), "bucket", F.lit(-1).cast("bigint").alias("draws"), F.lit(-1).cast("bigint").alias("replicate"), "slot", *sums
+    )
+    beside = offered.select(order).union(drawing.select(order)).repartition(tasks, "block", "bucket")
+    kinds = ", ".join(f"{c} bigint" for c in ("replicate", *sums))
+    # Groups have -1 draws, so they stand first, in the order of their numbers.
+    chosen = beside.sortWithinPartitions("block", "bucket", F.col("draws") >= 0, "slot", "replicate").mapInArrow(
+        lambda batches: _summed(batches, seed, sums), kinds
+    )
+    return chosen.groupBy("replicate").agg(
+        F.lit(many).cast("bigint").alias("group_count"), *[F.sum(c).alias(c) for c in sums]
     )
 
 

@@ -174,11 +174,35 @@ def silence(spark: SparkSession, sf: str) -> DataFrame:
 _BOUNDS = ("wer_lower", "wer_upper", "cer_lower", "cer_upper")
 
 
+def _sql_mixed(source: str, name: str, value: str) -> str:
+    """32 well-mixed bits of a whole number, as a column of a subquery."""
+    first = f"SELECT *, ({value}) & 4294967295 AS m0 FROM ({source})"
+    second = f"SELECT * EXCLUDE (m0), (xor(m0, m0 >> 16) * {0x21F0AAAD}) & 4294967295 AS m1 FROM ({first})"
+    third = f"SELECT * EXCLUDE (m1), (xor(m1, m1 >> 15) * {0x735A2D97}) & 4294967295 AS m2 FROM ({second})"
+    return f"SELECT * EXCLUDE (m2), xor(m2, m2 >> 15) AS {name} FROM ({third})"
+
+
+def _sql_streams(source: str, seed: int, *parts: str) -> str:
+    source = f"SELECT *, {seed}::BIGINT AS u FROM ({source})"
+    for part in parts:
+        source = _sql_mixed(source, "v", f"u * 3 + {part} + 1")
+        source = f"SELECT * EXCLUDE (u, v), v AS u FROM ({source})"
+    return _sql_mixed(source, "w", f"u + {0x9E3779B9}")
+
+
+def _sql_drawn(source: str, number: str, many: str) -> str:
+    mixed = _sql_mixed(_sql_mixed(source, "x", f"u + {number}"), "y", f"w + {number}")
+    return f"SELECT *, ((xor(x, y) << 30) + (z >> 2)) % {many} AS drawn FROM ({_sql_mixed(mixed, 'z', 'x + y')})"
+
+
 def _sql_draws(groups: str, replicates: int, seed: int = 42) -> str:
-    return f"""
-SELECT replicate, gc, ('0x' || substr(md5('{seed}|' || replicate || '|' || slot), 1, 15))::BIGINT % gc AS drawn
-FROM (SELECT slot, gc FROM {groups}), range({replicates}) r(replicate)
-"""
+    """Each replicate's draws counted by bucket, and as many made inside the bucket."""
+    slots = f"SELECT replicate, slot, gc FROM {groups}, range({replicates}) r(replicate)"
+    fallen = _sql_drawn(_sql_streams(slots, seed, "replicate"), "slot", "gc")
+    counts = f"SELECT replicate, gc, drawn // {b.BUCKET_GROUPS} AS bucket, count(*) AS draws FROM ({fallen}) GROUP BY ALL"
+    each = f"SELECT * EXCLUDE (draws), unnest(range(draws)) AS draw FROM ({_sql_streams(counts, seed, 'replicate', 'bucket')})"
+    inside = _sql_drawn(each, "draw", f"least({b.BUCKET_GROUPS}, gc - bucket * {b.BUCKET_GROUPS})")
+    return f"SELECT replicate, gc, bucket * {b.BUCKET_GROUPS} + drawn AS drawn FROM ({inside})"
 
 
 VIEWS["line_groups"] = f"""

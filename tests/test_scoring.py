@@ -285,3 +285,40 @@ def test_bootstrap_aligns_once(spark):
     for table in (bootstrap.bootstrap_intervals(scored, replicates=20), bootstrap.paired_difference(scored, scored, replicates=20)):
         assert "Python" not in table._jdf.queryExecution().optimizedPlan().toString()
         assert table.first().group_count == 4
+
+
+def test_draws_spread_over_groups_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "BUCKET_GROUPS", 16)
+    groups = spark.range(100).select(F.concat(F.lit("g"), "id").alias("group_id"), F.lit(1).alias("n"), *(F.when(C("id") == k, 1).otherwise(0).alias(f"n{k}") for k in range(4)))
+    found = bootstrap.resample(groups, ["n", "n0", "n1", "n2", "n3"], replicates=4000, seed=7).collect()
+    assert len(found) == 4000 and {(r.group_count, r.n) for r in found} == {(100, 100)}
+    for k in range(4):  # a group is drawn once on average, with the variance of 100 draws out of 100
+        counts = [r[f"n{k}"] for r in found]
+        mean = sum(counts) / len(counts)
+        variance = sum((c - mean) ** 2 for c in counts) / len(counts)
+        assert abs(mean - 1) < 0.06 and abs(variance - 0.99) < 0.1
+    together = sum(r.n0 * r.n1 for r in found) / len(found)
+    assert abs(together - 0.99) < 0.06
+    other = bootstrap.resample(groups, ["n0"], replicates=50, seed=8).orderBy("replicate").collect()
+    same = bootstrap.resample(groups, ["n0"], replicates=50, seed=7).orderBy("replicate").collect()
+    assert [r.n0 for r in same] == [r.n0 for r in sorted(found)[:50]] != [r.n0 for r in other]
+
+
+def test_draws_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "BUCKET_GROUPS", 4096)
+    groups = spark.range(3000).select(C("id").cast("string").alias("group_id"), F.lit(1).alias("n"))
+    sums = bootstrap.resample(groups, ["n"], replicates=300, seed=1)
+    sums.collect()
+    plan = sums._jdf.queryExecution().executedPlan()
+    nodes, written = [plan], []
+    while nodes:
+        node = nodes.pop()
+        if node.metrics().contains("shuffleRecordsWritten"):
+            written.append(node.metrics().apply("shuffleRecordsWritten").value())
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        children = node.children()
+        nodes.extend(children.apply(k) for k in range(children.size()))
+    assert written and max(written) <= 2 * 3000 + 300 < 300 * 3000
