@@ -91,3 +91,60 @@ def test_stream_equals_batch(spark, tmp_path):
     columns = progress.model_progress(parse_events(spark.read.text(str(source)))).columns
     assert sorted(final.select(columns).collect()) == expected
     assert spark.read.parquet(out).select("batch").distinct().count() == 3
+
+
+def run_of(name, start, first_seq, samples=3, end=True):
+    """Events of one model's run, ten seconds apart."""
+    about = {"dataset_id": "d", "preset_id": name}
+    events = [{"event": "task_started", "total": samples}, {"event": "phase_changed", "phase": "transcribing"}]
+    for k in range(samples):
+        events += [{"event": "sample_started", "sample_id": f"{name}{k}"}, {"event": "sample_completed", "sample_id": f"{name}{k}", "status": "failed" if k == 1 else "ok", "error_code": "E" if k == 1 else None, "elapsed_seconds": 1.5}]
+    if end:
+        events.append({"event": "task_completed", "task_status": "partial", "succeeded": samples - 1, "failed": 1})
+    return [{"seq": first_seq + k, "ts": start + 10.0 * k, **about, **e} for k, e in enumerate(events)]
+
+
+def test_state_of_ended_models_goes(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    steps = [
+        run_of("a", 1000, 0) + run_of("b", 1000, 100, end=False),
+        run_of("c", 9000, 200, end=False),  # moves the watermark past the end of a
+        run_of("d", 9500, 300),
+        [{"seq": 90, "ts": 9600.0, "dataset_id": "d", "preset_id": "a", "event": "phase_changed", "phase": "late"}],
+        [{"seq": 400, "ts": 9700.0, "dataset_id": "d", "preset_id": "a", "event": "task_started", "attempt": 2}],
+    ]
+    kept, samples, late, sizes = {}, {}, [], []
+
+    def keep(rows, _):
+        rows.persist()
+        told = progress.ended(rows)
+        late.extend(r.event for r in told.late.collect())
+        kept.update({r.model_key: r for r in told.progress.orderBy("last_seq", "final").collect()})
+        rows.unpersist()
+
+    def keep_samples(rows, _):
+        for r in progress.ended(rows, samples=True).progress.orderBy("last_seq", "final").collect():
+            samples[r.model_key, r.sample_id] = r
+
+    for number, events in enumerate(steps):
+        (folder / f"{number}.log").write_text("".join(f"INFO stt_event={json.dumps(e)}\n" for e in events))
+        stream = parse_events(spark.readStream.text(str(folder)))
+        query = progress.follow(progress.ending_model_progress(stream, grace=600, delay="1 minute"), keep, str(tmp_path / "models"), available_now=True)
+        query.awaitTermination(120)
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        query = progress.follow(progress.ending_sample_progress(stream, grace=600, delay="1 minute"), keep_samples, str(tmp_path / "samples"), available_now=True)
+        query.awaitTermination(120)
+    assert sizes == [2, 2, 3, 3, 4]  # a and b, then b and c, then d as well, nothing for the late event, then a again
+    assert [json.loads(x)["phase"] for x in late] == ["late"]
+    everything = [e for step in steps for e in step if e.get("phase") != "late"]
+    log = spark.createDataFrame([(f"stt_event={json.dumps(e)}",) for e in everything], "value string")
+    batch = {r.model_key: r.asDict() for r in progress.model_progress(parse_events(log)).collect()}
+    for name in ("d::b", "d::c", "d::d"):
+        own = kept[name].asDict()
+        assert not own.pop("final") and own == batch[name]
+    again = kept["d::a"]  # a run that begins after its state has gone begins anew
+    assert (again.status, again.attempt, again.completed, again.final) == ("running", 2, 0, False)
+    of_samples = {(r.model_key, r.sample_id): r.asDict() for r in progress.sample_progress(parse_events(log)).collect()}
+    assert of_samples == {k: {c: v for c, v in r.asDict().items() if c != "final"} for k, r in samples.items()}
+    assert samples["d::a", "a0"].final and not samples["d::d", "d0"].final
