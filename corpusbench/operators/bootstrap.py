@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusbench.operators.scoring import COUNT_COLUMNS, count_sums, group_counts
+from corpusbench.operators.spread import spread_join
 from corpusbench.session import written_once
 
 BUCKET_GROUPS = 4096
@@ -172,46 +173,67 @@ def percentile(values: Column, probability: float) -> Column:
     return F.percentile(values, F.lit(probability))
 
 
-_CUTS = 1024
+_MARGIN, _ACCURACY = 0.0005, 20_000  # ten times the error that the sketch may have
+_WHOLE = 8192
 
 
 def grouped_percentiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """One row per key with the exact percentile under each name, for groups of any size.
 
-    A first pass counts the values of each group in 1024 parts of its range; a second one reads only
-    the parts that hold a wanted rank, and those as distinct values with their counts.  NULL values
-    do not count.
+    A quantile sketch of each group, merged over tasks, gives two values that enclose the wanted ranks
+    whatever the values' distribution.  A second pass counts what lies below them and gathers only what
+    lies between, about a thousandth of a large group, as distinct values with their counts.  Should the
+    ranks not lie between, the query fails rather than be wrong.  NULL values do not count.
     """
-    keys = list(keys)
+    keys, places = list(keys), list(probabilities.values())
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    spans = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
-    share = (F.col("_v") - F.col("_low")) / F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1.0)
-    parted = rows.join(spans, keys).withColumn("_part", F.floor(share * (_CUTS - 1)))
-    in_part = parted.groupBy(*keys, "_part").agg(F.count("*").alias("_count"), F.max("_n").alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    started = in_part.withColumn("_first", F.coalesce(F.sum("_count").over(before), F.lit(0)))
-    places = F.array(*(F.lit(p) for p in probabilities.values()))
-    position = (F.col("_n") - 1) * F.col("_p")
-    ranks = started.withColumn("_p", F.explode(places)).withColumn(
-        "_rank", F.explode(F.array(F.floor(position), F.ceil(position)))
+    shares = [min(1.0, max(0.0, p + side)) for p in places for side in (-_MARGIN, _MARGIN)]
+    sketched = rows.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"),
+        F.approx_percentile("_v", shares, _ACCURACY).alias("_cuts"),
     )
-    wanted = ranks.where("_rank >= _first AND _rank < _first + _count").select(*keys, "_part", "_first", "_n", "_p", "_rank")
-    held = wanted.select(*keys, "_part").distinct()
-    values = parted.join(held, [*keys, "_part"]).groupBy(*keys, "_part", "_v").agg(F.count("*").alias("_times"))
-    up_to = W.partitionBy(*keys, "_part").orderBy("_v")
-    ranked = values.withColumn("_end", F.sum("_times").over(up_to))
-    met = wanted.join(ranked, [*keys, "_part"]).where(
-        (F.col("_rank") - F.col("_first") < F.col("_end")) & (F.col("_rank") - F.col("_first") >= F.col("_end") - F.col("_times"))
+    whole = F.col("_n") <= _WHOLE  # too few for a rank or two not to matter
+    edge = [
+        F.when(whole | F.lit(x in (0.0, 1.0)), F.col("_most" if k % 2 else "_least")).otherwise(F.get("_cuts", F.lit(k)))
+        for k, x in enumerate(shares)
+    ]
+    wanted = F.array(*(
+        F.struct(F.lit(k).alias("place"), F.lit(p).alias("p"), edge[2 * k].alias("low"), edge[2 * k + 1].alias("high"))
+        for k, p in enumerate(places)
+    ))
+    bounds = sketched.select(*keys, "_n", wanted.alias("_wanted"))
+    beside = spread_join(rows, bounds, keys, "_v")
+    below = beside.groupBy(*keys).agg(
+        F.max("_n").alias("_n"), F.max("_wanted").alias("_wanted"),
+        F.array(*(F.count(F.when(F.col("_v") < F.get("_wanted", F.lit(k))["low"], 1)) for k in range(len(places)))).alias("_below"),
     )
+    values = _near(beside, keys).groupBy(*keys, "_place", "_v").agg(F.count("*").alias("_times"))
+    up_to = W.partitionBy(*keys, "_place").orderBy("_v")
+    ranked = values.withColumn("_end", F.sum("_times").over(up_to))
+    position = (F.col("_n") - 1) * F.col("_p")
+    asked = below.select(*keys, "_n", "_below", F.posexplode("_wanted").alias("_place", "_w")).select(
+        *keys, "_place", "_n", F.col("_w.p").alias("_p"), F.get("_below", F.col("_place")).alias("_first")
+    ).withColumn("_rank", F.explode(F.array(F.floor(position), F.ceil(position))))
+    place = F.col("_rank") - F.col("_first")
+    hit = (place < F.col("_end")) & (place >= F.col("_end") - F.col("_times"))
     weight = position - F.floor(position)
-    ends = met.groupBy(*keys, "_p").agg(
-        F.min("_v").alias("_below"), F.max("_v").alias("_above"), F.max(weight).alias("_weight")
+    ends = asked.join(ranked, [*keys, "_place"], "left").groupBy(*keys, "_place", "_p").agg(
+        F.min(F.when(hit, F.col("_v"))).alias("_below"), F.max(F.when(hit, F.col("_v"))).alias("_above"),
+        F.max(weight).alias("_weight"), F.count(F.when(hit, 1)).alias("_found"),
     )
-    between = F.col("_below") + (F.col("_above") - F.col("_below")) * F.col("_weight")
-    named = [F.max(F.when(F.col("_p") == F.lit(p), between)).alias(name) for name, p in probabilities.items()]
+    between = F.when(
+        F.col("_found") == 2, F.col("_below") + (F.col("_above") - F.col("_below")) * F.col("_weight")
+    ).otherwise(F.raise_error(F.lit("a percentile lies outside of its sketched bounds")).cast("double"))
+    named = [F.max(F.when(F.col("_place") == k, between)).alias(name) for k, name in enumerate(probabilities)]
     return ends.groupBy(*keys).agg(*named)
 
 
+def _near(beside: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Values that lie between the bounds of a wanted place."""
+    inside = F.filter("_wanted", lambda w: (w["low"] <= F.col("_v")) & (F.col("_v") <= w["high"]))
+    return beside.select(*keys, "_v", F.explode(F.transform(inside, lambda w: w["place"])).alias("_place"))
+
+
 def _rate(unit: str, prefix: str = "") -> Column:
     s, d, i, n = (F.col(f"{prefix}{unit}_{k}") for k in ("s", "d", "i", "n"))
     return F.try_divide((s + d + i).cast("double"), n.cast("double"))

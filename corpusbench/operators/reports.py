@@ -14,6 +14,8 @@ from corpusbench.operators.spread import spread_join
 C = F.col
 
 PREVIEW_ROWS = 5
+_CUTS, _STEP = 1024, 32
+_ACCURACY = 20_000
 
 
 def status_histogram(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -94,26 +96,36 @@ def collapse_repeated_details(samples: DataFrame) -> DataFrame:
     return spread_join(keyed, newest, keys, "seq", how="left").withColumn("shown_message", message).drop("_kind", "_newest")
 
 
+def order_buckets(df: DataFrame, keys: Sequence[str], ord_column: str, bucket_rows: int) -> DataFrame:
+    """Add ``_bucket``, which rises with the order column inside a run; runs of up to ``bucket_rows`` rows have one."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    long = counts.where(C("_rows") > bucket_rows).select(*keys)
+    shares = [k / _CUTS for k in range(1, _CUTS)]
+    cuts = df.join(long, keys, "left_semi").groupBy(*keys).agg(F.approx_percentile(ord_column, shares, _ACCURACY).alias("_cuts"))
+    every = F.sequence(F.lit(_STEP), F.lit(_CUTS - _STEP), F.lit(_STEP))
+    sketched = cuts.withColumn("_coarse", F.transform(every, lambda k: F.element_at("_cuts", k)))
+    passed = F.size(F.filter("_coarse", lambda x: x <= C(ord_column)))
+    finer = F.size(F.filter(F.slice("_cuts", C("_passed") * _STEP + 1, _STEP - 1), lambda x: x <= C(ord_column)))
+    return (
+        spread_join(df, sketched, keys, ord_column, how="left")
+        .withColumn("_passed", F.when(C("_cuts").isNotNull(), passed))
+        .withColumn("_bucket", F.when(C("_cuts").isNotNull(), C("_passed") * _STEP + finer).otherwise(0))
+        .drop("_cuts", "_coarse", "_passed")
+    )
+
+
 def positions(
     df: DataFrame, run_keys: Sequence[str], ord_column: str = "ord", *, bucket_rows: int = 100_000
 ) -> DataFrame:
     """1-based ``position`` and ``total`` of every row of a run.
 
-    Rows are ranked inside buckets of the order column and shifted by the sizes of the buckets
-    before, so a long run is ranked by many tasks.  A run's range of values is cut into as many
-    buckets as its rows fill, however sparse the values are.
+    Rows are ranked inside buckets of the order column and shifted by the sizes of the buckets before,
+    so a long run is ranked by many tasks.  A run of more than ``bucket_rows`` rows is cut at 1023 values
+    that a quantile sketch of it gives, so that its buckets hold about equally many rows however its
+    values are spread; only rows of equal values cannot be parted.
     """
     keys = list(run_keys)
-    spans = df.groupBy(*keys).agg(
-        F.min(ord_column).cast("double").alias("_low"), F.max(ord_column).cast("double").alias("_high"),
-        F.ceil(F.count("*") / bucket_rows).alias("_buckets"),
-    )
-    share = (C(ord_column).cast("double") - C("_low")) / F.greatest(C("_high") - C("_low"), F.lit(1.0))
-    bucketed = (
-        spread_join(df, spans, keys, ord_column)
-        .withColumn("_bucket", F.least(F.floor(share * C("_buckets")), C("_buckets") - 1))
-        .drop("_low", "_high", "_buckets")
-    )
+    bucketed = order_buckets(df, keys, ord_column, bucket_rows)
     sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
     run = W.partitionBy(*keys)
     before = run.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

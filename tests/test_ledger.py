@@ -223,3 +223,14 @@ def test_one_run_with_most_rows(spark, no_broadcast):
     assert saved.count() == 901 + 200
     placed = reports.positions(frame, ["run"], bucket_rows=100)
     assert placed.agg(F.max("position"), F.max("total")).first()[:] == (2000, 2000)
+
+
+def test_buckets_of_exponential_orders_are_even(spark):
+    n = 30_000
+    rows = spark.range(n).select(F.lit("big").alias("run"), F.floor(F.exp(C("id") / 1000.0) * 1e4).cast("long").alias("ord"))
+    rows = rows.union(spark.createDataFrame([("big", 10**18), ("big", -(10**17)), ("small", 5)], "run string, ord long"))
+    sizes = reports.order_buckets(rows, ["run"], "ord", 100).groupBy("run", "_bucket").count().collect()
+    assert max(r["count"] for r in sizes) < 2 * n / 1024 and sum(r["count"] for r in sizes) == n + 3
+    placed = reports.positions(rows, ["run"], bucket_rows=100).where("run = 'big'").orderBy("position").collect()
+    assert [r.position for r in placed] == list(range(1, n + 3))
+    assert [r.ord for r in placed] == sorted(r.ord for r in placed)

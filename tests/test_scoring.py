@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -322,3 +323,25 @@ def test_draws_are_not_shuffled(spark, monkeypatch):
         children = node.children()
         nodes.extend(children.apply(k) for k in range(children.size()))
     assert written and max(written) <= 2 * 3000 + 300 < 300 * 3000
+
+
+def test_percentiles_of_heavy_tails_gather_little(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [("tail", math.exp(rng.gauss(0, 6))) for _ in range(40_000)] + [("same", 1.0)] * 3000 + [("small", float(k)) for k in range(7)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    gathered = []
+    near = bootstrap._near
+
+    def told(beside, keys):
+        out = near(beside, keys)
+        gathered.append({(r.k, r._place): r["count"] for r in out.select("k", "_place", "_v").distinct().groupBy("k", "_place").count().collect()})
+        return out
+
+    monkeypatch.setattr(bootstrap, "_near", told)
+    wanted = {"low": 0.025, "half": 0.5, "high": 0.999}
+    found = {r.k: r for r in bootstrap.grouped_percentiles(frame, ["k"], "v", wanted).collect()}
+    for key in ("tail", "same", "small"):
+        own = [v for k, v in rows if k == key]
+        for name, p in wanted.items():
+            assert found[key][name] == pytest.approx(percentile(own, p))
+    assert max(gathered[0].values()) <= 40_000 * 0.0015
