@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusbench.functions.classify import failure_code
 from corpusbench.operators import inference
+from corpusbench.operators.reports import write_run_artifact
 from corpusbench.operators.spread import compute_partitions
 from corpusbench.plans.registry import query, spread_table, table
 from corpusbench.session import fresh_folder
@@ -309,16 +310,20 @@ def stored_ledger(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "s9_run_artifact",
     """
-SELECT l_returnflag, '{"l_returnflag":"' || l_returnflag || '","lines":' || count(*) || ',"orders":' || count(DISTINCT l_orderkey) || '}' AS value
+SELECT l_returnflag, '{"l_returnflag":"' || l_returnflag || '","lines":' || count(*) || ',"orders":' || count(DISTINCT l_orderkey) || '}' AS value,
+       count(DISTINCT l_orderkey) AS details
 FROM lineitem GROUP BY l_returnflag
 """,
 )
 def run_artifact(spark: SparkSession, sf: str) -> DataFrame:
-    """The JSON object a run artifact holds, per flag."""
-    counts = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.count("*").alias("lines"), F.count_distinct("l_orderkey").alias("orders")
-    )
-    return counts.select("l_returnflag", F.to_json(F.struct("*")).alias("value"))
+    """An artifact with the totals per flag and their orders as details, written and read back."""
+    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey")
+    counts = lines.groupBy("l_returnflag").agg(F.count("*").alias("lines"), F.count_distinct("l_orderkey").alias("orders"))
+    target = fresh_folder(spark, "run-artifact")
+    write_run_artifact(counts, {"details": lines.distinct()}, target)
+    stored = spark.read.text(f"{target}/result").select(F.get_json_object("value", "$.l_returnflag").alias("l_returnflag"), "value")
+    details = spark.read.parquet(f"{target}/details").groupBy("l_returnflag").agg(F.count("*").alias("details"))
+    return stored.join(details, "l_returnflag")
 
 
 class _Echo:

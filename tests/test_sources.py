@@ -279,3 +279,25 @@ def test_marked_pages_in_any_case(spark):
     assert read('<DIV DATA-Lyrics-Container="true">Uno<BR>dos<p>tres</DIV>') == "Uno\ndos\ntres"
     assert read('<div data-lyrics-container="&#116;rue">uno\n dos  tres</div>') == "uno\ndos tres"
     assert read("<div>true data-lyrics-container</div>") is None
+
+
+def test_one_pass_tells_every_kind_of_problem(spark):
+    fields = (Field("n", "int"), Field("x", "number", nullable=True), Field("l", "array", optional=True), Field("o", "object", optional=True))
+    texts = {
+        '{"n":1,"x":null,"l":[],"o":{}}': [],
+        ' \n{"n":-0,"x":1e3} \t': [],
+        '{"n":1.0,"x":"1","l":{},"o":[]}': ["type"] * 4,
+        '{"n":9223372036854775808,"x":9223372036854775808}': ["type"],
+        '{"n":null,"x":true}': ["type", "type"],
+        '{"n":1,"n":2}': ["duplicate_key", "missing"],
+        '{"n":"a","x":{"y":1,"y":2},"z":0}': ["json", "unknown"],
+        '{"n":1,"x":2} {}': ["json"],
+        '{"n":1,"x":NaN}': ["json"],
+        '{"n":1,"x":"a\nb"}': ["json"],
+        "[" * 5000: ["json"],
+        "[1]": ["json"],
+        "": ["json"],
+    }
+    frame = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    found = {r.t: [i.rule for i in r.issues] for r in frame.select("t", object_issues(C("t"), fields).alias("issues")).collect()}
+    assert found == texts | {None: ["json"]}
