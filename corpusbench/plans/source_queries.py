@@ -287,18 +287,8 @@ def stored_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Two batches through the ledger's sink, the second of them twice, and the current rows read back."""
     spec = ledgers.suite_ledger()
     joined = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-
-    def rows(status: Column, attempt: int) -> DataFrame:
-        none, zero = F.lit(None).cast("string"), F.lit(0).cast("bigint")
-        return joined.select(
-            C("doc_id").cast("string").alias("dataset_id"), C("lang").alias("preset_id"), status.alias("status"),
-            F.lit(attempt).alias("attempt"), none.alias("output_dir"),
-            *(zero.alias(c) for c in ("expected_samples", "succeeded_samples", "failed_samples")),
-            none.alias("error_type"), none.alias("error_message"), "quality",
-        )
-
-    first = rows(F.lit("pending"), 1).drop("quality")
-    second = rows(F.when(C("toxic") == 1, "failed").otherwise("complete"), 2).where("quality = 1").drop("quality")
+    first = _suite_rows(joined, F.lit("pending"), 1)
+    second = _suite_rows(joined.where("quality = 1"), F.when(C("toxic") == 1, "failed").otherwise("complete"), 2)
     target = fresh_folder(spark, "ledger")
     write = ledgers.ledger_writer(target, spec.keys)
     for batch, number in ((first, 0), (second, 1), (second, 1)):
@@ -307,6 +297,38 @@ def stored_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return valid.select("dataset_id", "preset_id", "status", "attempt", "written")
 
 
+def _suite_rows(joined: DataFrame, status: Column, attempt: int) -> DataFrame:
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+    return joined.select(
+        C("doc_id").cast("string").alias("dataset_id"), C("lang").alias("preset_id"), status.alias("status"),
+        F.lit(attempt).alias("attempt"), none.alias("output_dir"),
+        *(zero.alias(c) for c in ("expected_samples", "succeeded_samples", "failed_samples")),
+        none.alias("error_type"), none.alias("error_message"),
+    )
+
+
+@query(
+    "s8_compacted_ledger",
+    """
+SELECT CAST(doc_id AS VARCHAR) AS dataset_id, lang AS preset_id, CASE WHEN doc_id % 10 = 9 THEN 'complete' ELSE 'running' END AS status,
+       doc_id % 10 + 1 AS attempt, doc_id % 10 AS written, 1 AS files
+FROM documents
+""",
+)
+def compacted_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten batches, each with the documents still at work, compacted half-way and at the end: a bucket is one file then."""
+    spec, docs = ledgers.suite_ledger(), table(spark, sf, "documents").select("doc_id", "lang")
+    target = fresh_folder(spark, "compacted-ledger")
+    write = ledgers.ledger_writer(target, spec.keys)
+    for number in range(10):
+        write(_suite_rows(docs.where(C("doc_id") % 10 >= number), F.lit("complete" if number == 9 else "running"), number + 1), number)
+        if number in (4, 9):
+            ledgers.compact_ledger(spark, target, spec, buckets=8)
+    held = ledgers.base_files(spark, target, spec)
+    valid = ledgers.read_ledger(spark, target, spec).valid
+    return valid.select("dataset_id", "preset_id", "status", "attempt", "written").join(held, ["dataset_id", "preset_id"])
+
+
 @query(
     "s9_run_artifact",
     """

@@ -301,3 +301,38 @@ def test_one_pass_tells_every_kind_of_problem(spark):
     frame = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
     found = {r.t: [i.rule for i in r.issues] for r in frame.select("t", object_issues(C("t"), fields).alias("issues")).collect()}
     assert found == texts | {None: ["json"]}
+
+
+def test_compaction_replaces_touched_buckets_only(spark, tmp_path):
+    from corpusbench.sources import ledgers
+
+    path, spec = str(tmp_path / "ledger"), ledgers.suite_ledger()
+    write = ledgers.ledger_writer(path, spec.keys)
+
+    def batch(ids, status):
+        rows = [(f"d{i}", "p", status, 1, None, 0, 0, 0, None, None) for i in ids]
+        return spark.createDataFrame(rows, spec.schema.replace(", written bigint", ""))
+
+    def current():
+        return {r.dataset_id: (r.status, r.written) for r in ledgers.read_ledger(spark, path, spec).valid.collect()}
+
+    write(batch(range(40), "pending"), 0)
+    write(batch(range(10), "running"), 1)
+    before = current()
+    assert len(ledgers.compact_ledger(spark, path, spec, buckets=8)) == 8 and current() == before
+    assert ledgers.compact_ledger(spark, path, spec) == []  # nothing new
+    write(batch([3], "complete"), 2)
+    assert current() == before | {"d3": ("complete", 2)}
+    held = ledgers._pointer(spark, path).held
+    (touched,) = ledgers.compact_ledger(spark, path, spec, buckets=99)  # the first compaction's number stays
+    now = ledgers._pointer(spark, path)
+    assert {b for b in held if now.held[b] != held[b]} == {touched} and now.upto == 2 and now.buckets == 8
+    assert current() == before | {"d3": ("complete", 2)}
+    write(batch([3], "complete"), 2)  # a batch that is tried again after it was folded in changes nothing
+    # A compaction that is lost before its pointer is written is not seen.
+    write(batch([4], "failed"), 3)
+    batch([4], "partial").withColumn("written", F.lit(9)).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{path}/_base/lost")
+    assert current() == before | {"d3": ("complete", 2), "d4": ("failed", 3)}
+    ledgers.compact_ledger(spark, path, spec)
+    assert current() == before | {"d3": ("complete", 2), "d4": ("failed", 3)}
+    assert {r.files for r in ledgers.base_files(spark, path, spec).collect()} == {1}
