@@ -15,6 +15,7 @@ from corpusbench.plans.registry import query, spread_table, table
 from corpusbench.session import fresh_folder
 from corpusbench.sources import ledgers, manifests, payloads
 from corpusbench.sources.strict import Field, object_issues
+from corpusbench.streaming.runs import run_transcription
 
 C = F.col
 
@@ -380,6 +381,41 @@ def batch_transcription(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+class _RateLimit(RuntimeError):
+    retryable = True
+
+
+class _Limited(_Echo):
+    """The stand-in recognizer on a service that serves no German."""
+
+    def transcribe(self, sample: dict[str, Any]) -> dict[str, Any]:
+        if sample["lang"] == "de":
+            raise _RateLimit("HTTP 429")
+        return super().transcribe(sample)
+
+
+_RUN_BATCH = 64 << 20  # bytes of sample files in one micro-batch
+
+
+@query(
+    "x1_resumed_run",
+    """
+SELECT CAST(doc_id AS VARCHAR) AS sample_id, CASE WHEN contains(text, '.') THEN 'ok' ELSE 'failed' END AS status,
+       CASE WHEN contains(text, '.') THEN lang END AS language, CASE WHEN NOT contains(text, '.') THEN 'ValueError' END AS error_type
+FROM documents
+""",
+)
+def resumed_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A run that a rate limit stops after the batch of its first German document, and the run that goes on."""
+    docs = table(spark, sf, "documents").select(C("doc_id").cast("string").alias("sample_id"), "text", "lang")
+    samples, folder = fresh_folder(spark, "run-samples"), fresh_folder(spark, "run")
+    docs.repartition(compute_partitions(spark), "sample_id").write.parquet(samples)
+    limited = C("failure.error_type") == "_RateLimit"
+    for backend in (_Limited, _Echo):
+        done = run_transcription(spark, samples, folder, backend, batch_bytes=_RUN_BATCH, blocking=limited)
+    return done.results.select("sample_id", "status", "transcript.language", "failure.error_type")
+
+
 class _CudaOutOfMemory(RuntimeError):
     retryable = True
 
