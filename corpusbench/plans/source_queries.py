@@ -13,7 +13,7 @@ from corpusbench.operators.reports import write_run_artifact
 from corpusbench.operators.spread import compute_partitions
 from corpusbench.plans.registry import query, spread_table, table
 from corpusbench.session import fresh_folder
-from corpusbench.sources import ledgers, manifests, payloads
+from corpusbench.sources import files, ledgers, manifests, payloads
 from corpusbench.sources.strict import Field, object_issues
 from corpusbench.streaming.runs import run_transcription
 
@@ -255,7 +255,29 @@ def file_hashes(spark: SparkSession, sf: str) -> DataFrame:
     root = fresh_folder(spark, "items")
     table(spark, sf, "benchmark").repartition("item_id").write.partitionBy("item_id").text(root)
     item = F.regexp_extract("path", r"item_id=(\d+)/", 1).cast("bigint")
-    return manifests.file_fingerprints(spark, root, ["txt"]).select(item.alias("item_id"), "sha256", "bytes")
+    return files.file_fingerprints(spark, root, ["txt"]).select(item.alias("item_id"), "sha256", "bytes")
+
+
+@query(
+    "s4_discovered_samples",
+    """
+SELECT sample_id, audio_path, CASE WHEN item_id % 3 > 0 THEN text ELSE '' END AS reference_text, 'directory-discovery' AS source,
+       sha256(text || item_id) AS sha256, item_id % 3 = 0 AS reference_missing
+FROM (SELECT *, 'set ' || item_id % 4 || '__item.' || item_id AS sample_id,
+             'set ' || item_id % 4 || '/item.' || item_id || CASE WHEN item_id % 2 = 0 THEN '.wav' ELSE '.MP3' END AS audio_path FROM benchmark)
+""",
+)
+def discovered_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items as audio files in folders, two of three with their text beside them and all with notes
+    that are no samples, found again."""
+    root = fresh_folder(spark, "audio")
+    items, number = table(spark, sf, "benchmark"), C("item_id")
+    stem = F.format_string("set %d/item.%d", number % 4, number)
+    audio = items.select(F.concat(stem, F.when(number % 2 == 0, ".wav").otherwise(".MP3")).alias("path"), F.concat("text", number).alias("content"))
+    texts = items.where(number % 3 > 0).select(F.concat(stem, F.lit(".txt")).alias("path"), F.concat(F.lit(" "), "text", F.lit("\n")).alias("content"))
+    notes = items.select(F.concat(stem, F.lit(".json")).alias("path"), F.lit("{}").alias("content"))
+    files.write_files(audio.union(texts).union(notes), root)
+    return manifests.discover_samples(spark, root)
 
 
 @query(

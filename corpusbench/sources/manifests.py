@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusbench.contracts import rulesets
 from corpusbench.contracts.rules import Rule, broken_rules, duplicates
 from corpusbench.functions.text import sample_id_from_path, strip_text
+from corpusbench.sources.files import file_fingerprints
 from corpusbench.sources.strict import Field, object_issues, sql_schema
 
 C = F.col
@@ -157,22 +158,6 @@ def with_dataset_root(catalog: Catalog, override: str | None = None) -> DataFram
     return catalog.items.join(roots, "file")
 
 
-def _any_case(suffix: str) -> str:
-    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
-
-
-def file_fingerprints(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFrame:
-    """(path, sha256, bytes) of the files below a folder; other files are never opened."""
-    pattern = "*.{" + ",".join(_any_case(s) for s in suffixes) + "}"
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(root)
-    )
-    return files.select("path", F.sha2("content", 256).alias("sha256"), C("length").alias("bytes"))
-
-
 def join_references(audio: DataFrame, texts: DataFrame) -> DataFrame:
     """Audio samples with the text beside them, or an empty reference.
 
@@ -204,7 +189,11 @@ def below(path: Column, root: str) -> Column:
 
 
 def discover_samples(spark: SparkSession, root: str) -> DataFrame:
-    """Samples found below an audio folder, sorted by path.  Check ids with ``duplicates``."""
+    """Samples found below an audio folder, sorted by path.  Check ids with ``duplicates``.
+
+    Spark's readers do not list empty files: an empty audio file is no sample, and an empty text beside one
+    counts as missing.
+    """
     base = root.rstrip("/")
 
     def relative(path: Column) -> Column:
