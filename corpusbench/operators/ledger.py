@@ -231,7 +231,7 @@ def stop_at_first_blocking(results: DataFrame, run_keys: Sequence[str], ord_colu
         .groupBy(*run_keys)
         .agg(F.min(ord_column).alias("_stop"))
     )
-    joined = spread_join(results, first, run_keys, ord_column, how="left")
+    joined = spread_join(results, first, run_keys, ord_column, salts=None, how="left")
     saved = C("_stop").isNull() | (C(ord_column) <= C("_stop"))
     return joined.withColumn("saved", saved).drop("_stop")
 

@@ -80,7 +80,7 @@ def _unit(value: float, name: str, *, zero: bool = True) -> None:
 
 
 def score_poem_candidates(
-    sources: DataFrame, candidates: DataFrame, *, salts: int = DEFAULT_SALTS
+    sources: DataFrame, candidates: DataFrame, *, salts: int | None = None
 ) -> DataFrame:
     """Every candidate of every source with its kind, score and reasons.
 
@@ -119,7 +119,7 @@ def match_poems(
     candidates: DataFrame,
     *,
     minimum_score: float = 0.5,
-    salts: int = DEFAULT_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Best candidate per source at or above the threshold: (score desc, video_id)."""
     _unit(minimum_score, "minimum_score")
@@ -157,7 +157,7 @@ def score_book_candidates(
     minimum_duration: float = MINIMUM_DURATION,
     maximum_duration: float = MAXIMUM_DURATION,
     minimum_title_coverage: float = 0.5,
-    salts: int = DEFAULT_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Candidates that pass the duration, title and author rules, with their score and kind.
 
@@ -238,7 +238,7 @@ def two_dimensions(
 
 
 def score_song_candidates(
-    requests: DataFrame, candidates: DataFrame, *, salts: int = DEFAULT_SALTS
+    requests: DataFrame, candidates: DataFrame, *, salts: int | None = None
 ) -> DataFrame:
     """Requests (source_key, query, expected_title, expected_artist) x song candidates
     (source_key, position, song_id, title, artist)."""
@@ -268,7 +268,7 @@ def match_songs(
     candidates: DataFrame,
     *,
     minimum_score: float = 0.5,
-    salts: int = DEFAULT_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Best song per request: (low desc, mean desc, first position)."""
     _unit(minimum_score, "minimum_score", zero=False)
@@ -293,7 +293,7 @@ def match_music_videos(
     videos: DataFrame,
     *,
     minimum_confidence: float = 0.5,
-    salts: int = DEFAULT_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Best video per song: both dimensions against the one title; (low desc, mean desc, id)."""
     _unit(minimum_confidence, "minimum_confidence", zero=False)

@@ -93,7 +93,7 @@ def collapse_repeated_details(samples: DataFrame) -> DataFrame:
     newest = keyed.where("status = 'failed'").groupBy(*keys).agg(F.max("seq").alias("_newest"))
     shown = (C("status") != "failed") | (C("seq") == C("_newest"))
     message = F.when(shown, _filled(C("message")))
-    return spread_join(keyed, newest, keys, "seq", how="left").withColumn("shown_message", message).drop("_kind", "_newest")
+    return spread_join(keyed, newest, keys, "seq", salts=None, how="left").withColumn("shown_message", message).drop("_kind", "_newest")
 
 
 def order_buckets(df: DataFrame, keys: Sequence[str], ord_column: str, bucket_rows: int) -> DataFrame:

@@ -362,7 +362,7 @@ JOIN (SELECT source_key, {v.sql_ascii_tokens('title')} AS e FROM catalog) USING
 def token_sets(spark: SparkSession, sf: str) -> DataFrame:
     expected = v.catalog(spark, sf).select("source_key", ascii_tokens(C("title")).alias("e"))
     actual = v.candidates(spark, sf).select("source_key", "position", "video_id", ascii_tokens(C("title")).alias("a"))
-    pairs = m.spread_join(actual, expected, ["source_key"], "position")
+    pairs = m.spread_join(actual, expected, ["source_key"], "position", salts=None)
     markers = F.array(*[F.lit(w) for w in m.PARTIAL_MARKERS])
     return pairs.select(
         "source_key", "position", m.overlap(C("e"), C("a")).alias("shared"),

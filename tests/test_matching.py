@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusbench.operators import matching
+from corpusbench.operators import matching, spread
 from corpusbench.operators.spread import spread_join
 
 C = F.col
@@ -188,3 +188,36 @@ def test_probes_are_the_rarest_tokens(spark):
     held = spark.createDataFrame([(f"c{k}", "de") for k in range(500)] + [("c0", "rio")], "candidate_key string, token string")
     probes = spark.createDataFrame([("t", "rio")], "source_key string, token string")
     assert matching._meet(held, probes, 4).count() == 1
+
+
+def test_measured_joins_part_hot_keys_and_copy_nothing_else(spark, no_broadcast):
+    facts = spark.range(20_000).select(F.when(C("id") % 10 > 0, 7).when(C("id") % 20 == 0, C("id")).alias("key"), "id")
+    keyed = spark.range(0, 20_000).select(C("id").alias("key"), (C("id") * 2).alias("value"))
+    hot = spread.hot_keys(facts, ["key"])
+    assert {(r.key, r._pieces) for r in hot.collect()} == {(7, 8)}  # nulls have a twentieth, less than an eighth
+    joined = spread_join(facts, keyed, ["key"], "id", salts=None)
+    assert sorted(joined.collect()) == sorted(facts.join(keyed, "key").collect())
+    left = spread_join(facts, keyed, ["key"], "id", salts=None, how="left")
+    assert sorted(left.collect(), key=lambda r: r.id) == sorted(facts.join(keyed, "key", "left").collect(), key=lambda r: r.id)
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    again = spread_join(facts, keyed, ["key"], "id", salts=None)  # planned anew
+    largest = max(again.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+    spark.conf.unset(merging)
+    assert largest < 12_000  # of 19,000: its pieces are dealt by hash over eight partitions
+
+
+def test_measured_joins_without_a_hot_key_are_plain(spark, no_broadcast):
+    facts = spark.range(2000).select((C("id") % 500).alias("key"), "id")
+    keyed = spark.range(500).select(C("id").alias("key"), C("id").alias("value"))
+    joined = spread_join(facts, keyed, ["key"], "id", salts=None)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan and "Generate" not in plan and joined.count() == 2000
+
+
+def test_measured_joins_on_hot_null_keys_and_none(spark, no_broadcast):
+    facts = spark.range(1000).select(F.when(C("id") < 100, C("id")).alias("key"), F.lit("x").alias("kind"), "id")
+    keyed = spark.createDataFrame([(5, "x", "five")], "key bigint, kind string, name string")
+    left = spread_join(facts, keyed, ["key", "kind"], "id", salts=None, how="left")
+    assert left.count() == 1000 and [r.id for r in left.where("name = 'five'").collect()] == [5]
+    assert spread_join(facts.where("false"), keyed, ["key", "kind"], "id", salts=None).count() == 0
