@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusbench.functions.alignment import edit_counts
+from corpusbench.operators.spread import spread_small
 from corpusbench.session import written_once
 
 TILE = 1 << 14
@@ -34,32 +36,48 @@ def align_long(pairs: DataFrame, *, key: str, reference: str, hypothesis: str, t
     pairs for which it was not are done again with as many tiles as that asks for.
 
     One task holds the two texts of a pair and the columns of one tile (tile^2 / 2 bytes) at a time.
+    A pair of one tile has no borders to hand on: such pairs are aligned many at a time in one task.
+    Rows are told apart by a number of their own, so keys may repeat.
     """
-    known = pairs.where(F.col(key).isNotNull() & F.col(reference).isNotNull() & F.col(hypothesis).isNotNull())
-    sides = written_once(known.select(F.col(key).alias("key"), F.col(reference).alias("r"), F.col(hypothesis).alias("h")), "long-pairs")
+    named = pairs.select(
+        F.monotonically_increasing_id().cast("string").alias("key"),
+        F.col(key).alias("name"), F.col(reference).alias("r"), F.col(hypothesis).alias("h"),
+    )
+    sides = written_once(named, "long-pairs")
     length = F.size if isinstance(sides.schema["r"].dataType, T.ArrayType) else F.length
     n, m = (length(c).cast("long") for c in "rh")
+    known = F.col("name").isNotNull() & F.col("r").isNotNull() & F.col("h").isNotNull()
+    short = spread_small(sides.where(known & (F.greatest(n, m) <= tile)))
+    counted = short.select("name", edit_counts(F.col("r"), F.col("h")).alias("e")).select("name", "e.*")
+    unknown = sides.where(~known).select("name", *(F.lit(None).cast("long").alias(c) for c in "sdin"))
+    found = counted.union(unknown).withColumnRenamed("name", key)
+    many = sides.where(known & (F.greatest(n, m) > tile))
     high, wide = (F.greatest(F.lit(1), F.ceil(x / tile)) for x in (n, m))
     reach = F.abs(n - m) + F.floor(F.greatest(n, m) / 10)
     todo = written_once(
-        sides.select("key", n.alias("n"), m.alias("m"), high.alias("high"), wide.alias("wide"), F.ceil(reach / tile).alias("band")),
+        many.select("key", n.alias("n"), m.alias("m"), high.alias("high"), wide.alias("wide"), F.ceil(reach / tile).alias("band")),
         "long-sizes",
     )
-    pieces = {c: written_once(_pieces(sides, c, tile), f"long-{c}") for c in "rh"}
-    found = None
-    while True:
+    if todo.isEmpty():
+        return found
+    pieces = {c: written_once(_pieces(many, c, tile), f"long-{c}") for c in "rh"}
+    names = many.select("key", F.col("name").alias(key))
+    while not todo.isEmpty():
         tried = written_once(_counted(todo, pieces, tile), "long-counts").join(todo, "key")
         fits = F.col("needed") <= F.col("band") * tile
         told = tried.where(fits | (F.col("band") >= F.greatest("high", "wide"))).select("key", "s", "d", "i", "n")
-        found = told if found is None else found.union(told)
+        found = found.union(_named(told, names, key))
         wider = F.greatest(F.ceil(F.col("needed") / tile), F.col("band") + 1)
         todo = written_once(
             tried.where(~fits & (F.col("band") < F.greatest("high", "wide"))).select("key", "n", "m", "high", "wide", wider.alias("band")),
             "long-again",
         )
-        if todo.isEmpty():
-            break
-    return pairs.select(F.col(key)).join(found.withColumnRenamed("key", key), key, "left")
+    return found
+
+
+def _named(told: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    own = names.select(F.col("key").alias("_row"), F.col(key).alias("_name"))
+    return told.join(own, F.col("key") == F.col("_row")).select(F.col("_name").alias(key), "s", "d", "i", "n")
 
 
 def _pieces(sides: DataFrame, side: str, tile: int) -> DataFrame:

@@ -39,5 +39,25 @@ def test_one_long_pair_over_many_tasks(spark, rate):
     assert counted(spark, [("".join(a), b)], "string", 4096) == {"0": alignment.align("".join(a), b)}
 
 
+def test_pairs_of_one_tile_are_aligned_many_at_a_time(spark, monkeypatch):
+    counted_as_tiles = []
+    tiles = long_pairs._counted
+    monkeypatch.setattr(long_pairs, "_counted", lambda todo, *rest: counted_as_tiles.append(todo.count()) or tiles(todo, *rest))
+    r = random.Random(5)
+    short = [("".join(r.choice("abc ") for _ in range(20)), "".join(r.choice("abc ") for _ in range(r.choice([0, 32])))) for _ in range(200)]
+    long = ("abc " * 20, "acb " * 19)
+    want = {str(k): alignment.align(*p) for k, p in enumerate([*short, long])}
+    assert counted(spark, [*short, long], "string", 32) == want
+    assert counted_as_tiles[0] == 1
+
+
+def test_keys_may_repeat(spark):
+    rows = [("k", "abc", "abd"), ("k", "abcd" * 10, "abc" * 11), ("k", "xyz" * 12, "xz" * 12), ("k", None, "a")]
+    frame = spark.createDataFrame(rows, "name string, r string, h string")
+    out = long_pairs.align_long(frame, key="name", reference="r", hypothesis="h", tile=16).collect()
+    want = [(None,) * 4, *(alignment.align(*p[1:]) for p in rows[:3])]
+    assert sorted([tuple(x)[1:] for x in out], key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     assert counted(spark, [], "string", 16) == {}
