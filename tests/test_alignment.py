@@ -62,3 +62,15 @@ def test_long_pairs_keep_few_columns(monkeypatch):
     assert [alignment.align(*p) for p in pairs] == whole
     monkeypatch.setattr(alignment, "_BATCH_BYTES", 1 << 14)
     assert [tuple(x) for x in alignment.align_many(pairs)] == whole == [table(*p) for p in pairs]
+
+
+def test_a_batch_holds_few_tokens_at_a_time(monkeypatch):
+    sizes = []
+    whole = alignment.align_many
+    monkeypatch.setattr(alignment, "_HELD", 1 << 12)
+    monkeypatch.setattr(alignment, "align_many", lambda pairs: sizes.append(sum(len(x) for p in pairs for x in p)) or whole(pairs))
+    pairs = [*made(13, 300, [0, 2, 9]), (None, "ab"), ("ab", None)]
+    told = alignment._frame(iter(pairs))
+    assert [tuple(x) for x in told[:-2].itertuples(index=False)] == [alignment.align(*p) for p in pairs[:-2]]
+    assert told[-2:].isna().all(axis=None)
+    assert len(sizes) > 10 and max(sizes) < 1 << 12
