@@ -60,6 +60,11 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(composed(text)), r"[^\p{L}\p{N}]+", " "))
 
 
+def has_word(text: Column) -> Column:
+    """Whether the scoring form holds a word; composing and lower case never make or unmake one."""
+    return text.rlike(r"[\p{L}\p{N}]")
+
+
 def split_words(normalized: Column) -> Column:
     """Words of an already normalized text; the empty text has none."""
     return F.array_remove(F.split(normalized, " "), "")

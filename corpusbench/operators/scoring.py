@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusbench.functions.alignment import character_edit_counts, word_edit_counts
-from corpusbench.functions.text import normalize_text
+from corpusbench.functions.text import has_word, normalize_text
 from corpusbench.operators.spread import compute_partitions
 
 COUNT_COLUMNS = tuple(f"{unit}_{kind}" for unit in ("w", "c") for kind in ("s", "d", "i", "n"))
@@ -70,23 +70,28 @@ def score_utterances(classified: DataFrame, *, keep_texts: bool = False) -> Data
     """Edit counts of the scored rows.
 
     Only the key, the group and the texts reach the alignment stage, spread by sample over enough
-    tasks for work that grows with the square of a text's length.
+    tasks for work that grows with the square of a text's length.  Texts are normalized before that
+    shuffle: composing them takes a Python worker of its own, which would stand beside each aligning one.
+    Silence is told from the reference itself, not from the counts: Spark moves a filter by it before the
+    shuffle, and one by the counts would align all words there, a second time, in workers of its own.
     """
     extra = [c for c in classified.columns if c not in ("reference", "hypothesis", "coverage")]
-    spread = classified.where("coverage = 'scored'").select(*extra, "reference", "hypothesis")
-    spread = spread.repartition(compute_partitions(classified.sparkSession), "sample_id")
-    normalized = spread.select(
+    reference, hypothesis = F.col("reference"), F.col("hypothesis")
+    silent = F.when(reference.isNotNull() & hypothesis.isNotNull(), ~has_word(reference))
+    normalized = classified.where("coverage = 'scored'").select(
         *extra,
-        normalize_text(F.col("reference")).alias("normalized_reference"),
-        normalize_text(F.col("hypothesis")).alias("normalized_hypothesis"),
+        silent.alias("is_silence"),
+        normalize_text(reference).alias("normalized_reference"),
+        normalize_text(hypothesis).alias("normalized_hypothesis"),
     )
+    spread = normalized.repartition(compute_partitions(classified.sparkSession), "sample_id")
     pair = F.col("normalized_reference"), F.col("normalized_hypothesis")
-    counted = normalized.withColumns(
+    counted = spread.withColumns(
         {"w": word_edit_counts(*pair), "c": character_edit_counts(*pair)}
     )
     flat = [F.col(name.replace("_", ".")).alias(name) for name in COUNT_COLUMNS]
     texts = ["normalized_reference", "normalized_hypothesis"] if keep_texts else []
-    return counted.select(*extra, *texts, *flat, (F.col("w.n") == 0).alias("is_silence"))
+    return counted.select(*extra, *texts, *flat, "is_silence")
 
 
 def corpus_score(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:

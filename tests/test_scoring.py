@@ -106,6 +106,24 @@ def test_utterance_rates(spark, ref, hyp, wer, cer):
     assert (row.wer, row.cer) == (wer, cer)
 
 
+def test_words_are_aligned_once_and_beside_no_other_worker(spark):
+    references = spark.createDataFrame([("a", "g", "uno dos")], "sample_id string, group_id string, text string")
+    recognitions = spark.createDataFrame([("a", "uno", "ok")], "sample_id string, text string, status string")
+    told = scoring.score_utterances(scoring.classify_coverage(references, recognitions))
+    for table in (scoring.corpus_score(told), scoring.silence_controls(told)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("_word_counts(") == 1  # a filter by silence is no second alignment
+        assert plan.count("ArrowEvalPython") == 2
+        assert plan.index("_word_counts(") < plan.index("REPARTITION_BY_NUM") < plan.index("_compose(")
+
+
+def test_silence_is_told_from_the_reference(spark):
+    texts = ["", "...", " \u00a0\x1c", "\u0301", "a", "4", "e\u0301", "\u2167", "İ", None]
+    rows = scored(spark, [("g", t, h) for t in texts for h in ("uno", "", None)]).collect()
+    assert {r.is_silence for r in rows} == {True, False, None}
+    assert [r.is_silence for r in rows] == [None if r.w_n is None else r.w_n == 0 for r in rows]
+
+
 def test_silence_insertions(spark):
     row = scored(spark, [("g", "...", "hola mundo")]).first()
     assert row.is_silence and (row.w_i, row.c_i) == (2, 9)
