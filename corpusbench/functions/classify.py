@@ -31,15 +31,16 @@ MISSING_DEPENDENCY_ERRORS = ("ImportError", "ModuleNotFoundError")
 
 def content_kind(title: Column) -> Column:
     """First kind one of whose markers occurs anywhere in the catalog form of the title."""
+    # through a one-element array, so the form is computed once and not once per marker
+    return F.get(F.transform(F.array(normalized_identity(title)), kind_of_form), F.lit(0))
 
-    def kind_of(form: Column) -> Column:
-        chain = F.when(F.lit(False), "")
-        for kind, markers in CONTENT_KINDS:
-            chain = chain.when(reduce(lambda a, b: a | b, [form.contains(m) for m in markers]), kind)
-        return chain.otherwise("other")
 
-    # through a one-element array, so the form is computed once and not once per marker
-    return F.get(F.transform(F.array(normalized_identity(title)), kind_of), F.lit(0))
+def kind_of_form(form: Column) -> Column:
+    """``content_kind`` of a title in catalog form."""
+    chain = F.when(F.lit(False), "")
+    for kind, markers in CONTENT_KINDS:
+        chain = chain.when(reduce(lambda a, b: a | b, [form.contains(m) for m in markers]), kind)
+    return chain.otherwise("other")
 
 
 def display_duration(text: Column) -> Column:

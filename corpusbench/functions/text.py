@@ -142,12 +142,17 @@ def _expanded(text: Column, longer: dict[str, str]) -> Column:
     return F.when(holds_one, spelled).otherwise(text)
 
 
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 def _folded(text: Column, ascii_only: bool) -> Column:
+    """The rule of ``_fold_tables`` in lower case; it maps nothing in a text of ASCII only."""
     source, target, deleted, longer = _fold_tables(ascii_only)
     common = F.replace(text, F.lit("ß"), F.lit("" if ascii_only else "ss"))
     rest = {k: v for k, v in longer.items() if k != "ß"}
     narrow = F.translate(common, source + deleted, target)
-    return F.lower(_expanded(narrow, rest))
+    return F.lower(F.when(_is_ascii(text), text).otherwise(_expanded(narrow, rest)))
 
 
 def normalized_identity(text: Column) -> Column:
@@ -157,8 +162,9 @@ def normalized_identity(text: Column) -> Column:
 
 def ascii_words(text: Column) -> Column:
     """Matching form: non-ASCII characters vanish, then runs of a-z and 0-9, in order."""
-    kept = F.regexp_replace(_folded(text, True), r"[^\x00-\x7F]+", "")
-    return split_words(F.trim(F.regexp_replace(kept, r"[^a-z0-9]+", " ")))
+    folded = _folded(text, True)
+    kept = F.when(_is_ascii(folded), folded).otherwise(F.regexp_replace(folded, r"[^\x00-\x7F]+", ""))
+    return F.array_remove(F.split(kept, r"[^a-z0-9]+"), "")
 
 
 def ascii_tokens(text: Column) -> Column:
@@ -167,7 +173,12 @@ def ascii_tokens(text: Column) -> Column:
 
 def poem_tokens(text: Column) -> Column:
     """Distinct catalog-form words, without stop words and one-letter words."""
-    words = F.array_distinct(split_words(normalized_identity(text)))
+    return poem_words(normalized_identity(text))
+
+
+def poem_words(form: Column) -> Column:
+    """``poem_tokens`` of a text in catalog form."""
+    words = F.array_distinct(split_words(form))
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*POEM_STOP_WORDS))
 
 

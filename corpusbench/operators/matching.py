@@ -1,8 +1,9 @@
 """Catalog entries x search candidates: token-coverage scores and the deterministic best match.
 
 Tokens are computed once per catalog entry and once per candidate, before they meet.  Joins on the
-catalog key spread hot keys (see ``operators.spread``), and every top-1 is a ``row_number() <= 1``
-window, which Spark turns into a per-task limit before its shuffle.
+catalog key spread hot keys (see ``operators.spread``); ``counted`` may name rows with a source_key that
+are cheaper to count than the candidates, such as the rows they were made from.  Every top-1 is a
+``row_number() <= 1`` window, which Spark turns into a per-task limit before its shuffle.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusbench.functions.classify import PARTIAL_MARKERS, content_kind
-from corpusbench.functions.text import ascii_tokens, ascii_words, poem_tokens
+from corpusbench.functions.classify import PARTIAL_MARKERS, kind_of_form
+from corpusbench.functions.text import ascii_tokens, ascii_words, normalized_identity, poem_tokens, poem_words
 from corpusbench.operators.spread import (
     DEFAULT_SALTS, compute_partitions, spread_join,
 )
@@ -80,7 +81,11 @@ def _unit(value: float, name: str, *, zero: bool = True) -> None:
 
 
 def score_poem_candidates(
-    sources: DataFrame, candidates: DataFrame, *, salts: int | None = None
+    sources: DataFrame,
+    candidates: DataFrame,
+    *,
+    salts: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Every candidate of every source with its kind, score and reasons.
 
@@ -91,10 +96,11 @@ def score_poem_candidates(
         poem_tokens(C("title")).alias("_title"),
         poem_tokens(C("author")).alias("_author"),
     )
-    tokenized = candidates.withColumns(
-        {"_tokens": poem_tokens(C("title")), "content_kind": content_kind(C("title"))}
-    )
-    pairs = spread_join(tokenized, keyed, ["source_key"], "video_id", salts=salts)
+    formed = candidates.withColumn("_form", normalized_identity(C("title")))
+    tokenized = formed.withColumns(
+        {"_tokens": poem_words(C("_form")), "content_kind": kind_of_form(C("_form"))}
+    ).drop("_form")
+    pairs = spread_join(tokenized, keyed, ["source_key"], "video_id", salts=salts, counted=counted)
     zero = F.lit(0.0)
     pairs = pairs.withColumns(
         {
@@ -120,10 +126,11 @@ def match_poems(
     *,
     minimum_score: float = 0.5,
     salts: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Best candidate per source at or above the threshold: (score desc, video_id)."""
     _unit(minimum_score, "minimum_score")
-    scored = score_poem_candidates(sources, candidates, salts=salts)
+    scored = score_poem_candidates(sources, candidates, salts=salts, counted=counted)
     eligible = scored.where(C("score") >= minimum_score)
     return top_one(eligible, ["source_key"], [C("score").desc(), C("video_id")])
 
@@ -158,6 +165,7 @@ def score_book_candidates(
     maximum_duration: float = MAXIMUM_DURATION,
     minimum_title_coverage: float = 0.5,
     salts: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Candidates that pass the duration, title and author rules, with their score and kind.
 
@@ -173,7 +181,7 @@ def score_book_candidates(
     )
     seen = within_duration(first_seen(candidates), minimum_duration, maximum_duration)
     tokenized = seen.withColumn("_tokens", ascii_tokens(C("title")))
-    pairs = spread_join(tokenized, keyed, ["source_key"], "video_id", salts=salts)
+    pairs = spread_join(tokenized, keyed, ["source_key"], "video_id", salts=salts, counted=counted)
     zero = F.lit(0.0)
     pairs = pairs.withColumns(
         {
@@ -196,9 +204,11 @@ def score_book_candidates(
     ).drop("_title", "_author", "_anchor", "_tokens")
 
 
-def match_books(seeds: DataFrame, candidates: DataFrame, **limits: float) -> DataFrame:
+def match_books(
+    seeds: DataFrame, candidates: DataFrame, *, counted: DataFrame | None = None, **limits: float
+) -> DataFrame:
     """Best candidate per book: (score desc, video_id)."""
-    scored = score_book_candidates(seeds, candidates, **limits)
+    scored = score_book_candidates(seeds, candidates, counted=counted, **limits)
     return top_one(scored, ["source_key"], [C("score").desc(), C("video_id")])
 
 
@@ -238,7 +248,11 @@ def two_dimensions(
 
 
 def score_song_candidates(
-    requests: DataFrame, candidates: DataFrame, *, salts: int | None = None
+    requests: DataFrame,
+    candidates: DataFrame,
+    *,
+    salts: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Requests (source_key, query, expected_title, expected_artist) x song candidates
     (source_key, position, song_id, title, artist)."""
@@ -254,7 +268,7 @@ def score_song_candidates(
     tokenized = candidates.withColumns(
         {"_actual": ascii_tokens(C("title")), "_by": ascii_tokens(C("artist"))}
     )
-    pairs = spread_join(tokenized, keyed, ["source_key"], "song_id", salts=salts)
+    pairs = spread_join(tokenized, keyed, ["source_key"], "song_id", salts=salts, counted=counted)
     dims = two_dimensions(C("_title"), C("_artist"), C("_actual"), C("_by"))
     return (
         pairs.withColumn("_dims", dims)
@@ -269,10 +283,11 @@ def match_songs(
     *,
     minimum_score: float = 0.5,
     salts: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Best song per request: (low desc, mean desc, first position)."""
     _unit(minimum_score, "minimum_score", zero=False)
-    scored = score_song_candidates(requests, candidates, salts=salts)
+    scored = score_song_candidates(requests, candidates, salts=salts, counted=counted)
     eligible = scored.where(C("low") >= minimum_score)
     order = [C("low").desc(), C("mean").desc(), C("position"), C("song_id")]
     return top_one(eligible, ["source_key"], order)
@@ -294,6 +309,7 @@ def match_music_videos(
     *,
     minimum_confidence: float = 0.5,
     salts: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Best video per song: both dimensions against the one title; (low desc, mean desc, id)."""
     _unit(minimum_confidence, "minimum_confidence", zero=False)
@@ -303,7 +319,7 @@ def match_music_videos(
         ascii_tokens(C("artist")).alias("_artist"),
     )
     tokenized = videos.withColumn("_actual", ascii_tokens(C("title")))
-    pairs = spread_join(tokenized, keyed, ["source_key"], "video_id", salts=salts)
+    pairs = spread_join(tokenized, keyed, ["source_key"], "video_id", salts=salts, counted=counted)
     both = (F.size("_title") > 0) & (F.size("_artist") > 0)
     dims = F.when(both, two_dimensions(C("_title"), C("_artist"), C("_actual"), C("_actual")))
     scored = pairs.withColumn("_dims", dims).where(C("_dims.low") >= minimum_confidence)

@@ -22,6 +22,7 @@ def spread_join(
     *,
     salts: int | None = DEFAULT_SALTS,
     how: str = "inner",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows per key to one row per key without giving a key to a single task.
 
@@ -31,13 +32,15 @@ def spread_join(
 
     With ``salts=None`` the facts' keys are counted first, when this is called, and only keys with more
     than a partition's fair share of all rows are parted, each into as many pieces as it has shares.
-    Where no key is hot this is a plain join.  Counting reads the key columns of ``facts`` once more.
+    Where no key is hot this is a plain join.  Counting computes the key columns of ``facts`` once more,
+    joins and windows behind them included; ``counted``, cheaper rows in which the keys come about as
+    often, is counted in their place.  The counts settle how keys are parted, never what the join returns.
     Null keys match nothing; with ``how="left"`` they are counted and parted like any other.
     """
     if how not in ("inner", "left"):
         raise ValueError("a spread join keeps the many-row side: use inner or left")
     if salts is None:
-        return _part_hot_keys(facts, keyed, list(on), spread_by, hot_keys(facts, on), how)
+        return _part_hot_keys(facts, keyed, list(on), spread_by, hot_keys(facts if counted is None else counted, on), how)
     if salts <= 1:
         return facts.join(keyed, list(on), how)
     salted = facts.withColumn(_SALT, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))

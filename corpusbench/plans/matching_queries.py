@@ -33,7 +33,7 @@ QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY score DESC, video_id
     ("candidates", "catalog", "poem_scores"),
 )
 def poem_scores(spark: SparkSession, sf: str) -> DataFrame:
-    scored = m.score_poem_candidates(v.catalog(spark, sf), v.candidates(spark, sf))
+    scored = m.score_poem_candidates(v.catalog(spark, sf), v.candidates(spark, sf), counted=v.candidate_keys(spark, sf))
     return scored.select(
         "position", "title_overlap", "author_overlap", "content_kind", "score",
         F.get("match_reasons", F.lit(0)).alias("first_reason"),
@@ -58,7 +58,7 @@ _POEM_VIEWS = ("candidates", "catalog", "first_seen", "poem_scores_seen", "poem_
     _POEM_VIEWS,
 )
 def match_poems(spark: SparkSession, sf: str) -> DataFrame:
-    best = m.match_poems(v.catalog(spark, sf), _distinct_videos(spark, sf))
+    best = m.match_poems(v.catalog(spark, sf), _distinct_videos(spark, sf), counted=v.candidate_keys(spark, sf))
     return best.select("source_key", "video_id", "title", "content_kind", "score")
 
 
@@ -84,7 +84,7 @@ _BOOK_VIEWS = ("candidates", "catalog", "first_seen", "book_scores", "book_best"
     _BOOK_VIEWS[:4],
 )
 def book_scores(spark: SparkSession, sf: str) -> DataFrame:
-    scored = m.score_book_candidates(v.catalog(spark, sf), v.candidates(spark, sf))
+    scored = m.score_book_candidates(v.catalog(spark, sf), v.candidates(spark, sf), counted=v.candidate_keys(spark, sf))
     return scored.select("position", "title_coverage", "author_coverage", "score", "kind")
 
 
@@ -94,7 +94,7 @@ def book_scores(spark: SparkSession, sf: str) -> DataFrame:
     _BOOK_VIEWS,
 )
 def match_books(spark: SparkSession, sf: str) -> DataFrame:
-    best = m.match_books(v.catalog(spark, sf), v.candidates(spark, sf))
+    best = m.match_books(v.catalog(spark, sf), v.candidates(spark, sf), counted=v.candidate_keys(spark, sf))
     return best.select("source_key", "video_id", "query", "kind", "duration_seconds", "score")
 
 
@@ -116,13 +116,13 @@ _SONG_VIEWS = ("candidates", "requests", "song_scores", "song_best")
 
 @query("f11_two_dimension_coverage", "SELECT position, low, mean FROM song_scores", _SONG_VIEWS[:3])
 def song_scores(spark: SparkSession, sf: str) -> DataFrame:
-    scored = m.score_song_candidates(v.requests(spark, sf), v.song_results(spark, sf))
+    scored = m.score_song_candidates(v.requests(spark, sf), v.song_results(spark, sf), counted=v.candidate_keys(spark, sf))
     return scored.select("position", "low", "mean")
 
 
 @query("j9_match_songs", "SELECT source_key, song_id, position, low, mean FROM song_best", _SONG_VIEWS)
 def match_songs(spark: SparkSession, sf: str) -> DataFrame:
-    best = m.match_songs(v.requests(spark, sf), v.song_results(spark, sf))
+    best = m.match_songs(v.requests(spark, sf), v.song_results(spark, sf), counted=v.candidate_keys(spark, sf))
     return best.select("source_key", "song_id", "position", "low", "mean")
 
 
@@ -143,7 +143,7 @@ QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY least(t, a) DESC, (t
 )
 def match_videos(spark: SparkSession, sf: str) -> DataFrame:
     songs = v.catalog(spark, sf).withColumnRenamed("author", "artist")
-    best = m.match_music_videos(songs, _distinct_videos(spark, sf))
+    best = m.match_music_videos(songs, _distinct_videos(spark, sf), counted=v.candidate_keys(spark, sf))
     return best.select("source_key", "video_id", "title", "duration_seconds", "confidence")
 
 
@@ -200,7 +200,7 @@ FROM catalog c LEFT JOIN poem_best USING (source_key) LEFT JOIN failures USING (
 def poem_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     sources = v.catalog(spark, sf)
     failures = _failures(spark, sf).withColumnRenamed("retryable", "error_retryable")
-    outcomes = m.poem_outcomes(sources, m.match_poems(sources, _distinct_videos(spark, sf)), failures)
+    outcomes = m.poem_outcomes(sources, m.match_poems(sources, _distinct_videos(spark, sf), counted=v.candidate_keys(spark, sf)), failures)
     return outcomes.select("source_key", "status", "video_id", "match_score", "error_message", "error_retryable")
 
 
@@ -215,7 +215,7 @@ FROM catalog c LEFT JOIN book_best USING (source_key) LEFT JOIN failures USING (
 )
 def book_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     seeds = v.catalog(spark, sf)
-    outcomes = m.book_outcomes(seeds, m.match_books(seeds, v.candidates(spark, sf)), _failures(spark, sf))
+    outcomes = m.book_outcomes(seeds, m.match_books(seeds, v.candidates(spark, sf), counted=v.candidate_keys(spark, sf)), _failures(spark, sf))
     return outcomes.select("source_key", "status", "video_id", "query", "error_message", "retryable")
 
 
@@ -237,10 +237,10 @@ FROM requests r LEFT JOIN (SELECT source_key, song_id FROM song_best) USING (sou
 )
 def lyrics_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     wanted = v.requests(spark, sf)
-    songs = m.match_songs(wanted, v.song_results(spark, sf))
+    songs = m.match_songs(wanted, v.song_results(spark, sf), counted=v.candidate_keys(spark, sf))
     catalog = v.catalog(spark, sf).withColumnRenamed("author", "artist")
     nothing = F.lit(None).cast("string")
-    videos = m.match_music_videos(catalog, _distinct_videos(spark, sf)).select(
+    videos = m.match_music_videos(catalog, _distinct_videos(spark, sf), counted=v.candidate_keys(spark, sf)).select(
         "source_key", "video_id", nothing.alias("video_code"), nothing.alias("video_message"),
         F.lit(None).cast("boolean").alias("video_retryable"),
     )
@@ -270,7 +270,7 @@ FROM song_best JOIN part ON p_partkey = source_key
 )
 def checked_details(spark: SparkSession, sf: str) -> DataFrame:
     """Details come back without an id for parts above size 45 and with another id above 40."""
-    matches = m.match_songs(v.requests(spark, sf), v.song_results(spark, sf))
+    matches = m.match_songs(v.requests(spark, sf), v.song_results(spark, sf), counted=v.candidate_keys(spark, sf))
     sizes = table(spark, sf, "part").select(C("p_partkey").alias("source_key"), "p_size")
     details = matches.select("source_key", C("song_id").alias("_id")).join(sizes, "source_key").select(
         "source_key",
@@ -301,7 +301,7 @@ def unscorable(spark: SparkSession, sf: str) -> DataFrame:
     _BOOK_VIEWS,
 )
 def best_per_source(spark: SparkSession, sf: str) -> DataFrame:
-    scored = m.score_book_candidates(v.catalog(spark, sf), v.candidates(spark, sf))
+    scored = m.score_book_candidates(v.catalog(spark, sf), v.candidates(spark, sf), counted=v.candidate_keys(spark, sf))
     best = m.top_one(scored, ["source_key"], [C("score").desc(), C("video_id")])
     return best.select("source_key", "video_id", "score")
 
@@ -362,7 +362,7 @@ JOIN (SELECT source_key, {v.sql_ascii_tokens('title')} AS e FROM catalog) USING
 def token_sets(spark: SparkSession, sf: str) -> DataFrame:
     expected = v.catalog(spark, sf).select("source_key", ascii_tokens(C("title")).alias("e"))
     actual = v.candidates(spark, sf).select("source_key", "position", "video_id", ascii_tokens(C("title")).alias("a"))
-    pairs = m.spread_join(actual, expected, ["source_key"], "position", salts=None)
+    pairs = m.spread_join(actual, expected, ["source_key"], "position", salts=None, counted=v.candidate_keys(spark, sf))
     markers = F.array(*[F.lit(w) for w in m.PARTIAL_MARKERS])
     return pairs.select(
         "source_key", "position", m.overlap(C("e"), C("a")).alias("shared"),

@@ -323,6 +323,11 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def candidate_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The source of each order line: what to count in place of candidates, which joins make."""
+    return table(spark, sf, "lineitem").select(C("l_partkey").alias("source_key"))
+
+
 VIEWS["candidates"] = """
 SELECT l.l_partkey AS source_key,
        CASE WHEN l_linenumber <= 2 THEN 0 WHEN l_linenumber <= 4 THEN 1 ELSE 2 END AS query_ord,

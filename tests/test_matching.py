@@ -221,3 +221,25 @@ def test_measured_joins_on_hot_null_keys_and_none(spark, no_broadcast):
     left = spread_join(facts, keyed, ["key", "kind"], "id", salts=None, how="left")
     assert left.count() == 1000 and [r.id for r in left.where("name = 'five'").collect()] == [5]
     assert spread_join(facts.where("false"), keyed, ["key", "kind"], "id", salts=None).count() == 0
+
+
+def test_hot_keys_are_counted_in_cheaper_rows(spark, no_broadcast, monkeypatch):
+    asked, count = [], spread.hot_keys
+    monkeypatch.setattr(spread, "hot_keys", lambda facts, on: asked.append(facts) or count(facts, on))
+    poem = sources(spark, *[(f"k{i}", f"verso {i} mar", "Ana Paz") for i in range(20)])
+    rows = candidates(spark, *[(f"k{i % 20}", 0, i, f"v{i}", f"verso {i % 7} mar Ana", None) for i in range(200)])
+    counted = rows.select(F.when(C("position") % 4 > 0, "k3").otherwise(C("source_key")).alias("source_key"))
+    videos, columns = matching.first_seen(rows), ["source_key", "video_id", "score"]
+    parted = matching.match_poems(poem, videos, counted=counted)
+    assert [df.sameSemantics(counted) for df in asked] == [True]  # the window behind the videos is not run for it
+    assert "_salt" in parted._jdf.queryExecution().optimizedPlan().toString()
+    plain = matching.match_poems(poem, videos, salts=1)
+    assert sorted(parted.select(columns).collect()) == sorted(plain.select(columns).collect())
+
+
+def test_poem_titles_are_normalized_once(spark):
+    poem, rows = sources(spark, ("k", "mar", "Ana")), candidates(spark, ("k", 0, 0, "v", "El mar, fragmento", None))
+    scored = matching.score_poem_candidates(poem, rows, salts=1)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 3  # title and author of the poem, title of the candidate
+    assert [(r.content_kind, r.title_overlap) for r in scored.collect()] == [("fragment", 1.0)]
