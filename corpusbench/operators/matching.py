@@ -452,9 +452,9 @@ def open_catalog_pairs(
     verified = (
         spread_join(likely, titles, ["source_key"], "candidate_key", salts=salts)
         .join(bags, "candidate_key")
-        .withColumn("shared", overlap(C("expected"), C("actual")))
+        .withColumn("shared", overlap(C("actual"), C("expected")))  # hashes the short set, not the text's
         .withColumn("expected_tokens", F.size("expected"))
-        .withColumn("title_coverage", coverage(C("expected"), C("actual")))
+        .withColumn("title_coverage", F.try_divide(C("shared").cast("double"), C("expected_tokens").cast("double")))
     )
     return verified.where(C("title_coverage") >= minimum_coverage).drop("expected", "actual")
 

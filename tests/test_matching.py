@@ -243,3 +243,11 @@ def test_poem_titles_are_normalized_once(spark):
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 3  # title and author of the poem, title of the candidate
     assert [(r.content_kind, r.title_overlap) for r in scored.collect()] == [("fragment", 1.0)]
+
+
+def test_open_catalog_hashes_the_title_of_a_pair(spark):
+    titles = spark.createDataFrame([("t", "rio azul")], "source_key string, title string")
+    bodies = spark.createDataFrame([("c", "el río, río azul"), ("d", "la mar")], "candidate_key string, title string")
+    found = matching.open_catalog_pairs(titles, bodies)
+    assert "array_intersect(actual" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.candidate_key, r.shared, r.expected_tokens, r.title_coverage) for r in found.collect()] == [("c", 2, 2, 1.0)]
