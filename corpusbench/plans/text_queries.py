@@ -252,10 +252,12 @@ FROM (SELECT doc_id, {v.sql_normalize("text")} AS r, {v.sql_normalize(v.sql_hear
 
 
 def _document_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_table(spark, sf, "documents", "doc_id", "text").select(
+    docs = spread_table(spark, sf, "documents", "doc_id", "text")
+    heard = docs.select("doc_id", "text", v.heard_by_first(C("text")).alias("heard"))  # normalizing reads it several times
+    return heard.select(
         "doc_id",
         text.normalize_text(C("text")).alias("reference"),
-        text.normalize_text(v.heard_by_first(C("text"))).alias("hypothesis"),
+        text.normalize_text(C("heard")).alias("hypothesis"),
     )
 
 

@@ -74,3 +74,34 @@ def test_a_batch_holds_few_tokens_at_a_time(monkeypatch):
     assert [tuple(x) for x in told[:-2].itertuples(index=False)] == [alignment.align(*p) for p in pairs[:-2]]
     assert told[-2:].isna().all(axis=None)
     assert len(sizes) > 10 and max(sizes) < 1 << 12
+
+
+@pytest.mark.parametrize("followed, phase, wide", [(0, 8, 64), (20, 40, 4096), (200, 4096, 300)])
+def test_phases_and_bands_that_follow(monkeypatch, followed, phase, wide):
+    monkeypatch.setattr(alignment, "_FEWEST", 1)
+    monkeypatch.setattr(alignment, "_FOLLOWED", followed)
+    monkeypatch.setattr(alignment, "_PHASE", phase)
+    monkeypatch.setattr(alignment, "_WIDE", wide)
+    pairs = made(14, 24, [0, 40, 150, 300])
+    pairs += [("ab" * 150, "b" * 200), ("a" * 150 + "b" * 150, "b" * 150 + "a" * 150), ("é😀" * 90 + "q" * 90, "q" * 90 + "é" * 90)]
+    assert [tuple(x) for x in alignment.align_many(pairs)] == [table(*p) for p in pairs]
+
+
+def test_diagonals_out_of_reach_are_dropped(monkeypatch):
+    r = random.Random(15)
+    pairs = []
+    for _ in range(5):
+        a = [r.choice("abcdefghijklmnopqrst") for _ in range(6000)]
+        pairs.append(("".join(a), "".join(noisy(r, a, 0.2, "abcdefghijklmnopqrst"))))
+    cells = []
+    whole = alignment._Batch.sweep
+
+    def sweep(self, which, state, begin, end, *options, **named):
+        cells.append(int((end - begin).max()) * state.plus.size)
+        return whole(self, which, state, begin, end, *options, **named)
+
+    monkeypatch.setattr(alignment._Batch, "sweep", sweep)
+    told = alignment.align_many(pairs)
+    assert [tuple(x) for x in told] == [alignment.align(*p) for p in pairs]
+    band = sum(len(h) * (max(len(a), len(h)) // 5 + 33) for a, h in pairs)  # a tenth of the length either way
+    assert sum(cells) < 0.95 * band
