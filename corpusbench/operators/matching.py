@@ -17,12 +17,15 @@ from corpusbench.functions.text import ascii_tokens, ascii_words, normalized_ide
 from corpusbench.operators.spread import (
     DEFAULT_SALTS, compute_partitions, spread_join,
 )
+from corpusbench.session import written_once
 
 C = F.col
 
 # Limits of a search and of an audiobook's duration in seconds.
 RESULTS_PER_QUERY = range(1, 51)
 MINIMUM_DURATION, MAXIMUM_DURATION = 30.0, 43_200.0
+# Bytes of all titles' tokens up to which an open catalog is sent to every task, and what each takes besides its letters.
+_SMALL_CATALOG, _TOKEN_BYTES = 1 << 24, 16
 
 
 def overlap(expected: Column, actual: Column) -> Column:
@@ -426,31 +429,44 @@ def open_catalog_pairs(
     ones, so only those are used to find pairs: exact, and a title's frequent tokens are joined on
     only where it has no others.  Each pair is then verified on the full token sets.
 
+    Titles are numbered, token by token, when this is called, and of a candidate only the numbers of tokens
+    that some title has are kept, in a staged table: no other token can be shared.  Where the titles' tokens
+    fit in ``_SMALL_CATALOG`` bytes, they are broadcast, and nothing but those numbers is exchanged.
+
     ``catalog``: source_key, title.  ``candidates``: candidate_key, title.
     """
     _unit(minimum_coverage, "minimum_coverage", zero=False)
-    titles = catalog.select("source_key", ascii_tokens(C("title")).alias("expected"))
-    # one shuffle of the token sets serves all three uses below; an outer explode keeps Spark from
-    # testing the sets, and so computing them, before that shuffle
+    named = catalog.select("source_key", ascii_tokens(C("title")).alias("tokens")).withColumn("_title", F.monotonically_increasing_id())
+    entries = written_once(named, "open-titles")
+    spelled = entries.select("source_key", "_title", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    numbers = written_once(spelled.select("token").distinct().withColumn("id", F.monotonically_increasing_id()), "open-tokens")
+    held_bytes = spelled.agg(F.sum(F.octet_length("token") + F.lit(_TOKEN_BYTES))).first()[0] or 0
+    small = held_bytes <= _SMALL_CATALOG
+    salts, sent = (1, F.broadcast) if small else (salts, lambda side: side)
+
+    words = spelled.join(numbers, "token")
+    titles = words.groupBy("source_key", "_title").agg(F.collect_list("id").alias("expected")).drop("_title")
     keyed = candidates.where("candidate_key IS NOT NULL")
-    bags = keyed.select("candidate_key", ascii_tokens(C("title")).alias("actual")).repartition(
-        compute_partitions(candidates.sparkSession), "candidate_key"
-    )
-    words = titles.select("source_key", F.size("expected").alias("n"), F.explode("expected").alias("token"))
-    held = bags.select("candidate_key", F.explode_outer("actual").alias("token"))
+    bodies = keyed.select("candidate_key", ascii_tokens(C("title")).alias("tokens")).withColumn("_body", F.monotonically_increasing_id())
+    spoken = bodies.select("candidate_key", "_body", F.explode("tokens").alias("token"))
+    known = spread_join(spoken, sent(numbers), ["token"], "candidate_key", salts=salts)
+    sets = known.groupBy("candidate_key", "_body").agg(F.collect_list("id").alias("actual")).drop("_body")
+    # what meets below is found, made distinct and verified where this has put it
+    bags = written_once(sets, "open-bags").repartition(compute_partitions(candidates.sparkSession), "candidate_key")
+    held = bags.select("candidate_key", F.explode("actual").alias("id"))
     # partial counts per task, then one row per token
-    frequency = held.groupBy("token").agg(F.count("candidate_key").alias("frequency"))
+    frequency = held.groupBy("id").agg(F.count("candidate_key").alias("frequency"))
     rarity = W.partitionBy("source_key").orderBy(F.coalesce("frequency", F.lit(0)), "token")
     needed = F.ceil(F.lit(minimum_coverage) * C("n") - F.lit(1e-9))
     probes = (
-        words.join(frequency, "token", "left")
+        words.join(frequency, "id", "left")
         .withColumn("place", F.row_number().over(rarity))
         .where(C("place") <= C("n") - needed + 1)
-        .select("source_key", "token")
+        .select("source_key", C("id").alias("token"))
     )
-    likely = _meet(held, probes, salts).distinct()
+    likely = _meet(held.withColumnRenamed("id", "token"), sent(probes), salts).distinct()
     verified = (
-        spread_join(likely, titles, ["source_key"], "candidate_key", salts=salts)
+        spread_join(likely, sent(titles), ["source_key"], "candidate_key", salts=salts)
         .join(bags, "candidate_key")
         .withColumn("shared", overlap(C("actual"), C("expected")))  # hashes the short set, not the text's
         .withColumn("expected_tokens", F.size("expected"))
@@ -460,10 +476,12 @@ def open_catalog_pairs(
 
 
 def _meet(held: DataFrame, probes: DataFrame, salts: int) -> DataFrame:
-    """Keys of candidates and titles that meet on a token, each frequent token split over the salts.
+    """Keys of candidates and titles that meet on a token, each frequent token split over the salts, if they are several.
 
     Whether the probes are broadcast instead is left to Spark, which knows their size at run time.
     """
+    if salts <= 1:
+        return held.join(probes, "token").select("source_key", "candidate_key")
     salt = F.pmod(F.xxhash64("candidate_key"), F.lit(salts)).cast("int")
     copies = probes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = held.withColumn("_salt", salt).join(copies, ["token", "_salt"])

@@ -251,3 +251,40 @@ def test_open_catalog_hashes_the_title_of_a_pair(spark):
     found = matching.open_catalog_pairs(titles, bodies)
     assert "array_intersect(actual" in found._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.candidate_key, r.shared, r.expected_tokens, r.title_coverage) for r in found.collect()] == [("c", 2, 2, 1.0)]
+
+
+@pytest.mark.parametrize("bytes_held", [1 << 24, 0])
+def test_open_catalog_of_any_size_keeps_rows_apart(spark, no_broadcast, monkeypatch, bytes_held):
+    """Candidates of one key are judged one by one; nulls match nothing."""
+    monkeypatch.setattr(matching, "_SMALL_CATALOG", bytes_held)
+    titles = [("a", "rio azul mar"), ("b", "mar de fondo"), ("c", None), ("d", "")]
+    bodies = [(1, "rio azul"), (1, "el mar de rio"), (1, "mar"), (2, None), (None, "rio azul mar"), (3, "fondo de otro"), (4, "nada")]
+    found = matching.open_catalog_pairs(
+        spark.createDataFrame(titles, "source_key string, title string"),
+        spark.createDataFrame(bodies, "candidate_key int, title string"),
+    )
+    assert found.columns == ["candidate_key", "source_key", "shared", "expected_tokens", "title_coverage"]
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 2, 3, 2 / 3)] * 2 + [(1, "b", 2, 3, 2 / 3), (3, "b", 2, 3, 2 / 3)]
+
+
+def test_open_catalog_exchanges_no_pairs(spark, no_broadcast):
+    """A title met by every candidate is not sent along with each pair, and tokens that no title has stay where they are."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        titles = spark.createDataFrame([(f"t{k}", f"rio azul w{k}") for k in range(20)], "source_key string, title string")
+        bodies = spark.createDataFrame([(k, f"rio azul x{k}") for k in range(50)], "candidate_key int, title string")
+        found = matching.open_catalog_pairs(titles, bodies)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "candidate_key" in line]
+        assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
+        assert {len(r.actual) for r in _staged_bags(spark, plan).collect()} == {2}
+        assert found.count() == 20 * 50
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def _staged_bags(spark, plan):
+    import re
+
+    return spark.read.parquet(re.search(r"file:[^\]\s,]*open-bags-[0-9a-f]+", plan)[0])
