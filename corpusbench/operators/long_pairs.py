@@ -1,6 +1,7 @@
 """Alignment of pairs too long for one task: the distance table in tiles, one anti-diagonal of tiles after the other.
 
-A tile is ``tile`` rows by ``tile`` columns of the table.  What it needs of the rest are the steps along
+A tile is ``tile`` rows by ``tile`` columns of the table, of which only the diagonals that a good alignment can
+touch are computed.  What it needs of the rest are the steps along
 its upper and left border, a few bits a cell; what it gives are the steps along its lower and right
 one.  All tiles of one anti-diagonal, of all pairs, are computed at once; the borders are written to the
 shared folder, so a lost executor costs its tiles only.  Then each pair is walked back from its end,
@@ -10,18 +11,19 @@ through the few tiles that its best alignment crosses.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusbench.functions.alignment import edit_counts
-from corpusbench.operators.spread import spread_small
+from corpusbench.functions.alignment import cost_bound, edit_counts
+from corpusbench.operators.spread import compute_partitions, spread_small
 from corpusbench.session import written_once
 
 TILE = 1 << 14
-_COUNTS = "key string, s long, d long, i long, needed long"
+_COUNTS = "key string, s long, d long, i long, cost long"
 _BORDERS = ("left", "top", "right", "bottom")
 
 
@@ -31,12 +33,13 @@ def align_long(pairs: DataFrame, *, key: str, reference: str, hypothesis: str, t
     ``reference`` and ``hypothesis`` are texts, aligned by character, or arrays of tokens; ``key`` is a
     string that tells pairs apart.  A pair of which a side or the key is null gives null counts.
 
-    Only tiles near the diagonal are computed.  An alignment of cost c strays at most (c + difference of
-    the lengths) / 2 from it, so the cost found tells whether all that could be better was looked at;
-    pairs for which it was not are done again with as many tiles as that asks for.
+    Only diagonals near the first are computed, in tiles and within them: those that an alignment of a bounded
+    cost can touch (``alignment.first_bounds``).  If the one found costs no more, all that could be better was
+    looked at; a pair of which it costs more would be done again at the cost found.
 
     One task holds the two texts of a pair and the columns of one tile (tile^2 / 2 bytes) at a time.
-    A pair of one tile has no borders to hand on: such pairs are aligned many at a time in one task.
+    A pair of one tile, or of which the diagonals have no more cells than one by a first guess from the
+    lengths, has no borders to hand on: such pairs are aligned many at a time in one task.
     Rows are told apart by a number of their own, so keys may repeat.
     """
     named = pairs.select(
@@ -47,31 +50,27 @@ def align_long(pairs: DataFrame, *, key: str, reference: str, hypothesis: str, t
     length = F.size if isinstance(sides.schema["r"].dataType, T.ArrayType) else F.length
     n, m = (length(c).cast("long") for c in "rh")
     known = F.col("name").isNotNull() & F.col("r").isNotNull() & F.col("h").isNotNull()
-    short = spread_small(sides.where(known & (F.greatest(n, m) <= tile)))
+    guess = F.abs(n - m) + F.floor(F.greatest(n, m) / 5) + 16
+    one_tile = (F.greatest(n, m) <= tile) | (guess * m <= tile * tile)
+    short = spread_small(sides.where(known & one_tile))
     counted = short.select("name", edit_counts(F.col("r"), F.col("h")).alias("e")).select("name", "e.*")
     unknown = sides.where(~known).select("name", *(F.lit(None).cast("long").alias(c) for c in "sdin"))
     found = counted.union(unknown).withColumnRenamed("name", key)
-    many = sides.where(known & (F.greatest(n, m) > tile))
-    high, wide = (F.greatest(F.lit(1), F.ceil(x / tile)) for x in (n, m))
-    reach = F.abs(n - m) + F.floor(F.greatest(n, m) / 10)
-    todo = written_once(
-        many.select("key", n.alias("n"), m.alias("m"), high.alias("high"), wide.alias("wide"), F.ceil(reach / tile).alias("band")),
-        "long-sizes",
-    )
+    long = sides.where(known & ~one_tile).repartition(compute_partitions(pairs.sparkSession))
+    # one diagonal more on either side, through which tiles of equal texts hand on to the next
+    bound = F.greatest(cost_bound("r", "h"), F.abs(n - m) + 2)
+    sized = long.select("key", "name", "r", "h", n.alias("n"), m.alias("m"), bound.alias("bound"))
+    many = written_once(sized, "long-many")
+    todo = many.select("key", "n", "m", "bound")
     if todo.isEmpty():
         return found
     pieces = {c: written_once(_pieces(many, c, tile), f"long-{c}") for c in "rh"}
     names = many.select("key", F.col("name").alias(key))
     while not todo.isEmpty():
         tried = written_once(_counted(todo, pieces, tile), "long-counts").join(todo, "key")
-        fits = F.col("needed") <= F.col("band") * tile
-        told = tried.where(fits | (F.col("band") >= F.greatest("high", "wide"))).select("key", "s", "d", "i", "n")
-        found = found.union(_named(told, names, key))
-        wider = F.greatest(F.ceil(F.col("needed") / tile), F.col("band") + 1)
-        todo = written_once(
-            tried.where(~fits & (F.col("band") < F.greatest("high", "wide"))).select("key", "n", "m", "high", "wide", wider.alias("band")),
-            "long-again",
-        )
+        fits = F.col("cost") <= F.col("bound")
+        found = found.union(_named(tried.where(fits).select("key", "s", "d", "i", "n"), names, key))
+        todo = written_once(tried.where(~fits).select("key", "n", "m", F.col("cost").alias("bound")), "long-again")
     return found
 
 
@@ -92,37 +91,60 @@ def _pieces(sides: DataFrame, side: str, tile: int) -> DataFrame:
 
 
 def _counted(todo: DataFrame, pieces: dict[str, DataFrame], tile: int) -> DataFrame:
-    """Counts of a best way through the tiles of each pair's band, and how wide the band should have been."""
-    size = ["high", "wide", "band"]
-    none = [F.lit(None).cast("binary").alias(b) for b in _BORDERS]
-    wave = todo.select("key", *size, F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), *none)
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in wave.schema])
+    """Counts of a best way through the diagonals of each pair's bound, and its cost."""
+    size = ["n", "m", "bound"]
+    parts = compute_partitions(todo.sparkSession)
+    at, tokens = ["key", *size, "a", "b"], pieces["r"].schema["r"].dataType
+    nothing = {**{c: "binary" for c in _BORDERS}, "r": tokens, "h": tokens, **{c: "long" for c in size}}
+    schema = T.StructType([T.StructField("key", T.StringType()), *(T.StructField(c, T.LongType()) for c in (*size, "a", "b"))])
+    for border in _BORDERS:
+        schema = schema.add(border, T.BinaryType())
+    met = (*at, "left", "top", "r", "h")
+
+    def rows(df: DataFrame, **columns: Column | str) -> DataFrame:
+        """What a tile is made of, each row a part of it."""
+        own = {c: F.col(x) if isinstance(x, str) else x for c, x in columns.items()}
+        return df.select(*(own.get(c, F.lit(None).cast(nothing.get(c, "string"))).alias(c) for c in met))
+
+    ends = (F.ceil(F.greatest(F.lit(1), F.col(c)) / tile) for c in "nm")
+    apart = F.col("n") - F.col("m")
+    above, below = F.floor((F.col("bound") + apart) / 2), F.floor((F.col("bound") - apart) / 2)
+    pairs, last, down, across = todo.agg(
+        F.count("*"), F.max(sum(ends)), F.ceil(F.max(above) / tile) + 1, F.ceil(F.max(below) / tile) + 1
+    ).first()
+    same = {c: c for c in ("key", *size)}
     waves = []
-    last = todo.agg(F.max(F.col("high") + F.col("wide"))).first()[0] or 0
-    for number in range(last - 1):
+    for number in range((last or 0) - 1):
         if number:
-            sent = [
-                waves[-1].select("key", *size, "a", (F.col("b") + 1).alias("b"), F.col("right").alias("left"), F.lit(None).cast("binary").alias("top")),
-                waves[-1].select("key", *size, (F.col("a") + 1).alias("a"), "b", F.lit(None).cast("binary").alias("left"), F.col("bottom").alias("top")),
-            ]
-            inside = (F.col("a") < F.col("high")) & (F.col("b") < F.col("wide")) & (F.abs(F.col("a") - F.col("b")) <= F.col("band"))
-            met = sent[0].union(sent[1]).where(inside).groupBy("key", *size, "a", "b").agg(F.max("left").alias("left"), F.max("top").alias("top"))
-            wave = met.select("*", *none[2:])
-        texts = wave.join(pieces["r"].withColumnRenamed("piece", "a"), ["key", "a"]).join(pieces["h"].withColumnRenamed("piece", "b"), ["key", "b"])
-        done = texts.select(*schema.names, "r", "h").mapInArrow(lambda batches: _crossed(batches, schema.names), schema)
+            done = waves[-1]
+            sent = [rows(done, **same, a="a", b=F.col("b") + 1, left="right"), rows(done, **same, a=F.col("a") + 1, b="b", top="bottom")]
+        else:
+            sent = [rows(todo, **same, a=F.lit(0).cast("long"), b=F.lit(0).cast("long"))]
+        # rows of the tiles that the band of their pair reaches
+        a, b = F.col("a"), F.col("b")
+        inside = (a * tile < F.col("n")) & (b * tile < F.col("m")) & (a * tile < (b + 1) * tile + above) & ((a + 1) * tile > b * tile - below)
+        whole = reduce(DataFrame.union, (x.where(inside) for x in sent))
+        # a piece of either text meets one tile of a wave
+        own = {
+            "r": (F.col("piece"), F.lit(number) - F.col("piece"), down, across),
+            "h": (F.lit(number) - F.col("piece"), F.col("piece"), across, down),
+        }
+        for side, (a, b, most, least) in own.items():
+            near = F.col("piece").between(max(0, (number - least) // 2), (number + most) // 2 + 1) & (F.col("piece") <= number)
+            whole = whole.union(rows(pieces[side].where(near), key="key", a=a, b=b, **{side: side}))
+        tiles = pairs * min(number + 1, down + across)  # at most
+        dealt = whole.repartition(min(parts, tiles), "key", "a", "b").sortWithinPartitions("key", "a", "b")
+        done = dealt.mapInArrow(lambda batches: _crossed(batches, tile, schema.names), schema)
         waves.append(written_once(done, f"long-wave{number}"))
-    rows = [_row(f"{k}", pieces[k], k) for k in "rh"]
+    read = [_row(f"{k}", pieces[k].join(todo.select("key"), "key", "left_semi"), k) for k in "rh"]
     for done in waves:
-        tiles = done.select(
-            "key", F.lit("tile").alias("kind"), (-F.col("a") - F.col("b")).alias("turn"), "a", "b", "left", "top",
-            F.lit(None).cast(pieces["r"].schema["r"].dataType).alias("tokens"),
+        of_wave = done.select(
+            "key", F.lit("tile").alias("kind"), (-F.col("a") - F.col("b")).alias("turn"), "a", "b", "bound", "left", "top",
+            F.lit(None).cast(tokens).alias("tokens"),
         )
-        rows.append(tiles)
-    everything = rows[0]
-    for more in rows[1:]:
-        everything = everything.union(more)
+        read.append(of_wave)
     # Texts come before tiles, tiles from the end of the pair: the walk meets them in its order.
-    dealt = everything.repartition("key").sortWithinPartitions("key", "kind", "turn", "a")
+    dealt = reduce(DataFrame.union, read).repartition(min(parts, pairs), "key").sortWithinPartitions("key", "kind", "turn", "a")
     return dealt.mapInArrow(lambda batches: _walked(batches, tile), _COUNTS)
 
 
@@ -131,7 +153,7 @@ def _row(kind: str, pieces: DataFrame, side: str) -> DataFrame:
     none = F.lit(None).cast("binary")
     return pieces.select(
         "key", F.lit(f"a {kind}").alias("kind"), order.alias("turn"), order.alias("a"), F.lit(0).cast("long").alias("b"),
-        none.alias("left"), none.alias("top"), F.col(side).alias("tokens"),
+        F.lit(None).cast("long").alias("bound"), none.alias("left"), none.alias("top"), F.col(side).alias("tokens"),
     )
 
 
@@ -151,45 +173,103 @@ def _border(up: int, down: int, size: int) -> bytes:
     return up.to_bytes(length, "little") + down.to_bytes(length, "little")
 
 
-def _columns(ref: Sequence, hyp: Sequence, left: bytes | None, top: bytes | None) -> Iterator[tuple[int, int, int, int, int]]:
-    """Per column: cells equal to their diagonal neighbour, vertical steps up and down, and the step along the last row."""
-    rows = len(ref)
-    full, last = (1 << rows) - 1, rows - 1
-    where: dict = {}
+def _blocks(a: int, b: int, n: int, m: int, bound: int, tile: int) -> Iterator[tuple[int, int, int, int]]:
+    """Stretches of a tile's columns, and the rows of it that hold the diagonals of ``bound`` there; the same in all tiles of a column."""
+    above, below = (bound + n - m) // 2, (bound - n + m) // 2
+    top, first, end = a * tile, b * tile, min(m, (b + 1) * tile)
+    size = max(64, (above + below) // 8)
+    for start in range(first, end, size):
+        stop = min(start + size, end)
+        low, high = max(0, start - below - top), min(n - top, tile, stop + above - top)
+        if low < high:
+            yield start - first, stop - first, low, high
+
+
+def _places(ref: Sequence, hyp: Sequence) -> dict:
+    """Rows of each token of ``hyp``, as bits."""
+    where = {token: bytearray(-(-len(ref) // 8)) for token in set(hyp)}
     for index, token in enumerate(ref):
-        where[token] = where.get(token, 0) | (1 << index)
+        if (bits := where.get(token)) is not None:
+            bits[index >> 3] |= 1 << (index & 7)
+    return {token: int.from_bytes(bits, "little") for token, bits in where.items()}
+
+
+def _columns(
+    ref: Sequence, hyp: Sequence, left: bytes | None, top: bytes | None, blocks: Iterator[tuple[int, int, int, int]]
+) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """Per column: cells equal to their diagonal neighbour, vertical steps up and down, the step along the last row, and which rows these are.
+
+    Rows that a stretch has no longer are taken to go up from its first column on, rows that come with it
+    from the last one it had: never less than the distance, and the distance wherever an alignment within
+    the bound goes.
+    """
+    rows = len(ref)
+    where = _places(ref, hyp)
     plus, minus = _steps(left, rows)
     above_up, above_down = _steps(top, len(hyp))
-    for column, token in enumerate(hyp):
-        up, down = above_up >> column & 1, above_down >> column & 1
-        match = where.get(token, 0) | down
-        equal = ((((match & plus) + plus) ^ plus) | match | minus) & full
-        right_up = minus | (full & ~(equal | plus))
-        right_down = plus & equal
-        step = (right_up >> last & 1) - (right_down >> last & 1)
-        right_up = ((right_up << 1) | up) & full
-        right_down = ((right_down << 1) | down) & full
-        minus = right_up & equal
-        plus = right_down | (full & ~(equal | right_up))
-        yield equal, plus, minus, step, column
-
-
-def _crossed(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    """Tiles with the steps along their right and lower border."""
+    held = 0, rows
+    for start, stop, low, high in blocks:
+        high = min(high, rows)
+        if low >= high or start >= len(hyp):
+            return
+        full, last = (1 << high - low) - 1, high - low - 1
+        known = min(held[1], high)
+        plus = (plus >> low - held[0] | -1 << known - low) & full
+        minus = (minus >> low - held[0]) & full
+        held = low, high
+        near = {token: (where[token] >> low) & full for token in set(hyp[start:stop])}
+        for column in range(start, min(stop, len(hyp))):
+            up, down = (above_up >> column & 1, above_down >> column & 1) if not low else (1, 0)
+            match = near[hyp[column]] | 1 if down else near[hyp[column]]
+            equal = ((((match & plus) + plus) ^ plus) | match | minus) & full
+            right_up = minus | (full ^ (equal | plus))
+            right_down = plus & equal
+            step = (right_up >> last) - (right_down >> last)
+            right_up = right_up << 1 | up
+            right_down = right_down << 1 | down
+            minus = right_up & equal
+            plus = (right_down | ~(equal | right_up)) & full
+            yield equal, plus, minus, step, column, low, high
+
+
+def _crossed(batches: Iterator[pa.RecordBatch], tile: int, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Tiles, made of the rows that tell of them, with the steps along their right and lower border."""
+    schema = pa.schema([(c, _kind(c)) for c in names])
+    one: dict = {}
     for batch in batches:
-        for one in batch.to_pylist():
-            ref, hyp = one["r"], one["h"]
-            plus, minus = _steps(one["left"], len(ref))
-            up = down = bytearray(-(-len(hyp) // 8))
-            up, down = bytearray(up), bytearray(down)
-            if ref:
-                for _, plus, minus, step, column in _columns(ref, hyp, one["left"], one["top"]):
-                    if step > 0:
-                        up[column >> 3] |= 1 << (column & 7)
-                    elif step < 0:
-                        down[column >> 3] |= 1 << (column & 7)
-            one["right"], one["bottom"] = _border(plus, minus, len(ref)), bytes(up + down)
-            yield pa.RecordBatch.from_pylist([{c: one[c] for c in names}], schema=pa.schema([(c, _kind(c)) for c in names]))
+        done = []
+        for row in batch.to_pylist():
+            if any(one.get(c) != row[c] for c in ("key", "a", "b")):
+                done += _with_borders(one, tile)
+                one = row
+            else:
+                one |= {c: x for c, x in row.items() if x is not None}
+        if done:
+            yield pa.RecordBatch.from_pylist([{c: x[c] for c in names} for x in done], schema=schema)
+    if done := _with_borders(one, tile):
+        yield pa.RecordBatch.from_pylist([{c: x[c] for c in names} for x in done], schema=schema)
+
+
+def _with_borders(one: dict, tile: int) -> list[dict]:
+    """Nothing of a piece whose tile no band reaches."""
+    if one.get("bound") is None:
+        return []
+    ref, hyp = one["r"], one["h"]
+    plus, minus = _steps(None, len(ref))
+    up, down = ((1 << len(hyp)) - 1).to_bytes(-(-len(hyp) // 8), "little"), bytes(-(-len(hyp) // 8))
+    up, down = bytearray(up), bytearray(down)
+    now = None
+    for now in _columns(ref, hyp, one["left"], one["top"], _blocks(*(one[c] for c in ("a", "b", "n", "m", "bound")), tile)):
+        _, _, _, step, column, _, high = now
+        if high == len(ref) and step <= 0:
+            up[column >> 3] &= ~(1 << (column & 7))
+            if step < 0:
+                down[column >> 3] |= 1 << (column & 7)
+    if now is not None:
+        _, own, fewer, _, _, low, high = now
+        plus = (plus >> high << high) | (own << low) | (1 << low) - 1
+        minus = fewer << low
+    return [one | {"right": _border(plus, minus, len(ref)), "bottom": bytes(up + down)}]
 
 
 def _kind(name: str) -> pa.DataType:
@@ -202,7 +282,7 @@ def _walked(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordB
     for batch in batches:
         done = []
         columns = [batch.column(i) for i in range(batch.num_columns)]
-        for key, kind, _, a, b, left, top, tokens in zip(*columns, strict=True):
+        for key, kind, _, a, b, bound, left, top, tokens in zip(*columns, strict=True):
             if now is None or key.as_py() != now.key:
                 if now is not None:
                     done.append(now.told())
@@ -210,7 +290,7 @@ def _walked(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordB
             if kind.as_py() != "tile":
                 now.texts[kind.as_py()[-1]].append(tokens.as_py())
             elif now.at() == (a.as_py(), b.as_py()):
-                now.cross(left.as_py(), top.as_py())
+                now.cross(bound.as_py(), left.as_py(), top.as_py())
         if done:
             yield _batch(done)
     if now is not None:
@@ -220,7 +300,7 @@ def _walked(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordB
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string()] + [pa.int64()] * 4
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "s", "d", "i", "needed"]
+        [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "s", "d", "i", "cost"]
     )
 
 
@@ -230,36 +310,39 @@ class _Walk:
     def __init__(self, key: str, tile: int):
         self.key, self.tile = key, tile
         self.texts: dict[str, list] = {"r": [], "h": []}
+        self.size: tuple[int, int] | None = None
         self.place: tuple[int, int] | None = None
         self.counts = [0, 0, 0]
-
-    def ends(self) -> tuple[int, int]:
-        return tuple(sum(map(len, self.texts[k])) for k in "rh")
+        self.bound = 0
+        self.lost = False
 
     def at(self) -> tuple[int, int]:
-        """The tile of the cell that comes next."""
+        """The tile of the cell that comes next; none is asked for after the way has left its diagonals."""
         if self.place is None:
-            self.place = self.ends()
-        return tuple(max(x - 1, 0) // self.tile for x in self.place)
+            self.size = self.place = tuple(sum(map(len, self.texts[k])) for k in "rh")
+        return (-1, -1) if self.lost else tuple(max(x - 1, 0) // self.tile for x in self.place)
 
-    def cross(self, left: bytes | None, top: bytes | None) -> None:
+    def cross(self, bound: int, left: bytes | None, top: bytes | None) -> None:
+        self.bound = bound
         a, b = self.at()
-        ref, hyp = self.texts["r"][a], self.texts["h"][b]
         row, column = self.place[0] - a * self.tile, self.place[1] - b * self.tile
         if not row or not column:
             return
-        size = -(-len(ref) // 8)
-        kept = [
-            (equal.to_bytes(size, "little"), plus.to_bytes(size, "little"))
-            for equal, plus, _, _, _ in _columns(ref, hyp[:column], left, top)
-        ]
+        ref, hyp = self.texts["r"][a][:row], self.texts["h"][b][:column]
+        kept = {
+            column: (equal.to_bytes(-(-(high - low) // 8), "little"), plus.to_bytes(-(-(high - low) // 8), "little"), low, high)
+            for equal, plus, _, _, column, low, high in _columns(ref, hyp, left, top, _blocks(a, b, *self.size, bound, self.tile))
+        }
         s = d = i = 0
         while row and column:
             if ref[row - 1] == hyp[column - 1]:
                 row, column = row - 1, column - 1
                 continue
-            equal, plus = kept[column - 1]
-            at, bit = row - 1 >> 3, row - 1 & 7
+            equal, plus, low, high = kept.get(column - 1, (b"", b"", 0, 0))
+            if not low < row <= high:
+                self.lost = True
+                break
+            at, bit = row - 1 - low >> 3, row - 1 - low & 7
             if not equal[at] >> bit & 1:
                 s, row, column = s + 1, row - 1, column - 1
             elif plus[at] >> bit & 1:
@@ -270,11 +353,10 @@ class _Walk:
         self.place = row + a * self.tile, column + b * self.tile
 
     def told(self) -> tuple:
-        """A way that has left the band asks for a wider one."""
+        """A way that has left its diagonals asks for twice as many."""
         self.at()
         row, column = self.place
-        n, m = self.ends()
         s, d, i = self.counts
         if row and column:
-            return self.key, s, d, i, n + m
-        return self.key, s, d + row, i + column, (s + d + row + i + column + abs(n - m)) // 2 + 1
+            return self.key, s, d, i, 2 * self.bound + 1
+        return self.key, s, d + row, i + column, s + d + row + i + column

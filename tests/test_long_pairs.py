@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusbench.functions import alignment
 from corpusbench.operators import long_pairs
@@ -61,3 +62,44 @@ def test_keys_may_repeat(spark):
 
 def test_empty_table(spark):
     assert counted(spark, [], "string", 16) == {}
+
+
+def test_a_tile_computes_only_the_diagonals_of_the_bound():
+    """A pair of 16 tiles a side whose cost is at most 60: about its diagonals, not about its tiles."""
+    tile, length, bound = 256, 4096, 60
+    cells = sum(
+        (stop - start) * (high - low)
+        for a in range(16) for b in range(16)
+        for start, stop, low, high in long_pairs._blocks(a, b, length, length, bound, tile)
+    )
+    assert length * (bound + 1) <= cells < 3 * length * bound < 3 * length * tile
+
+
+def test_tiles_of_equal_texts_are_done_once(spark, monkeypatch):
+    rounds = []
+    tiles = long_pairs._counted
+    monkeypatch.setattr(long_pairs, "_counted", lambda todo, *rest: rounds.append(todo.count()) or tiles(todo, *rest))
+    r = random.Random(8)
+    a = "".join(r.choice("abc ") for _ in range(70))
+    assert counted(spark, [(a, a), (a, a[:30] + "x" + a[30:])], "string", 16) == {"0": (0, 0, 0, 70), "1": (0, 0, 1, 70)}
+    assert rounds == [2]
+
+
+def test_a_bound_that_is_too_small_is_raised(spark, monkeypatch):
+    monkeypatch.setattr(long_pairs, "cost_bound", lambda r, h: F.lit(12).cast("long"))
+    r = random.Random(9)
+    a = [r.choice("abcd") for _ in range(60)]
+    pairs = [("".join(a), "".join(noisy(r, a, 0.5, "abcd"))), ("a" * 28 + "b" * 30, "b" * 30 + "a" * 28)]
+    assert counted(spark, pairs, "string", 24) == {str(k): alignment.align(*p) for k, p in enumerate(pairs)}
+
+
+def test_a_pair_with_no_more_cells_than_a_tile_needs_no_tiles(spark, monkeypatch):
+    monkeypatch.setattr(long_pairs, "_counted", None)
+    pair = ("abcd" * 30, "abdd" * 29)
+    assert counted(spark, [pair], "string", 80) == {"0": alignment.align(*pair)}
+
+
+def test_bounds_are_never_below_the_cost():
+    pairs = made(31, 80, [1, 5, 40, 300])
+    for bound, counts in zip(alignment.first_bounds(pairs), alignment.align_many(pairs), strict=True):
+        assert bound >= sum(counts[:3])
